@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-SAME = np.arange(256, dtype=np.uint8)
+#: Bytes that separate words where punctuation counts as space: all ASCII but letters and digits.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[0x80:] = False
+PUNCTUATION[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
 #: Bytes handled at once: bounds the temporary arrays (about 40 bytes for each byte of text).
 BLOCK_BYTES = 2 << 20
 
@@ -95,8 +98,21 @@ def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * _power_table("down", len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def split_words(texts: pa.Array, fold: np.ndarray = SAME, space: np.ndarray = SPACE, limit: int = BLOCK_BYTES) -> Iterator[Words]:
-    """The words of every text, block by block. fold maps bytes before fingerprints are taken (LOWER: ignore case of A-Z)."""
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return LOWER[data]
+
+
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the letters U+00C0 to U+00DE in UTF-8."""
+    out = LOWER[data]
+    wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+    wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+    out[wide] += 0x20
+    return out
+
+
+def split_words(texts: pa.Array, fold: Callable[[np.ndarray], np.ndarray] | None = None, space: np.ndarray = SPACE, limit: int = BLOCK_BYTES) -> Iterator[Words]:
+    """The words of every text, block by block. fold maps the bytes that fingerprints are taken from (lower_ascii: ignore case of A-Z)."""
     offsets, raw = text_buffers(texts)
     for i, j in blocks(offsets, limit):
         data = raw[offsets[i] : offsets[j]]
@@ -113,7 +129,7 @@ def split_words(texts: pa.Array, fold: np.ndarray = SAME, space: np.ndarray = SP
         after[:-1] = inside[1:]
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         counts = np.diff(np.searchsorted(starts, bounds))
-        yield Words(i, counts, starts, ends, fingerprints(fold[data], starts, ends), data)
+        yield Words(i, counts, starts, ends, fingerprints(fold(data) if fold else data, starts, ends), data)
 
 
 def windows(codes: np.ndarray, k: int) -> np.ndarray:
