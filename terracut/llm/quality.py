@@ -96,7 +96,7 @@ def features(texts: pa.Array, bits: int = BITS) -> Features:
     return Features(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate(words) if words else np.zeros(0, np.int32), shape_statistics(texts))
 
 
-def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 200, rate: float = 0.05, sparse: float = 2e-4, least_docs: int = 10) -> Model:
+def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 400, rate: float = 0.05, sparse: float = 5e-5, least_docs: int = 10) -> Model:
     """Maximum likelihood with an L1 penalty on words, by proximal Adam steps over the whole sample. Deterministic."""
     n = len(grades)
     centre, spread = x.shapes.mean(axis=0) if n else np.zeros(SHAPES), x.shapes.std(axis=0) + 1e-3 if n else np.ones(SHAPES)

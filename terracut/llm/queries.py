@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracut.llm import chat, decontaminate, exact_dedup, mixing, quality, secrets, sharding
+from terracut.llm import chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding
 
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
 
@@ -61,10 +61,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's expected grade and the probability that it is good and clean; kept where that is even or better."""
+    """Every document's expected grade and the probability that it is good and clean; kept where that is 0.75 or more."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")), "doc_id", "text", "grade", 3)
-    return quality.score(docs, model, "doc_id", "text", 2, 0.5)
+    return quality.score(docs, model, "doc_id", "text", 2, 0.75)
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), k=4)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +83,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality": op7_quality,
+    "op8_minhash": op8_minhash,
     "op10_secrets": op10_secrets,
 }
 
