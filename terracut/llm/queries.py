@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracut.llm import chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding
+from terracut.llm import brown, chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding
 
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
 
@@ -34,6 +34,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return brown.class_lm(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(docs, WEIGHTS, SHARE, MOST, "doc_id", "source", "size")
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_class_lm": op4_class_lm,
     "op5_mixing": op5_mixing,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality": op7_quality,
