@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracut.llm import brown, chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding
+from terracut.llm import brown, chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding, substrings
 
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
 
@@ -76,6 +76,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), k=4)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_linked")
@@ -90,6 +95,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
+    "op9_substrings": op9_substrings,
     "op10_secrets": op10_secrets,
 }
 

@@ -2,25 +2,31 @@
 
 Rounds of recompression name maximal runs of a word, then pairs of neighbouring symbols: a hash deals symbols to a left
 and a right half, anew in each round, and every left symbol followed by a right one becomes one symbol. Names are
-fingerprints of what they stand for, so that equal substrings get equal names everywhere without an exchange.
+fingerprints of what they stand for, so equal substrings get equal names in every task of the cluster, and naming needs
+no exchange; the exchanges are those that compare the names.
 
 Every symbol carries the words that decided it: its own and those of neighbours that were looked at. Where all of them
 lie within a window, the symbol is interior to the window, and any other place with the same words has it too. A
-window's anchor is the leftmost interior symbol of the highest level that has one (failing all levels, the window
-itself). Equal windows have equal anchors, so only windows with a shared anchor can repeat.
+window's anchor is, of its interior symbols of the highest level that has one, the one that comes first in a hash order
+(failing all levels, the window itself). Equal windows have equal anchors, so only windows with a shared anchor can
+repeat; and neighbouring windows mostly share theirs, so there are far fewer anchors than windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from terracut.llm.words import mix, windows
+from terracut.llm.words import fold_range, mix, range_sums, windows
 
-LEVELS = 7
+#: Rounds of pairing. A symbol of level 2 spans two words or more and is decided by about five.
+LEVELS = 2
 
 
 def named_runs(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, context (from, to) and "first of its document" of the maximal runs of equal words. first: a document begins."""
+    """Names, context (from, to) and "first of its document" of the maximal runs of equal words. first: a document begins.
+
+    The context of a run is the run and one word on either side, which show that it ends there: words from to to - 1.
+    """
     n = len(codes)
     head = np.ones(n, bool)
     head[1:] = (codes[1:] != codes[:-1]) | first[1:]
@@ -46,42 +52,70 @@ def paired(name: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray,
     new_hi[look] = np.where(last[look], hi[look] + 1, hi[np.minimum(look + 1, n - 1)])
     look = np.flatnonzero(alone & right)
     new_lo[look] = np.where(first[look], lo[look] - 1, lo[np.maximum(look - 1, 0)])
-    new_hi[after.nonzero()[0]] = hi[after.nonzero()[0] + 1]
-    new_name = name.copy()
     both = np.flatnonzero(after)
+    new_hi[both] = hi[both + 1]
+    new_name = name.copy()
     new_name[both] = mix(name[both] * np.uint64(0x8CB92BA72F3D8DD7) + mix(name[both + 1] + np.uint64(salt)))
     keep = ~before
     return new_name[keep], new_lo[keep], new_hi[keep], first[keep]
 
 
+def least_of_ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minima of values[lo:hi], none empty, from minima of runs of 1, 2, 4, ... values."""
+    length = hi - lo
+    out = np.empty(len(lo), values.dtype)
+    step, tables = 1, values
+    while True:
+        rows = np.flatnonzero((length >= step) & (length < 2 * step))
+        out[rows] = np.minimum(tables[lo[rows]], tables[hi[rows] - step])
+        if not len(length) or 2 * step > length.max():
+            return out
+        tables = np.concatenate([np.minimum(tables[:-step], tables[step:]), tables[-step:]])
+        step *= 2
+
+
 def window_anchors(codes: np.ndarray, offsets: np.ndarray, width: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """Start (word number) and anchor of every window of width words that lies in one document. offsets: of the documents."""
-    n = len(codes)
-    whole = np.zeros(n + 1, np.int64)
-    counts = np.diff(offsets)
-    ends = np.repeat(offsets[1:], counts)
-    starts = np.flatnonzero(np.arange(n) + width <= ends)
+    n, counts = len(codes), np.diff(offsets)
+    starts = np.flatnonzero(np.arange(n) + width <= np.repeat(offsets[1:], counts))
+    chosen = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return starts, chosen
     first = np.zeros(n, bool)
     first[offsets[:-1][counts > 0]] = True
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    found, chosen = np.zeros(len(starts), bool), np.zeros(len(starts), np.uint64)
+    sums = range_sums(codes)
     stages = [named_runs(codes, first)]
     for level in range(levels):
         stages.append(paired(*stages[-1], salt=level))
+    left = np.arange(len(starts))  # windows without an anchor so far
     for name, lo, hi, _ in reversed(stages):
-        # The first symbol whose context begins at the window's start or later; contexts are in order.
-        whole[:] = 0
-        np.add.at(whole, np.clip(lo + 1, 0, n), 1) if False else None
-        rank = np.cumsum(np.bincount(np.clip(lo + 1, 0, n), minlength=n + 1))
-        open_ = np.flatnonzero(~found)
-        p = starts[open_]
-        i = rank[p]
-        i_safe = np.minimum(i, len(name) - 1)
-        good = (i < len(name)) & (hi[i_safe] <= p + width)
-        chosen[open_[good]] = name[i_safe[good]]
-        found[open_[good]] = True
-    rest = np.flatnonzero(~found)
-    if len(rest):
-        chosen[rest] = windows(codes, width)[starts[rest]]
+        order = mix(name ^ fold_range(sums, np.maximum(lo, 0), np.minimum(hi, n)))
+        # Contexts are in order from both sides: those within a window are a range of symbols.
+        begun = np.cumsum(np.bincount(np.maximum(lo + 1, 0), minlength=n + 2))  # begun[p]: symbols with lo < p
+        ended = np.cumsum(np.bincount(np.clip(hi, 0, n + 1), minlength=n + 2))  # ended[p]: symbols with hi <= p
+        i, j = begun[starts[left]], ended[starts[left] + width]
+        good = j > i
+        chosen[left[good]] = least_of_ranges(order, i[good], j[good])
+        left = left[~good]
+        if not len(left):
+            return starts, chosen
+    chosen[left] = windows(codes, width)[starts[left]]
     return starts, chosen
+
+
+def anchor_runs(codes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, anchor, first window (word number) and number of windows of every run of neighbouring windows of one anchor.
+
+    A run longer than width, as equal words in a row give, is cut.
+    """
+    starts, anchors = window_anchors(codes, offsets, width)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    head = np.ones(len(starts), bool)
+    head[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(head)
+    size = np.diff(np.append(at, len(starts)))
+    pieces = -(-size // width)
+    at = np.repeat(at, pieces)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = at + nth * width
+    return owner[at], anchors[at], starts[begin] if len(starts) else begin, np.minimum(np.repeat(size, pieces) - nth * width, width)
