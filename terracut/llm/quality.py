@@ -22,6 +22,8 @@ from terracut.llm.words import PUNCTUATION, lower_ascii, lower_latin, mix, split
 
 MAX_LABELLED = 20_000
 BITS = 18
+#: What is kept: grade 2 (good and clean) with this probability.
+LEAST_GRADE, LEAST_TAIL = 2, 0.75
 SHAPES = 10
 
 

@@ -66,10 +66,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's expected grade and the probability that it is good and clean; kept where that is 0.75 or more."""
+    """Every document's expected grade and the probability that it is good and clean; kept where that is LEAST_TAIL or more."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")), "doc_id", "text", "grade", 3)
-    return quality.score(docs, model, "doc_id", "text", 2, 0.75)
+    return quality.score(docs, model, "doc_id", "text", quality.LEAST_GRADE, quality.LEAST_TAIL)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
