@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 A document's grade y in 0 .. K-1 has P(y <= k) = sigmoid(theta_k - w.x), with one weight vector w for all grades and
-ordered thresholds theta. x: presence of hashed words (case and punctuation do not count) and a few shape statistics.
-The expected grade and the tail probability P(y >= k) follow, and selection is by the tail.
+ordered thresholds theta. x: presence, single and repeated, of hashed words and beginnings of words (case and
+punctuation do not count), and a few shape statistics. The expected grade and the tail probability P(y >= k) follow, and
+selection is by the tail.
 
 The fit reads at most `max_labelled` labelled documents, chosen by a hash of their id; all else covers every row. Scoring
 is a map over the documents with the weights (2**bits floats, a fixed size) at hand, without a shuffle.
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracut.llm.words import PUNCTUATION, lower_ascii, lower_latin, mix, split_words
+from terracut.llm.words import PUNCTUATION, fingerprints, lower_ascii, lower_latin, mix, split_words
 
-MAX_LABELLED = 20_000
-BITS = 18
+MAX_LABELLED = 8_000
+BITS = 20
+#: Bytes of word beginnings, and how often a word or beginning must occur for its further features.
+PREFIXES, COUNTS = (4, 5, 6, 7), (2, 4, 8)
 #: What is kept: grade 2 (good and clean) with this probability.
-LEAST_GRADE, LEAST_TAIL = 2, 0.75
+LEAST_GRADE, LEAST_TAIL = 2, 0.85
 SHAPES = 10
 
 
@@ -49,7 +52,7 @@ class Model:
 @dataclass
 class Features:
     offsets: np.ndarray
-    words: np.ndarray  # hashed words of each document, once each
+    words: np.ndarray  # hashed features of each document, once each
     shapes: np.ndarray
 
 
@@ -87,27 +90,39 @@ def shape_statistics(texts: pa.Array) -> np.ndarray:
 
 
 def features(texts: pa.Array, bits: int = BITS) -> Features:
+    """Hashed words and beginnings of words (of PREFIXES bytes), each once for a text at every count of COUNTS that it reaches."""
     words, counts = [], []
     for b in split_words(texts, lower_latin, PUNCTUATION):
-        hashed = (mix(b.codes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int64)
-        # Each word once for a document: sort pairs of document and word.
-        pairs = np.unique((b.owners << bits) | hashed)
+        owner, codes = [b.owners], [b.codes]
+        folded, length = lower_latin(b.data), b.ends - b.starts
+        for k in PREFIXES:
+            longer = np.flatnonzero(length > k)
+            owner.append(owner[0][longer])
+            codes.append(fingerprints(folded, b.starts[longer], b.starts[longer] + k) ^ np.uint64(k))
+        hashed = mix(np.concatenate(codes) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)
+        pairs, times = np.unique((np.concatenate(owner) << bits) | hashed.astype(np.int64), return_counts=True)
+        reached = [pairs]
+        for n in COUNTS:
+            often = pairs[times >= n]
+            again = mix((often & ((1 << bits) - 1)).astype(np.uint64) * np.uint64(n)) >> np.uint64(64 - bits)
+            reached.append((often >> bits << bits) | again.astype(np.int64))
+        pairs = np.unique(np.concatenate(reached))
         words.append((pairs & ((1 << bits) - 1)).astype(np.int32))
         counts.append(np.bincount(pairs >> bits, minlength=len(b.counts)))
     counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     return Features(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate(words) if words else np.zeros(0, np.int32), shape_statistics(texts))
 
 
-def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 400, rate: float = 0.05, sparse: float = 5e-5, least_docs: int = 10) -> Model:
+def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 250, rate: float = 0.05, sparse: float = 5e-5, least_docs: int = 10) -> Model:
     """Maximum likelihood with an L1 penalty on words, by proximal Adam steps over the whole sample. Deterministic."""
     n = len(grades)
     centre, spread = x.shapes.mean(axis=0) if n else np.zeros(SHAPES), x.shapes.std(axis=0) + 1e-3 if n else np.ones(SHAPES)
     # Words of few documents say little: only others get a weight.
-    owner = np.repeat(np.arange(n), np.diff(x.offsets))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(x.offsets))
     seen = np.bincount(x.words, minlength=1 << bits)
     used = seen[x.words] >= least_docs
     vocabulary = np.flatnonzero(seen >= least_docs)
-    column = np.zeros(1 << bits, np.int64)
+    column = np.zeros(1 << bits, np.int32)
     column[vocabulary] = np.arange(len(vocabulary))
     cols, owner, m = column[x.words[used]], owner[used], len(vocabulary)
     shapes = (x.shapes - centre) / spread
