@@ -9,7 +9,10 @@ never reported on an estimate.
 Documents of equal sets are one class with one representative, the smallest id, and only representatives are compared.
 Large buckets do not emit all their pairs: at first each member meets only the smallest of its bucket. As buckets of
 different bands have different smallest members, near copies of a group are linked by then, and components show it.
-What is left is for exactness: a member outside its bucket's main component meets every member of another component.
+What is left is for exactness: a member outside its bucket's main component meets every member of another component. In
+small buckets these are pairs like the others. The members of large buckets are dealt to blocks of bounded size by a
+hash, every block of outsiders meets every block of its group, and the sets of two blocks are compared at once: only
+links leave the task, and a group with many members that are all but similar makes no rows of pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SKETCH_BITS = 512
 SLACK = 0.2
 #: Rounds of one comparison for each member; after them all that may still be linked is compared.
 STAR_ROUNDS = 3
+#: Members of a bucket that may make pairs of rows; larger buckets are compared in blocks of so many shingles and documents.
+DIRECT, BLOCK_SHINGLES, BLOCK_DOCS = 16, 1 << 16, 512
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -142,6 +147,62 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def common_counts(x_at: np.ndarray, x: np.ndarray, y_at: np.ndarray, y: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Intersection sizes of all sets of one block with all of another. x: the sets end to end, x_at: where they begin and end."""
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(x_at) - 1, len(y_at) - 1), np.float32)
+
+    def cells(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        there = np.flatnonzero(both[place] == values)
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[there]
+        order = np.argsort(place[there], kind="stable")
+        return owner[order], place[there][order]
+
+    if len(both):
+        (xo, xc), (yo, yc) = cells(x_at, x), cells(y_at, y)
+        for lo in range(0, len(both), chunk):
+            width = min(chunk, len(both) - lo)
+            sides = []
+            for owner, column, n in ((xo, xc, len(x_at) - 1), (yo, yc, len(y_at) - 1)):
+                a, b = np.searchsorted(column, [lo, lo + width])
+                table = np.zeros((n, width), np.float32)
+                table[owner[a:b], column[a:b] - lo] = 1
+                sides.append(table)
+            out += sides[0] @ sides[1].T
+    return out
+
+
+def block_links(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the outsiders of each group with all of its members of other components. inside: g, id, c; outsiders: c is not g."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (xi, xc, xat, x), (yi, yc, yat, y) = (parts(batch.column(k).slice(row, 1).flatten()) for k in (0, 1))
+                both = common_counts(xat, x, yat, y)
+                near = 100 * both >= percent * (np.diff(xat)[:, None] + np.diff(yat)[None, :] - both)
+                i, j = np.nonzero(near & (xc[:, None] != yc[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xi[i], yi[j])), pa.array(np.maximum(xi[i], yi[j]))], names=["a", "b"])
+
+    def parts(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        s = members.field("s")
+        at = np.asarray(s.offsets)
+        return np.asarray(members.field("id")), np.asarray(members.field("c")), at - at[0], np.asarray(s.values)[at[0] : at[-1]]
+
+    full = inside.join(sets, "id").select("g", "id", "c", "s")
+
+    def blocks(members: DataFrame, name: str) -> DataFrame:
+        need = F.greatest(F.ceil(F.sum(F.size("s")) / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS))
+        number = members.groupBy("g").agg(need.alias("blocks"))
+        dealt = members.join(number, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return dealt.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("id", "c", "s")).alias(name))
+
+    whole = blocks(full, "y")
+    outer = blocks(full.where("c != g"), "x").join(whole.select("g", F.col("blocks").alias("n")).distinct(), "g").select("g", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    return outer.join(whole, ["g", "block"]).select("x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, k: int) -> DataFrame | None:
     """node, component of the representatives that have links: all that true links among bucket mates connect. None without links.
 
@@ -171,7 +232,7 @@ def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[D
             rest = here.join(stars, "bucket")
             if row.cost <= 4 * n_members or turn == STAR_ROUNDS:
                 # Exact end: all that stand outside their bucket's main component against all of other components.
-                outer = rest.where(F.col("c") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
+                outer = rest.where((F.col("c") != F.col("main")) & (F.col("all") <= DIRECT)).select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
                 pairs = outer.join(here, "bucket").where(F.col("cx") != F.col("c")).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
                 last = True
             else:
@@ -189,7 +250,10 @@ def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[D
         sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         likely = stored(pairs.join(sa, "a").join(sb, "b").where(sized & (differing <= bound)).select("a", "b"), "likely-pairs")
         tries = likely if tries is None else tries.unionAll(likely)
-        found = stored(verified(likely, sets, percent), "links")
+        found = verified(likely, sets, percent)
+        if last:
+            found = found.unionAll(block_links(rest.where(F.col("all") > DIRECT).select(F.col("main").alias("g"), "id", "c").distinct(), sets, percent))
+        found = stored(found, "links")
         links = found if links is None else links.unionAll(found)
         labels = stored(smallest_reachable(links), "labels") if not links.isEmpty() else None
         if last or labels is None and turn:
