@@ -195,7 +195,8 @@ def block_links(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def blocks(members: DataFrame, name: str) -> DataFrame:
         need = F.greatest(F.ceil(F.sum(F.size("s")) / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS))
         number = members.groupBy("g").agg(need.alias("blocks"))
-        dealt = members.join(number, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        # Dealt by block, or a group's blocks would all meet in the task of its join.
+        dealt = members.join(number, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).repartition("g", "block")
         return dealt.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("id", "c", "s")).alias(name))
 
     whole = blocks(full, "y")
