@@ -67,18 +67,15 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     free_text, free_item = np.ones(len(text), bool), np.ones(len(item), bool)
     tiles: list[tuple[int, int, int]] = []
     s = max(least, len(item) // 2)
-    while s >= least:
+    while True:
         found = longest_matches(text, item, free_text, free_item, s)
         if not found:
-            if s == least:
+            if s <= least:
                 break
             s = max(least, s // 2)
             continue
         longest = max(n for n, _, _ in found)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for n, p, q in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
+        for n, p, q in sorted(m for m in found if m[0] == longest):
             if free_text[p : p + n].all() and free_item[q : q + n].all():
                 free_text[p : p + n] = False
                 free_item[q : q + n] = False
