@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracut.llm import brown, chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding, substrings
+from terracut.llm.scratch import stored
 
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
 
@@ -40,7 +41,7 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
     mixed = mixing.mix_sources(docs, WEIGHTS, SHARE, MOST, "doc_id", "source", "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
