@@ -134,4 +134,22 @@ k AS (SELECT *, CASE WHEN size > 0 THEN 8 * top + CAST(floor(size * 8 / pow(2.0,
 n AS (SELECT k.*, source_size, target, rate, off, row_number() OVER (PARTITION BY k.source ORDER BY cls, bucket, h, doc_id, size) AS rn
       FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(floor(rn * rate + off) - floor((rn - 1) * rate + off) AS BIGINT) * size AS taken FROM n""",
+    "op8_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) >= 4 THEN words[i:i + 3] ELSE words END AS shingle FROM w, unnest(range(1, greatest(len(words) - 2, 2))) t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS other FROM reach GROUP BY ALL)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id, d.doc_id <= coalesce(other, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = d.doc_id""",
+    "op9_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram FROM w, unnest(range(1, len(words) - 11)) t(i)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS least_id FROM win) WHERE least_id < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM dup, range(13) t(k)),
+kept AS (SELECT w.doc_id, pos, word FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w) w LEFT JOIN gone USING (doc_id, pos) WHERE gone.doc_id IS NULL),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM kept GROUP BY ALL)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
 }
