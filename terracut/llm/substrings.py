@@ -15,8 +15,8 @@ execution splits. Texts are exchanged compressed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 
 from terracut.llm.recompress import anchor_runs
 from terracut.llm.scratch import stored
-from terracut.llm.words import fold_range, mix, range_sums, split_words
+from terracut.llm.words import Words, fold_range, mix, range_sums, split_words
 
 #: Bits of an anchor that are compared. More than one anchor may share them; that costs a comparison, and no result.
 ANCHOR_BITS = 40
-SPACES = " \t\n\v\f\r"
 
 
 def anchors_of(docs: DataFrame, width: int) -> DataFrame:
@@ -76,20 +75,40 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("id", "t").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_bytes long, packed binary")
 
 
-def unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    codec = pa.Codec("zstd")
-    return [codec.decompress(x, n, asbytes=True) for x, n in zip(batch.column("packed").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True)]
+def unpacked(batch: pa.RecordBatch) -> tuple[list[bytes], pa.Array]:
+    """The texts of packed(), each for itself and as one array."""
+    codec, sizes = pa.Codec("zstd"), batch.column("n_bytes").to_numpy()
+    texts = [codec.decompress(x, n, asbytes=True) for x, n in zip(batch.column("packed").to_pylist(), sizes.tolist(), strict=True)]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return texts, pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(b"".join(texts)))
 
 
-def marked(text: bytes, marks: np.ndarray, prints: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' codes, and start and number of windows of those marks whose words are in the text: where rows of one id
-    have different texts, a mark may be another's."""
-    codes = np.concatenate([b.codes for b in split_words(pa.array([text], pa.binary()).cast(pa.string()))] or [np.zeros(0, np.uint64)])
-    start, n = marks // width, marks % width + 1
-    inside = start + n + width - 1 <= len(codes)
-    start, n, prints = start[inside], n[inside], prints[inside]
-    same = fold_range(range_sums(codes), start, start + n + width - 1) == prints
-    return codes, start[same], n[same]
+@dataclass
+class Marked:
+    """A block of texts with those of their marks whose words are in the text: where rows of one id have different texts,
+    a mark may be another's."""
+
+    words: Words
+    sums: np.ndarray
+    owner: np.ndarray  # the mark's document, 0-based in the block
+    start: np.ndarray  # word number in the block
+    n: np.ndarray  # windows
+
+
+def marked(batch: pa.RecordBatch, texts: pa.Array, width: int) -> Iterator[Marked]:
+    marks = batch.column("marks")
+    held = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = marks.flatten()
+    at, prints = flat.field("at").to_numpy(), flat.field("span").to_numpy().view(np.uint64)
+    for b in split_words(texts):
+        here = slice(held[b.first], held[b.first + len(b.counts)])
+        owner = np.repeat(np.arange(len(b.counts)), np.diff(held[b.first : b.first + len(b.counts) + 1]))
+        start, n, wanted = at[here] // width, at[here] % width + 1, prints[here]
+        inside = start + n + width - 1 <= b.counts[owner]
+        owner, n, wanted = owner[inside], n[inside], wanted[inside]
+        start, sums = b.offsets[owner] + start[inside], range_sums(b.codes)
+        same = fold_range(sums, start, start + n + width - 1) == wanted
+        yield Marked(b, sums, owner[same], start[same], n[same])
 
 
 def windows_of(texts: DataFrame, marks: DataFrame, width: int) -> DataFrame:
@@ -97,17 +116,13 @@ def windows_of(texts: DataFrame, marks: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, ids = batch.column("marks").to_pylist(), []
-            one, two, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for row, (text, own) in enumerate(zip(unpacked(batch), marks, strict=True)):
-                codes, start, n = marked(text, np.array([m["at"] for m in own]), np.array([m["span"] for m in own], np.int64).view(np.uint64), width)
-                first = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                one.append(fold_range(range_sums(codes), first, first + width))
-                two.append(fold_range(range_sums(mix(codes ^ np.uint64(0x6A09E667F3BCC909))), first, first + width))
-                ats.append(first * width)
-                ids.append(np.full(len(first), row))
-            ids = batch.column("id").take(pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), ids, pa.array(np.concatenate(ats))], names=["w1", "w2", "id", "at"])
+            for m in marked(batch, unpacked(batch)[1], width):
+                first = np.unique(np.repeat(m.start, m.n) + np.arange(m.n.sum()) - np.repeat(np.cumsum(m.n) - m.n, m.n))
+                owner = np.searchsorted(m.words.offsets, first, "right") - 1
+                one = fold_range(m.sums, first, first + width)
+                two = fold_range(range_sums(mix(m.words.codes ^ np.uint64(0x6A09E667F3BCC909))), first, first + width)
+                ids = batch.column("id").take(pa.array(owner + m.words.first))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids, pa.array((first - m.words.offsets[owner]) * width)], names=["w1", "w2", "id", "at"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.join(marks, "id").select("id", "n_bytes", "packed", "marks").mapInArrow(run, f"w1 long, w2 long, id {kind}, at long")
@@ -123,19 +138,22 @@ def kept_words(texts: DataFrame, marks: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts, together = unpacked(batch)
+            stays: dict[int, list[bool]] = {}
+            if len(batch.column("marks").flatten()):
+                for m in marked(batch, together, width):
+                    edge = np.zeros(len(m.words.codes) + 1, np.int64)
+                    np.add.at(edge, m.start, 1)
+                    np.add.at(edge, m.start + m.n + width - 1, -1)
+                    free, offs = np.cumsum(edge)[:-1] == 0, m.words.offsets
+                    stays |= {m.words.first + d: free[offs[d] : offs[d + 1]].tolist() for d in np.unique(m.owner).tolist()}
             all_words, removed, kept = [], [], []
-            for text, own in zip(unpacked(batch), batch.column("marks").to_pylist(), strict=True):
+            for row, text in enumerate(texts):
                 words = text.split()  # at the same six bytes as split_words()
-                n = len(words)
-                if own:
-                    _, start, size = marked(text, np.array([m["at"] for m in own]), np.array([m["span"] for m in own], np.int64).view(np.uint64), width)
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + size + width - 1, -1)
-                    words = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
-                all_words.append(n)
-                removed.append(n - len(words))
-                kept.append(b" ".join(words))
+                left = list(compress(words, stays[row])) if row in stays else words
+                all_words.append(len(words))
+                removed.append(len(words) - len(left))
+                kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(all_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
     kind = texts.schema["id"].dataType.simpleString()
