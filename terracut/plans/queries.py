@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terracut.functions import geometry as G
 from terracut.functions import text as T
-from terracut.operators import associate, elevations, layers, polylines, scales, strokes, styles, surfaces, volumes
+from terracut.operators import associate, elevations, layers, layout, polylines, scales, site, strokes, styles, surfaces, volumes
 from terracut.operators.elevations import with_context
 from terracut.plans.fixtures import view, with_views
 
@@ -196,7 +196,7 @@ def sheet_hulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ring_distances(spark: SparkSession, sf: str) -> DataFrame:
-    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((100.0, 100.0), (800.0, 150.0), (700.0, 900.0), (150.0, 700.0))])
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
     d = G.ring_distance(F.col("x"), F.col("y"), ring)
     return view(spark, sf, "spans").select("sheet_id", "seq", r6(d, "distance"), G.in_polygon(F.col("x"), F.col("y"), ring).alias("inside"))
 
@@ -210,12 +210,72 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "spans").select("sheet_id", "seq", T.anchor_tag(F.col("text")).alias("tag")).where("tag IS NOT NULL")
 
 
+def clamped_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.struct((F.col("x1") - 20).alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    c = G.clamp_bbox(b, F.lit(900), F.lit(900))
+    return view(spark, sf, "segments").select("sheet_id", "seq", *[c[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
+def rotated_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    c = G.rotated_bbox(b, [F.lit(float(v)) for v in (0, 1, -1, 0, 792, 0)], F.lit(2.0))
+    return view(spark, sf, "segments").select("sheet_id", "seq", *[c[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
+def densified_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = strokes.densified(strokes.measured(view(spark, sf, "segments")).withColumnRenamed("len", "length"))
+    return lines.select("sheet_id", "seq", F.size("points").alias("n"), r6(F.aggregate("points", F.lit(0.0), lambda t, p: t + p["x"]), "sum_x"), r6(F.element_at("points", -1)["y"], "last_y"))
+
+
+def header_spans(spark: SparkSession, sf: str) -> DataFrame:
+    spans = view(spark, sf, "spans").select("sheet_id", "seq", "text", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 40).alias("x1"), (F.col("y") + 10).alias("y1")).alias("bbox_px"))
+    sheets = view(spark, sf, "sheets").withColumn("width_px", F.lit(1000))
+    return layout.headers(spans, sheets).select("sheet_id", F.col("scale.x0").alias("x0"), F.col("scale.y0").alias("y0"))
+
+
+def rail_splits(spark: SparkSession, sf: str) -> DataFrame:
+    spans = view(spark, sf, "spans").select("sheet_id", F.struct(F.col("x").alias("x0"), (F.col("x") + 40).alias("x1")).alias("bbox_px"))
+    return layout.fallback_split(spans, view(spark, sf, "sheets").withColumn("width_px", F.lit(1000))).select("sheet_id", F.col("fallback").cast("long").alias("fallback"))
+
+
+def legend_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "spans").select("sheet_id", "seq", T.legend_name(F.col("text")).alias("name")).where(T.is_legend_row(F.col("name")))
+
+
+def room_windows(spark: SparkSession, sf: str) -> DataFrame:
+    a = view(spark, sf, "spans").select("sheet_id", T.anchor_tag(F.col("text")).alias("tag"), "x", "y")
+    w = site.room_windows(a, F.lit(1000), F.lit(1000))
+    return w.select("sheet_id", "rooms", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def interior_shares(spark: SparkSession, sf: str) -> DataFrame:
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
+    outlines = view(spark, sf, "sheets").select("sheet_id", ring.alias("property_polygon"), F.lit(None).cast("array<struct<x: double, y: double>>").alias("building_polygon"), F.struct(F.lit(300).alias("x0"), F.lit(300).alias("y0"), F.lit(500).alias("x1"), F.lit(450).alias("y1")).alias("building_bbox"))
+    return site.inside_shares(view(spark, sf, "points"), outlines).select("sheet_id", "poly_seq", r6("share"))
+
+
+def view_windows(spark: SparkSession, sf: str) -> DataFrame:
+    box = lambda c, f: F.struct(*[g(F.col(v)).alias(f"{v[0]}{k}") for k, g in ((0, F.min), (1, F.max)) for v in ("x", "y")]).alias(c)
+    plan = view(spark, sf, "spans").groupBy("sheet_id").agg(box("drawing_bbox", None), F.lit(1000.0).alias("width_px"), F.lit(900.0).alias("height_px"))
+    found = view(spark, sf, "spans").where("text = 'TC' AND sheet_id LIKE '%2'").groupBy("sheet_id").agg(box("property_bbox", None))
+    return layers.view_windows(plan, found)
+
+
+def stage_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    n = view(spark, sf, "spans").groupBy("sheet_id").agg(F.count_if(F.col("text") == "TC").alias("n_elevations"), F.count_if(F.col("seq") % 50 == 0).alias("n_property"), F.count_if(F.col("seq") % 70 == 0).alias("n_associations"))
+    s = n.join(view(spark, sf, "sheets"), "sheet_id").withColumn("scale_source", F.when(F.col("n_property") > 0, "pdf_span").otherwise("default"))
+    s = s.withColumns({"n_legend": F.lit(0), "n_building": F.col("n_property"), "n_polylines": F.col("n_elevations"), "n_existing_samples": F.col("n_associations"), "computed": F.lit(True), "ok": F.col("n_property") > 0})
+    return layers.stage_status(s).select("sheet_id", *[F.col("status")[k].alias(k) for k in ("scale", "legend", "elevations", "association", "cut_fill")], F.size("warnings").alias("warnings"))
+
+
+RING = [(100.0, 100.0), (800.0, 150.0), (700.0, 900.0), (150.0, 700.0)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         site_volumes, nearest_volumes, volume_scores, score_texts, grid_extents, fused_samples, fused_volumes, elevation_context, elevation_readings, ocr_readings, elevations_clean, pad_levels,
         elevation_outliers, sheet_scales, scale_notes, symbol_hints, associations, association_rates, polyline_metrics, coarse_styles, stride_samples, redundant_polylines, merged_levels, ranked_polylines,
         ink_signatures, dashed_kinds, stroke_styles, segment_filters, property_lines, building_lines, chain_score, sheet_hulls, ring_distances, contour_layers, anchors,
+        clamped_boxes, rotated_boxes, densified_lines, header_spans, rail_splits, legend_rows, room_windows, interior_shares, view_windows, stage_statuses,
     )
 }
 
@@ -287,7 +347,6 @@ itp AS (SELECT nst.site_id, nst.surface, nst.i, nst.j, coalesce(lin.z, nst.z) AS
 WIDE = "z AS (SELECT site_id, i, j, max(z) FILTER (WHERE surface = 'existing') AS existing, max(z) FILTER (WHERE surface = 'proposed') AS proposed FROM {} GROUP BY ALL)"
 DONE = "CASE WHEN cell_count > 0 THEN 'Deterministic grid cut/fill (proposed - existing).' ELSE 'No surface grid available for cut/fill.' END AS message"
 HINTS = "\n".join("  WHEN " + " AND ".join(f"contains(name, '{w}')" for w in words) + f" THEN '{hint}'" for words, hint in T.SYMBOL_HINTS)
-RING = [(100.0, 100.0), (800.0, 150.0), (700.0, 900.0), (150.0, 700.0)]
 EDGES = ", ".join(f"({x}, {y}, {u}, {v})" for (x, y), (u, v) in zip(RING, RING[1:] + RING[:1], strict=True))
 FUSED = """
 f AS (SELECT *, greatest(pw * 0.55, 40.0) AS half_w, greatest(ph * 0.55, 40.0) AS half_h,
@@ -366,4 +425,23 @@ SELECT sheet_id, seq, round(CASE WHEN inside THEN d ELSE -d END, 6) AS distance,
     "contour_layers": f"""{with_views('points', 'kinds')}, p AS (SELECT CASE WHEN kind = 'existing' THEN 'existing' ELSE 'proposed' END AS layer, sheet_id, poly_seq, x, count(*) OVER (PARTITION BY sheet_id, poly_seq) AS n FROM fx_points JOIN fx_kinds USING (sheet_id, poly_seq) WHERE kind NOT IN ('structure', 'property', 'building'))
 SELECT layer, sheet_id, count(*) + count(DISTINCT poly_seq) AS vertices, count(*) AS drawn, sum(x) AS sum_x FROM p WHERE n > 1 GROUP BY ALL""",
     "anchors": rf"{with_views('spans')}, t AS (SELECT sheet_id, seq, CASE WHEN regexp_full_match(text, '\d{{3}}') THEN 'room' WHEN contains(upper(text), 'BUILDING LINE') THEN 'bl' WHEN regexp_matches(upper(text), 'SIDEWALK|CURB|LANDSCAPE BUFFER') THEN 'edge' WHEN regexp_matches(text, '\d\+\d{{2}}') THEN 'sta' WHEN regexp_matches(upper(text), '{'|'.join(T.ROOM_WORDS)}') THEN 'room_label' END AS tag FROM fx_spans) SELECT * FROM t WHERE tag IS NOT NULL",
+    "clamped_boxes": f"""{with_views('segments')}, c AS (SELECT sheet_id, seq, CAST(greatest(0, least(900, trunc(x1 - 20))) AS INT) AS a, CAST(greatest(0, least(900, trunc(x2))) AS INT) AS b, CAST(greatest(0, least(900, trunc(y1))) AS INT) AS c, CAST(greatest(0, least(900, trunc(y2))) AS INT) AS d FROM fx_segments)
+SELECT sheet_id, seq, least(a, b) AS x0, least(c, d) AS y0, CASE WHEN a = b THEN least(a + 1, 900) ELSE greatest(a, b) END AS x1, CASE WHEN c = d THEN least(c + 1, 900) ELSE greatest(c, d) END AS y1 FROM c""",
+    "rotated_boxes": f"{with_views('segments')} SELECT sheet_id, seq, (792 - greatest(y1, y2)) * 2 AS x0, least(x1, x2) * 2 AS y0, (792 - least(y1, y2)) * 2 AS x1, greatest(x1, x2) * 2 AS y1 FROM fx_segments",
+    "densified_lines": f"{with_views('segments')}, s AS (SELECT *, CAST(greatest(8, floor(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 10)) AS INT) AS n FROM fx_segments) SELECT sheet_id, seq, n, round(n * (x1 + x2) / 2, 6) AS sum_x, round(y2, 6) AS last_y FROM s",
+    "header_spans": f"{with_views('spans', 'sheets')}, h AS (SELECT * FROM fx_spans WHERE contains(upper(text), 'SCALE') OR contains(text, '1\"') QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY x <= 500, y, seq) = 1) SELECT sheet_id, x AS x0, y AS y0 FROM fx_sheets LEFT JOIN h USING (sheet_id) WHERE sheet_id IN (SELECT sheet_id FROM fx_spans)",
+    "rail_splits": f"{with_views('spans', 'sheets')}, r AS (SELECT sheet_id, list_sort(list(x)) AS xs FROM fx_spans WHERE x + 20 > 550 GROUP BY ALL) SELECT sheet_id, CAST(CASE WHEN xs IS NULL THEN 700 ELSE greatest(550, least(800, floor(xs[len(xs) // 10 + 1] - 12))) END AS BIGINT) AS fallback FROM fx_sheets LEFT JOIN r USING (sheet_id)",
+    "legend_rows": rf"""{with_views('spans')}, n AS (SELECT sheet_id, seq, regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[ :\-]+', ''), '[ :\-]+$', '') AS name FROM fx_spans)
+SELECT * FROM n WHERE length(name) BETWEEN 3 AND 80 AND NOT regexp_matches(name, 'map\s*legend|^legend$|general notes|keynotes', 'i') AND NOT regexp_full_match(name, '[\d.\-]+') AND NOT regexp_matches(upper(name), '^({'|'.join(T.TITLE_BLOCK_WORDS)})( |$)')
+  AND NOT regexp_full_match(name, '\d{{1,2}}/\d{{1,2}}/\d{{2,4}}') AND (regexp_matches(name, '^[A-Z0-9][A-Z0-9\s\-/&().%]{{2,60}}$') OR regexp_matches(upper(name), '{'|'.join(T.KNOWN_LABELS)}'))""",
+    "room_windows": rf"""{with_views('spans')}, r AS (SELECT sheet_id, x, y FROM fx_spans WHERE regexp_full_match(text, '\d{{3}}')), c AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY sheet_id)),
+d AS (SELECT *, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM c WHERE n >= 3), k AS (SELECT *, d <= greatest(180, 2.6 * median(d) OVER (PARTITION BY sheet_id)) AS near FROM d), e AS (SELECT *, count(*) FILTER (WHERE near) OVER (PARTITION BY sheet_id) AS m FROM k)
+SELECT sheet_id, count(*) AS rooms, CAST(greatest(0, min(x) - 100) AS BIGINT) AS x0, CAST(greatest(0, min(y) - 100) AS BIGINT) AS y0, CAST(least(999, max(x) + 100) AS BIGINT) AS x1, CAST(least(999, max(y) + 100) AS BIGINT) AS y1 FROM e WHERE near OR m < 3 GROUP BY ALL""",
+    "interior_shares": f"""{with_views('points')}, e(x1, y1, x2, y2) AS (VALUES {EDGES}), p AS (SELECT sheet_id, poly_seq, pos, x, y, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM fx_points, e GROUP BY ALL)
+SELECT sheet_id, poly_seq, round(avg((inside AND NOT (x >= 300 AND x < 500 AND y >= 300 AND y < 450))::INT), 6) AS share FROM p GROUP BY ALL""",
+    "view_windows": f"""{with_views('spans')}, d AS (SELECT sheet_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fx_spans GROUP BY ALL), q AS (SELECT sheet_id, min(x) AS px0, max(x) AS px1, min(y) AS py0, max(y) AS py1 FROM fx_spans WHERE text = 'TC' AND sheet_id LIKE '%2' GROUP BY ALL)
+SELECT sheet_id, greatest(0, coalesce(px0, x0) - 20) AS x0, least(1000, coalesce(px1, x1) + 20) AS x1, greatest(0, coalesce(py0, y0) - 20) AS y0, least(900, coalesce(py1, y1) + 20) AS y1 FROM d LEFT JOIN q USING (sheet_id)""",
+    "stage_statuses": f"""{with_views('spans', 'sheets')}, n AS (SELECT sheet_id, role, count(*) FILTER (WHERE text = 'TC') AS e, count(*) FILTER (WHERE seq % 50 = 0) AS p, count(*) FILTER (WHERE seq % 70 = 0) AS a FROM fx_spans JOIN fx_sheets USING (sheet_id) GROUP BY ALL)
+SELECT sheet_id, CASE WHEN p > 0 THEN 'done' ELSE 'default' END AS scale, 'empty' AS legend, CASE WHEN e > 0 THEN 'done' ELSE 'empty' END AS elevations, CASE WHEN a > 0 THEN 'done' ELSE 'empty' END AS association,
+  CASE WHEN role = 'existing' THEN 'deferred' WHEN p > 0 THEN 'done' ELSE 'failed' END AS cut_fill, CAST((p = 0)::INT + (e = 0)::INT + (p = 0)::INT + (p = 0 AND role = 'proposed')::INT + (e > 0 AND a > 0 AND a / e < 0.35)::INT + (role <> 'existing' AND a < 3)::INT AS INT) AS warnings FROM n""",
 }
