@@ -113,18 +113,29 @@ def features(texts: pa.Array, bits: int = BITS) -> Features:
     return Features(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate(words) if words else np.zeros(0, np.int32), shape_statistics(texts))
 
 
+def neighbours(x: Features, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """The vocabulary's words in order of documents (word, documents that have any, where each begins) and, sorted once, of words
+    (document, where each word begins): sums by either are sums of neighbours."""
+    column = np.full(1 << bits, -1, np.int32)
+    column[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
+    cols = column[x.words]
+    used = cols >= 0
+    owner = np.repeat(np.arange(len(x.offsets) - 1, dtype=np.int32), np.diff(x.offsets))[used]
+    cols = cols[used]
+    length = np.bincount(owner, minlength=len(x.offsets) - 1)
+    full = np.flatnonzero(length)
+    by_word = np.argsort(cols, kind="stable")
+    return cols, full, (np.cumsum(length) - length)[full], owner[by_word], np.searchsorted(cols[by_word], np.arange(len(vocabulary)))
+
+
 def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 250, rate: float = 0.05, sparse: float = 5e-5, least_docs: int = 10) -> Model:
     """Maximum likelihood with an L1 penalty on words, by proximal Adam steps over the whole sample. Deterministic."""
     n = len(grades)
     centre, spread = x.shapes.mean(axis=0) if n else np.zeros(SHAPES), x.shapes.std(axis=0) + 1e-3 if n else np.ones(SHAPES)
     # Words of few documents say little: only others get a weight.
-    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(x.offsets))
-    seen = np.bincount(x.words, minlength=1 << bits)
-    used = seen[x.words] >= least_docs
-    vocabulary = np.flatnonzero(seen >= least_docs)
-    column = np.zeros(1 << bits, np.int32)
-    column[vocabulary] = np.arange(len(vocabulary))
-    cols, owner, m = column[x.words[used]], owner[used], len(vocabulary)
+    vocabulary = np.flatnonzero(np.bincount(x.words, minlength=1 << bits) >= least_docs)
+    m = len(vocabulary)
+    cols, full, begin, word_owner, word_begin = neighbours(x, vocabulary, bits)
     shapes = (x.shapes - centre) / spread
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (n + n_grades)
     # theta_0, then the logs of the gaps, keep thresholds in order.
@@ -135,7 +146,9 @@ def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps:
     for step in range(1, steps + 1 if n else 1):
         gaps = np.exp(p[m + SHAPES + 1 :])
         theta = np.concatenate([p[m + SHAPES : m + SHAPES + 1], p[m + SHAPES] + np.cumsum(gaps)])
-        z = np.bincount(owner, weights=p[cols], minlength=n) + shapes @ p[m : m + SHAPES]
+        z = shapes @ p[m : m + SHAPES]
+        if m:
+            z[full] += np.add.reduceat(p[cols], begin)
         cdf = 1 / (1 + np.exp(np.clip(z[:, None] - theta[None, :], -30, 30)))
         padded = np.concatenate([np.zeros((n, 1)), cdf, np.ones((n, 1))], axis=1)
         slope = padded * (1 - padded)
@@ -143,7 +156,7 @@ def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps:
         up, down = slope[at, grades + 1] / like, slope[at, grades] / like
         dz = (up - down) / n
         dtheta = np.bincount(grades, weights=-up, minlength=n_grades)[:-1] / n + np.bincount(grades, weights=down, minlength=n_grades)[1:] / n
-        g = np.concatenate([np.bincount(cols, weights=dz[owner], minlength=m), shapes.T @ dz, [dtheta.sum()], [dtheta[k + 1 :].sum() * gaps[k] for k in range(len(gaps))]])
+        g = np.concatenate([np.add.reduceat(dz[word_owner], word_begin) if m else np.zeros(0), shapes.T @ dz, [dtheta.sum()], [dtheta[k + 1 :].sum() * gaps[k] for k in range(len(gaps))]])
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         pace = rate / (np.sqrt(second / (1 - 0.99**step)) + 1e-4)
