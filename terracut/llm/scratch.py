@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of applications without a shared one.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, local mode), a temporary folder of this session."""
+    """The session's spark.checkpoint.dir; where it is unset (tests, local mode), a temporary folder of this application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="terracut-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="terracut-scratch-")
+        folder = _own[app]
     return folder.rstrip("/")
 
 

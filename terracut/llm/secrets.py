@@ -42,7 +42,6 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     parts = F.arrays_zip(pieces.alias("gap"), found.alias("hit"), measured.alias("core"))
     parts = F.filter(parts, lambda p: p["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPANS).alias("spans"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(st: Column, p: Column) -> Column:
