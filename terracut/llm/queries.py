@@ -112,6 +112,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(safe) + frame) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op2_sharding": rf"""
+WITH RECURSIVE v AS (SELECT ('0x' || substr(md5('vnode:' || id), 1, 8))::BIGINT % {sharding.TICKS} AS arc, min(id // {sharding.VNODES}) AS owner FROM range(16 * {sharding.VNODES}) t(id) GROUP BY ALL),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, ('0x' || substr(h, 1, 8))::BIGINT % {sharding.TICKS} AS tick FROM documents),
+tab AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+crc AS (SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS text_crc32 FROM d, tab),
+e AS (SELECT d.*, text_crc32, substr(md5(concat_ws(':', size, text_crc32)), 1, 2) AS part FROM d JOIN crc USING (doc_id)),
+a AS (SELECT e.*, coalesce((SELECT min(arc) FROM v WHERE arc >= tick), (SELECT min(arc) FROM v)) AS arc FROM e),
+o AS (SELECT a.*, owner, row_number() OVER (PARTITION BY owner ORDER BY tick, part, h, doc_id, size) AS k, (SELECT count(*) FROM d) AS total FROM a JOIN v USING (arc)),
+s AS (SELECT *, total // 16 + CASE WHEN owner < total % 16 THEN 1 ELSE 0 END AS share FROM o),
+route AS (SELECT x.arc, list(y.owner ORDER BY y.arc <= x.arc, y.arc) AS route FROM v x, v y WHERE x.arc IN (SELECT arc FROM s WHERE k > share) GROUP BY ALL),
+rest AS (SELECT doc_id, route, row_number() OVER (ORDER BY arc, tick, part, h, doc_id, size) AS j FROM s JOIN route USING (arc) WHERE k > share),
+room AS (SELECT list(total // 16 + CASE WHEN i < total % 16 THEN 1 ELSE 0 END - least(total // 16 + CASE WHEN i < total % 16 THEN 1 ELSE 0 END, n) ORDER BY i) AS room
+  FROM (SELECT i, any_value((SELECT count(*) FROM d)) AS total, count(s.doc_id) AS n FROM range(16) t(i) LEFT JOIN s ON s.owner = i GROUP BY ALL)),
+walk AS (SELECT 0::BIGINT AS j, -1::BIGINT AS shard, room FROM room
+  UNION ALL SELECT rest.j, list_filter(route, lambda q: walk.room[q + 1] > 0)[1], list_transform(walk.room, lambda r, i: CASE WHEN i = list_filter(route, lambda q: walk.room[q + 1] > 0)[1] + 1 THEN r - 1 ELSE r END) FROM walk JOIN rest ON rest.j = walk.j + 1),
+p AS (SELECT s.*, CASE WHEN k <= share THEN owner ELSE walk.shard END AS placed FROM s LEFT JOIN rest USING (doc_id) LEFT JOIN walk USING (j))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(placed AS INT) AS shard, row_number() OVER (PARTITION BY placed ORDER BY tick, part, h, doc_id, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard, CAST(owner AS INT) AS home_shard FROM p""",
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256

@@ -19,11 +19,20 @@ TICKS = 1 << 15
 VNODES = 64
 
 
+def digest(value: Column) -> Column:
+    """MD5 of a value's text, null like the empty text: a hash that other systems compute alike."""
+    return F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
+
+
+def tick_of(hashed: Column, ticks: int) -> Column:
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % ticks
+
+
 def ring(spark: SparkSession, shards: int, vnodes: int, ticks: int) -> DataFrame:
     """tick, arc, owner: for every tick the next virtual node clockwise. Its size depends on the ring alone."""
     nodes = (
         spark.range(shards * vnodes, numPartitions=1)
-        .select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(ticks)).alias("tick"))
+        .select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), tick_of(digest(F.concat(F.lit("vnode:"), F.col("id"))), ticks).alias("tick"))
         .groupBy("tick")
         .agg(F.min("shard").alias("shard"))
     )
@@ -97,24 +106,28 @@ def placement(counts: DataFrame, nodes: DataFrame, shards: int) -> DataFrame:
 def assign_shards(rows: DataFrame, key: Column, tie: list[Column], shards: int, vnodes: int = VNODES, ticks: int = TICKS) -> DataFrame:
     """rows with shard (0-based int), slot (gapless from 0 in each shard) and home_shard (the owner before any overflow).
 
-    key decides the place on the ring; tie orders rows of one tick, and so which of them move on. Rows equal in key and
-    tie are interchangeable. Null keys have a place like any other. An empty table gives an empty table. Columns named
+    key decides the place on the ring; tie orders rows of one tick (by a hash of tie, then of key), and so which of them
+    move on. Rows equal in key and tie are interchangeable. Null keys have a place like any other. An empty table gives an empty table. Columns named
     shard, slot or home_shard are replaced; all others stay.
     """
     if shards < 1 or ticks < 4 * shards * vnodes:
         raise ValueError("shards must be positive, and ticks at least four for each virtual node")
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot", "home_shard")
-    tick = F.pmod(F.xxhash64(key), F.lit(ticks))
-    counts = rows.groupBy(tick.alias("tick")).agg(F.count(F.lit(1)).alias("n"))
-    ranges = placement(counts, ring(spark, shards, vnodes, ticks), shards)
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", *[t.cast("string") for t in tie]).cast("binary")), 1, 2), 16, 10).cast("int") if tie else F.lit(0)
+    rows = rows.drop("shard", "slot", "home_shard").withColumn("__tick", tick_of(digest(key), ticks)).withColumn("__part", part)
+    # Ranks in a tick: those of the parts before, and the row's own in its part. So a hot key meets in 256 tasks, not in one.
+    counts = rows.groupBy("__tick", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__tick").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("__tick", "__part", before.alias("__first"))
+    ranges = placement(counts.groupBy(F.col("__tick").alias("tick")).agg(F.sum("__n").alias("n")), ring(spark, shards, vnodes, ticks), shards)
     per_tick = ranges.groupBy("tick").agg(F.first("owner").alias("__home"), F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("__ranges"))
-    ranked = rows.withColumn("__tick", tick).withColumn("__rank", (F.row_number().over(W.partitionBy("__tick").orderBy(F.xxhash64(F.lit("order"), key), key, *tie)) - 1).cast("long"))
+    own = F.row_number().over(W.partitionBy("__tick", "__part").orderBy(digest(key), key, *tie)) - 1
+    ranked = rows.withColumn("__own", own).join(first, ["__tick", "__part"]).withColumn("__rank", (F.col("__own") + F.col("__first")).cast("long"))
     # per_tick has at most `ticks` rows and, in all, ticks + vnodes * shards**2 ranges: fixed by the ring, about 3 MB.
     hit = F.element_at(F.filter("__ranges", lambda r: (F.col("__rank") >= r["lo"]) & (F.col("__rank") < r["hi"])), 1)
     return (
         ranked.join(F.broadcast(per_tick), ranked["__tick"] == per_tick["tick"])
         .withColumn("__hit", hit)
         .withColumns({"shard": F.col("__hit.shard"), "slot": F.col("__hit.slot") + F.col("__rank") - F.col("__hit.lo"), "home_shard": F.col("__home")})
-        .drop("tick", "__tick", "__rank", "__ranges", "__home", "__hit")
+        .drop("tick", "__tick", "__part", "__own", "__first", "__rank", "__ranges", "__home", "__hit")
     )

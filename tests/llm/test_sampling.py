@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -20,22 +21,24 @@ def test_ring_walk(spark, docs, shards):
     ticks, vnodes = 2048, 8
     rows = keyed(docs)
     got = sharding.assign_shards(rows, F.col("doc_id"), [F.col("size")], shards, vnodes, ticks).collect()
-    placed = rows.select("doc_id", "size", F.pmod(F.xxhash64("doc_id"), F.lit(ticks)).alias("tick"), F.xxhash64(F.lit("order"), "doc_id").alias("h")).collect()
-    placed.sort(key=lambda r: (r.tick, r.h, r.doc_id is not None, r.doc_id or 0, r.size))
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    tick = lambda text: int(md5(text)[:8], 16) % ticks
+    name = lambda i: "" if i is None else str(i)
+    placed = sorted(rows.collect(), key=lambda r: (tick(name(r.doc_id)), md5(str(r.size))[:2], md5(name(r.doc_id)), r.doc_id is not None, r.doc_id or 0, r.size))
     nodes = {}
-    for i, r in enumerate(spark.range(shards * vnodes).select("id", F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(ticks)).alias("tick")).orderBy("id").collect()):
-        nodes[r.tick] = min(nodes.get(r.tick, shards), i // vnodes)
+    for i in range(shards * vnodes):
+        nodes[tick(f"vnode:{i}")] = min(nodes.get(tick(f"vnode:{i}"), shards), i // vnodes)
     arcs = sorted(nodes)
     arc_of = lambda tick: next((a for a in arcs if a >= tick), arcs[0])
     share = [len(placed) // shards + (s < len(placed) % shards) for s in range(shards)]
     load, over, want = [0] * shards, defaultdict(list), []
     for r in placed:
-        home = nodes[arc_of(r.tick)]
+        home = nodes[arc_of(tick(name(r.doc_id)))]
         if load[home] < share[home]:
             load[home] += 1
             want.append((r.doc_id, r.size, home, home))
         else:
-            over[arc_of(r.tick)].append(r)
+            over[arc_of(tick(name(r.doc_id)))].append(r)
     for at, arc in enumerate(arcs):
         for r in over[arc]:
             to = next(nodes[a] for a in arcs[at + 1 :] + arcs[: at + 1] if load[nodes[a]] < share[nodes[a]])
