@@ -55,7 +55,7 @@ def order_hash(id_: Column) -> Column:
     return F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
 
 
-def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 7, spread: int = 16) -> DataFrame:
+def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 7, spread: int = 64) -> DataFrame:
     """rows with source_size, target and copies (how often the mix takes the row).
 
     Null sources are a source of their own; null ids stand together. Rows of one size class stand in order of a hash of
