@@ -35,7 +35,7 @@ def nearest(cells: DataFrame, points: DataFrame, keys: list[str], first: float)
     """cells (keys, x, y and others) with the z of the nearest point (keys, px, py, seq, z); ties go to the smallest seq.
 
     Rounds over growing buckets: with cells and points in buckets of one size, all points within that size of a cell
-    stand in the 3 x 3 buckets around it, so a match no farther than that is final. What is left tries buckets twice as
+    stand in the 3 x 3 buckets around it, so a match no farther than that is final. What is left tries buckets 16 times as
     large; only cells far from every point go on. Keys without points get null.
     """
     box = points.groupBy(*keys).agg(F.min("px").alias("__x0"), F.max("px").alias("__x1"), F.min("py").alias("__y0"), F.max("py").alias("__y1"))
@@ -56,4 +56,4 @@ def nearest(cells: DataFrame, points: DataFrame, keys: list[str], first: float)
         done = found if done is None else done.unionAll(found)
         if last:
             return done
-        left, cell = best.where(~final).select(*names, "__reach"), cell * 4
+        left, cell = best.where(~final).select(*names, "__reach"), cell * 16
