@@ -83,7 +83,8 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     """id, proof, links: the weak spans that have their complements within reach."""
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("s.kind") + 1)
     spans = parts.where("size(weak) > 0").select("id", "proof", F.explode(F.concat("base", "weak")).alias("s")).distinct().select("id", "proof", "s", role.alias("role"), (F.col("s.kind") >= len(STRONG)).alias("is_weak"))
-    left = spans.where("is_weak").select("id", "proof", "s", "role", F.floor(F.col("s.start") / reach).alias("bucket"))
+    # A span lies in all buckets that it touches, or one far longer than reach would miss what follows it.
+    left = spans.where("is_weak").select("id", "proof", "s", "role", F.explode(F.sequence(F.floor(F.col("s.start") / reach), F.floor(F.col("s.end") / reach))).alias("bucket"))
     right = spans.where("role != 'where'").select(
         F.col("id").alias("id2"), F.col("proof").alias("proof2"), F.col("s").alias("s2"), F.col("role").alias("role2"),
         F.explode(F.sequence(F.floor(F.col("s.start") / reach) - 1, F.floor(F.col("s.end") / reach) + 1)).alias("bucket2"),

@@ -114,6 +114,31 @@ def test_weak_parts_need_complements(spark):
     assert by_text["user=alice token=short https://e.org"] == 3 and by_text[f"user=alice {'filler ' * 40}token=short"] == 0
 
 
+def test_weak_parts_long_and_far(spark):
+    """Parts of 300 to 1,000 characters and gaps around the reach, the complement behind or before, at all offsets in a bucket."""
+    blob = lambda n: ("aB3" * n)[:n]
+    pairs = []
+    for n in (20, 300, 401, 700, 1000):
+        for at in (0, 7, 190, 399):
+            for gap in (1, 180, 190, 199, 200, 201):
+                one, other = f"'{blob(n)}'", "user=alice"
+                for first, second in ((one, other), (other, one), (f"https://e.org/{blob(n)}", "user=alice token=short"), ("user=alice token=short", f"https://e.org/{blob(n)}")):
+                    pairs.append("." * (at % 2) + " " * at + first + " " * gap + second)
+    rows = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    parts = {r.id: (r.base, r.weak) for r in secrets.find_parts(rows, "doc_id", "text").collect()}
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(rows, reach=200).collect()}
+    role = lambda s: secrets.ROLE[secrets.KINDS[s.kind]]
+    for i, (base, weak) in parts.items():
+        want = {f"{secrets.KINDS[s.kind]}:{s.start}:{s.end}" for s in base}
+        for s in weak:
+            near = {role(o) for o in [*base, *weak] if role(o) != role(s) and role(o) != "where" and o.start - s.end <= 200 and s.start - o.end <= 200}
+            if near >= {"who", "what"} or near and role(s) != "where":
+                want.add(f"{secrets.KINDS[s.kind]}:{s.start}:{s.end}")
+        assert set(filter(None, got[i].split(","))) == want, pairs[i]
+    text = " " * 190 + "user=" + "a" * 25 + " " * 190 + "token=short"
+    assert secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_linked == 2
+
+
 def test_secrets_empty(no_docs):
     assert secrets.scan_secrets(no_docs).count() == 0
 
