@@ -231,8 +231,9 @@ def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[D
             if not row.cost:
                 break
             rest = here.join(stars, "bucket")
-            if row.cost <= 4 * n_members or turn == STAR_ROUNDS:
-                # Exact end: all that stand outside their bucket's main component against all of other components.
+            if row.cost <= 4 * n_members or turn == STAR_ROUNDS or unlinked:
+                # Exact end: all that stand outside their bucket's main component against all of other components. Without
+                # links, further stars would have the same leads.
                 outer = rest.where((F.col("c") != F.col("main")) & (F.col("all") <= DIRECT)).select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
                 pairs = outer.join(here, "bucket").where(F.col("cx") != F.col("c")).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
                 last = True
@@ -256,10 +257,11 @@ def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[D
             found = found.unionAll(block_links(rest.where(F.col("all") > DIRECT).select(F.col("main").alias("g"), "id", "c").distinct(), sets, percent))
         found = stored(found, "links")
         links = found if links is None else links.unionAll(found)
-        labels = stored(smallest_reachable(links), "labels") if not links.isEmpty() else None
-        if last or labels is None and turn:
+        unlinked = links.isEmpty()
+        labels = stored(smallest_reachable(links), "labels") if not unlinked else None
+        if last:
             break
-        if labels is None:
+        if unlinked:
             labels = members.sparkSession.createDataFrame([], "node long, component long")
     return labels
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -74,6 +75,20 @@ def test_near_dedup_in_blocks(spark, docs, texts, monkeypatch):
     assert got == Counter((i, c) for i, _, c in near_groups(texts, 4))
 
 
+@pytest.mark.parametrize("n", [12, 40])
+def test_near_dedup_when_the_stars_link_nothing(spark, n):
+    """A template's documents stand just below the threshold; the one true pair never has a bucket's smallest id."""
+    rng = random.Random(11)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    template = words(200)
+    rows = [(i, f"{template} {words(40)}") for i in range(n)]
+    rows[n - 1] = (n - 1, rows[n - 2][1] + " ran tel")
+    want = near_groups(rows, 5)
+    assert [c for _, _, c in want] == [*range(n - 1), n - 2]
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bands=6, rows=1)
+    assert Counter((r.doc_id, r.component_id) for r in got.collect()) == Counter((i, c) for i, _, c in want)
+
+
 def test_block_intersections():
     rng = np.random.default_rng(1)
     a, b = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(7)], [np.unique(rng.integers(0, 60, rng.integers(1, 30))) for _ in range(5)]
