@@ -11,8 +11,10 @@ from terracut.functions import geometry as G
 from terracut.functions import text as T
 from terracut.operators import associate, elevations, layers, layout, polylines, scales, site, strokes, styles, surfaces, volumes
 from terracut.operators.elevations import with_context
+from terracut.params import DEFAULTS
 from terracut.plans.fixtures import view, with_views
 
+#: Nodes a side in the queries that SQL checks by brute force; the same queries named _full have the operators' own grids.
 GRID = 24
 
 
@@ -25,15 +27,15 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     return elevations.read_elevations(spans, F.col("role"))
 
 
-def site_volumes(spark: SparkSession, sf: str) -> DataFrame:
+def site_volumes(spark: SparkSession, sf: str, grid_n: int = GRID) -> DataFrame:
     """Flagship: cut and fill of every site, from surfaces triangulated on one grid each."""
-    grid = surfaces.build_surfaces(view(spark, sf, "samples"), GRID)
+    grid = surfaces.build_surfaces(view(spark, sf, "samples"), grid_n)
     v = volumes.cut_fill(grid, ["site_id"])
     return v.select("site_id", r6("cut_cy"), r6("fill_cy"), r6("net_cy"), "ok", "message", "cell_count")
 
 
-def nearest_volumes(spark: SparkSession, sf: str) -> DataFrame:
-    grid = surfaces.build_surfaces(view(spark, sf, "samples"), GRID, method="nearest")
+def nearest_volumes(spark: SparkSession, sf: str, grid_n: int = GRID) -> DataFrame:
+    grid = surfaces.build_surfaces(view(spark, sf, "samples"), grid_n, method="nearest")
     v = volumes.cut_fill(grid, ["site_id"])
     return v.select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
 
@@ -50,8 +52,8 @@ def score_texts(spark: SparkSession, sf: str) -> DataFrame:
     return volumes.score_table(volumes.evaluate(v, truth, ["site_id"]))
 
 
-def grid_extents(spark: SparkSession, sf: str) -> DataFrame:
-    e = surfaces.extents(view(spark, sf, "samples"), GRID, 0.05)
+def grid_extents(spark: SparkSession, sf: str, grid_n: int = GRID) -> DataFrame:
+    e = surfaces.extents(view(spark, sf, "samples"), grid_n, 0.05)
     return e.select("site_id", *[r6(c) for c in ("x0", "y0", "dx", "dy", "cell_ft")])
 
 
@@ -63,10 +65,22 @@ def fused_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def fused_volumes(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "samples").withColumn("x_ft", F.col("x_ft") - 500).withColumn("y_ft", F.col("y_ft") - 500)
-    grid = surfaces.fuse_surfaces(s, s, view(spark, sf, "frames"), GRID)
+    grid = surfaces.fuse_surfaces(s, s, view(spark, sf, "frames"), DEFAULTS.fused_grid_n)
     return volumes.cut_fill(grid, ["site_id"]).select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
 
 
+def site_volumes_full(spark: SparkSession, sf: str) -> DataFrame:
+    return site_volumes(spark, sf, DEFAULTS.grid_n)
+
+
+def nearest_volumes_full(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_volumes(spark, sf, DEFAULTS.grid_n)
+
+
+def grid_extents_full(spark: SparkSession, sf: str) -> DataFrame:
+    return grid_extents(spark, sf, DEFAULTS.grid_n)
+
+
 def elevation_context(spark: SparkSession, sf: str) -> DataFrame:
     return with_context(view(spark, sf, "spans"), F.col("text").startswith("EL"), 70.0).select("sheet_id", "seq", "context")
 
@@ -272,7 +286,7 @@ RING = [(100.0, 100.0), (800.0, 150.0), (700.0, 900.0), (150.0, 700.0)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        site_volumes, nearest_volumes, volume_scores, score_texts, grid_extents, fused_samples, fused_volumes, elevation_context, elevation_readings, ocr_readings, elevations_clean, pad_levels,
+        site_volumes_full, nearest_volumes_full, grid_extents_full, site_volumes, nearest_volumes, volume_scores, score_texts, grid_extents, fused_samples, fused_volumes, elevation_context, elevation_readings, ocr_readings, elevations_clean, pad_levels,
         elevation_outliers, sheet_scales, scale_notes, symbol_hints, associations, association_rates, polyline_metrics, coarse_styles, stride_samples, redundant_polylines, merged_levels, ranked_polylines,
         ink_signatures, dashed_kinds, stroke_styles, segment_filters, property_lines, building_lines, chain_score, sheet_hulls, ring_distances, contour_layers, anchors,
         clamped_boxes, rotated_boxes, densified_lines, header_spans, rail_splits, legend_rows, room_windows, interior_shares, view_windows, stage_statuses,

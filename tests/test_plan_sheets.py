@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import os
 
 import numpy as np
 import pytest
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 from terracut.functions import geometry as G
 from terracut.functions import text as T
 from terracut.operators import associate, elevations, layers, layout, legend, polylines, scales, site, strokes, styles, surfaces, volumes
+from terracut.params import DEFAULTS
 from terracut.plans import cutfill
+from terracut.plans.queries import GRID, QUERIES
 from terracut.sources import tables
 from terracut.streaming import arrivals
 
@@ -324,3 +328,16 @@ def test_merging_levels(spark):
     levels = polylines.metrics(points).select("sheet_id", "poly_seq", "length_px").withColumn("z", F.when(F.col("poly_seq") != 3, 900.0))
     assert {r.poly_seq for r in polylines.merge_same_level(points, levels).collect()} == {1, 3, 4}
     assert {r.poly_seq for r in polylines.redundant(points).collect()} == {1, 2, 3} or {r.poly_seq for r in polylines.redundant(points).collect()} == {2, 3}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_registered_volumes_on_the_operators_own_grids(spark):
+    sf = "/root/testdata/sf0.001"
+    full = DEFAULTS.grid_n**2
+    for name in ("site_volumes_full", "nearest_volumes_full"):
+        rows = QUERIES[name](spark, sf).collect()
+        assert {r.cell_count for r in rows if r.ok} == {full}, name
+    small, large = ({r.site_id: r for r in QUERIES[n](spark, sf).collect()} for n in ("grid_extents", "grid_extents_full"))
+    assert small.keys() == large.keys() and all(math.isclose(small[k].dx * (GRID - 1), large[k].dx * (full**0.5 - 1), abs_tol=1e-3) for k in small)
+    # An ellipse of the 140 x 140 nodes; all of the former grid had 576.
+    assert max(r.cell_count for r in QUERIES["fused_volumes"](spark, sf).collect()) > 576
