@@ -24,33 +24,47 @@ STRONG = {
 # The weak patterns. user and blob are parts only; short assigned values come from the first strong pattern.
 WEAK = {
     "user": r"""(?i:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+""",
-    "blob": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[0-9+/_=-]{0,60}[A-Za-z])[A-Za-z0-9+/_=-]{20,}+",
+    "blob": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+",
     "endpoint": r"""(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}+""",
 }
 KINDS = [*STRONG, "user", "short", "blob", "endpoint"]
 ROLE = {"assign": "what", "access": "who", "hex": "what", "user": "who", "short": "what", "blob": "what", "endpoint": "where"}
+#: Hits whose positions are summed up at once.
+CHUNK = 128
 SPANS = "array<struct<start: int, kind: int, end: int, long: boolean>>"
 
 
 def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """All leftmost non-overlapping matches, as code point spans; long tells whether the group has the least length.
 
-    The texts between matches and the matches themselves, laid end to end, give every position.
+    The texts between matches and the matches themselves, laid end to end, give every position. Running sums go by chunks
+    of hits, then by chunks' totals, so that a text of very many hits does not copy all of them at each.
     """
     number = F.lit(KINDS.index(kind))
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(pieces.alias("gap"), found.alias("hit"), measured.alias("core"))
-    parts = F.filter(parts, lambda p: p["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    parts = F.filter(F.arrays_zip(pieces.alias("gap"), found.alias("hit"), measured.alias("core")), lambda p: p["hit"].isNotNull())
+    sized = F.transform(parts, lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.char_length(p["hit"]).alias("hit"), (F.char_length(p["core"]) >= least).alias("long")))
+    none = F.array().cast(SPANS)
 
     def step(st: Column, p: Column) -> Column:
-        begin = st["at"] + F.char_length(p["gap"])
-        end = begin + F.char_length(p["hit"])
-        span = F.struct(begin.alias("start"), number.alias("kind"), end.alias("end"), (F.char_length(p["core"]) >= least).alias("long"))
-        return F.struct(end.alias("at"), F.concat(st["spans"], F.array(span)).alias("spans"))
+        begin = st["at"] + p["gap"]
+        end = begin + p["hit"]
+        return F.struct(end.alias("at"), F.concat(st["spans"], F.array(F.struct(begin.alias("start"), number.alias("kind"), end.alias("end"), p["long"].alias("long")))).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda st: st["spans"])).otherwise(F.array().cast(SPANS))
+    def chunk(hits: Column, first: Column) -> Column:
+        return F.aggregate(F.slice(hits, first, CHUNK), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def moved(st: Column, c: Column) -> Column:
+        spans = F.transform(c["spans"], lambda s: F.struct((s["start"] + st["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + st["at"]).alias("end"), s["long"].alias("long")))
+        return F.struct((st["at"] + c["at"]).alias("at"), F.concat(st["all"], F.array(spans)).alias("all"))
+
+    def positions(hits: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.size(hits), F.lit(CHUNK)), lambda first: chunk(hits, first))
+        return F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("all")), moved, lambda st: st["all"]))
+
+    # One entry, so that the matches are found once however often they are named.
+    return F.when(text.rlike(pattern), F.transform(F.array(sized), positions)[0]).otherwise(none)
 
 
 def as_text(spans: Column) -> Column:
@@ -72,10 +86,7 @@ def find_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = d.withColumn("blob", F.when(who, spans_of(F.col("t"), WEAK["blob"], "blob")).otherwise(F.array().cast(SPANS)))
     what = (F.size("blob") > 0) | (F.size("short") > 0) | F.exists("base", lambda s: s["kind"] != KINDS.index("access"))
     d = d.withColumn("endpoint", F.when(who & what, spans_of(F.col("t"), WEAK["endpoint"], "endpoint")).otherwise(F.array().cast(SPANS)))
-    # A blob that overlaps a base span or a short value is that span, seen again.
-    solid = F.concat("base", "short")
-    blobs = F.filter("blob", lambda b: ~F.exists(F.col("solid"), lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    d = d.withColumn("solid", solid).withColumn("weak", F.when(who & what, F.concat("user", "short", blobs, "endpoint")).otherwise(F.array().cast(SPANS)))
+    d = d.withColumn("weak", F.when(who & what, F.concat("user", "short", "blob", "endpoint")).otherwise(F.array().cast(SPANS)))
     return d.select("id", "proof", "base", "weak")
 
 
@@ -83,14 +94,23 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     """id, proof, links: the weak spans that have their complements within reach."""
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("s.kind") + 1)
     spans = parts.where("size(weak) > 0").select("id", "proof", F.explode(F.concat("base", "weak")).alias("s")).distinct().select("id", "proof", "s", role.alias("role"), (F.col("s.kind") >= len(STRONG)).alias("is_weak"))
+    touched = F.sequence(F.floor(F.col("s.start") / reach), F.floor(F.col("s.end") / reach))
+    # A blob that overlaps a base span or a short value is that span, seen again.
+    is_blob = F.col("s.kind") == KINDS.index("blob")
+    solid = spans.where(F.col("s.kind").isin(*range(len(STRONG)), KINDS.index("short"))).select(
+        F.col("id").alias("id2"), F.col("proof").alias("proof2"), F.col("s").alias("s2"), F.explode(touched).alias("bucket2"))
+    same_place = F.col("id").eqNullSafe(F.col("id2")) & (F.col("proof") == F.col("proof2")) & (F.col("bucket") == F.col("bucket2"))
+    over = (F.col("s2.start") < F.col("s.end")) & (F.col("s.start") < F.col("s2.end"))
+    again = spans.where(is_blob).withColumn("bucket", F.explode(touched)).join(solid, same_place & over, "left_semi").select(F.col("id").alias("id2"), F.col("proof").alias("proof2"), F.col("s").alias("s2"))
+    spans = spans.join(again, F.col("id").eqNullSafe(F.col("id2")) & (F.col("proof") == F.col("proof2")) & (F.col("s") == F.col("s2")), "left_anti")
     # A span lies in all buckets that it touches, or one far longer than reach would miss what follows it.
-    left = spans.where("is_weak").select("id", "proof", "s", "role", F.explode(F.sequence(F.floor(F.col("s.start") / reach), F.floor(F.col("s.end") / reach))).alias("bucket"))
+    left = spans.where("is_weak").select("id", "proof", "s", "role", F.explode(touched).alias("bucket"))
     right = spans.where("role != 'where'").select(
         F.col("id").alias("id2"), F.col("proof").alias("proof2"), F.col("s").alias("s2"), F.col("role").alias("role2"),
         F.explode(F.sequence(F.floor(F.col("s.start") / reach) - 1, F.floor(F.col("s.end") / reach) + 1)).alias("bucket2"),
     )
     near = (F.col("s2.start") - F.col("s.end") <= reach) & (F.col("s.start") - F.col("s2.end") <= reach)
-    met = left.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("proof") == F.col("proof2")) & (F.col("bucket") == F.col("bucket2")) & (F.col("role") != F.col("role2")) & near)
+    met = left.join(right, same_place & (F.col("role") != F.col("role2")) & near)
     enough = F.when(F.col("role") == "where", F.size("roles") == 2).otherwise(F.lit(True))
     return met.groupBy("id", "proof", "s", "role").agg(F.collect_set("role2").alias("roles")).where(enough).groupBy("id", "proof").agg(F.collect_list("s").alias("links"))
 
