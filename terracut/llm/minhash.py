@@ -99,17 +99,23 @@ def most_differing(threshold: float, k: int) -> int:
     return int(n[sketch_similarity(n, k) >= threshold - SLACK].max())
 
 
+def set_name(s: np.ndarray) -> tuple[int, int, int]:
+    """n, d1, d2: size and two sums of mixed fingerprints, by which equal sets are known."""
+    if not len(s):
+        return 0, 0, 0
+    one, two = mix(s).sum(), mix(s ^ np.uint64(0x6A09E667F3BCC909)).sum()
+    return len(s), int(one.view(np.int64)), int(two.view(np.int64))
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), digest (of the set, two numbers), keys (of the bands) and sketch of every document."""
+    """id, text_hash, n, d1, d2 (the set's name), keys (of the bands) and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands, rows)
         for batch in batches:
-            n, one, two, keys, sketches = [], [], [], [], []
+            names, keys, sketches = [], [], []
             for s in shingle_sets(batch.column(1), k):
-                n.append(len(s))
-                one.append(int(mix(s).sum()) if len(s) else 0)
-                two.append(int(mix(s ^ np.uint64(0x6A09E667F3BCC909)).sum()) if len(s) else 0)
+                names.append(set_name(s))
                 if len(s):
                     drawn = sampler.samples(s)
                     keys.append(sampler.keys(drawn))
@@ -119,13 +125,14 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
                     sketches.append(np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]) if keys else np.zeros(1)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            to_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            columns = [pa.array(c, pa.int64()) for c in zip(*names, strict=True)] if names else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), to_long(one), to_long(two), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["id", "n", "d1", "d2", "keys", "sketch"],
+                [batch.column(0), batch.column(2), *columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "text_hash", "n", "d1", "d2", "keys", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    return narrow.mapInArrow(run, "id long, text_hash long, n long, d1 long, d2 long, keys array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,31 +180,45 @@ def common_counts(x_at: np.ndarray, x: np.ndarray, y_at: np.ndarray, y: np.ndarr
     return out
 
 
-def block_links(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the outsiders of each group with all of its members of other components. inside: g, id, c; outsiders: c is not g."""
+def block_links(inside: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bound: int) -> DataFrame:
+    """Links (a, b) of the outsiders of each group with all of its members of other components. inside: g, id, c; outsiders: c is not g.
+
+    As everywhere, pairs whose sketches differ in more than bound bits are dropped; only the sets of the others are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                (xi, xc, xat, x), (yi, yc, yat, y) = (parts(batch.column(k).slice(row, 1).flatten()) for k in (0, 1))
-                both = common_counts(xat, x, yat, y)
-                near = 100 * both >= percent * (np.diff(xat)[:, None] + np.diff(yat)[None, :] - both)
-                i, j = np.nonzero(near & (xc[:, None] != yc[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xi[i], yi[j])), pa.array(np.maximum(xi[i], yi[j]))], names=["a", "b"])
-
-    def parts(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        s = members.field("s")
-        at = np.asarray(s.offsets)
-        return np.asarray(members.field("id")), np.asarray(members.field("c")), at - at[0], np.asarray(s.values)[at[0] : at[-1]]
-
-    full = inside.join(sets, "id").select("g", "id", "c", "s")
+                x, y = (batch.column(k).slice(row, 1).flatten() for k in (0, 1))
+                (xi, xc, xk, xn), (yi, yc, yk, yn) = numbers(x), numbers(y)
+                differing = np.zeros((len(xi), len(yi)), np.int64)
+                for word in range(xk.shape[1]):
+                    differing += np.bitwise_count(xk[:, word, None] ^ yk[None, :, word])
+                likely = (differing <= bound) & (xc[:, None] != yc[None, :]) & (100 * np.minimum(xn[:, None], yn[None, :]) >= percent * np.maximum(xn[:, None], yn[None, :]))
+                left, right = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+                both = common_counts(*lists(x, left), *lists(y, right))
+                near = 100 * both >= percent * (xn[left][:, None] + yn[right][None, :] - both)
+                i, j = np.nonzero(near & likely[np.ix_(left, right)])
+                a, b = xi[left[i]], yi[right[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def numbers(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """id, component, sketch and set size of a block's members."""
+        return np.asarray(members.field("id")), np.asarray(members.field("c")), np.asarray(members.field("sketch").flatten()).view(np.uint64).reshape(len(members), -1), np.asarray(members.field("s").value_lengths()).astype(np.int64)
+
+    def lists(members: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of some members end to end: where they begin and end, and their values."""
+        s = members.field("s").take(pa.array(rows))
+        return np.concatenate([[0], np.cumsum(np.asarray(s.value_lengths()).astype(np.int64))]), np.asarray(s.flatten())
+
+    full = inside.join(sketches.select("id", "sketch"), "id").join(sets, "id").select("g", "id", "c", "sketch", "s")
 
     def blocks(members: DataFrame, name: str) -> DataFrame:
         need = F.greatest(F.ceil(F.sum(F.size("s")) / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS))
         number = members.groupBy("g").agg(need.alias("blocks"))
         # Dealt by block, or a group's blocks would all meet in the task of its join.
         dealt = members.join(number, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).repartition("g", "block")
-        return dealt.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("id", "c", "s")).alias(name))
+        return dealt.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("id", "c", "sketch", "s")).alias(name))
 
     whole = blocks(full, "y")
     outer = blocks(full.where("c != g"), "x").join(whole.select("g", F.col("blocks").alias("n")).distinct(), "g").select("g", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
@@ -254,7 +275,7 @@ def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[D
         tries = likely if tries is None else tries.unionAll(likely)
         found = verified(likely, sets, percent)
         if last:
-            found = found.unionAll(block_links(rest.where(F.col("all") > DIRECT).select(F.col("main").alias("g"), "id", "c").distinct(), sets, percent))
+            found = found.unionAll(block_links(rest.where(F.col("all") > DIRECT).select(F.col("main").alias("g"), "id", "c").distinct(), sketches, sets, percent, bound))
         found = stored(found, "links")
         links = found if links is None else links.unionAll(found)
         unlinked = links.isEmpty()
@@ -267,42 +288,71 @@ def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[D
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept (id is component_id).
+    """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept (id is component_id),
+    text_hash (xxhash64 of the text, null like the empty text).
 
     Words are separated by ASCII white space; A-Z count as a-z. Documents are linked when 100 * intersection of their
     shingle sets is at least percent * union. Null and word-less texts have the empty set, are linked with nothing, and
     are kept. With fewer than k words, the whole sequence is the one shingle. A null id takes part, but never stands for
     others: where only null ids have a set, their component_id is null and they are kept. Repeated rows (same id, same
-    text) share one decision. Very long texts count whole. An empty table gives an empty table. Only id_col (an integer)
-    and text_col are read, so other columns cannot clash.
+    text) share one decision. Where rows of one id have different texts, each text is linked for itself. Very long texts
+    count whole. An empty table gives an empty table. Only id_col (an integer) and text_col are read, so other columns
+    cannot clash.
     """
     described = stored(describe(docs, id_col, text_col, k, bands, rows), "minhash")
     # Classes of equal sets. Sizes and two sums of mixed fingerprints name a set.
     same = ["n", "d1", "d2"]
     classes = described.where("n > 0 AND id IS NOT NULL").groupBy(*same).agg(F.min("id").alias("rep"), F.min_by(F.struct("keys", "sketch"), "id").alias("own"))
     classes = stored(classes.select(*same, "rep", "own.keys", "own.sketch"), "classes")
-    members = classes.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("rep").alias("id"))
+    # A class goes by its smallest id. An id that is the smallest of several classes, having several texts, names none
+    # of them: these go by a hash.
+    repeated = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("rep", F.lit(True).alias("again"))
+    if repeated.isEmpty():
+        classes = classes.withColumn("node", F.col("rep"))
+    else:
+        classes = stored(classes.join(repeated, "rep", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("rep", *same)).otherwise(F.col("rep"))).drop("again"), "named-classes")
+    members = classes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("node").alias("id"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = stored(members.join(crowded, "bucket", "left_semi"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
+        """node, s of the classes whose node is in ids, each read from one text of its id that has the class's set."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(batch.column(1), k)]
+                sets, true = [], np.zeros(batch.num_rows, bool)
+                wanted = [np.asarray(batch.column(c)) for c in same]
+                for i, s in enumerate(shingle_sets(batch.column(1), k)):
+                    if set_name(s) == tuple(int(w[i]) for w in wanted):
+                        true[i] = True
+                        sets.append(np.sort(s.view(np.int64)))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]) if sets else np.zeros(1)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(true)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["id", "s"])
 
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
-        return texts.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
+        wanted = classes.join(ids, classes["node"] == ids["id"], "left_semi").select("rep", "node", *same)
+        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).where("t IS NOT NULL").join(wanted, "rep")
+        # Repeated rows are settled here, where all rows of an id are together.
+        texts = texts.dropDuplicates(["rep", "node", "t"]).select("node", "t", *same)
+        return texts.mapInArrow(run, "id long, s array<long>")
 
-    sketches = classes.select(F.col("rep").alias("id"), "sketch", "n")
+    sketches = classes.select(F.col("node").alias("id"), "sketch", "n")
     labels = linked_classes(members, sketches, sets_of, percent, bands * rows)
-    named = classes.select(*same, "rep")
+    named = classes.select(*same, "rep", "node")
     if labels is not None:
-        named = named.join(labels, named["rep"] == labels["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
+        labels = labels.withColumnRenamed("node", "linked")
+        least = named.join(labels, named["node"] == labels["linked"]).select("component", "linked", "rep")
+        least = least.join(least.groupBy("component").agg(F.min("rep").alias("least")), "component").select("linked", "least")
+        named = named.join(least, named["node"] == least["linked"], "left").select(*same, F.coalesce("least", "rep").alias("component"))
     else:
         named = named.select(*same, F.col("rep").alias("component"))
-    out = described.select("id", *same).join(named, same, "left")
+    out = described.select("id", "text_hash", *same).join(named, same, "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that near_dedup() keeps, with all their columns, whatever their names. Rows are judged by id and text."""
+    kept = near_dedup(docs, id_col, text_col, k, percent).where("kept").select(F.col(id_col).alias("kept_id"), "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("text_hash")), "left_semi").select("row.*")

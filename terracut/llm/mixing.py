@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Buckets of a source's size class, a power of two. A bucket is the beginning of the hash that orders its rows, so more of
+#: them make smaller tasks and the same mix. Buckets are counted (SPREAD rows for each source and size class), not collected.
+SPREAD = 1024
+
 
 def word_count(text: Column) -> Column:
     """Number of runs of bytes other than ASCII white space; 0 for null."""
@@ -55,32 +59,33 @@ def order_hash(id_: Column) -> Column:
     return F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
 
 
-def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 7, spread: int = 64) -> DataFrame:
+def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 7, spread: int = SPREAD) -> DataFrame:
     """rows with source_size, target and copies (how often the mix takes the row).
 
     Null sources are a source of their own; null ids stand together. Rows of one size class stand in order of a hash of
-    their id, then id and size, so equal rows are interchangeable. A source with target or size 0 gets no copies. An
-    empty table gives an empty table. Columns named source_size, target or copies are replaced; all others stay.
+    their id, then id and size, so equal rows are interchangeable. Rows of one source, class and bucket are sorted in one
+    task, spilling if need be; spread is the number of buckets. A source with target or size 0 gets no copies. An empty
+    table gives an empty table. Columns named source_size, target or copies are replaced; all others stay, whatever
+    their names.
     """
     rows = rows.drop("source_size", "target", "copies")
-    rows = rows.withColumn("__class", size_class(F.col(size_col))).withColumn("__hash", order_hash(F.col(id_col)))
-    rows = rows.withColumn("__bucket", F.pmod(F.conv(F.substring("__hash", 1, 7), 16, 10).cast("long"), F.lit(spread)).cast("int")).withColumn("__source", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
-    bucket = ["__source", "__class", "__bucket"]
-    before = W.partitionBy("__source").orderBy("__class", "__bucket").rowsBetween(W.unboundedPreceding, -1)
-    first = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    hashed = order_hash(F.col(id_col))
+    # The caller's columns travel as one struct, so their names cannot clash.
+    rows = rows.select(
+        F.struct("*").alias("row"), size_class(F.col(size_col)).alias("class"), hashed.alias("hashed"), F.col(id_col).alias("id"), F.col(size_col).alias("size"),
+        F.floor(F.conv(F.substring(hashed, 1, 7), 16, 10).cast("long") * spread / (1 << 28)).cast("int").alias("bucket"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("key"),
+    )
+    bucket = ["key", "class", "bucket"]
+    before = W.partitionBy("key").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)
+    first = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     rates = targets.select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("__source"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"), offset.alias("__offset"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), "source_size", "target",
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), offset.alias("offset"),
     )
-    rank = F.row_number().over(W.partitionBy(*bucket).orderBy("__hash", id_col, size_col)) + F.col("__first")
-    crossed = F.floor(F.col("__rank") * F.col("__rate") + F.col("__offset")) - F.floor((F.col("__rank") - 1) * F.col("__rate") + F.col("__offset"))
-    return (
-        rows.join(first.join(rates, "__source"), bucket)
-        .withColumn("__rank", rank)
-        .withColumn("copies", crossed.cast("long"))
-        .drop(*bucket, "__hash", "__first", "__rank", "__rate", "__offset")
-    )
+    rank = F.row_number().over(W.partitionBy(*bucket).orderBy("hashed", "id", "size")) + F.col("first")
+    crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
+    return rows.join(first.join(rates, "key"), bucket).withColumn("rank", rank).select("row.*", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str, source_col: str, size_col: str, seed: int = 7) -> DataFrame:

@@ -74,7 +74,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"), k=4)
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), k=4).drop("text_hash")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +146,8 @@ t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE (budget - spen
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
         CAST(('0x' || substr(md5('7:' || coalesce(source, '')), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0::DOUBLE AS off FROM t),
 c AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE 0 END AS top FROM d),
-k AS (SELECT *, CASE WHEN size > 0 THEN 8 * top + CAST(floor(size * 8 / pow(2.0, top)) AS BIGINT) % 8 ELSE -1 END AS cls,
-        ('0x' || substr(h, 1, 7))::BIGINT % 64 AS bucket FROM c),
-n AS (SELECT k.*, source_size, target, rate, off, row_number() OVER (PARTITION BY k.source ORDER BY cls, bucket, h, doc_id, size) AS rn
+k AS (SELECT *, CASE WHEN size > 0 THEN 8 * top + CAST(floor(size * 8 / pow(2.0, top)) AS BIGINT) % 8 ELSE -1 END AS cls FROM c),
+n AS (SELECT k.*, source_size, target, rate, off, row_number() OVER (PARTITION BY k.source ORDER BY cls, h, doc_id, size) AS rn
       FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(floor(rn * rate + off) - floor((rn - 1) * rate + off) AS BIGINT) * size AS taken FROM n""",
     "op8_minhash": r"""
