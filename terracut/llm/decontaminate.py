@@ -88,9 +88,11 @@ class Block:
 
     def __init__(self, ids: list[int], texts: list[str], least: int):
         self.least = least
-        self.ids, self.items = [], []
+        self.ids, self.items, self.short = [], [], {}
         for i, codes in zip(ids, sequences(pa.array(texts, pa.string())), strict=True):
-            if len(codes) >= least:
+            if len(codes):
+                if len(codes) < least:
+                    self.short.setdefault(tuple(codes.tolist()), []).append(len(self.ids))
                 self.ids.append(i)
                 self.items.append(codes.copy())
         seeds = [windows(codes, least) for codes in self.items]
@@ -132,6 +134,9 @@ class Block:
             for row in np.unique(rows):
                 for k, tiles in self.held(block.codes[offs[row] : offs[row + 1]], seeds[maybe[rows == row]], share):
                     yield block.first + int(row), k, tiles
+            for row in np.flatnonzero((block.counts > 0) & (block.counts < self.least)) if self.short else ():
+                for k in self.short.get(tuple(block.codes[offs[row] : offs[row + 1]].tolist()), ()):
+                    yield block.first + int(row), k, [(int(block.counts[row]), 0, 0)]
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> Iterator[Block]:
@@ -151,8 +156,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """One row per document and benchmark item that it holds: id, item_id, coverage, matched_words, item_words, n_tiles, tiles.
 
     An item is held when tiles of at least `least` words cover `share` of its words. tiles: item word:document
-    word:length, in item order. Null and empty texts hold nothing; items of fewer than `least` words are no evidence and
-    are passed over. Ties among equally long matches go to the earlier place in the document, then in the item. A null id
+    word:length, in item order. Null and empty texts hold nothing, and items without words are held by nothing; items of
+    fewer than `least` words, no evidence within other words, are held only by texts of the same words. Ties among equally long matches go to the earlier place in the document, then in the item. A null id
     is carried as it is; repeated rows give repeated results. Very long texts are searched whole. Only id_col and text_col
     are read, so other columns cannot clash. An empty documents or benchmark table gives an empty table.
     """

@@ -23,6 +23,8 @@ from terracut.llm.words import PUNCTUATION, fingerprints, lower_ascii, lower_lat
 
 MAX_LABELLED = 8_000
 BITS = 20
+#: Share of the rated documents that must have a feature for it to get a weight (10 of MAX_LABELLED).
+LEAST_SHARE = 1.25e-3
 #: Bytes of word beginnings, and how often a word or beginning must occur for its further features.
 PREFIXES, COUNTS = (4, 5, 6, 7), (2, 4, 8)
 #: What is kept: grade 2 (good and clean) with this probability.
@@ -128,12 +130,14 @@ def neighbours(x: Features, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarr
     return cols, full, (np.cumsum(length) - length)[full], owner[by_word], np.searchsorted(cols[by_word], np.arange(len(vocabulary)))
 
 
-def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 250, rate: float = 0.05, sparse: float = 5e-5, least_docs: int = 10) -> Model:
-    """Maximum likelihood with an L1 penalty on words, by proximal Adam steps over the whole sample. Deterministic."""
+def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 250, rate: float = 0.05, sparse: float = 5e-5, least_share: float = LEAST_SHARE) -> Model:
+    """Maximum likelihood with an L1 penalty on words, by proximal Adam steps over the whole sample. Deterministic.
+
+    Features of fewer than least_share of the documents, or of a single one, get no weight.
+    """
     n = len(grades)
     centre, spread = x.shapes.mean(axis=0) if n else np.zeros(SHAPES), x.shapes.std(axis=0) + 1e-3 if n else np.ones(SHAPES)
-    # Words of few documents say little: only others get a weight.
-    vocabulary = np.flatnonzero(np.bincount(x.words, minlength=1 << bits) >= least_docs)
+    vocabulary = np.flatnonzero(np.bincount(x.words, minlength=1 << bits) >= max(2, least_share * n))
     m = len(vocabulary)
     cols, full, begin, word_owner, word_begin = neighbours(x, vocabulary, bits)
     shapes = (x.shapes - centre) / spread
@@ -170,9 +174,15 @@ def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps:
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, n_grades: int, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> Model:
-    """Fit on the rated documents; at most max_labelled ratings, by a hash of their id."""
+    """Fit on the rated documents; at most max_labelled ratings, by a hash of their id.
+
+    Ratings without an id or a grade are left out; of several grades of one id the lowest counts. Null and empty texts are
+    texts without words. Repeated rows of a rated document count as often as they stand there. Very long texts are read
+    whole. Without rated documents (empty tables too) the model has no weights, and thresholds of equal shares. Only the
+    named columns are read, so others cannot clash.
+    """
     chosen = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "grade").limit(max_labelled).dropDuplicates(["id"])
+    chosen = chosen.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +202,12 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
 
 
 def score(docs: DataFrame, model: Model, id_col: str, text_col: str, least_grade: int, least_tail: float, bits: int = BITS) -> DataFrame:
-    """One row per document: id, expected_grade, tail (P(grade >= least_grade)) and kept (tail >= least_tail)."""
+    """One row per document: id, expected_grade, tail (P(grade >= least_grade)) and kept (tail >= least_tail).
+
+    Null and empty texts are scored as texts without words, very long ones whole. Null ids are carried; repeated rows get
+    equal scores. A tail equal to least_tail is kept. An empty table gives an empty table. Only id_col and text_col are
+    read, so other columns cannot clash.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +221,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, least_grade
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str, least_grade: int, least_tail: float, bits: int = BITS) -> DataFrame:
-    """The documents that score() keeps, with all their columns."""
+    """The documents that score() keeps, with all their columns, whatever their names; repeated rows stay or go together."""
     shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,27 +107,28 @@ def assign_shards(rows: DataFrame, key: Column, tie: list[Column], shards: int,
     """rows with shard (0-based int), slot (gapless from 0 in each shard) and home_shard (the owner before any overflow).
 
     key decides the place on the ring; tie orders rows of one tick (by a hash of tie, then of key), and so which of them
-    move on. Rows equal in key and tie are interchangeable. Null keys have a place like any other. An empty table gives an empty table. Columns named
-    shard, slot or home_shard are replaced; all others stay.
+    move on. Rows equal in key and tie are interchangeable; they are sorted (spilling if need be) in one task, like all
+    rows of one tick and one of its 256 parts. Null keys have a place like any other, long texts are only measured by
+    what key and tie make of them. An empty table gives an empty table. Columns named shard, slot or home_shard are
+    replaced; all others stay, whatever their names.
     """
     if shards < 1 or ticks < 4 * shards * vnodes:
         raise ValueError("shards must be positive, and ticks at least four for each virtual node")
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot", "home_shard")
     part = F.conv(F.substring(F.md5(F.concat_ws(":", *[t.cast("string") for t in tie]).cast("binary")), 1, 2), 16, 10).cast("int") if tie else F.lit(0)
-    rows = rows.drop("shard", "slot", "home_shard").withColumn("__tick", tick_of(digest(key), ticks)).withColumn("__part", part)
+    ties = [t.alias(f"tie{i}") for i, t in enumerate(tie)]
+    # The caller's columns travel as one struct, so their names cannot clash.
+    rows = rows.select(F.struct("*").alias("row"), tick_of(digest(key), ticks).alias("tick"), part.alias("part"), digest(key).alias("hashed"), key.alias("key"), *ties)
     # Ranks in a tick: those of the parts before, and the row's own in its part. So a hot key meets in 256 tasks, not in one.
-    counts = rows.groupBy("__tick", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy("__tick").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("__tick", "__part", before.alias("__first"))
-    ranges = placement(counts.groupBy(F.col("__tick").alias("tick")).agg(F.sum("__n").alias("n")), ring(spark, shards, vnodes, ticks), shards)
-    per_tick = ranges.groupBy("tick").agg(F.first("owner").alias("__home"), F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("__ranges"))
-    own = F.row_number().over(W.partitionBy("__tick", "__part").orderBy(digest(key), key, *tie)) - 1
-    ranked = rows.withColumn("__own", own).join(first, ["__tick", "__part"]).withColumn("__rank", (F.col("__own") + F.col("__first")).cast("long"))
+    counts = rows.groupBy("tick", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("tick").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("tick", "part", before.alias("first"))
+    ranges = placement(counts.groupBy("tick").agg(F.sum("n").alias("n")), ring(spark, shards, vnodes, ticks), shards)
+    per_tick = ranges.groupBy("tick").agg(F.first("owner").alias("home"), F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("ranges"))
+    own = F.row_number().over(W.partitionBy("tick", "part").orderBy("hashed", "key", *[f"tie{i}" for i in range(len(tie))])) - 1
+    ranked = rows.withColumn("own", own).join(first, ["tick", "part"]).withColumn("rank", (F.col("own") + F.col("first")).cast("long"))
     # per_tick has at most `ticks` rows and, in all, ticks + vnodes * shards**2 ranges: fixed by the ring, about 3 MB.
-    hit = F.element_at(F.filter("__ranges", lambda r: (F.col("__rank") >= r["lo"]) & (F.col("__rank") < r["hi"])), 1)
-    return (
-        ranked.join(F.broadcast(per_tick), ranked["__tick"] == per_tick["tick"])
-        .withColumn("__hit", hit)
-        .withColumns({"shard": F.col("__hit.shard"), "slot": F.col("__hit.slot") + F.col("__rank") - F.col("__hit.lo"), "home_shard": F.col("__home")})
-        .drop("tick", "__tick", "__part", "__own", "__first", "__rank", "__ranges", "__home", "__hit")
-    )
+    hit = F.element_at(F.filter("ranges", lambda r: (F.col("rank") >= r["lo"]) & (F.col("rank") < r["hi"])), 1)
+    placed = ranked.join(F.broadcast(per_tick), "tick").withColumn("hit", hit)
+    return placed.select("row.*", F.col("hit.shard").alias("shard"), (F.col("hit.slot") + F.col("rank") - F.col("hit.lo")).alias("slot"), F.col("home").alias("home_shard"))
