@@ -29,8 +29,26 @@ def test_exact_dedup(spark, docs, texts):
     for i, t in texts:
         groups.setdefault(norm(t), []).append(i)
     want = Counter((i, least(groups[norm(t)]), len(groups[norm(t)]), i == least(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in texts)
-    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, runs=8, fan_in=2).collect())
-    assert got == want
+    for runs, fan_in in ((8, 2), (1, 2), (7, 3), (64, 8)):
+        got = Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, runs=runs, fan_in=fan_in).collect())
+        assert got == want
+
+
+def test_exact_dedup_merges_sorted_runs(docs):
+    """Each level is a sorted aggregate over rows in order of the digest; nothing is hashed, and no level sorts before it sends."""
+    plan = exact_dedup.exact_dedup(docs, runs=8, fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" +-:*()0123456789") for line in plan.split("\n")]
+    # Only the keys of the runs, on the way back, are told apart by hashing.
+    assert all("functions=[]" in line for line in lines if line.startswith("HashAggregate"))
+    top = lines[next(i for i, line in enumerate(lines) if line.startswith("SortAggregate")) :]
+    kinds = [line.split("(")[0].split(" ")[0] for line in top if line.startswith(("SortAggregate", "Sort ", "Exchange"))]
+    # From the last merge down to the base: merge, sort of what came in, exchange, first half.
+    assert kinds[:16] == ["SortAggregate", "Sort", "Exchange", "SortAggregate"] * 4
+
+
+def test_exact_dedup_refuses_no_merge(docs):
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(docs, fan_in=1)
 
 
 def sets(texts, k):
@@ -75,6 +93,24 @@ def test_near_dedup_in_blocks(spark, docs, texts, monkeypatch):
     assert got == Counter((i, c) for i, _, c in near_groups(texts, 4))
 
 
+def test_near_dedup_one_id_two_texts(spark, texts):
+    """Each text of an id keeps its own links, though both are the smallest of their class."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    rows = [(7, a), (7, b), (9, a + " x"), (11, b + " y"), (3, b), (3, a), (12, "v1 v2 v3"), (12, "other words"), (13, "v1 v2 v3")] + [(7, a)] * 300 + [(None, a), (None, b), (None, "only null has this")]
+    for part in (rows, rows[:4], rows[6:]):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_dedup(spark.createDataFrame(part, "doc_id long, text string"), k=4).collect())
+        assert got == Counter(near_groups(part, 4))
+
+
+def test_drop_near_judges_rows(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, a, "x"), (None, a, "x"), (None, "alone and null", "y"), (5, a + " z", "x"), (6, None, "n"), (6, None, "n"), (8, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string").withColumns({c: F.lit(c) for c in ("row", "id", "hash", "text_hash", "kept", "n")})
+    left = minhash.drop_near(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(3, a), (None, "alone and null"), (6, None), (6, None), (8, "")])
+
+
 @pytest.mark.parametrize("n", [12, 40])
 def test_near_dedup_when_the_stars_link_nothing(spark, n):
     """A template's documents stand just below the threshold; the one true pair never has a bucket's smallest id."""

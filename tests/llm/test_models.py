@@ -119,10 +119,47 @@ def test_quality_query_functions(spark, docs, texts, no_docs):
     kept = quality.keep_good(docs, model, "text", 2, 0.5)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert quality.score(no_docs, model, "doc_id", "text", 2, 0.5).count() == 0
+    twice = labels.unionByName(spark.createDataFrame([(i, 0, 0) for i in range(0, 30, 4)], labels.schema))
+    a, b = (quality.train(docs, quality.graded(t), "doc_id", "text", "grade", 3) for t in (twice, twice.repartition(7)))
+    assert (a.words == b.words).all() and (a.thresholds == b.thresholds).all()
     unfitted = quality.train(no_docs, quality.graded(labels), "doc_id", "text", "grade", 3)
     assert quality.score(docs, unfitted, "doc_id", "text", 2, 0.5).count() == len(texts)
 
 
+def test_fit_climbs_the_likelihood_and_scores_are_its_probabilities():
+    """Gradients by differences of a likelihood in plain Python vanish at the fit, and scores are the cumulative logits."""
+    texts, grades = rated(400, 3)
+    x = quality.features(pa.array(texts), 12)
+    model = quality.fit(x, grades, 3, 12, steps=1500, sparse=0.0)
+    sigmoid = lambda v: 1 / (1 + math.exp(-max(-500, min(500, v))))
+
+    def tails(words, shapes, thresholds, i):
+        z = sum(float(words[j]) for j in x.words[x.offsets[i] : x.offsets[i + 1]])
+        z += sum((x.shapes[i, j] - model.centre[j]) / model.spread[j] * shapes[j] for j in range(quality.SHAPES))
+        return [1 - sigmoid(t - z) for t in thresholds]
+
+    def likelihood(words, shapes, thresholds):
+        total = 0.0
+        for i, g in enumerate(grades):
+            p = [1.0, *tails(words, shapes, thresholds, i), 0.0]
+            total += math.log(max(p[g] - p[g + 1], 1e-12))
+        return total / len(grades)
+
+    expected, got = model.score(x)
+    for i in range(0, 400, 40):
+        want = tails(model.words, model.shapes, model.thresholds, i)
+        assert np.allclose(got[i], want, atol=1e-5) and abs(expected[i] - sum(want)) < 1e-5
+    best = likelihood(model.words, model.shapes, model.thresholds)
+    start = likelihood(np.zeros_like(model.words), np.zeros_like(model.shapes), model.thresholds)
+    assert best > start + 0.3
+    used = np.flatnonzero(model.words)[::97]
+    for j in used[:8]:
+        for step in (-0.5, 0.5):
+            moved = model.words.copy()
+            moved[j] += step
+            assert likelihood(moved, model.shapes, model.thresholds) < best + 2e-3
+
+
 @pytest.mark.parametrize("bits", [10, 20])
 def test_features_do_not_depend_on_batches(texts, bits):
     many = pa.array([t for _, t in texts])

@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terracut.llm import queries
+from terracut.llm import quality, queries
+
+
+def dealt(sizes, weights, share, most):
+    """Targets by dealing what is left, by weight, until no source is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, still = dict.fromkeys(order, 0.0), share * sum(sizes.values()), set(order)
+    while still:
+        each = left / sum(weight[s] for s in still)
+        full = {s for s in still if each * weight[s] >= most * sizes[s]}
+        if not full:
+            return target | {s: each * weight[s] for s in still}
+        for s in full:
+            target[s] = most * sizes[s]
+            left -= target[s]
+        still -= full
+    return target
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +84,67 @@ def test_stages(spark, corpus):
     assert placed.count() == mixed.count() and max(sizes) - min(sizes) <= 1
 
 
+def test_stages_keep_clashing_columns_and_repeated_rows(spark, corpus, tmp_path):
+    """Columns named like those that operators use, repeated rows, null ids (a copy of another document among them), through all stages."""
+    names = ("id", "proof", "origin", "copies", "copy", "kept_id", "tick", "row", "hash", "n", "grade", "words", "class", "bucket", "t", "key", "own_id", "part", "size", "target", "rank", "text_hash", "kept")
+    docs = queries.table(spark, corpus, "documents")
+    copy = docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long"))
+    twice = docs.where("doc_id = 4 OR doc_id IS NULL")
+    docs = docs.unionByName(copy).unionByName(twice).unionByName(twice).withColumns({c: F.concat_ws("/", F.lit(c), F.coalesce("doc_id", F.lit(-1)), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))) for c in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        queries.table(spark, corpus, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = queries.table(spark, str(tmp_path), "documents")
+    rows = {tuple(r) for r in whole.collect()}
+    near = corpus_pipeline.near_duplicates(spark, whole, str(tmp_path))
+    assert near.columns == whole.columns and near.count() == whole.count() - 6  # five near copies, and the copy without an id
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, whole, str(tmp_path)).select(*whole.columns)
+        assert {tuple(r) for r in out.collect()} <= rows, name
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*whole.columns, "shard", "slot", "home_shard"]
+    got = [tuple(r) for r in out.select(*whole.columns).collect()]
+    assert got and set(got) <= rows
+
+
+def test_run_equals_the_stages_one_by_one(spark, corpus):
+    """End to end against plain Python on the ids that each stage by itself keeps."""
+    docs = queries.table(spark, corpus, "documents")
+    model = quality.train(docs, quality.graded(queries.table(spark, corpus, "labels")), "doc_id", "text", "grade", 3)
+    rows = [r for r in docs.collect()]
+    batch = pa.array([r.text for r in rows], pa.string())
+    good = model.score(quality.features(batch))[1][:, quality.LEAST_GRADE - 1] >= quality.LEAST_TAIL
+    rows = [r for r, g in zip(rows, good, strict=True) if g]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    known = sorted(i for i in sets if i is not None)
+    for a in known:
+        for b in known:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    rows = [r for r in rows if r.doc_id is None or find(r.doc_id) == r.doc_id]
+    bench = [r.text.split() for r in queries.table(spark, corpus, "benchmark").collect()]
+    rows = [r for r in rows if not any(" ".join(b) in (r.text or "") for b in bench)]
+    size = {s: sum(len((r.text or "").split()) for r in rows if r.source == s) for s in {r.source for r in rows}}
+    out = corpus_pipeline.run(spark, corpus).collect()
+    assert {r.doc_id for r in out} <= {r.doc_id for r in rows}
+    taken = {s: sum(len((r.text or "").split()) for r in out if r.source == s) for s in size}
+    goal = dealt(size, [3.0, 1.0, 2.0], 1.5, 2.0)
+    assert all(abs(taken[s] - goal[s]) <= 60 + 0.05 * goal[s] for s in size), (taken, goal)
+    assert all(n <= 2 for n in Counter(r.doc_id for r in out).values())
+    loads = Counter(r.shard for r in out)
+    assert max(loads.values()) - min(loads.values()) <= 1
+    full = {r.doc_id for r in rows if r.source in {s for s in size if goal[s] >= size[s]} and r.text}
+    assert full <= {r.doc_id for r in out}
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert out.columns == [*queries.table(spark, corpus, "documents").columns, "shard", "slot", "home_shard"]

@@ -54,6 +54,24 @@ def test_shards_of_a_hot_key(spark):
     assert len(got) == 16 and {r["count"] for r in got} <= {62, 63}
 
 
+def test_columns_stay(spark):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), *[F.lit(c).alias(c) for c in ("tick", "part", "row", "key", "hashed", "first", "own", "rank", "hit", "home", "ranges", "tie0", "n", "slot")])
+    got = sharding.assign_shards(rows, F.col("doc_id"), [F.col("tick"), F.col("n")], 4)
+    assert got.columns == [*rows.drop("slot").columns, "shard", "slot", "home_shard"]
+    assert all(r[c] == c for r in got.collect() for c in rows.drop("doc_id", "slot").columns)
+    sized = rows.select("doc_id", *[F.lit(c).alias(c) for c in ("class", "bucket", "key", "row", "hashed", "first", "rate", "offset", "rank", "id", "target")], F.lit("s").alias("source"), F.lit(5).cast("long").alias("size"))
+    mixed = mixing.mix_sources(sized, [1.0], 1.5, 2.0, "doc_id", "source", "size")
+    assert mixed.columns == [*sized.drop("target").columns, "source_size", "target", "copies"]
+    assert all(r[c] == c for r in mixed.collect() for c in sized.drop("doc_id", "source", "size", "target").columns)
+
+
+def test_order_does_not_depend_on_the_spread(docs):
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    targets = mixing.source_targets(sized, [3.0, 1.0, 2.0], 1.5, 2.0)
+    one, many = (Counter(mixing.systematic_copies(sized, targets, "doc_id", "source", "size", spread=n).collect()) for n in (1, 4096))
+    assert one == many
+
+
 def test_limited_movement(spark):
     rows = spark.range(20000).withColumnRenamed("id", "doc_id")
     a, b = (sharding.assign_shards(rows, F.col("doc_id"), [], n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (16, 17))

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import os
+
+import pytest
+
 from terracut.llm import scratch
 
 
@@ -13,6 +17,13 @@ class Unset:
 
     class sparkContext:  # noqa: N801
         applicationId = "app-1"
+        master = "local[2]"
+
+
+class Cluster(Unset):
+    class sparkContext:  # noqa: N801
+        applicationId = "app-2"
+        master = "spark://host:7077"
 
 
 def test_stored_tables_lie_in_the_shared_folder(spark):
@@ -25,3 +36,16 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
 def test_own_folder_where_none_is_set():
     folder = scratch.shared_folder(Unset)
     assert folder.startswith("file:///") and scratch.shared_folder(Unset) == folder
+
+
+def test_clusters_need_a_shared_folder():
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Cluster)
+
+
+def test_discard(spark):
+    path = scratch.stored(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    scratch.discard(spark)
+    assert not os.path.exists(path)
+    scratch.discard(spark)
