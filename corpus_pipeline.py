@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and reread before the next stage. All
 but the last return the columns of documents. Rows that a stage keeps are unchanged.
+
+For every stage: null ids, texts and sources are values like others (a null text has no words, is near to nothing, holds
+no benchmark item, and is never mixed in more than once a copy); very long texts count whole; repeated rows are judged
+alike; further columns are carried, whatever their names (the last stage replaces shard, slot and home_shard); an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,8 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8), the document of the smallest doc_id."""
-    kept = minhash.near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return minhash.drop_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +44,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     sized = stored(docs.select("doc_id", F.xxhash64("text").alias("proof"), "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
     mixed = mixing.mix_sources(sized, WEIGHTS, SHARE, MOST, "doc_id", "source", "size")
     # Repeated rows share what all of them are taken, rounded up.
-    copies = mixed.groupBy(F.col("doc_id").alias("id"), "proof", F.col("source").alias("origin")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("proof")) & F.col("source").eqNullSafe(F.col("origin"))
-    return docs.join(copies.where("copies > 0"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mixed.groupBy(F.col("doc_id").alias("id"), "proof", F.col("source").alias("origin")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies"))
+    # The documents' columns travel as one struct, so their names cannot clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_proof"), F.col("source").alias("own_source"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_proof") == F.col("proof")) & F.col("own_source").eqNullSafe(F.col("origin"))
+    return rows.join(taken.where("copies > 0"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
