@@ -1,17 +1,22 @@
 """LM scoring with Brown class-based n-grams.
 
-P(text) is the product over tokens of P(class | class before) * P(unit | class) * P(word | unit). Every word belongs to
-a unit, and exchange clustering assigns units to classes. Words of at least UNIT_SHARE of all training tokens (so at
-most 1 / UNIT_SHARE of them, whatever the corpus) are units of their own. All rarer words with one ending form a unit
-together; within it, a word has its share of the training tokens, and words never seen share the mass that words seen
-once stand for. The probabilities of known words and of the unseen words of each ending add up to one.
-
-Exchange: Spark counts how often each unit follows and precedes each class (tables bounded by units times classes).
-With these counts, unit after unit moves to the class that raises the class bigram likelihood most; then Spark counts
-anew under the new classes.
-
-Word counts are a table that grows with the corpus and is never collected. Words of at least LOCAL_SHARE of all tokens
-(at most 1 / LOCAL_SHARE, 16 bytes each) go to the tasks; rarer ones, none of them a hot key, are looked up by a join.
+P(text) is the product over tokens of P(class | class before) * P(word | class). Every training word has a class of its
+own, found in two steps:
+
+1. Exchange among units: words of at least UNIT_SHARE of all training tokens are units of their own, all rarer words with
+   one ending (their last three bytes) form a unit together. Spark counts how often each unit follows and precedes each
+   class; with these counts, unit after unit moves to the class that raises the class bigram likelihood most; then Spark
+   counts anew. This table is bounded (1 / UNIT_SHARE words and ENDINGS endings), as its sweep runs on the driver.
+2. Every rarer word, however many there are, leaves its ending's unit: Spark counts which classes stand before and after
+   the word, and the word takes the class that these counts raise the likelihood most in. This table grows with the
+   corpus, is spread by word, and is never collected.
+
+Transitions are then counted from the training texts under the final classes. A word never seen has its ending's class;
+within a class, words have their share of the training tokens, and the endings' unseen words have what words seen once
+stand for. So the probabilities of all known words of a class and of its endings' unseen words add up to one.
+
+Words of at least LOCAL_SHARE of all tokens (at most 1 / LOCAL_SHARE, 17 bytes each) go to the tasks; rarer ones, none of
+them a hot key, are looked up by a join and put in the gaps that texts, turned into one byte a token, have left for them.
 """
 
 from __future__ import annotations
@@ -29,7 +34,10 @@ from terracut.llm.scratch import stored
 from terracut.llm.words import Words, lower_ascii, mix, split_words
 
 UNIT_SHARE, LOCAL_SHARE = 5e-5, 5e-7
+#: ROUNDS is the most sweeps of exchange; it ends sooner when no unit moves.
 ENDINGS, CLASSES, ROUNDS = 2048, 64, 6
+#: Bits of a word's code that give way to the class and side of a neighbour, and the class of a word yet to be looked up.
+CELL_BITS, GAP = 7, 255
 
 
 class Tally:
@@ -61,8 +69,8 @@ class Tally:
         self.keys, self.counts, self.held = [], [], 0
 
 
-def tallied(texts: DataFrame, keys_of, names: list[str]) -> DataFrame:
-    """Counts of the keys that keys_of(block of words) gives, over all rows of texts (one text column)."""
+def tallies(texts: DataFrame, keys_of, names: list[str]) -> DataFrame:
+    """Counts of the keys that keys_of(block of words) gives, for each task (and again where a task has very many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -73,7 +81,12 @@ def tallied(texts: DataFrame, keys_of, names: list[str]) -> DataFrame:
                 yield from tally.batches(names)
         yield from tally.batches(names)
 
-    return texts.mapInArrow(run, f"{names[0]} long, {names[1]} long").groupBy(names[0]).agg(F.sum(names[1]).alias(names[1]))
+    return texts.mapInArrow(run, f"{names[0]} long, {names[1]} long")
+
+
+def tallied(texts: DataFrame, keys_of, names: list[str]) -> DataFrame:
+    """Counts of the keys that keys_of(block of words) gives, over all rows of texts (one text column)."""
+    return tallies(texts, keys_of, names).groupBy(names[0]).agg(F.sum(names[1]).alias(names[1]))
 
 
 def coded(block: Words) -> np.ndarray:
@@ -116,16 +129,33 @@ class Units:
 @dataclass
 class Model:
     units: Units
-    local_words: np.ndarray  # sorted codes of the words whose counts go to the tasks
+    classes: np.ndarray  # class of each unit
+    local_words: np.ndarray  # sorted codes of the words that go to the tasks, with their counts and classes
     local_counts: np.ndarray
+    local_classes: np.ndarray
     tokens: int
     types: int
-    end_count: int
-    classes: np.ndarray  # class of each unit
-    transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray  # log10 P(unit | its class)
-    unit_tokens: np.ndarray  # of each ending: training tokens that are not units of their own
-    unit_once: np.ndarray  # of each ending: words seen once
+    texts: int
+    mass: np.ndarray  # of each class: training tokens, and what unseen words may be
+    unseen: np.ndarray  # of each ending: how many tokens unseen words stand for
+    transition: np.ndarray | None = None  # log10 P(class | class before)
+
+    def ending_class(self, codes: np.ndarray) -> np.ndarray:
+        return self.classes[len(self.units.words) + ending_of(codes)]
+
+    @property
+    def end_class(self) -> int:
+        return int(self.classes[self.units.end])
+
+    def emission(self, codes: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """log10 P(word | its class); a count of 0 stands for any unseen word of the ending."""
+        return np.log10(np.where(counts > 0, counts, self.unseen[ending_of(codes)]) / self.mass[classes])
+
+    def end_emission(self) -> float:
+        return float(np.log10((self.texts + 0.1) / self.mass[self.end_class]))
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
 def better_classes(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, classes: np.ndarray, n_classes: int) -> np.ndarray:
@@ -174,18 +204,52 @@ def neighbours(bigrams: DataFrame, classes: np.ndarray, n_classes: int) -> tuple
     return table[0], table[1]
 
 
+def own_classes(texts: DataFrame, units: Units, classes: np.ndarray, follows: np.ndarray, mass: np.ndarray) -> DataFrame:
+    """word (a code without its last bits), own: the class of every training word that is no unit of its own.
+
+    The change of likelihood of moving a word with n tokens to class c, to the first order, is
+    sum of log N(k, c) over classes k before it + sum of log N(c, k) over classes k behind it - 2 n log N(c).
+    """
+    n_classes = len(mass)
+    shipped = texts.sparkSession.sparkContext.broadcast((units, classes))
+
+    def contexts(block: Words) -> np.ndarray:
+        units, classes = shipped.value
+        codes = coded(block)
+        own = units.of(codes)
+        around = classes[units.sequence(block, own)].astype(np.uint64)
+        at = np.flatnonzero(own >= len(units.words))
+        place = at + block.owners[at] + 1  # in the sequence, where every text has an end before it
+        word = codes[at] >> np.uint64(CELL_BITS) << np.uint64(CELL_BITS)
+        return np.concatenate([word | around[place - 1], word | around[place + 1] | np.uint64(64)])
+
+    fits = np.concatenate([np.log(follows + 0.5), np.log(follows + 0.5).T]) - np.log(mass + 1)[None, :]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells")
+            table = np.zeros((batch.num_rows, 128))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            table[row, np.asarray(lists.flatten().field("k"))] = np.asarray(lists.flatten().field("n"))
+            used = np.concatenate([table[:, :n_classes], table[:, 64 : 64 + n_classes]], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.argmax(used @ fits, axis=1).astype(np.int32))], names=["word", "own"])
+
+    # Tasks have counted already: their counts meet once, by word, and a word has at most 128 of them then.
+    cells = tallies(texts, contexts, ["cell", "n"]).select(F.shiftright("cell", CELL_BITS).alias("word"), F.col("cell").bitwiseAND(F.lit(127)).cast("int").alias("k"), "n")
+    grouped = cells.repartition("word").groupBy("word", "k").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("k", "n")).alias("cells"))
+    return grouped.mapInArrow(choose, "word long, own int")
+
+
 def train(texts: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of the one text column of texts, and the table of word counts (code, n)."""
+    """The model of the one text column of texts, without its transitions, and the table of words (code, n, own: the class; null for units)."""
+    if not 1 <= n_classes <= 64:
+        raise ValueError("there must be 1 to 64 classes")
     counts = stored(tallied(texts, coded, ["code", "n"]), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     n_texts = texts.count()
     tokens, types = sums.tokens + n_texts, sums.types + (n_texts > 0)
-    # At most 1 / LOCAL_SHARE rows.
-    local = counts.where(F.col("n") >= tokens * LOCAL_SHARE).toArrow()
-    codes, n = np.asarray(local["code"]).view(np.uint64), np.asarray(local["n"])
-    order = np.argsort(codes)
-    codes, n = codes[order], n[order]
-    units = Units(codes[n >= tokens * UNIT_SHARE])
+    # At most 1 / UNIT_SHARE rows.
+    units = Units(np.sort(np.asarray(counts.where(F.col("n") >= tokens * UNIT_SHARE).select("code").toArrow()["code"]).view(np.uint64)))
     total = units.total
     shipped = texts.sparkSession.sparkContext.broadcast(units)
 
@@ -197,93 +261,139 @@ def train(texts: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> t
     classes = np.arange(total) % n_classes
     left, right = neighbours(bigrams, classes, n_classes)
     for _ in range(rounds):
-        classes = better_classes(left, right, right.sum(axis=1), classes, n_classes)
+        moved = better_classes(left, right, right.sum(axis=1), classes, n_classes)
+        if (moved == classes).all():
+            break
+        classes = moved
         left, right = neighbours(bigrams, classes, n_classes)
     follows = np.zeros((n_classes, n_classes))
     np.add.at(follows, classes, right)
     sizes = right.sum(axis=1)
-    mass = np.bincount(classes, weights=sizes, minlength=n_classes)
-    held = np.bincount(classes, minlength=n_classes)
-    transition = np.log10((follows + 0.5) / (follows.sum(axis=1, keepdims=True) + 0.5 * n_classes))
-    emission = np.log10((sizes + 0.1) / (mass + 0.1 * held)[classes])
-    single = counts.where((F.col("n") == 1) & (F.col("n") < tokens * UNIT_SHARE)).groupBy(F.col("code").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    once = np.zeros(ENDINGS)
-    once[np.asarray(single["ending"])] = np.asarray(single["n"])
-    unit_tokens = sizes[len(units.words) : units.end]
-    return Model(units, codes, n, tokens, types, n_texts, classes, transition, emission, unit_tokens, once), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, n_tokens, n_known, base_score, score."""
+    own = own_classes(texts, units, classes, follows, np.bincount(classes, weights=sizes, minlength=n_classes))
+    words = stored(counts.join(own, F.shiftright(counts["code"], CELL_BITS) == own["word"], "left").select("code", "n", "own"), "word-classes")
+    # What the tasks need of the words: at most 1 / LOCAL_SHARE rows, and one for each class and ending.
+    local = words.where(F.col("n") >= tokens * LOCAL_SHARE).toArrow()
+    codes, n = np.asarray(local["code"]).view(np.uint64), np.asarray(local["n"])
+    chosen = np.asarray(local["own"].fill_null(-1))
+    order = np.argsort(codes)
+    codes, n, chosen = codes[order], n[order], chosen[order]
+    unit = units.of(codes)
+    chosen = np.where((unit < len(units.words)) | (chosen < 0), classes[unit], chosen)
+    rare = F.col("n") < tokens * UNIT_SHARE
+    once = words.where((F.col("n") == 1) & rare).groupBy(F.col("code").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    # Unseen words stand for as many tokens as words seen once; a tenth more is spread over all endings.
+    unseen = np.full(ENDINGS, (sum(once["n"].to_pylist()) + 1) / (10 * ENDINGS))
+    unseen[np.asarray(once["ending"])] += np.asarray(once["n"])
+    held = words.where(rare).groupBy("own").agg(F.sum("n").alias("n")).toArrow()
+    mass = np.bincount(classes[: len(units.words)], weights=sizes[: len(units.words)], minlength=n_classes).astype(float)
+    mass[np.asarray(held["own"])] += np.asarray(held["n"])
+    mass += np.bincount(classes[len(units.words) : units.end], weights=unseen, minlength=n_classes)
+    mass[classes[units.end]] += n_texts + 0.1
+    return Model(units, classes, codes, n, chosen.astype(np.uint8), tokens, types, n_texts, mass, unseen), words
+
+
+def class_sequences(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """One row per row of docs (who, learnt, t): who, learnt, n_tokens, n_known, base, inner (the sum of log10 P(word | class)) and
+    classes: one byte for each token, the end included.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        z = m.tokens + 0.1 * (m.types + 1)
-        log_local = np.log10((m.local_counts + 0.1) / z)
-        inner = inner_scores(m)
+        log_base, log_inner = m.base(m.local_counts), m.emission(m.local_words, m.local_counts, m.local_classes)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for b in split_words(batch.column(1), lower_ascii):
-                docs_here, codes, owner = len(b.counts), coded(b), b.owners
-                units = m.units.of(codes)
-                seq = m.units.sequence(b, units)
-                step = m.transition[m.classes[seq[:-1]], m.classes[seq[1:]]] + m.emission[seq[1:]]
-                # Steps of a text: its words and its end.
-                ends = np.cumsum(b.counts + 1)
-                sums = np.concatenate([[0.0], np.cumsum(step)])
-                value = sums[ends] - sums[ends - b.counts - 1]
+            for b in split_words(batch.column(2), lower_ascii):
+                n, codes, owner = len(b.counts), coded(b), b.owners
                 at = np.minimum(np.searchsorted(m.local_words, codes), max(len(m.local_words) - 1, 0))
-                near = m.local_words[at] == codes if len(m.local_words) else np.zeros(len(codes), bool)
-                base = np.bincount(owner[near], weights=log_local[at[near]], minlength=docs_here) + np.log10((m.end_count + 0.1) / z)
-                known = np.bincount(owner[near], minlength=docs_here) + (m.end_count > 0)
-                shared = near & (units >= len(m.units.words))
-                ending = units - len(m.units.words)
-                if shared.any():
-                    value += np.bincount(owner[shared], weights=inner(ending[shared], m.local_counts[at[shared]]), minlength=docs_here)
-                far = np.flatnonzero(~near)
-                words = pa.array(codes[far].view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[far], minlength=docs_here))])
+                here = m.local_words[at] == codes if len(m.local_words) else np.zeros(len(codes), bool)
+                seen = at[here]
+                classes = np.full(len(codes), GAP, np.uint8)
+                classes[here] = m.local_classes[seen]
+                whole = np.insert(classes, b.offsets[1:], m.end_class)
+                far, begin = np.flatnonzero(~here), np.concatenate([[0], np.cumsum(b.counts + 1)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, docs_here), pa.array(key + np.arange(docs_here)), pa.array(b.counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(value), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)],
-                    names=["id", "row", "n_tokens", "n_known", "base", "value", "far"],
-                )
-                key += docs_here
-
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    kind = narrow.schema[0].dataType.simpleString()
-    near = stored(narrow.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_known long, base double, value double, far array<long>"), "lm-near")
-    # The rare words: their counts by a join, their contributions by a sum.
-    unseen, size = unseen_share(model), np.maximum(model.unit_tokens, 1)
-    per_ending = docs.sparkSession.createDataFrame(pa.table({"ending": np.arange(ENDINGS), "unseen": unseen, "each": (1 - unseen) / size}))
-    words = near.select("row", F.explode("far").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("tf"))
-    rare = words.join(counts.where(F.col("n") < model.tokens * LOCAL_SHARE), "code", "left").select("row", "tf", F.coalesce("n", F.lit(0)).alias("n"), F.col("code").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending"))
-    rare = rare.join(F.broadcast(per_ending), "ending")  # ENDINGS rows
-    z = float(model.tokens + 0.1 * (model.types + 1))
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("far_known"),
-        F.sum(F.col("tf") * F.log10((F.col("n") + 0.1) / F.lit(z))).alias("far_base"),
-        F.sum(F.col("tf") * F.log10(F.when(F.col("n") > 0, F.col("each") * F.col("n")).otherwise(F.col("unseen")))).alias("far_value"),
-    )
-    zero = F.lit(0.0)
-    return near.drop("far").join(sums, "row", "left").select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("far_base", zero)).alias("base_score"),
-        (F.col("value") + F.coalesce("far_value", zero)).alias("score"),
-    )
-
-
-def unseen_share(m: Model) -> np.ndarray:
-    """Of each ending: the share of tokens that will be words never seen, by what words seen once stand for."""
-    return np.where(m.unit_tokens > 0, (m.unit_once + 0.5) / (m.unit_tokens + 1), 1.0)
-
-
-def inner_scores(m: Model):
-    """log10 P(word | ending) of words with the given training counts, all above 0."""
-    each = (1 - unseen_share(m)) / np.maximum(m.unit_tokens, 1)
-    return lambda ending, n: np.log10(each[ending] * n)
+                    [
+                        batch.column(0).slice(b.first, n), batch.column(1).slice(b.first, n), pa.array(key + np.arange(n)), pa.array(b.counts + 1),
+                        pa.array(np.bincount(owner[here], minlength=n) + (m.texts > 0)),
+                        pa.array(np.bincount(owner[here], weights=log_base[seen], minlength=n) + m.base(np.array(m.texts))),
+                        pa.array(np.bincount(owner[here], weights=log_inner[seen], minlength=n) + m.end_emission()),
+                        pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(whole.tobytes())]).cast(pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[far], minlength=n))]), pa.int32()), pa.array(codes[far].view(np.int64))),
+                    ],
+                    names=["who", "learnt", "row", "n_tokens", "n_known", "base", "inner", "classes", "far"],
+                )
+                key += n
+
+    who = docs.schema["who"].dataType.simpleString()
+    columns = f"who {who}, learnt boolean, row long, n_tokens long, n_known long, base double, inner double, classes binary, far array<long>"
+    texts = stored(docs.select("who", "learnt", "t").mapInArrow(near, columns), "lm-near")
+    # The rarer words of each text, once each, with what the corpus knows of them.
+    wanted = texts.select("row", F.explode(F.array_distinct("far")).alias("code"))
+    found = wanted.join(words.where(F.col("n") < model.tokens * LOCAL_SHARE), "code").groupBy("row").agg(F.collect_list(F.struct("code", "n", "own")).alias("found"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            far, found = batch.column("far"), batch.column("found")
+            codes = np.asarray(far.flatten()).view(np.uint64)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(far.value_lengths()).astype(np.int64))
+            held = found.flatten()
+            key = np.asarray(held.field("code")).view(np.uint64)
+            distinct, first = np.unique(key, return_index=True)
+            counts, classes = np.zeros(len(codes), np.int64), m.ending_class(codes)
+            if len(distinct):
+                at = np.minimum(np.searchsorted(distinct, codes), len(distinct) - 1)
+                known = distinct[at] == codes
+                counts[known] = np.asarray(held.field("n"))[first][at[known]]
+                own = np.asarray(held.field("own").fill_null(-1))[first][at[known]]
+                classes[known] = np.where(own >= 0, own, classes[known])
+            whole = batch.column("classes").cast(pa.large_binary())
+            offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+            flat = np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy() if len(whole) else np.zeros(0, np.uint8)
+            flat[flat == GAP] = classes
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("who"), batch.column("learnt"), batch.column("n_tokens"),
+                    pa.array(np.asarray(batch.column("n_known")) + np.bincount(owner[counts > 0], minlength=n)),
+                    pa.array(np.asarray(batch.column("base")) + np.bincount(owner, weights=m.base(counts), minlength=n)),
+                    pa.array(np.asarray(batch.column("inner")) + np.bincount(owner, weights=m.emission(codes, counts, classes), minlength=n)),
+                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets - offsets[0] if n else np.zeros(1, np.int64)), pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
+                ],
+                names=["who", "learnt", "n_tokens", "n_known", "base", "inner", "classes"],
+            )
+
+    return texts.join(found, "row", "left").mapInArrow(fill, f"who {who}, learnt boolean, n_tokens long, n_known long, base double, inner double, classes binary")
+
+
+def steps_of(batch: pa.RecordBatch, end_class: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class before and class of every token of a batch of class_sequences(), and where each row's tokens begin (and end)."""
+    whole = batch.column("classes").cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    after = np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64) if len(whole) else np.zeros(0, np.int64)
+    offsets = offsets - offsets[0]
+    before = np.concatenate([[end_class], after[:-1]]) if len(after) else after
+    before[offsets[:-1]] = end_class  # every row has its end at least
+    return before, after, offsets
+
+
+def transitions(sequences: DataFrame, model: Model) -> np.ndarray:
+    """log10 P(class | class before) from the sequences that are learnt from."""
+    n, end = len(model.mass), model.end_class
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(n * n)
+        for batch in batches:
+            before, after, _ = steps_of(batch, end)
+            cells += np.bincount(before * n + after, minlength=n * n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(cells.astype(np.int64))], names=["cell", "n"])
+
+    got = sequences.where("learnt").select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    follows = np.zeros(n * n)
+    follows[np.asarray(got["cell"])] = np.asarray(got["n"])
+    follows = follows.reshape(n, n)
+    return np.log10((follows + 0.5) / (follows.sum(axis=1, keepdims=True) + 0.5 * n))
 
 
 def class_lm(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,10 +402,20 @@ def class_lm(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     Learns from the documents that are not held out and scores all. base_score is an add-0.1 unigram model's, score the
     class model's log10 probability of the text. Null and empty texts are one token, the end. Without training
     documents, all words are unseen and base_score is 0. Null ids are carried; rows are scored each for itself, so
-    repeated rows get equal scores (and count twice where they are learnt from). Very long texts are scored whole. Equal
-    counts cause no ties that show. An empty table gives an empty table. Of other columns only those in held_out are read.
+    repeated rows get equal scores (and count twice where they are learnt from). Very long texts are scored whole. A word
+    that fits several classes equally takes the first. An empty table gives an empty table. Of other columns only those in
+    held_out are read.
     """
-    flagged = docs.select(F.struct(F.col(id_col).alias("id"), held_out.alias("held_out")).alias("who"), F.col(text_col).alias("t"))
-    model, counts = train(flagged.where("NOT who.held_out").select("t"))
-    out = score(flagged, model, counts, "who", "t")
+    flagged = docs.select(F.struct(F.col(id_col).alias("id"), held_out.alias("held_out")).alias("who"), F.coalesce(~held_out, F.lit(False)).alias("learnt"), F.col(text_col).alias("t"))
+    model, words = train(flagged.where("learnt").select("t"))
+    sequences = stored(class_sequences(flagged, model, words), "lm-sequences")
+    logs, end = transitions(sequences, model), model.end_class
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, after, offsets = steps_of(batch, end)
+            path = np.add.reduceat(logs[before, after], offsets[:-1]) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("who", "n_tokens", "n_known", "base")), pa.array(path + np.asarray(batch.column("inner")))], names=["who", "n_tokens", "n_known", "base_score", "score"])
+
+    out = sequences.mapInArrow(add_up, f"who {sequences.schema['who'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("who.id").alias(id_col), F.col("who.held_out").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
