@@ -35,18 +35,105 @@ def test_base_scores(docs, texts):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_probabilities_add_up(docs):
-    model, counts = brown.train(docs.select("text"))
-    units = model.classes
-    for before in range(model.transition.shape[0]):
-        assert abs((10 ** (model.transition[before, units] + model.emission)).sum() - 1) < 1e-9
-    known = {r.code: r.n for r in counts.collect()}
-    singles = set(model.units.words.view(np.int64).tolist())
-    for ending in np.unique([c & (brown.ENDINGS - 1) for c in known])[:50]:
-        inside = [n for c, n in known.items() if c not in singles and c & (brown.ENDINGS - 1) == ending]
-        if inside:
-            shares = 10 ** brown.inner_scores(model)(np.full(len(inside), ending), np.array(inside))
-            assert abs(shares.sum() + brown.unseen_share(model)[ending] - 1) < 1e-6
+def code_of(word: bytes) -> int:
+    return int(next(brown.coded(b) for b in brown.split_words(pa.array([word.decode()]), brown.lower_ascii))[0])
+
+
+@pytest.fixture(scope="module")
+def little(spark, texts):
+    """A small corpus's model, its words' classes and its texts' sequences, with most words looked up by the join."""
+    keep = brown.UNIT_SHARE, brown.LOCAL_SHARE
+    brown.UNIT_SHARE, brown.LOCAL_SHARE = 0.02, 0.005
+    rows = [(i, t) for i, t in texts if len(t or "") < 5000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
+    model, table = brown.train(docs.where(~held).select("text"), n_classes=8)
+    flagged = docs.select(F.col("doc_id").alias("who"), (~held).alias("learnt"), F.col("text").alias("t"))
+    model.transition = brown.transitions(brown.class_sequences(flagged, model, table).cache(), model)
+    scores = brown.class_lm(docs, held).collect()
+    default, default_table = brown.train(docs.where(~held).select("text"))
+    default.transition = brown.transitions(brown.class_sequences(flagged, default, default_table), default)
+    tables = table.collect(), default_table.collect()
+    brown.UNIT_SHARE, brown.LOCAL_SHARE = keep
+    return rows, model, tables[0], default, tables[1], scores
+
+
+def class_of(model, table):
+    """The class of any word, and the training count of its code, in plain Python."""
+    units = {int(c): k for k, c in enumerate(model.units.words)}
+    known = {r.code % 2**64: r for r in table}
+
+    def find(word):
+        code = code_of(word)
+        if code in units:
+            return int(model.classes[units[code]]), known[code].n
+        if code in known:
+            return known[code].own, known[code].n
+        return int(model.classes[len(units) + code % brown.ENDINGS]), 0
+
+    return find
+
+
+def test_probabilities_add_up(little):
+    _, model, table, *_ = little
+    assert np.allclose((10**model.transition).sum(axis=1), 1)
+    codes, n = np.array([r.code for r in table]).view(np.uint64), np.array([r.n for r in table])
+    unit = model.units.of(codes)
+    classes = np.array([model.classes[u] if r.own is None else r.own for u, r in zip(unit, table, strict=True)])
+    assert all((r.own is None) == (u < len(model.units.words)) for u, r in zip(unit, table, strict=True))
+    shares = np.bincount(classes, weights=10 ** model.emission(codes, n, classes), minlength=8)
+    endings = np.arange(brown.ENDINGS).astype(np.uint64)
+    of = model.ending_class(endings)
+    shares += np.bincount(of, weights=10 ** model.emission(endings, np.zeros(brown.ENDINGS), of), minlength=8)
+    shares[model.end_class] += 10 ** model.end_emission()
+    assert np.allclose(shares, 1)
+
+
+def test_scores_by_hand(little):
+    """Transitions counted, and every text scored, word by word in plain Python."""
+    rows, _, _, model, table, scores = little
+    find, follows = class_of(model, table), Counter()
+    for i, t in rows:
+        if i is None or i % 5:
+            path = [model.end_class, *(find(w)[0] for w in words(t)), model.end_class]
+            follows.update(zip(path, path[1:], strict=False))
+    n = len(model.mass)
+    log = lambda a, b: math.log10((follows[a, b] + 0.5) / (sum(follows[a, c] for c in range(n)) + 0.5 * n))
+    assert all(abs(log(a, b) - model.transition[a, b]) < 1e-9 for a in range(n) for b in range(n))
+    want = Counter()
+    for i, t in rows:
+        before, total = model.end_class, 0.0
+        for w in words(t):
+            c, k = find(w)
+            total += log(before, c) + math.log10((k or model.unseen[code_of(w) % brown.ENDINGS]) / model.mass[c])
+            before = c
+        total += log(before, model.end_class) + math.log10((model.texts + 0.1) / model.mass[model.end_class])
+        want[i, round(total, 5)] += 1
+    assert Counter((r.doc_id, round(r.score, 5)) for r in scores) == want
+
+
+def test_every_training_word_chooses_its_class(little):
+    """Of all classes, the one in which the word's neighbours raise the likelihood most."""
+    rows, model, table, *_ = little
+    units = {int(c): k for k, c in enumerate(model.units.words)}
+    unit = lambda w: units.get(code_of(w), len(units) + code_of(w) % brown.ENDINGS)
+    follows, near = np.zeros((8, 8)), {}
+    for i, t in rows:
+        if i is None or i % 5:
+            ws = words(t)
+            path = [model.units.end, *(unit(w) for w in ws), model.units.end]
+            cls = [int(model.classes[u]) for u in path]
+            for a, b in zip(cls, cls[1:], strict=False):
+                follows[a, b] += 1
+            for k, w in enumerate(ws):
+                if unit(w) >= len(units):
+                    near.setdefault(w, []).append((cls[k], cls[k + 2]))
+    mass = follows.sum(axis=1)
+    own = {r.code % 2**64: r.own for r in table}
+    assert len(near) > 20
+    for w, around in near.items():
+        gain = [sum(math.log(follows[a, c] + 0.5) + math.log(follows[c, b] + 0.5) - 2 * math.log(mass[c] + 1) for a, b in around) for c in range(8)]
+        assert gain[own[code_of(w)]] >= max(gain) - 1e-6
 
 
 def test_exchange_raises_likelihood():
