@@ -1,11 +1,15 @@
-"""Recompression of word sequences, and the interior symbols that equal windows share.
+"""Recompression of word sequences: long symbols, and the interior symbols that equal windows share.
 
 Rounds of recompression name maximal runs of a word, then pairs of neighbouring symbols: a hash deals symbols to a left
 and a right half, anew in each round, and every left symbol followed by a right one becomes one symbol. Names are
-fingerprints of what they stand for, so equal substrings get equal names in every task of the cluster, and naming needs
-no exchange; the exchanges are those that compare the names.
+fingerprints of what they stand for, so equal substrings get equal names in every task of the cluster; what a symbol of
+a high level stands for, Spark compares by a digest of the words themselves.
 
-Every symbol carries the words that decided it: its own and those of neighbours that were looked at. Where all of them
+A repeated passage is cut into the same symbols wherever it stands, but for its margins. long_symbols() gives symbols of
+high levels, those that reach a number of words first: equal ones reveal long repeats. For the margins, and for repeats
+too short to hold such a symbol, window_anchors() gives each window a low symbol inside it.
+
+Every low symbol carries the words that decided it: its own and those of neighbours that were looked at. Where all of them
 lie within a window, the symbol is interior to the window, and any other place with the same words has it too. A
 window's anchor is, of its interior symbols of the highest level that has one, the one that comes first in a hash order
 (failing all levels, the window itself). Equal windows have equal anchors, so only windows with a shared anchor can
@@ -18,8 +22,11 @@ import numpy as np
 
 from terracut.llm.words import fold_range, mix, range_sums, windows
 
-#: Rounds of pairing. A symbol of level 2 spans two words or more and is decided by about five.
+#: Rounds of pairing for anchors. A symbol of level 2 spans two words or more and is decided by about five.
 LEVELS = 2
+#: Rounds of pairing for long symbols (each leaves three quarters of the symbols), their least lengths in windows, and so
+#: how often a place is within one: a symbol of 13 words or more has about 20, of 208 or more about 300.
+LONG_LEVELS, LONG_WINDOWS = 24, (1, 4, 16)
 
 
 def named_runs(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,10 +44,19 @@ def named_runs(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return name, at - 1, end + 1, first[at]
 
 
+def is_right(name: np.ndarray, salt: int) -> np.ndarray:
+    """Whether a symbol is of the right half in the round of this number."""
+    return (mix(name ^ np.uint64(0x9E3779B97F4A7C15 * (2 * salt + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(bool)
+
+
+def pair_name(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    return mix(left * np.uint64(0x8CB92BA72F3D8DD7) + mix(right + np.uint64(salt)))
+
+
 def paired(name: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One round: left symbols followed by right ones become one symbol."""
     n = len(name)
-    right = (mix(name ^ np.uint64(0x9E3779B97F4A7C15 * (2 * salt + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(bool)
+    right = is_right(name, salt)
     joined = np.zeros(n + 1, bool)  # joined[i]: i - 1 and i are one
     joined[1:n] = ~right[:-1] & right[1:] & ~first[1:]
     after, before = joined[1:], joined[:-1]
@@ -55,11 +71,42 @@ def paired(name: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray,
     both = np.flatnonzero(after)
     new_hi[both] = hi[both + 1]
     new_name = name.copy()
-    new_name[both] = mix(name[both] * np.uint64(0x8CB92BA72F3D8DD7) + mix(name[both + 1] + np.uint64(salt)))
+    new_name[both] = pair_name(name[both], name[both + 1], salt)
     keep = ~before
     return new_name[keep], new_lo[keep], new_hi[keep], first[keep]
 
 
+def long_symbols(codes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start (word number) and number of words of the long symbols: for each least length, those that reach it first."""
+    n, counts = len(codes), np.diff(offsets)
+    starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first = np.zeros(n, bool)
+    first[offsets[:-1][counts > 0]] = True
+    name, lo, _, first = named_runs(codes, first) if n else (codes, offsets[:0], None, first)
+    begin = lo + 1
+    size = np.diff(np.append(begin, n))
+    largest = np.zeros(len(begin), np.int64)  # of a symbol's parts
+    for level in range(LONG_LEVELS + 1):
+        for least in LONG_WINDOWS:
+            new = np.flatnonzero((size >= least * width) & (largest < least * width))
+            starts.append(begin[new])
+            sizes.append(size[new])
+        if level == LONG_LEVELS or len(begin) <= 1:
+            break
+        right = is_right(name, LEVELS + level)
+        after = np.zeros(len(name), bool)  # joined with the next symbol
+        after[:-1] = ~right[:-1] & right[1:] & ~first[1:]
+        keep = np.ones(len(name), bool)
+        keep[1:] = ~after[:-1]
+        both = np.flatnonzero(after)
+        name, largest = name.copy(), size.copy()
+        largest[both] = np.maximum(size[both], size[both + 1])
+        name[both] = pair_name(name[both], name[both + 1], LEVELS + level)
+        name, largest, begin, first = name[keep], largest[keep], begin[keep], first[keep]
+        size = np.diff(np.append(begin, n))
+    return np.concatenate(starts), np.concatenate(sizes)
+
+
 def least_of_ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Minima of values[lo:hi], none empty, from minima of runs of 1, 2, 4, ... values."""
     length = hi - lo
@@ -103,15 +150,18 @@ def window_anchors(codes: np.ndarray, offsets: np.ndarray, width: int, levels: i
     return starts, chosen
 
 
-def anchor_runs(codes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(codes: np.ndarray, offsets: np.ndarray, width: int, skipped: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, anchor, first window (word number) and number of windows of every run of neighbouring windows of one anchor.
 
-    A run longer than width, as equal words in a row give, is cut.
+    A run longer than width, as equal words in a row give, is cut. skipped: word numbers whose windows are left out.
     """
     starts, anchors = window_anchors(codes, offsets, width)
+    if skipped is not None:
+        left = ~skipped[starts]
+        starts, anchors = starts[left], anchors[left]
     owner = np.searchsorted(offsets, starts, "right") - 1
     head = np.ones(len(starts), bool)
-    head[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+    head[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, len(starts)))
     pieces = -(-size // width)
