@@ -194,6 +194,44 @@ def test_substring_dedup_one_id_two_texts(spark):
     assert got == without_repeats(rows, 13)
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    """Thousands of rows of one id, of one text or of several, take time in proportion to their number."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    text = say(200)
+    texts = [f"{say(20)} {text[: 40 * (i % 30)]} {say(5)}" for i in range(400)]
+    rows = [(1, text)] + [(2, text)] * 8000 + [(3, t) for t in texts]
+    got = Counter(tuple(r) for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == without_repeats(rows, 13)
+
+
+def test_long_repeats_are_found_by_long_symbols(spark, texts):
+    """Every equal passage is cut into equal long symbols but for its margins; symbols of one digest have the same words."""
+    rng = random.Random(13)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(400))
+    rows = [(i, f"{' '.join(f'x{rng.randrange(10**6)}' for _ in range(rng.randint(0, 60)))} {passage}  \t{'tail ' * i}") for i in range(12)] + texts
+    docs = spark.createDataFrame(rows, "id long, t string").where("id IS NOT NULL").withColumn("hash", F.xxhash64("t"))
+    split, words_of, covered = {}, {}, Counter()
+    for i, t in rows:
+        split.setdefault(i, []).append((t or "").encode().split())
+    symbols = substrings.symbols_of(docs, 13).collect()
+    for r in symbols:
+        assert r.n >= 13
+        cut = {tuple(w[r.start : r.start + r.n]) for w in split[r.id]}
+        words_of.setdefault((r.d1, r.d2), cut)
+        assert words_of[r.d1, r.d2] & cut
+    ids = {}
+    for r in symbols:
+        ids.setdefault((r.d1, r.d2), set()).add(r.id)
+    for i in range(1, 12):
+        spots = set()
+        for r in symbols:
+            if r.id == i and min(ids[r.d1, r.d2]) < i:
+                spots |= set(range(r.start, r.start + r.n))
+        covered[i] = len(spots)
+    assert min(covered.values()) > 200, covered
+
+
 def test_equal_windows_have_equal_anchors(texts):
     anchors: dict[int, int] = {}
     many = pa.array([t for _, t in texts] * 2)
