@@ -29,14 +29,15 @@ def associate(elevations: DataFrame, points: DataFrame, kinds: DataFrame, max_di
     contours alone, spots and floor levels at proposed ones, if the sheet has any at all: a preferred contour too far away
     is not replaced by another. Ties go to the smaller poly_seq, then to the earlier step.
 
-    Steps go to the buckets of max_dist that their box, grown by max_dist, touches, so callouts meet near steps only.
+    Steps go to the buckets (of three times max_dist) that their box, grown by max_dist, touches, so callouts meet near steps only.
     """
+    cell = 3 * max_dist
     has = kinds.groupBy("sheet_id").agg(*[F.coalesce(F.bool_or(F.col("kind").isin(k)), F.lit(False)).alias(name) for name, k in (("has_topo", TOPO), ("has_existing", ["existing"]), ("has_proposed", ["proposed"]))])
     usable = kinds.join(has, "sheet_id").where(~F.col("has_topo") | F.col("kind").isin(TOPO)).select("sheet_id", "poly_seq", F.col("kind").alias("poly_kind"), "has_topo", "has_existing", "has_proposed")
     steps = polyline_segments(points).join(usable, ["sheet_id", "poly_seq"])
     for v, a, b in (("__bx", "x1", "x2"), ("__by", "y1", "y2")):
-        steps = steps.withColumn(v, around(F.least(a, b) - max_dist, F.greatest(a, b) + max_dist, max_dist))
-    e = elevations.select("sheet_id", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "kind", bucket(F.col("x"), max_dist).alias("__bx"), bucket(F.col("y"), max_dist).alias("__by"))
+        steps = steps.withColumn(v, around(F.least(a, b) - max_dist, F.greatest(a, b) + max_dist, cell))
+    e = elevations.select("sheet_id", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "kind", bucket(F.col("x"), cell).alias("__bx"), bucket(F.col("y"), cell).alias("__by"))
     prefer = F.when((F.col("kind") == "existing_match") & F.col("has_existing"), "existing").when(F.col("kind").isin("spot", "ffe") & F.col("has_proposed"), "proposed")
     met = e.join(steps, ["sheet_id", "__bx", "__by"]).where(F.coalesce(F.col("poly_kind") == prefer, prefer.isNull()))
     fx, fy = foot_on_segment(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])

@@ -50,24 +50,26 @@ def dedupe(callouts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Of callouts at nearly one place with nearly one value, the surest (then first) stays; decided greedily in that order.
 
     A callout is dropped only by one that stays, so the order of decisions matters and is kept: conflicts only reach
-    `same_place`, hence a sheet's callouts are split into chains of conflicting neighbours (x-sorted runs with gaps below
-    `same_place`), and each chain is decided by itself.
+    `same_place` in x and y and `same_value_ft` in value, hence a sheet's callouts are cut where neighbours in value, then in
+    x, then in y, then in x again stand farther apart, and each piece is decided by itself.
     """
-    by_x = W.partitionBy("sheet_id").orderBy("x", "seq")
-    gap = F.when(F.col("x") - F.lag("x").over(by_x) < params.same_place, 0).otherwise(1)
-    columns = callouts.columns
-    chains = callouts.withColumn("chain", F.sum(gap).over(by_x.rowsBetween(W.unboundedPreceding, 0)))
-
-    def decide(chain: pd.DataFrame) -> pd.DataFrame:
-        chain = chain.sort_values(["confidence", "seq"], ascending=[False, True], kind="stable")
-        x, y, v = (chain[c].to_numpy() for c in ("x", "y", "value_ft"))
-        kept = np.zeros(len(chain), bool)
-        for i in range(len(chain)):
+    columns, pieces, keys = callouts.columns, callouts, ["sheet_id"]
+    for k, (name, reach) in enumerate((("value_ft", params.same_value_ft), ("x", params.same_place), ("y", params.same_place), ("x", params.same_place))):
+        order = W.partitionBy(*keys).orderBy(name, "seq")
+        gap = F.when(F.col(name) - F.lag(name).over(order) < reach, 0).otherwise(1)
+        pieces = pieces.withColumn(f"__cut{k}", F.sum(gap).over(order.rowsBetween(W.unboundedPreceding, 0)))
+        keys.append(f"__cut{k}")
+
+    def decide(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values(["confidence", "seq"], ascending=[False, True], kind="stable")
+        x, y, v = (piece[c].to_numpy() for c in ("x", "y", "value_ft"))
+        kept = np.zeros(len(piece), bool)
+        for i in range(len(piece)):
             k = np.flatnonzero(kept[:i])
             kept[i] = not ((np.abs(x[k] - x[i]) < params.same_place) & (np.abs(y[k] - y[i]) < params.same_place) & (np.abs(v[k] - v[i]) < params.same_value_ft)).any()
-        return chain.loc[kept, columns]
+        return piece.loc[kept, columns]
 
-    return chains.groupBy("sheet_id", "chain").applyInPandas(decide, callouts.schema)
+    return pieces.groupBy(*keys).applyInPandas(decide, callouts.schema)
 
 
 def collapse_pad_levels(callouts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -87,10 +89,18 @@ def drop_outliers(callouts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return callouts.join(stats, "sheet_id").where((F.col("__n") < params.outlier_least) | (F.abs(F.col("value_ft") - F.col("__m")) <= params.outlier_ft)).select(*callouts.columns)
 
 
-def elevations(spans: DataFrame, sheets: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Clean callouts of all sheets (sheet_id, role, drawing_bbox, chrome_bboxes): read, deduped, collapsed, without outliers."""
+def elevations(spans: DataFrame, sheets: DataFrame, params: Params = DEFAULTS, recognised: DataFrame | None = None) -> DataFrame:
+    """Clean callouts of all sheets (sheet_id, role, drawing_bbox, chrome_bboxes): read, deduped, collapsed, without outliers.
+
+    recognised: texts read from pixels (sheet_id, seq, text, x, y, score). Those in the drawing join in on sheets whose spans
+    give fewer than ocr_below callouts. Their seq must differ from the spans'.
+    """
     placed = spans.join(sheets.select("sheet_id", "role", "drawing_bbox", "chrome_bboxes"), "sheet_id")
     read = read_elevations(placed, F.col("role"), params, F.col("drawing_bbox"), F.col("chrome_bboxes"))
+    if recognised is not None:
+        rich = read.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= params.ocr_below).select("sheet_id")
+        seen = recognised.join(sheets.select("sheet_id", "role", "drawing_bbox"), "sheet_id").where(in_bbox(F.col("x"), F.col("y"), F.col("drawing_bbox"))).join(rich, "sheet_id", "left_anti")
+        read = read.unionByName(ocr_elevations(seen, F.col("role"), params))
     one = dedupe(read, params)
     roles = sheets.select("sheet_id", "role")
     existing = one.join(roles.where("role = 'existing'"), "sheet_id", "left_semi")

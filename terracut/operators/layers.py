@@ -32,6 +32,42 @@ def view_windows(layout: DataFrame, site: DataFrame, scale: float = 1.0, pad: fl
     return t.select("sheet_id", lo("x0").alias("x0"), hi("x1", "width_px").alias("x1"), lo("y0").alias("y0"), hi("y1", "height_px").alias("y1"))
 
 
+def display_scale(width: Column, most: Column) -> Column:
+    """The factor that makes a page no wider than most pixels; 1 where it is not."""
+    return F.when(width <= most, 1.0).otherwise(most / width)
+
+
+def contour_notes(kinds: DataFrame, counts: DataFrame, dropped: DataFrame) -> DataFrame:
+    """sheet_id, existing_vs_proposed, notes: how a sheet's contours came about, as text.
+
+    kinds: sheet_id, poly_seq, kind (of the contours that stay). counts: raster.contour_counts() with seeds_tried. dropped:
+    sheet_id, style_drop, rejected (strokes that were no contours).
+    """
+    n = kinds.groupBy("sheet_id").agg(F.count_if(F.col("kind") == "existing").alias("existing"), F.count_if(F.col("kind") == "proposed").alias("proposed"))
+    t = counts.join(n, "sheet_id", "left").join(dropped, "sheet_id", "left").fillna(0, ["existing", "proposed", "style_drop", "rejected"])
+    text = lambda c: F.col(c).cast("string")
+    mean = F.format_string("%.0f", F.bround(F.coalesce("mean_length", F.lit(0.0)), 0))
+    told = F.concat(
+        F.lit("existing="), text("existing"), F.lit(", proposed="), text("proposed"), F.lit("; seeded="), text("seeds_hit"), F.lit("/"), text("seeds_tried"), F.lit(", closed="), text("closed"), F.lit(", open="), text("open"),
+        F.lit(", mean_len="), mean, F.lit("px, fallback="), text("fallback"), F.lit(", style_drop="), text("style_drop"),
+    )
+    lost = F.col("style_drop") + F.col("rejected")
+    notes = F.array_compact(F.array(
+        F.when(lost > 0, F.concat(F.lit("dropped "), lost.cast("string"), F.lit(" strokes that are no contours"))),
+        F.concat(F.lit("contours: seeds_hit="), text("seeds_hit"), F.lit(", closed="), text("closed"), F.lit(", mean_length="), mean, F.lit("px, fallback="), text("fallback")),
+    ))
+    return t.select("sheet_id", told.alias("existing_vs_proposed"), notes.alias("notes"))
+
+
+def fused_status(volumes: DataFrame, samples: DataFrame, least_points: int = 3) -> DataFrame:
+    """site_id, cut_fill (fused or failed), existing_vs_proposed, warnings of two sheets' volumes. samples: of fuse_samples()."""
+    n = samples.groupBy("site_id").agg(*[F.count_if(F.col("surface") == s).alias(s) for s in ("existing", "proposed")])
+    t = volumes.select("site_id", "ok").join(n, "site_id", "left").fillna(0, ["existing", "proposed"])
+    told = lambda a, b: F.concat(F.lit(a), F.col("existing").cast("string"), F.lit(b), F.col("proposed").cast("string"))
+    warnings = F.array_compact(F.array(told("fused surfaces: existing_pts=", ", proposed_pts="), F.when(F.col("existing") < least_points, "few existing-surface samples even when fused")))
+    return t.select("site_id", F.when(F.col("ok"), "fused").otherwise("failed").alias("cut_fill"), told("fused existing_pts=", ", proposed_pts=").alias("existing_vs_proposed"), warnings.alias("warnings"))
+
+
 def stage_status(s: DataFrame) -> DataFrame:
     """sheet_id, status (map), warnings (array). s: sheet_id, role, scale_source, n_legend, n_elevations, n_property, n_building,
     n_polylines, n_associations, n_existing_samples, computed (volumes wanted), ok (volumes found)."""

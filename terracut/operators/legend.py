@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,13 +42,17 @@ def folded(rows: DataFrame) -> DataFrame:
 def legends(spans: DataFrame, layout: DataFrame) -> DataFrame:
     """sheet_id, seq, name, symbol_hint, source, bbox of every sheet's legend.
 
-    Known labels that only stand elsewhere on the sheet follow, unless an entry holds them or they hold an entry. Of names
-    that hold one another, the later one goes if it is part of an earlier one of similar length.
+    Known labels that only stand elsewhere on the sheet follow, unless an entry holds them or they hold an entry. Their box is
+    that of the first span that holds them; a label that runs over neighbouring spans has none. Of names that hold one
+    another, the later one goes if it is part of an earlier one of similar length.
     """
     entries = folded(panel_rows(spans, layout))
-    upper = spans.select("sheet_id", "seq", F.upper("text").alias("t"), "bbox_px")
+    upper = spans.select("sheet_id", "seq", F.coalesce(F.upper("text"), F.lit("")).alias("own"), "bbox_px")
+    # Spans are put together with a space, so a label runs over as many spans as it has words at most.
+    ahead = W.partitionBy("sheet_id").orderBy("seq").rowsBetween(0, max(len(name.split(" ")) for name in T.KNOWN_LABELS) - 1)
+    upper = upper.withColumn("t", F.concat_ws(" ", F.collect_list("own").over(ahead)))
     labels = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("label")) for i, name in enumerate(T.KNOWN_LABELS)])
-    found = upper.withColumn("l", F.explode(F.filter(labels, lambda l: F.contains(F.col("t"), l["label"])))).groupBy("sheet_id", "l").agg(F.min_by("bbox_px", "seq").alias("bbox"))
+    found = upper.withColumn("l", F.explode(F.filter(labels, lambda l: F.contains(F.col("t"), l["label"])))).groupBy("sheet_id", "l").agg(F.min_by("bbox_px", F.when(F.contains(F.col("own"), F.col("l.label")), F.col("seq"))).alias("bbox"))
     extra = found.groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("l.place", "l.label", "bbox"))).alias("extra"))
     both = spans.select("sheet_id").distinct().join(entries, "sheet_id", "left").join(extra, "sheet_id", "left")
     entry = F.coalesce("entries", F.array().cast(f"array<{ENTRY}>"))
@@ -77,3 +81,30 @@ def rejected_styles(legend: DataFrame) -> DataFrame:
     u = F.upper("name")
     more = F.when(F.contains(u, F.lit("SIDEWALK")) | F.contains(u, F.lit("HEAVY")), "hatch").when(F.contains(u, F.lit("CURB CUT")), "symbol")
     return legend.groupBy("sheet_id").agg(F.array_sort(F.array_union(F.array(F.lit("property_dashdot"), F.lit("building_solid")), F.collect_set(more))).alias("styles"))
+
+
+def has_label(key: str) -> Column:
+    """Whether any name of a legend (aggregated over its rows) holds the key."""
+    return F.coalesce(F.bool_or(F.contains(F.upper("name"), F.lit(key))), F.lit(False))
+
+
+def icon_boxes(legend: DataFrame, layout: DataFrame, sheets: DataFrame) -> DataFrame:
+    """sheet_id, seq, name, icon: the box of pixels (half open) left of each entry's label that shows its symbol; null if too small.
+
+    The box keeps to the legend's panel where there is one. layout: sheet_id, legend_bbox; sheets: sheet_id, height_px.
+    """
+    b, panel = F.col("bbox"), F.col("legend_bbox")
+    t = legend.where("bbox IS NOT NULL").join(layout.select("sheet_id", "legend_bbox"), "sheet_id", "left").join(sheets.select("sheet_id", "height_px"), "sheet_id")
+    tall, wide = F.greatest(F.lit(18.0), b["y1"] - b["y0"]), F.greatest(F.lit(48.0), F.least(F.lit(140.0), (b["x1"] - b["x0"]) * 0.9))
+    whole = lambda v: v.cast("int")
+    t = t.withColumn("ix0", whole(F.greatest(F.lit(0.0), b["x0"] - wide - 8))).withColumn("iy0", whole(F.greatest(F.lit(0.0), b["y0"] - tall * 0.35))).withColumn("iy1", whole(F.least(F.col("height_px").cast("double"), b["y1"] + tall * 0.35)))
+    t = t.withColumn("ix1", whole(F.greatest(F.col("ix0") + 8.0, b["x0"] - 4)))
+    inside = F.struct(F.greatest("ix0", panel["x0"]).alias("x0"), F.greatest("iy0", panel["y0"]).alias("y0"), F.least("ix1", panel["x1"]).alias("x1"), F.least("iy1", panel["y1"]).alias("y1"))
+    return t.withColumn("icon", inside).select("sheet_id", "seq", "name", F.when((F.col("icon.x1") > F.col("icon.x0") + 4) & (F.col("icon.y1") > F.col("icon.y0") + 4), F.col("icon")).alias("icon"))
+
+
+def swatch_rows(icons: DataFrame, gray_rows: DataFrame) -> DataFrame:
+    """sheet_id, name, y, gray: the pixels of icon_boxes(), for raster.swatch_profiles(). gray_rows: sheet_id, y, gray."""
+    i = F.col("icon")
+    rows = icons.where("icon IS NOT NULL").join(gray_rows, "sheet_id").where((F.col("y") >= i["y0"]) & (F.col("y") < i["y1"]))
+    return rows.select("sheet_id", "name", (F.col("y") - i["y0"]).alias("y"), F.substring("gray", i["x0"] + 1, i["x1"] - i["x0"]).alias("gray"))

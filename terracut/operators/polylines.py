@@ -65,22 +65,29 @@ def strided(points: DataFrame, k: int) -> DataFrame:
     return points.withColumn("__n", n).where(F.col("pos") % stride(F.col("__n"), k) == 0).drop("__n")
 
 
-def near_shares(points: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def near_shares(points: DataFrame, params: Params = DEFAULTS, groups: DataFrame | None = None) -> DataFrame:
     """KEY, other_seq, share: the part of a polyline's samples that lie within redundant_reach of another's vertices.
 
-    Samples meet the vertices in their 3 x 3 buckets; each sample counts once for each other polyline.
+    Samples meet the vertices in the buckets within reach; each sample counts once for each other polyline. groups: KEY,
+    group, primary: then polylines that are not their group's primary meet that one alone.
     """
-    cell = params.redundant_reach
+    reach, cell = params.redundant_reach, 3 * params.redundant_reach
     n = F.count(F.lit(1)).over(W.partitionBy(*KEY))
-    sized = points.withColumn("__n", n).where("__n >= 2")
-    samples = sized.where(F.col("pos") % stride(F.col("__n"), params.redundant_samples) == 0)
-    samples = samples.withColumn("samples", F.count(F.lit(1)).over(W.partitionBy(*KEY))).select(*KEY, "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "samples")
-    vertices = sized.select("sheet_id", F.col("poly_seq").alias("other_seq"), F.col("x").cast("double").alias("vx"), F.col("y").cast("double").alias("vy"))
-    vertices = vertices.withColumn("__bx", around(F.col("vx") - cell, F.col("vx") + cell, cell)).withColumn("__by", around(F.col("vy") - cell, F.col("vy") + cell, cell))
-    met = samples.withColumn("__bx", bucket(F.col("x"), cell)).withColumn("__by", bucket(F.col("y"), cell)).join(vertices, ["sheet_id", "__bx", "__by"])
-    met = met.where((F.col("poly_seq") != F.col("other_seq")) & (F.hypot(F.col("x") - F.col("vx"), F.col("y") - F.col("vy")) < cell))
-    near = met.select(*KEY, "other_seq", "pos", "samples").distinct().groupBy(*KEY, "other_seq").agg((F.count(F.lit(1)) / F.first("samples")).alias("share"))
-    return near
+    by = ["sheet_id"]
+    if groups is not None:
+        points, by = points.join(groups, KEY), ["sheet_id", "group"]
+    sized = points.withColumn("__n", n).where("__n >= 2").select(*points.columns, "__n")
+    samples, vertices = sized, sized
+    if groups is not None:
+        samples, vertices = sized.where("poly_seq != primary"), sized.where("poly_seq = primary")
+    samples = samples.where(F.col("pos") % stride(F.col("__n"), params.redundant_samples) == 0)
+    step = stride(F.col("__n"), params.redundant_samples)
+    samples = samples.select(*by, "poly_seq", "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.ceil(F.col("__n") / step).alias("samples"))
+    vertices = vertices.select(*by, F.col("poly_seq").alias("other_seq"), F.col("x").cast("double").alias("vx"), F.col("y").cast("double").alias("vy"))
+    vertices = vertices.withColumn("__bx", around(F.col("vx") - reach, F.col("vx") + reach, cell)).withColumn("__by", around(F.col("vy") - reach, F.col("vy") + reach, cell))
+    met = samples.withColumn("__bx", bucket(F.col("x"), cell)).withColumn("__by", bucket(F.col("y"), cell)).join(vertices, [*by, "__bx", "__by"])
+    met = met.where((F.col("poly_seq") != F.col("other_seq")) & (F.hypot(F.col("x") - F.col("vx"), F.col("y") - F.col("vy")) < reach))
+    return met.groupBy(*KEY, "other_seq", "samples").agg((F.count_distinct("pos") / F.col("samples")).alias("share")).drop("samples")
 
 
 def redundant(points: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -91,12 +98,14 @@ def redundant(points: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 def merge_same_level(points: DataFrame, levels: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """KEY of the polylines that stay when those of one elevation (to 0.01) that run along its longest are dropped.
 
-    levels: KEY, z (may be null), length_px. Polylines without an elevation stay; only the longest drops others.
+    levels: KEY, z (may be null), length_px. Polylines without an elevation stay; only the longest drops others, so only
+    its vertices are looked at.
     """
     order = W.partitionBy("sheet_id", "level").orderBy(F.desc("length_px"), "poly_seq")
     ranked = levels.withColumn("level", F.bround("z", 2)).withColumn("primary", F.first("poly_seq").over(order))
-    along = near_shares(points, params).where(F.col("share") >= params.redundant_share).select("sheet_id", "poly_seq", F.col("other_seq").alias("primary"))
-    dropped = ranked.where("level IS NOT NULL AND poly_seq != primary").join(along, ["sheet_id", "poly_seq", "primary"], "left_semi").select(*KEY)
+    alone = F.count(F.lit(1)).over(W.partitionBy("sheet_id", "level")) > 1
+    groups = ranked.where("level IS NOT NULL").withColumn("__more", alone).where("__more").select(*KEY, F.col("level").alias("group"), "primary")
+    dropped = near_shares(points, params, groups).where(F.col("share") >= params.redundant_share).select(*KEY)
     return ranked.select(*KEY).join(dropped, KEY, "left_anti")
 
 

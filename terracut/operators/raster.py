@@ -84,7 +84,7 @@ def select_seeds(elevations: DataFrame, pixels: DataFrame, roles: DataFrame, wid
     e = e.select("sheet_id", "seq", "kind", F.col("value_ft").alias("z"), "x", "y", "reach", around(F.col("x") - wide, F.col("x") + wide, wide).alias("bx"))
     e = e.withColumn("by", around(F.col("y") - wide, F.col("y") + wide, wide))
     p = pixels.select("sheet_id", F.col("x").alias("sx"), F.col("y").alias("sy"), bucket(F.col("x"), wide).alias("bx"), bucket(F.col("y"), wide).alias("by"))
-    d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
     met = e.join(p, ["sheet_id", "bx", "by"]).withColumn("distance", d).where("distance <= reach")
     best = met.groupBy("sheet_id", "seq", "kind", "z").agg(F.min(F.struct("distance", "sy", "sx")).alias("b"))
     order = W.partitionBy("sheet_id").orderBy(F.when(F.col("kind") == "existing_match", 0).otherwise(1), "distance", "seq")
@@ -104,3 +104,11 @@ def contour_counts(contours: DataFrame, seeds: DataFrame, close: float = 14.0) -
     shut = (F.col("end_gap") <= close) & (F.col("length_px") > 3 * close)
     c = contours.groupBy("sheet_id").agg(F.count_if(shut).alias("closed"), F.count_if(~shut).alias("open"), F.avg("length_px").alias("mean_length"), F.count_if(F.col("source") == "skeleton_fallback").alias("fallback"))
     return c.join(seeds.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("seeds_hit")), "sheet_id", "left").fillna({"seeds_hit": 0})
+
+
+def component_area_limits(areas: DataFrame, scale: Column, width: Column, height: Column, seeded: bool) -> DataFrame:
+    """The connected parts of ink (areas: area and what scale, width and height name) that may be lines: no specks, and in the search
+    without seeds no filled areas either."""
+    least = F.greatest(F.lit(6), F.floor(10 * scale * scale)) if seeded else F.greatest(F.lit(10), F.floor(18 * scale * scale))
+    fits = F.col("area") >= least
+    return areas.where(fits if seeded else fits & (F.col("area") <= width * height * 0.04))

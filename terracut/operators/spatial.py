@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracut.sources.scratch import kept
+
 
 def bucket(v: Column, cell: float) -> Column:
     return F.floor(v / F.lit(float(cell))).cast("long")
@@ -19,9 +21,10 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     """Pairs of rows that agree on keys and stand within radius of each other in x and in y.
 
     left and right have x and y; right's other columns must have other names than left's, and its own x and y come out as
-    rx and ry. Right rows go to the 3 x 3 buckets around them, so a left row meets each of its partners once.
+    rx and ry. Right rows go to all buckets within radius (three quarters of them to one or two, as buckets are three times
+    as wide), so a left row meets each of its partners once.
     """
-    cell = max(float(radius), 1e-9)
+    cell = max(3 * float(radius), 1e-9)
     r = right.withColumnsRenamed({"x": "rx", "y": "ry"} | {k: f"__{k}" for k in keys})
     r = r.withColumn("__bx", around(F.col("rx") - radius, F.col("rx") + radius, cell)).withColumn("__by", around(F.col("ry") - radius, F.col("ry") + radius, cell))
     on = (bucket(F.col("x"), cell) == F.col("__bx")) & (bucket(F.col("y"), cell) == F.col("__by"))
@@ -31,29 +34,37 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     return left.join(r, on, how).drop("__bx", "__by", *[f"__{k}" for k in keys])
 
 
-def nearest(cells: DataFrame, points: DataFrame, keys: list[str], first: float) -> DataFrame:
+def nearest(cells: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """cells (keys, x, y and others) with the z of the nearest point (keys, px, py, seq, z); ties go to the smallest seq.
 
-    Rounds over growing buckets: with cells and points in buckets of one size, all points within that size of a cell
-    stand in the 3 x 3 buckets around it, so a match no farther than that is final. What is left tries buckets 16 times as
-    large; only cells far from every point go on. Keys without points get null.
+    Each key's first round looks as far as its points are apart on average, in buckets of that size: all points within
+    reach of a cell stand in the 3 x 3 buckets around it, so a match within reach is final. What is left looks four times as
+    far, and only cells far from every point go on. Rounds end when the widest key's reach spans its cells and points.
+    Keys without points get null.
     """
-    box = points.groupBy(*keys).agg(F.min("px").alias("__x0"), F.max("px").alias("__x1"), F.min("py").alias("__y0"), F.max("py").alias("__y1"))
-    reach = F.greatest(F.abs(F.col("x") - F.col("__x0")), F.abs(F.col("x") - F.col("__x1"))) + F.greatest(F.abs(F.col("y") - F.col("__y0")), F.abs(F.col("y") - F.col("__y1")))
-    left = cells.join(box, keys, "left").withColumn("__reach", F.coalesce(reach, F.lit(0.0))).drop("__x0", "__x1", "__y0", "__y1")
-    far = left.agg(F.max("__reach").alias("m")).first().m or 0.0
-    names, done, cell = [c for c in cells.columns], None, float(first)
-    while True:
-        p = points.select(*keys, "px", "py", "seq", "z", bucket(F.col("px"), cell).alias("__px"), bucket(F.col("py"), cell).alias("__py"))
+    names = list(cells.columns)
+    box = lambda t, x, y, n: t.groupBy(*keys).agg(*[f(v).alias(f"{n}{k}{i}") for i, v in enumerate((x, y)) for k, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias(f"{n}n"))
+    both = box(cells, "x", "y", "c").join(box(points, "px", "py", "p"), keys)
+    wide, high = (F.greatest(f"chi{i}", f"phi{i}") - F.least(f"clo{i}", f"plo{i}") for i in (0, 1))
+    own = both.withColumn("wide", wide).withColumn("high", high)
+    # Points of a line are apart by its length over their number.
+    apart = F.greatest(F.sqrt(F.col("wide") * F.col("high") / F.col("pn")), F.greatest("wide", "high") / F.col("pn"), F.lit(1e-9))
+    own = kept(own.select(*keys, apart.alias("__reach"), F.hypot("wide", "high").alias("__far")), "reaches")
+    rounds = own.agg(F.coalesce(F.max(F.ceil(F.log(4.0, F.greatest(F.lit(1.0), F.col("__far") / F.col("__reach"))))), F.lit(0))).first()[0]
+    left, places, done = cells.join(own.drop("__far"), keys, "left"), points.join(own.drop("__far"), keys), None
+    for turn in range(int(rounds) + 1):
+        reach = F.col("__reach") * 4.0**turn
+        at = lambda v, reach=reach: F.floor(v / reach).cast("long")
+        p = places.select(*keys, "px", "py", "seq", "z", at(F.col("px")).alias("__px"), at(F.col("py")).alias("__py"))
         p = p.withColumn("__bx", F.explode(F.sequence(F.col("__px") - 1, F.col("__px") + 1))).withColumn("__by", F.explode(F.sequence(F.col("__py") - 1, F.col("__py") + 1)))
         d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-        met = left.withColumn("__bx", bucket(F.col("x"), cell)).withColumn("__by", bucket(F.col("y"), cell)).join(p, [*keys, "__bx", "__by"], "left")
+        met = left.withColumn("__bx", at(F.col("x"))).withColumn("__by", at(F.col("y"))).join(p, [*keys, "__bx", "__by"], "left")
         best = met.groupBy(*names, "__reach").agg(F.min(F.struct(d2.alias("d2"), F.col("seq"), F.col("z"))).alias("__best"))
-        final = F.coalesce(F.col("__best.d2") <= cell * cell, F.lit(False))
-        last = cell >= far
-        found = best if last else best.where(final)
-        found = found.select(*names, F.col("__best.z").alias("z"))
+        last = turn == rounds
+        if not last:
+            best = kept(best, "nearest")
+        final = F.coalesce(F.col("__best.d2") <= reach * reach, F.lit(False))
+        found = (best if last else best.where(final)).select(*names, F.col("__best.z").alias("z"))
         done = found if done is None else done.unionAll(found)
-        if last:
-            return done
-        left, cell = best.where(~final).select(*names, "__reach"), cell * 16
+        left = best.where(~final).select(*names, "__reach")
+    return done

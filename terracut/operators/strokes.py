@@ -32,12 +32,28 @@ def measured(s: DataFrame) -> DataFrame:
     return s.withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).withColumn("ang", axial_angle(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).select(*SEGMENT)
 
 
+def property_part() -> Column:
+    """Thin, dark and short: a SEGMENT row that may be a dash of a property line."""
+    return (F.col("color0") <= 0.15) & (F.col("w") <= 1.4) & (F.col("len") <= 90)
+
+
+def building_part() -> Column:
+    """Thick and dark: a SEGMENT row that may be of a wall."""
+    return (F.col("color0") <= 0.2) & (F.col("w") >= 1.2) & (F.col("len") >= 10)
+
+
+def near_border(width: Column, height: Column, margin: float) -> Column:
+    """Whether an end of a SEGMENT row stands within margin of the page's edge."""
+    x, y = (F.array(F.col(f"{v}1"), F.col(f"{v}2")) for v in "xy")
+    return F.exists(x, lambda v: (v < margin) | (v > width - margin)) | F.exists(y, lambda v: (v < margin) | (v > height - margin))
+
+
 def property_candidates(s: DataFrame) -> DataFrame:
-    return s.where("color0 <= 0.15 AND w <= 1.4 AND len <= 90")
+    return s.where(property_part())
 
 
 def building_candidates(s: DataFrame) -> DataFrame:
-    return s.where("color0 <= 0.2 AND w >= 1.2 AND len >= 10")
+    return s.where(building_part())
 
 
 def chains(s: DataFrame, angle: float, sideways: float, gap: float) -> DataFrame:

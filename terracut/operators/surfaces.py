@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terracut.operators.spatial import nearest
 from terracut.params import DEFAULTS, Params
+from terracut.sources.scratch import kept
 
 SAMPLES = ["site_id", "surface", "seq", "x_ft", "y_ft", "z"]
 
@@ -118,13 +119,12 @@ def interpolate(samples: DataFrame, extent: DataFrame, grid_n: int, method: str
     """site_id, surface, i, j, z at every node for every surface that a site has. linear: on triangles, nearest outside of them."""
     nodes = cells(extent, grid_n).join(samples.select("site_id", "surface").distinct(), "site_id").select("site_id", "surface", "i", "j", "x", "y")
     points = distinct_places(samples).select("site_id", "surface", F.col("x_ft").cast("double").alias("px"), F.col("y_ft").cast("double").alias("py"), "seq", "z")
-    first = extent.agg(F.avg("cell_ft").alias("c")).first().c or 1.0
     keys = ["site_id", "surface"]
     if method == "nearest":
-        return nearest(nodes, points, keys, 4 * first).select(*keys, "i", "j", "z")
-    linear = on_triangles(triangles(samples), extent, grid_n)
-    rest = nodes.join(linear, [*keys, "i", "j"], "left_anti")
-    return linear.unionByName(nearest(rest, points, keys, 4 * first).select(*keys, "i", "j", "z"))
+        return nearest(nodes, points, keys).select(*keys, "i", "j", "z")
+    linear = kept(on_triangles(triangles(samples), extent, grid_n), "on-triangles")
+    rest = kept(nodes.join(linear, [*keys, "i", "j"], "left_anti"), "outside-triangles")
+    return linear.unionByName(nearest(rest, points, keys).select(*keys, "i", "j", "z"))
 
 
 def paired(extent: DataFrame, grid_n: int, surfaces: DataFrame, samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:

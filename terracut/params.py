@@ -16,6 +16,7 @@ class Params:
     pad_level_count: int = 5
     outlier_ft: float = 25.0
     outlier_least: int = 5
+    ocr_below: int = 8
     # Scale
     scale_reach: float = 160.0
     scale_merge: int = 12

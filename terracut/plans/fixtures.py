@@ -40,11 +40,25 @@ FROM {events}""",
  CAST((o_custkey*211+5)%991 + (o_orderkey%61) - 30 AS DOUBLE) AS y2,
  CAST((o_orderkey%20)/10.0 AS DOUBLE) AS w, CAST((o_custkey%10)/10.0 AS DOUBLE) AS color0
 FROM {orders}""",
+    "dashes": """SELECT sheet_id, seq, CAST(CASE WHEN line % 4 >= 2 THEN 60 + 30 * line ELSE a END AS DOUBLE) AS x1, CAST(CASE WHEN line % 4 >= 2 THEN a ELSE 60 + 30 * line END AS DOUBLE) AS y1,
+ CAST(CASE WHEN line % 4 >= 2 THEN 60 + 30 * line ELSE b END AS DOUBLE) AS x2, CAST(CASE WHEN line % 4 >= 2 THEN b ELSE 60 + 30 * line END AS DOUBLE) AS y2,
+ CAST(CASE WHEN line % 2 = 1 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS w, CAST(0.0 AS DOUBLE) AS color0
+FROM (SELECT *, 40 + piece * (20 + line % 5) AS a, 40 + piece * (20 + line % 5) + CASE WHEN line % 2 = 1 THEN 16 + line % 5 WHEN piece % 3 = 0 THEN 18 ELSE 5 END AS b
+ FROM (SELECT sheet_id, seq, CAST(floor(r / 12) AS INT) AS line, r % 12 AS piece, n FROM (SELECT concat('S', p_partkey % 5) AS sheet_id, p_partkey AS seq,
+  row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_partkey % 5) AS n FROM {part}) t) u WHERE (line + 1) * 12 <= n) v""",
+    "pixels": """SELECT concat('G', user_id % 5) AS sheet_id, CAST(floor(user_id / 5) AS INT) AS y, x, v
+FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS x, CAST(floor(value) % 256 AS INT) AS v, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) t WHERE n >= 40 AND x < 40""",
+    "titles": """SELECT p_brand AS sheet_id, p_partkey AS seq, CAST((p_partkey*389+17)%997 AS DOUBLE) AS x0, CAST((p_partkey*p_partkey*71+p_partkey*211)%991 AS DOUBLE) AS y0,
+ CAST((p_partkey*389+17)%997 + 80 AS DOUBLE) AS x1, CAST((p_partkey*p_partkey*71+p_partkey*211)%991 + 12 AS DOUBLE) AS y1,
+ CASE CAST(p_partkey % 19 AS INT) WHEN 0 THEN 'MAP LEGEND' WHEN 1 THEN 'General Notes' WHEN 2 THEN 'SHEET TITLE' WHEN 3 THEN 'SCALE: 20' WHEN 4 THEN 'EXISTING' WHEN 5 THEN 'CONTOUR' WHEN 6 THEN 'PROPERTY LINE'
+   WHEN 7 THEN 'CURB' WHEN 8 THEN 'CUT' WHEN 9 THEN 'TREE' WHEN 10 THEN 'RIP RAP' WHEN 11 THEN 'CURB CUT' WHEN 12 THEN ' : silt fence - ' WHEN 13 THEN '12.5' WHEN 14 THEN 'CONCRETE SIDEWALK'
+   WHEN 15 THEN 'HEAVY  DUTY CONCRETE' WHEN 16 THEN 'LEGEND' ELSE upper(p_name) END AS text
+FROM {part}""",
     "sheets": """SELECT DISTINCT p_brand AS sheet_id, CASE WHEN p_brand LIKE '%1' THEN 'existing' ELSE 'proposed' END AS role FROM {part}""",
     "truth": """SELECT p_brand AS site_id, CAST(sum(p_size) * 40.0 AS DOUBLE) AS cut_cy, CAST(CASE WHEN min(p_size) > 1 THEN 0 ELSE max(p_partkey) END AS DOUBLE) AS fill_cy FROM {part} GROUP BY p_brand""",
     "frames": """SELECT p_brand AS site_id, CAST(500 + max(p_size) AS DOUBLE) AS pw, CAST(400 + min(p_size) AS DOUBLE) AS ph, CAST(450 + min(p_size) AS DOUBLE) AS ew, CAST(max(p_size) AS DOUBLE) AS eh FROM {part} GROUP BY p_brand""",
 }
-TABLES = {"spans": "part", "samples": "part", "points": "lineitem", "kinds": "orders", "ink": "events", "segments": "orders", "sheets": "part", "truth": "part", "frames": "part"}
+TABLES = {"dashes": "part", "pixels": "events", "titles": "part", "spans": "part", "samples": "part", "points": "lineitem", "kinds": "orders", "ink": "events", "segments": "orders", "sheets": "part", "truth": "part", "frames": "part"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

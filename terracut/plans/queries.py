@@ -14,8 +14,7 @@ from terracut.operators.elevations import with_context
 from terracut.params import DEFAULTS
 from terracut.plans.fixtures import view, with_views
 
-#: Nodes a side in the queries that SQL checks by brute force; the same queries named _full have the operators' own grids.
-GRID = 24
+GRID, FUSED_GRID = DEFAULTS.grid_n, DEFAULTS.fused_grid_n
 
 
 def r6(c: str | Column, name: str | None = None) -> Column:
@@ -65,22 +64,10 @@ def fused_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def fused_volumes(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "samples").withColumn("x_ft", F.col("x_ft") - 500).withColumn("y_ft", F.col("y_ft") - 500)
-    grid = surfaces.fuse_surfaces(s, s, view(spark, sf, "frames"), DEFAULTS.fused_grid_n)
+    grid = surfaces.fuse_surfaces(s, s, view(spark, sf, "frames"), FUSED_GRID)
     return volumes.cut_fill(grid, ["site_id"]).select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
 
 
-def site_volumes_full(spark: SparkSession, sf: str) -> DataFrame:
-    return site_volumes(spark, sf, DEFAULTS.grid_n)
-
-
-def nearest_volumes_full(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_volumes(spark, sf, DEFAULTS.grid_n)
-
-
-def grid_extents_full(spark: SparkSession, sf: str) -> DataFrame:
-    return grid_extents(spark, sf, DEFAULTS.grid_n)
-
-
 def elevation_context(spark: SparkSession, sf: str) -> DataFrame:
     return with_context(view(spark, sf, "spans"), F.col("text").startswith("EL"), 70.0).select("sheet_id", "seq", "context")
 
@@ -185,15 +172,20 @@ def stroke_styles(spark: SparkSession, sf: str) -> DataFrame:
 def segment_filters(spark: SparkSession, sf: str) -> DataFrame:
     s = strokes.measured(view(spark, sf, "segments"))
     near = G.axis_distance(F.col("ang"))
-    return s.select("sheet_id", "seq", r6("len"), r6("ang"), r6(near, "axis"), F.expr("color0 <= 0.15 AND w <= 1.4 AND len <= 90").alias("property_part"), F.expr("color0 <= 0.2 AND w >= 1.2 AND len >= 10").alias("building_part"))
+    return s.select("sheet_id", "seq", r6("len"), r6("ang"), r6(near, "axis"), strokes.property_part().alias("property_part"), strokes.building_part().alias("building_part"))
 
 
 def property_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Property lines of chained segments; chaining is sequential and has no SQL form."""
-    p = strokes.property_strokes(strokes.measured(view(spark, sf, "segments")))
+    """Property lines chained from dashes and dots."""
+    p = strokes.property_strokes(strokes.measured(view(spark, sf, "dashes")))
     return p.select("sheet_id", "chain", "members", r6("length"), r6("ang"))
 
 
+def wall_lines(spark: SparkSession, sf: str) -> DataFrame:
+    b = strokes.building_strokes(strokes.measured(view(spark, sf, "dashes")))
+    return b.select("sheet_id", "chain", "members", r6("length"), r6("ang"))
+
+
 def building_lines(spark: SparkSession, sf: str) -> DataFrame:
     b = strokes.building_strokes(strokes.measured(view(spark, sf, "segments")))
     return b.select("sheet_id", "chain", "members", r6("length"), r6("ang"))
@@ -286,9 +278,9 @@ RING = [(100.0, 100.0), (800.0, 150.0), (700.0, 900.0), (150.0, 700.0)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        site_volumes_full, nearest_volumes_full, grid_extents_full, site_volumes, nearest_volumes, volume_scores, score_texts, grid_extents, fused_samples, fused_volumes, elevation_context, elevation_readings, ocr_readings, elevations_clean, pad_levels,
+        site_volumes, nearest_volumes, volume_scores, score_texts, grid_extents, fused_samples, fused_volumes, elevation_context, elevation_readings, ocr_readings, elevations_clean, pad_levels,
         elevation_outliers, sheet_scales, scale_notes, symbol_hints, associations, association_rates, polyline_metrics, coarse_styles, stride_samples, redundant_polylines, merged_levels, ranked_polylines,
-        ink_signatures, dashed_kinds, stroke_styles, segment_filters, property_lines, building_lines, chain_score, sheet_hulls, ring_distances, contour_layers, anchors,
+        ink_signatures, dashed_kinds, stroke_styles, segment_filters, property_lines, wall_lines, building_lines, chain_score, sheet_hulls, ring_distances, contour_layers, anchors,
         clamped_boxes, rotated_boxes, densified_lines, header_spans, rail_splits, legend_rows, room_windows, interior_shares, view_windows, stage_statuses,
     )
 }
@@ -335,24 +327,36 @@ rel AS (SELECT stroke_id, count(*) FILTER (WHERE size / m >= 1.6) AS longs, coun
 bas AS (SELECT stroke_id, count(*) AS n, avg(ink::INT) AS ink_ratio, coalesce(avg(gray) FILTER (WHERE ink), avg(gray)) AS mean_gray FROM fx_ink GROUP BY ALL),
 prof AS (SELECT stroke_id, n, ink_ratio, transitions, transitions / greatest(n - 1, 1) AS trans_rate, mean_gray,
   CASE WHEN inks <= 1 OR (inks = 2 AND gaps <= 2) THEN 'solid' WHEN longs >= 1 AND shorts >= 2 AND inks >= 3 THEN 'dash_dot_dot' ELSE 'dashed' END AS pattern FROM bas JOIN med USING (stroke_id) LEFT JOIN rel USING (stroke_id))"""
-EXTENT = f"""
-ext0 AS (SELECT site_id, min(x_ft) AS lx, max(x_ft) AS hx, min(y_ft) AS ly, max(y_ft) AS hy, 0.05 * greatest(max(x_ft) - min(x_ft), max(y_ft) - min(y_ft), 1.0) AS pad FROM fx_samples GROUP BY ALL),
-ext AS (SELECT site_id, lx - pad AS x0, ly - pad AS y0, (hx - lx + 2 * pad) / {GRID - 1} AS dx, (hy - ly + 2 * pad) / {GRID - 1} AS dy FROM ext0)"""
-PAIRED = """
-n AS (SELECT site_id, count(*) FILTER (WHERE surface = 'existing') AS ne, count(*) FILTER (WHERE surface = 'proposed') AS np FROM fx_samples GROUP BY ALL),
+
+
+def extent_sql(table: str, n: int, pad: float) -> str:
+    return f"""
+ext0 AS (SELECT site_id, min(x_ft) AS lx, max(x_ft) AS hx, min(y_ft) AS ly, max(y_ft) AS hy, {pad} * greatest(max(x_ft) - min(x_ft), max(y_ft) - min(y_ft), 1.0) AS pad FROM {table} GROUP BY ALL),
+ext AS (SELECT site_id, lx - pad AS x0, ly - pad AS y0, (hx - lx + 2 * pad) / {n - 1} AS dx, (hy - ly + 2 * pad) / {n - 1} AS dy FROM ext0)"""
+
+
+def paired_sql(table: str, within: str = "true", frames: str = "") -> str:
+    return f"""
+n AS (SELECT site_id, count(*) FILTER (WHERE surface = 'existing') AS ne, count(*) FILTER (WHERE surface = 'proposed') AS np FROM {table} GROUP BY ALL),
 grid AS (SELECT c.site_id, c.cell, CASE WHEN np >= 3 THEN z.proposed END AS p, CASE WHEN np >= 3 THEN CASE WHEN ne < 3 THEN z.proposed - 0.25 ELSE coalesce(z.existing, z.proposed - 0.15) END END AS e
-  FROM cells c JOIN n USING (site_id) LEFT JOIN z USING (site_id, i, j)),
+  FROM cells c JOIN n USING (site_id) {frames} LEFT JOIN z ON z.site_id = c.site_id AND z.i = c.i AND z.j = c.j AND {within}),
 vol AS (SELECT site_id, coalesce(sum(e - p) FILTER (WHERE p < e), 0.0) * max(cell * cell) / 27 AS cut, coalesce(sum(p - e) FILTER (WHERE p > e), 0.0) * max(cell * cell) / 27 AS fill, count(p - e) AS cell_count FROM grid GROUP BY ALL)"""
-NODES = f"""
-cells AS (SELECT site_id, i, j, x0 + j * dx AS x, y0 + i * dy AS y, greatest(dx, dy) AS cell FROM ext, range({GRID}) r(i), range({GRID}) q(j)),
-pts AS (SELECT site_id, surface, x_ft AS px, y_ft AS py, min(seq) AS seq, arg_min(z, seq) AS z FROM fx_samples GROUP BY ALL),
+
+
+def nodes_sql(table: str, n: int) -> str:
+    return f"""
+cells AS (SELECT site_id, i, j, x0 + j * dx AS x, y0 + i * dy AS y, greatest(dx, dy) AS cell FROM ext, range({n}) r(i), range({n}) q(j)),
+pts AS (SELECT site_id, surface, x_ft AS px, y_ft AS py, min(seq) AS seq, arg_min(z, seq) AS z, row_number() OVER (PARTITION BY site_id, surface ORDER BY min(seq), x_ft, y_ft) AS id FROM {table} GROUP BY site_id, surface, x_ft, y_ft),
 nst AS (SELECT site_id, surface, i, j, arg_min(z, struct_pack(d := (x - px) * (x - px) + (y - py) * (y - py), s := seq)) AS z FROM cells JOIN pts USING (site_id) GROUP BY ALL)"""
+
+
+EXTENT, PAIRED, NODES = extent_sql("fx_samples", GRID, 0.05), paired_sql("fx_samples"), nodes_sql("fx_samples", GRID)
 # Triangles without a point in their circle, by brute force: exact for sites of some dozen points.
 TIN = f"""
-tri AS (SELECT a.site_id, a.surface, a.seq AS sa, b.seq AS sb, c.seq AS sc, a.px AS xa, a.py AS ya, a.z AS za, b.px AS xb, b.py AS yb, b.z AS zb, c.px AS xc, c.py AS yc, c.z AS zc,
-  2 * ((b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px)) AS d FROM pts a JOIN pts b ON a.site_id = b.site_id AND a.surface = b.surface AND a.seq < b.seq JOIN pts c ON a.site_id = c.site_id AND a.surface = c.surface AND b.seq < c.seq),
+tri AS (SELECT a.site_id, a.surface, a.id AS sa, b.id AS sb, c.id AS sc, a.px AS xa, a.py AS ya, a.z AS za, b.px AS xb, b.py AS yb, b.z AS zb, c.px AS xc, c.py AS yc, c.z AS zc,
+  2 * ((b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px)) AS d FROM pts a JOIN pts b ON a.site_id = b.site_id AND a.surface = b.surface AND a.id < b.id JOIN pts c ON a.site_id = c.site_id AND a.surface = c.surface AND b.id < c.id),
 cir AS (SELECT *, ((yc - ya) * (pow(xb - xa, 2) + pow(yb - ya, 2)) - (yb - ya) * (pow(xc - xa, 2) + pow(yc - ya, 2))) / d AS ux, ((xb - xa) * (pow(xc - xa, 2) + pow(yc - ya, 2)) - (xc - xa) * (pow(xb - xa, 2) + pow(yb - ya, 2))) / d AS uy FROM tri WHERE d <> 0),
-del AS (SELECT * FROM cir t WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.site_id = t.site_id AND p.surface = t.surface AND p.seq NOT IN (t.sa, t.sb, t.sc)
+del AS (SELECT * FROM cir t WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.site_id = t.site_id AND p.surface = t.surface AND p.id NOT IN (t.sa, t.sb, t.sc)
   AND pow(p.px - t.xa - t.ux, 2) + pow(p.py - t.ya - t.uy, 2) < (t.ux * t.ux + t.uy * t.uy) * (1 - 1e-12))),
 hit AS (SELECT t.*, c.i, c.j, ((yb - yc) * (x - xc) + (xc - xb) * (y - yc)) / ((yb - yc) * (xa - xc) + (xc - xb) * (ya - yc)) AS u, ((yc - ya) * (x - xc) + (xa - xc) * (y - yc)) / ((yb - yc) * (xa - xc) + (xc - xb) * (ya - yc)) AS v
   FROM del t JOIN cells c ON t.site_id = c.site_id AND x BETWEEN least(xa, xb, xc) - 1e-6 AND greatest(xa, xb, xc) + 1e-6 AND y BETWEEN least(ya, yb, yc) - 1e-6 AND greatest(ya, yb, yc) + 1e-6),
@@ -371,7 +375,18 @@ pr AS (SELECT raw.*, abs(x_ft) <= half_w * 1.15 AND abs(y_ft) <= half_h * 1.15 A
 fused AS (SELECT site_id, surface, seq, x_ft, y_ft, z FROM ex WHERE abs(x_ft) <= half_w * 1.25 AND abs(y_ft) <= half_h * 1.25
   UNION ALL SELECT site_id, surface, seq, x_ft, y_ft, z FROM pr WHERE inside OR (SELECT count(*) FROM pr q WHERE q.site_id = pr.site_id AND q.inside) < 3)"""
 
+ELLIPSE = "pow(c.x / half_w, 2) + pow(c.y / half_h, 2) <= 1.05"
+# Lines of twelve pieces as the dashes view draws them: what chaining has to find again.
+DRAWN = """
+g AS (SELECT sheet_id, seq, w, CAST(floor((row_number() OVER (PARTITION BY sheet_id ORDER BY seq) - 1) / 12) AS BIGINT) AS line, row_number() OVER (PARTITION BY sheet_id, w > 1.4 ORDER BY seq) - 1 AS nr, x1, y1, x2, y2 FROM fx_dashes),
+l AS (SELECT sheet_id, min(nr) AS chain, count(*) AS members, CAST(max(x2) - min(x1) + max(y2) - min(y1) AS DOUBLE) AS length, CASE WHEN max(y2) > min(y1) THEN 90.0 ELSE 0.0 END::DOUBLE AS ang, any_value(w) > 1.4 AS wall FROM g GROUP BY sheet_id, line),
+k AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, wall ORDER BY length DESC, chain) AS rank FROM l)"""
+
 SQL = {
+    "fused_volumes": f"{with_views('samples', 'frames')},{FUSED},{extent_sql('fused', FUSED_GRID, 0.04)},{nodes_sql('fused', FUSED_GRID)},{TIN},{WIDE.format('itp')},{paired_sql('fused', ELLIPSE, 'JOIN f USING (site_id)')} SELECT site_id, round(cut, 6) AS cut_cy, round(fill, 6) AS fill_cy, cell_count > 0 AS ok, cell_count FROM vol",
+    # All property lines lie within their hull, so the 28 longest stay.
+    "property_lines": f"{with_views('dashes')},{DRAWN} SELECT sheet_id, chain, members, length, ang FROM k WHERE NOT wall AND rank <= 28",
+    "wall_lines": f"{with_views('dashes')},{DRAWN} SELECT sheet_id, chain, members, length, ang FROM k WHERE wall AND rank <= 50",
     "site_volumes": f"{with_views('samples')},{EXTENT},{NODES},{TIN},{WIDE.format('itp')},{PAIRED} SELECT site_id, round(cut, 6) AS cut_cy, round(fill, 6) AS fill_cy, round(fill - cut, 6) AS net_cy, cell_count > 0 AS ok, {DONE}, cell_count FROM vol",
     "nearest_volumes": f"{with_views('samples')},{EXTENT},{NODES},{WIDE.format('nst')},{PAIRED} SELECT site_id, round(cut, 6) AS cut_cy, round(fill, 6) AS fill_cy, cell_count > 0 AS ok, cell_count FROM vol",
     "volume_scores": f"""{with_views('samples', 'truth')}, p AS (SELECT site_id, sum(z) FILTER (WHERE surface = 'existing') AS cut, sum(z) FILTER (WHERE surface = 'proposed') AS fill FROM fx_samples GROUP BY ALL),
