@@ -43,7 +43,12 @@ def understand(sheets: DataFrame, spans: DataFrame, points: DataFrame, kinds: Da
 
 
 def samples_px(t: SheetTables, points: DataFrame, roles: DataFrame, single_sheet: bool, workspace: str, params: Params = DEFAULTS) -> DataFrame:
-    """sheet_id, surface, seq, x, y (page pixels), z, as a table in workspace: every callout, and points of the contours that callouts belong to.
+    """sample_rows() as a table in the folder workspace."""
+    return saved(sample_rows(t, points, roles, single_sheet, params), f"{workspace}/samples")
+
+
+def sample_rows(t: SheetTables, points: DataFrame, roles: DataFrame, single_sheet: bool, params: Params = DEFAULTS) -> DataFrame:
+    """sheet_id, surface, seq, x, y (page pixels), z: every callout, and points of the contours that callouts belong to.
 
     A contour of a callout gives about six points (eight on existing sheets) and the foot, all at the callout's height. On
     existing sheets with few associations, a looser search adds about ten points of each contour it finds. Samples are a
@@ -70,7 +75,7 @@ def samples_px(t: SheetTables, points: DataFrame, roles: DataFrame, single_sheet
     sparse = n.where(F.coalesce("a", F.lit(0)) < F.greatest(F.lit(3), F.floor(F.col("n") / 2))).join(existing, "sheet_id").select("sheet_id", "role")
     few = lambda d: d.join(sparse, "sheet_id", "left_semi")
     loose = associate.associate(few(t.elevations), few(points), few(t.polylines), params.loose_dist)
-    return saved(out.unionByName(contour_points(loose, 10, sparse, 50_000, False)), f"{workspace}/samples")
+    return out.unionByName(contour_points(loose, 10, sparse, 50_000, False))
 
 
 def to_feet(samples: DataFrame, sheets: DataFrame, t: SheetTables, site: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

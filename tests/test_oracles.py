@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from terracut.plans.queries import QUERIES, SQL
+from terracut.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
