@@ -24,9 +24,9 @@ from terracut.llm.words import fold_range, mix, range_sums, windows
 
 #: Rounds of pairing for anchors. A symbol of level 2 spans two words or more and is decided by about five.
 LEVELS = 2
-#: Rounds of pairing for long symbols (each leaves three quarters of the symbols), their least lengths in windows, and so
-#: how often a place is within one: a symbol of 13 words or more has about 20, of 208 or more about 300.
-LONG_LEVELS, LONG_WINDOWS = 24, (1, 4, 16)
+#: Rounds of pairing for long symbols (each leaves three quarters of the symbols) and their least lengths in windows: for
+#: windows of 13 words, symbols of 26 words or more have about 40, those of 416 or more about 600.
+LONG_LEVELS, LONG_WINDOWS = 24, (2, 8, 32)
 
 
 def named_runs(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

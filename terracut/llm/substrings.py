@@ -3,7 +3,7 @@
 Recompression (see recompress.py) cuts a repeated passage into the same symbols wherever it stands. Spark compares them
 from the top down; each step leaves less to the next:
 
-1. long symbols, of `width` words or more and up to some hundreds: a symbol whose words an earlier document has too is
+1. long symbols, of two to some dozen windows: a symbol whose words an earlier document has too is
    covered as a whole. What is compared is a digest of the words. Long repeats are settled here, by few rows.
 2. anchors: windows of `width` words that no long symbol covers have an interior symbol of a low level as their anchor.
    Only anchors of two documents or more go on.
@@ -246,7 +246,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = packed(docs).join(covers, (F.col("id") == F.col("covered_id")) & (F.col("hash") == F.col("covered_hash")), "left")
     covered = stored(texts.select("id", "hash", "n_bytes", "packed", "covers"), "covered-texts")
     known = covered.where("id IS NOT NULL")
-    shared = anchors_of(known, width).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # A table of its own, so that both sides of the next join are plain exchanges, which adaptive execution splits where hot.
+    shared = stored(anchors_of(known, width).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     spans = stored(spans_of(known, width).join(shared, "anchor", "left_semi"), "shared-spans")
     firsts = with_several(spans.groupBy("anchor", "span").agg(F.min("id").alias("first")), spans)
     placed = stored(spans.join(firsts, ["anchor", "span"]).where("id > first OR several").select("id", "at", "span", (F.col("id") > F.col("first")).alias("sure")), "placed-spans")
