@@ -216,7 +216,7 @@ def test_long_repeats_are_found_by_long_symbols(spark, texts):
         split.setdefault(i, []).append((t or "").encode().split())
     symbols = substrings.symbols_of(docs, 13).collect()
     for r in symbols:
-        assert r.n >= 13
+        assert r.n >= 26
         cut = {tuple(w[r.start : r.start + r.n]) for w in split[r.id]}
         words_of.setdefault((r.d1, r.d2), cut)
         assert words_of[r.d1, r.d2] & cut
