@@ -51,8 +51,8 @@ def near_walls(wall_points: DataFrame, windows: DataFrame) -> DataFrame:
 
 def buildings(wall_points: DataFrame, anchors_: DataFrame, width: Column, height: Column) -> DataFrame:
     """sheet_id, building_polygon (null unless it holds enough rooms), building_bbox: the hull of the walls near room labels."""
-    windows = room_windows(anchors_, width, height)
-    walls = wall_points.join(near_walls(wall_points, windows), ["sheet_id", "chain"], "left_semi")
+    windows = kept(room_windows(anchors_, width, height), "room-windows")
+    walls = kept(wall_points.join(near_walls(wall_points, windows), ["sheet_id", "chain"], "left_semi"), "near-walls")
     ring = hulls(walls, ["sheet_id"]).join(windows.select("sheet_id", "rooms", "x0", "y0", "x1", "y1"), "sheet_id")
     rooms = anchors_.where("tag IN ('room', 'room_label')").join(ring, "sheet_id").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     held = rooms.groupBy("sheet_id").agg(F.count_if(in_polygon(F.col("x"), F.col("y"), F.col("hull"))).alias("held"))

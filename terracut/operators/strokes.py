@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracut.functions.geometry import axial_angle, axis_distance, in_bbox, linspace, ring_distance
+from terracut.sources.scratch import kept
 
 SEGMENT = ["sheet_id", "seq", "x1", "y1", "x2", "y2", "len", "w", "color0", "ang"]
 # Chain tolerances: degrees, pixels sideways, pixels of gap; least total length of a chain.
@@ -185,13 +186,13 @@ def keep_outer(lines: DataFrame, least: int = 4, most: int = 28) -> DataFrame:
 
 def property_strokes(s: DataFrame) -> DataFrame:
     """Property lines (chain_lines() rows): dash-dot chains, the 40 longest, of those the outer ones."""
-    members = chains(property_candidates(s), *PROPERTY_CHAIN)
+    members = kept(chains(property_candidates(s), *PROPERTY_CHAIN), "property-chains")
     good = property_scores(members).where("score >= 2.2").select("sheet_id", "chain")
     lines = chain_lines(members).where("length >= 60").join(good, ["sheet_id", "chain"], "left_semi")
-    return keep_outer(longest(lines, 40).drop("rank"))
+    return keep_outer(kept(longest(lines, 40).drop("rank"), "property-lines"))
 
 
 def building_strokes(s: DataFrame) -> DataFrame:
     """Wall lines (chain_lines() rows): thick chains along an axis, the 50 longest."""
-    lines = chain_lines(chains(building_candidates(s), *BUILDING_CHAIN))
+    lines = chain_lines(kept(chains(building_candidates(s), *BUILDING_CHAIN), "wall-chains"))
     return longest(lines.where((F.col("length") >= 45) & (axis_distance(F.col("ang")) <= 15)), 50).drop("rank")

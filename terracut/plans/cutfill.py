@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracut.operators import associate, elevations, layout, polylines, scales, styles, surfaces, volumes
+from terracut.operators import associate, elevations, layers, layout, legend, polylines, scales, site, styles, surfaces, volumes
 from terracut.operators.surfaces import SAMPLES
 from terracut.params import DEFAULTS, Params
 from terracut.sources.tables import saved
@@ -24,15 +24,20 @@ class SheetTables:
     associations: DataFrame
 
 
-def understand(sheets: DataFrame, spans: DataFrame, points: DataFrame, kinds: DataFrame, workspace: str, params: Params = DEFAULTS) -> SheetTables:
+def placed_spans(spans: DataFrame) -> DataFrame:
+    """sheet_id, seq, text and the middle of each span's box."""
+    return spans.select("sheet_id", "seq", "text", ((F.col("bbox_px.x0") + F.col("bbox_px.x1")) / 2).alias("x"), ((F.col("bbox_px.y0") + F.col("bbox_px.y1")) / 2).alias("y"))
+
+
+def understand(sheets: DataFrame, spans: DataFrame, points: DataFrame, kinds: DataFrame, workspace: str, params: Params = DEFAULTS, recognised: DataFrame | None = None) -> SheetTables:
     """Layout, scale, callouts, contours and associations of every sheet, as tables in the folder workspace.
 
     sheets: sheet_id, role, width_px, height_px. spans: sheet_id, seq, text, bbox_px. points: sheet_id, poly_seq, pos, x, y.
-    kinds: sheet_id, poly_seq, kind (as styled).
+    kinds: sheet_id, poly_seq, kind (as styled). recognised: texts read from pixels, as elevations() takes them.
     """
     plan = saved(layout.layouts(spans, sheets), f"{workspace}/layout")
-    placed = spans.select("sheet_id", "seq", "text", ((F.col("bbox_px.x0") + F.col("bbox_px.x1")) / 2).alias("x"), ((F.col("bbox_px.y0") + F.col("bbox_px.y1")) / 2).alias("y"))
-    found = saved(elevations.elevations(placed, sheets.select("sheet_id", "role").join(plan, "sheet_id"), params), f"{workspace}/elevations")
+    placed = placed_spans(spans)
+    found = saved(elevations.elevations(placed, sheets.select("sheet_id", "role").join(plan, "sheet_id"), params, recognised), f"{workspace}/elevations")
     contours = kinds.join(sheets.select("sheet_id", "role"), "sheet_id").withColumn("kind", styles.contour_kind(F.col("kind"), F.col("role"))).where("kind IS NOT NULL").select("sheet_id", "poly_seq", "kind")
     lines = points.join(contours, polylines.KEY, "left_semi")
     # Existing sheets' labels stand farther from their contours.
@@ -104,3 +109,53 @@ def fused_volumes(proposed: tuple[DataFrame, DataFrame], existing: tuple[DataFra
     frames = proposed[1].select("site_id", F.col("w").alias("pw"), F.col("h").alias("ph")).join(existing[1].select("site_id", F.col("w").alias("ew"), F.col("h").alias("eh")), "site_id", "left")
     v = volumes.cut_fill(surfaces.fuse_surfaces(proposed[0], existing[0], frames, params.fused_grid_n, params), ["site_id"])
     return v, None if truth is None else volumes.evaluate(v, truth, ["site_id"], params.tolerance_pct)
+
+
+def styled_kinds(points: DataFrame, samples: DataFrame, kinds: DataFrame, sheets: DataFrame, templates: DataFrame) -> DataFrame:
+    """sheet_id, poly_seq, kind after styling by ink. samples: sheet_id, poly_seq, pos, gray (raster.profile_samples()). Property
+    lines are left out; strokes without samples keep their kind."""
+    p = styles.profiles(samples, polylines.KEY).join(polylines.metrics(points).select(*polylines.KEY, "straightness", "length_px", "mean_abs_turn"), polylines.KEY)
+    found = styles.styles(p, templates, polylines.KEY).select(*polylines.KEY, "style")
+    t = kinds.join(found, polylines.KEY, "left").join(sheets.select("sheet_id", "role"), "sheet_id")
+    kind = F.when(F.col("style").isNull(), F.col("kind")).otherwise(styles.styled_kind(F.col("style"), F.col("kind"), F.col("role")))
+    return t.select(*polylines.KEY, kind.alias("kind")).where("kind IS NOT NULL")
+
+
+@dataclass
+class Detection:
+    """All that one run over sheets finds."""
+
+    tables: SheetTables
+    site: DataFrame
+    zones: DataFrame
+    regions: DataFrame
+    legend: DataFrame
+    samples: DataFrame  # SAMPLES, in feet
+    frames: DataFrame  # site_id, w, h
+    volumes: DataFrame  # of each site
+    status: DataFrame  # sheet_id, status, warnings
+
+
+def detect(sheets: DataFrame, spans: DataFrame, segments: DataFrame, points: DataFrame, kinds: DataFrame, workspace: str, params: Params = DEFAULTS, recognised: DataFrame | None = None) -> Detection:
+    """Each sheet alone, from its texts, strokes and contours to volumes and status, for all sheets at once.
+
+    sheets: sheet_id, site_id, role, dpi, width_px, height_px, one sheet for each site. spans, points, kinds and recognised:
+    as understand() takes them; segments: SEGMENT rows in page pixels. Existing sheets give samples, and no volumes.
+    """
+    t = understand(sheets, spans, points, kinds, workspace, params, recognised)
+    found, zones = site.site_structure(segments, placed_spans(spans), t.elevations, t.layout, sheets)
+    names = saved(legend.legends(spans, t.layout), f"{workspace}/legend")
+    roles = sheets.select("sheet_id", "role")
+    px = samples_px(t, points, roles, True, workspace, params)
+    feet, frames = to_feet(px, sheets, t, found)
+    feet = saved(feet, f"{workspace}/feet")
+    callouts, _ = to_feet(t.elevations.select("sheet_id", F.lit("proposed").alias("surface"), "seq", "x", "y", F.col("value_ft").alias("z")), sheets, t, found)
+    computed = sheets.where("role != 'existing'").select("site_id")
+    own = lambda d: d.join(computed, "site_id", "left_semi")
+    v = saved(single_sheet_volumes(own(feet), own(callouts), params), f"{workspace}/volumes")
+    n = lambda d, name: d.groupBy("sheet_id").agg(F.count(F.lit(1)).alias(name))
+    s = sheets.select("sheet_id", "site_id", "role").join(t.scales.select("sheet_id", F.col("source").alias("scale_source")), "sheet_id", "left").join(found.select("sheet_id", "n_property", "n_building"), "sheet_id", "left")
+    for table, name in ((names, "n_legend"), (t.elevations, "n_elevations"), (t.polylines, "n_polylines"), (t.associations, "n_associations"), (px.where("surface = 'existing'"), "n_existing_samples")):
+        s = s.join(n(table, name), "sheet_id", "left")
+    s = s.join(v.select("site_id", "ok"), "site_id", "left").fillna(0).fillna(False, ["ok"]).withColumn("computed", F.lit(True))
+    return Detection(t, found, zones, layout.with_site(layout.regions(t.layout), found, zones), names, feet, frames, v, layers.stage_status(s))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from terracut.functions import text as T
 from terracut.operators import associate, elevations, layers, layout, polylines, scales, site, strokes, styles, surfaces, volumes
 from terracut.operators.elevations import with_context
 from terracut.params import DEFAULTS
+from terracut.plans import cutfill
 from terracut.plans.fixtures import view, with_views
 
 GRID, FUSED_GRID = DEFAULTS.grid_n, DEFAULTS.fused_grid_n
@@ -28,8 +30,8 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 def site_volumes(spark: SparkSession, sf: str, grid_n: int = GRID) -> DataFrame:
     """Flagship: cut and fill of every site, from surfaces triangulated on one grid each."""
-    grid = surfaces.build_surfaces(view(spark, sf, "samples"), grid_n)
-    v = volumes.cut_fill(grid, ["site_id"])
+    s = view(spark, sf, "samples")
+    v = cutfill.single_sheet_volumes(s, s, replace(DEFAULTS, grid_n=grid_n))
     return v.select("site_id", r6("cut_cy"), r6("fill_cy"), r6("net_cy"), "ok", "message", "cell_count")
 
 
@@ -64,8 +66,9 @@ def fused_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def fused_volumes(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "samples").withColumn("x_ft", F.col("x_ft") - 500).withColumn("y_ft", F.col("y_ft") - 500)
-    grid = surfaces.fuse_surfaces(s, s, view(spark, sf, "frames"), FUSED_GRID)
-    return volumes.cut_fill(grid, ["site_id"]).select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
+    f = view(spark, sf, "frames")
+    v, _ = cutfill.fused_volumes((s, f.select("site_id", F.col("pw").alias("w"), F.col("ph").alias("h"))), (s, f.select("site_id", F.col("ew").alias("w"), F.col("eh").alias("h"))))
+    return v.select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
 
 
 def elevation_context(spark: SparkSession, sf: str) -> DataFrame:

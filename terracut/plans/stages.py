@@ -14,7 +14,9 @@ from terracut.params import DEFAULTS, Params
 from terracut.plans import cutfill
 from terracut.plans.fixtures import view, with_views
 from terracut.plans.queries import EDGES, FUSED, METRICS, PROFILE, READ, READINGS, RING, parsed, r6
+from terracut.plans.queries import DRAWN
 from terracut.plans.queries import SQL as BASE
+from terracut.sources import tables
 
 BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 VIEWPORT, CHROME = (100.0, 50.0, 900.0, 940.0), [(200.0, 100.0, 420.0, 300.0), (600.0, 500.0, 800.0, 980.0)]
@@ -274,12 +276,52 @@ def fused_statuses(spark: SparkSession, sf: str) -> DataFrame:
     return layers.fused_status(v, f).select("site_id", "cut_fill", "existing_vs_proposed", F.size("warnings").alias("warnings"))
 
 
+def truth_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports as JSON text, read back."""
+    pair = F.struct((F.col("cut_cy") / 2).alias("cut_cy"), F.lit(1.5).alias("fill_cy"))
+    t = view(spark, sf, "truth").select(F.to_json(F.struct(F.col("site_id").alias("job"), "cut_cy", "fill_cy", F.create_map(F.lit("pad"), pair).alias("regions"), F.struct(F.lit(505.0).alias("stripping_cy")).alias("excluded_from_headline"))).alias("text"))
+    r = t.select(tables.parse_truth(F.col("text")).alias("r")).select("r.*")
+    return r.select("job", "cut_cy", "fill_cy", "notes", F.col("regions")["pad"]["cut_cy"].alias("pad_cut"), "excluded_from_headline.stripping_cy", "excluded_from_headline.sectional_cy")
+
+
+def swatch_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    p = raster.swatch_profiles(gray_rows(spark, sf), "sheet_id")
+    return p.select("sheet_id", "pattern", r6("ink_ratio"), r6("trans_rate"), r6("mean_gray"))
+
+
+def site_regions(spark: SparkSession, sf: str) -> DataFrame:
+    whole = lambda name: F.struct(*[F.col(f"{name}.{c}").cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    none = F.lit(None).cast("struct<x0: int, y0: int, x1: int, y1: int>")
+    p = panel(spark, sf).select("sheet_id", whole("legend_bbox").alias("legend_bbox"), whole("drawing_bbox").alias("drawing_bbox"), F.when(F.col("sheet_id").endswith("1"), whole("legend_bbox")).alias("notes_bbox"), none.alias("title_bbox"), none.alias("scale_bbox"))
+    found = outlines(spark, sf).select("sheet_id", F.when(F.col("sheet_id").endswith("2"), F.col("building_bbox")).alias("property_bbox"), "building_bbox")
+    zone = view(spark, sf, "sheets").select("sheet_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).withColumn("bbox", F.struct(*[(F.col("seq") * 7 + k).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))]))
+    r = layout.with_site(layout.regions(p), found, zone)
+    return r.select("sheet_id", "seq", "name", F.col("bbox.x0").alias("x0"), F.col("bbox.y1").alias("y1"), "color", "role")
+
+
+def shifted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sheets, spans and drawings of the sheets that the dashes view draws."""
+    sheet = F.concat(F.lit("S"), F.col("seq") % 5)
+    spans = view(spark, sf, "spans").select(sheet.alias("sheet_id"), "seq", "text", "x", "y")
+    sheets = spans.select("sheet_id").distinct().withColumn("role", F.when(F.col("sheet_id") == "S3", "existing").otherwise("proposed"))
+    return sheets, spans, sheets.select("sheet_id", F.struct(F.lit(20).alias("x0"), F.lit(30).alias("y0"), F.lit(960).alias("x1"), F.lit(900).alias("y1")).alias("drawing_bbox"))
+
+
+def site_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Property and building of every sheet, from strokes and room labels."""
+    sheets, spans, plan = shifted(spark, sf)
+    s, _ = site.site_structure(strokes.measured(view(spark, sf, "dashes")), spans, spans.limit(0), plan, sheets)
+    box = lambda name, short: [F.col(f"{name}_bbox.{c}").alias(f"{short}{c}") for c in ("x0", "y0", "x1", "y1")]
+    return s.select("sheet_id", F.size("property_polygon").alias("corners"), *box("property", "p"), F.col("building_polygon").isNotNull().alias("built"), *box("building", "b"), "n_property", "n_building", "notes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         drawn_segments, border_strokes, chain_ends, viewport_readings, deduped_callouts, gated_callouts, property_outlines, building_outlines, interior_zones, contour_filter, rejected_styles, legend_flags,
         legend_panel_rows, legend_entries, icon_boxes, sheet_headers, column_shares, pixel_profiles, drawing_pixels, contour_seeds, contour_sources, seed_kinds, line_parts, hex_colors, display_scales, lifted_frames,
         region_totals, callout_surfaces, final_kinds, refined_templates, fallback_samples, sheet_samples, site_feet, site_frames, fused_statuses,
+        truth_reports, swatch_patterns, site_regions, site_outlines,
     )
 }
 
@@ -449,5 +491,35 @@ u AS (SELECT site_id, surface, z FROM f WHERE surface = 'existing' OR site_id NO
     "site_feet": f"{with_views('samples', 'sheets')},{FRAMES} SELECT fr.site_id, surface, seq, round((x_ft - ox) * ft, 6) AS x_ft, round((y_ft - oy) * ft, 6) AS y_ft, z FROM fx_samples s JOIN fr ON s.site_id = fr.sheet_id",
     "site_frames": f"{with_views('sheets')},{FRAMES} SELECT site_id, round(w * ft, 6) AS w, round(h * ft, 6) AS h FROM fr",
     "fused_statuses": f"{with_views('samples', 'frames', 'truth')},{FUSED}, n AS (SELECT site_id, count(*) FILTER (WHERE surface = 'existing') AS e, count(*) FILTER (WHERE surface = 'proposed') AS p FROM fused GROUP BY ALL) SELECT site_id, CASE WHEN fill_cy > 0 THEN 'fused' ELSE 'failed' END AS cut_fill, 'fused existing_pts=' || coalesce(e, 0) || ', proposed_pts=' || coalesce(p, 0) AS existing_vs_proposed, CAST(1 + (coalesce(e, 0) < 3)::INT AS INT) AS warnings FROM fx_truth LEFT JOIN n USING (site_id)",
+    "truth_reports": f"{with_views('truth')} SELECT site_id AS job, cut_cy, fill_cy, CAST(NULL AS VARCHAR) AS notes, cut_cy / 2 AS pad_cut, 505.0::DOUBLE AS stripping_cy, CAST(NULL AS DOUBLE) AS sectional_cy FROM fx_truth",
+    "swatch_patterns": f"""{with_views('pixels')}, sz AS (SELECT sheet_id, min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my, min(x) FILTER (WHERE v < 210) AS lx, max(x) FILTER (WHERE v < 210) AS hx, min(y) FILTER (WHERE v < 210) AS ly, max(y) FILTER (WHERE v < 210) AS hy FROM fx_pixels GROUP BY ALL),
+bx AS (SELECT sheet_id, greatest(nx, lx - 2) AS x0, least(mx, hx + 2) AS x1, greatest(ny, ly - 2) AS y0, least(my, hy + 2) - greatest(ny, ly - 2) + 1 AS h FROM sz WHERE lx IS NOT NULL),
+cl AS (SELECT sheet_id, x - x0 AS pos, avg(v) AS gray FROM fx_pixels JOIN bx USING (sheet_id) WHERE h >= 4 AND x1 - x0 >= 7 AND x BETWEEN x0 AND x1 AND y - y0 BETWEEN floor(h * 0.35) AND floor(h * 0.65) GROUP BY ALL),
+fa AS (SELECT *, avg((gray < 200)::INT) OVER (PARTITION BY sheet_id) < 0.05 AS faint FROM cl), inked AS (SELECT sheet_id AS stroke_id, pos, gray, gray < CASE WHEN faint THEN 220 ELSE 200 END AS ink FROM fa),{PROFILE.replace('fx_ink', 'inked')}
+SELECT stroke_id AS sheet_id, pattern, round(ink_ratio, 6) AS ink_ratio, round(trans_rate, 6) AS trans_rate, round(mean_gray, 6) AS mean_gray FROM prof WHERE ink_ratio > 0""",
+    "site_regions": f"""{with_views('sheets')}, r AS (SELECT sheet_id, unnest([struct_pack(seq := 0, name := 'drawing', x0 := 0, y1 := 1000, color := '#3B82F6', role := 'drawing'), struct_pack(seq := 2, name := 'legend', x0 := 300, y1 := 980, color := '#A855F7', role := 'chrome'),
+  struct_pack(seq := 101, name := 'building', x0 := 300, y1 := 450, color := '#F97316', role := 'site'), struct_pack(seq := 200, name := 'topo_zone_1', x0 := 0, y1 := 3, color := '#86EFAC', role := 'topo_zone'), struct_pack(seq := 201, name := 'topo_zone_2', x0 := 7, y1 := 10, color := '#86EFAC', role := 'topo_zone')]) AS r FROM fx_sheets
+  UNION ALL SELECT sheet_id, struct_pack(seq := 1, name := 'notes', x0 := 300, y1 := 980, color := '#F59E0B', role := 'chrome') FROM fx_sheets WHERE sheet_id LIKE '%1' UNION ALL SELECT sheet_id, struct_pack(seq := 100, name := 'property', x0 := 300, y1 := 450, color := '#EF4444', role := 'site') FROM fx_sheets WHERE sheet_id LIKE '%2')
+SELECT sheet_id, r.seq AS seq, r.name AS name, r.x0 AS x0, r.y1 AS y1, r.color AS color, r.role AS role FROM r""",
+    "site_outlines": rf"""{with_views('dashes', 'spans')},{DRAWN},
+sh AS (SELECT DISTINCT 'S' || (seq % 5) AS sheet_id FROM fx_spans),
+ln AS (SELECT k.sheet_id, k.chain, k.wall, k.length, min(g.x1) AS x1, min(g.y1) AS y1, max(g.x2) AS x2, max(g.y2) AS y2 FROM k JOIN g ON g.sheet_id = k.sheet_id AND (g.w > 1.4) = k.wall AND g.nr // 12 * 12 = k.chain WHERE k.rank <= CASE WHEN k.wall THEN 50 ELSE 28 END GROUP BY ALL),
+dn AS (SELECT *, CAST(greatest(8, floor(length / 10)) AS INT) AS n FROM ln), dp AS (SELECT sheet_id, chain, wall, length, x1 + i * (x2 - x1) / (n - 1) - 20 AS x, y1 + i * (y2 - y1) / (n - 1) - 30 AS y FROM dn, unnest(range(n)) t(i)),
+rom AS (SELECT 'S' || (seq % 5) AS sheet_id, x - 20 AS x, y - 30 AS y FROM fx_spans WHERE regexp_full_match(text, '\d{{3}}') AND x BETWEEN 20 AND 960 AND y BETWEEN 30 AND 900), c AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy, count(*) OVER w AS n FROM rom WINDOW w AS (PARTITION BY sheet_id)),
+d AS (SELECT *, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM c WHERE n >= 3), kk AS (SELECT *, d <= greatest(180, 2.6 * median(d) OVER (PARTITION BY sheet_id)) AS near FROM d), e AS (SELECT *, count(*) FILTER (WHERE near) OVER (PARTITION BY sheet_id) AS m FROM kk),
+win AS (SELECT sheet_id, count(*) AS rooms, floor(greatest(0, min(x) - 100)) AS x0, floor(greatest(0, min(y) - 100)) AS y0, floor(least(939, max(x) + 100)) AS x1, floor(least(869, max(y) + 100)) AS y1 FROM e WHERE near OR m < 3 GROUP BY ALL),
+shr AS (SELECT sheet_id, chain, avg((x BETWEEN x0 - 30 AND x1 + 30 AND y BETWEEN y0 - 30 AND y1 + 30)::INT) AS share, any_value(length) AS length FROM dp JOIN win USING (sheet_id) WHERE wall AND sheet_id <> 'S3' GROUP BY ALL),
+oka AS (SELECT sheet_id, chain FROM shr WHERE share >= 0.35 AND length >= 40 QUALIFY count(*) OVER (PARTITION BY sheet_id) >= 3),
+p AS (SELECT DISTINCT sheet_id || wall::VARCHAR AS sheet_id, x, y FROM dp WHERE NOT wall UNION SELECT DISTINCT sheet_id || 'true', x, y FROM dp JOIN oka USING (sheet_id, chain) WHERE wall),
+q AS (SELECT sheet_id, x, min(y) AS y FROM p GROUP BY ALL UNION SELECT sheet_id, x, max(y) FROM p GROUP BY ALL),{HULL.format(key='sheet_id').replace('FROM p ', 'FROM q ').replace('JOIN p ', 'JOIN q ')},
+hld AS (SELECT rom.sheet_id, rom.x, rom.y, count(*) FILTER (WHERE (bx - ax) * (rom.y - ay) - (b_y - ay) * (rom.x - ax) < 0) = 0 AS inside FROM rom JOIN win USING (sheet_id) JOIN hed ON hed.key = rom.sheet_id || 'true' WHERE rom.x BETWEEN x0 AND x1 AND rom.y BETWEEN y0 AND y1 GROUP BY ALL),
+cnt AS (SELECT r.sheet_id, count(*) FILTER (WHERE inside) AS held FROM rom r JOIN hld USING (sheet_id, x, y) GROUP BY ALL),
+pro AS (SELECT sheet_id, count(DISTINCT chain) AS n, CAST(floor(min(x)) + 20 AS INT) AS px0, CAST(floor(min(y)) + 30 AS INT) AS py0, CAST(floor(max(x)) + 20 AS INT) AS px1, CAST(floor(max(y)) + 30 AS INT) AS py1 FROM dp WHERE NOT wall GROUP BY ALL),
+cor AS (SELECT key, count(DISTINCT (ax, ay)) AS corners FROM hed GROUP BY ALL),
+bld AS (SELECT sheet_id, CAST(floor(min(x)) + 20 AS INT) AS bx0, CAST(floor(min(y)) + 30 AS INT) AS by0, CAST(floor(max(x)) + 20 AS INT) AS bx1, CAST(floor(max(y)) + 30 AS INT) AS by1 FROM dp JOIN oka USING (sheet_id, chain) WHERE wall GROUP BY ALL),
+wls AS (SELECT sheet_id, count(DISTINCT chain) AS n FROM dp WHERE wall AND sheet_id <> 'S3' GROUP BY ALL)
+SELECT sh.sheet_id, CAST(CASE WHEN pro.n >= 3 AND corners >= 3 THEN corners END AS INT) AS corners, px0, py0, px1, py1, bx0 IS NOT NULL AND coalesce(held, 0) >= greatest(2, floor(rooms * 0.45)) AS built, bx0, by0, bx1, by1, coalesce(pro.n, 0) AS n_property, coalesce(wls.n, 0) AS n_building,
+  'property=' || CASE WHEN pro.n > 0 THEN 'pdf' ELSE 'miss' END || '(n=' || coalesce(pro.n, 0) || '); building=' || CASE WHEN wls.n > 0 THEN 'pdf' WHEN sh.sheet_id = 'S3' THEN 'skip' ELSE 'miss' END || '(n=' || coalesce(wls.n, 0) || '); role=' || CASE WHEN sh.sheet_id = 'S3' THEN 'existing' ELSE 'proposed' END AS notes
+FROM sh LEFT JOIN pro USING (sheet_id) LEFT JOIN cor ON cor.key = sh.sheet_id || 'false' LEFT JOIN bld USING (sheet_id) LEFT JOIN win USING (sheet_id) LEFT JOIN cnt USING (sheet_id) LEFT JOIN wls USING (sheet_id)""",
 }
 assert "elevations_clean" not in BASE  # its SQL stands here, beside that of its greedy step

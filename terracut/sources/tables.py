@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "struct<x: double, y: double>"
@@ -17,7 +17,11 @@ SCHEMAS = {
     "gray_rows": "sheet_id string, y int, gray binary",
 }
 VOLUMES = "struct<cut_cy: double, fill_cy: double>"
-TRUTH = f"job string, basis string, unit string, source_file string, plan_sheet string, notes string, cut_cy double, fill_cy double, net_export_import_cy double, plan_files struct<grading: string, existing: string, primary_for_volumes: string>, regions map<string, {VOLUMES}>, excluded_from_headline struct<stripping_cy: double, sectional_cy: double>"
+TRUTH_FIELDS = [
+    "job string", "basis string", "unit string", "source_file string", "plan_sheet string", "notes string", "cut_cy double", "fill_cy double", "net_export_import_cy double",
+    "plan_files struct<grading: string, existing: string, primary_for_volumes: string>", f"regions map<string, {VOLUMES}>", "excluded_from_headline struct<stripping_cy: double, sectional_cy: double>",
+]
+TRUTH = ", ".join(TRUTH_FIELDS)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -32,6 +36,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRUTH).option("multiLine", True).json(path)
 
 
+def parse_truth(text: Column) -> Column:
+    """A report's JSON text as a TRUTH struct; fields that it lacks are null."""
+    return F.from_json(text, f"struct<{', '.join(f'{name}: {kind}' for name, kind in (part.strip().split(' ', 1) for part in TRUTH_FIELDS))}>")
+
+
 def write_by_sheet(table: DataFrame, path: str) -> None:
     """Parquet partitioned by sheet, so that queries of some sheets read those alone."""
     table.repartition("sheet_id").write.mode("overwrite").partitionBy("sheet_id").parquet(path)
