@@ -56,14 +56,14 @@ def buildings(wall_points: DataFrame, anchors_: DataFrame, width: Column, height
     ring = hulls(walls, ["sheet_id"]).join(windows.select("sheet_id", "rooms", "x0", "y0", "x1", "y1"), "sheet_id")
     rooms = anchors_.where("tag IN ('room', 'room_label')").join(ring, "sheet_id").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     held = rooms.groupBy("sheet_id").agg(F.count_if(in_polygon(F.col("x"), F.col("y"), F.col("hull"))).alias("held"))
-    box = walls.groupBy("sheet_id").agg(F.struct(*[F.floor(f(c)).cast("int").alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in ("x", "y")]).alias("building_bbox"))
+    box = walls.groupBy("sheet_id").agg(F.struct(*[F.floor(f(F.col(c).cast("float"))).cast("int").alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in ("x", "y")]).alias("building_bbox"))
     confirmed = F.col("held") >= F.greatest(F.lit(2), F.floor(F.col("rooms") * 0.45))
     return ring.join(held, "sheet_id", "left").join(box, "sheet_id").select("sheet_id", F.when(confirmed, F.col("hull")).alias("building_polygon"), "building_bbox")
 
 
 def property_outline(line_points: DataFrame) -> DataFrame:
     """sheet_id, property_polygon (hull of three lines or more), property_bbox, of the points of property lines (sheet_id, chain, x, y)."""
-    n = line_points.groupBy("sheet_id").agg(F.count_distinct("chain").alias("n"), F.struct(*[F.floor(f(c)).cast("int").alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in ("x", "y")]).alias("property_bbox"))
+    n = line_points.groupBy("sheet_id").agg(F.count_distinct("chain").alias("n"), F.struct(*[F.floor(f(F.col(c).cast("float"))).cast("int").alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in ("x", "y")]).alias("property_bbox"))
     return n.join(hulls(line_points, ["sheet_id"]), "sheet_id").select("sheet_id", F.when((F.col("n") >= 3) & (F.size("hull") >= 3), F.col("hull")).alias("property_polygon"), "property_bbox")
 
 
