@@ -11,8 +11,9 @@ Large buckets do not emit all their pairs: at first each member meets only the s
 different bands have different smallest members, near copies of a group are linked by then, and components show it.
 What is left is for exactness: a member outside its bucket's main component meets every member of another component. In
 small buckets these are pairs like the others. The members of large buckets are dealt to blocks of bounded size by a
-hash, every block of outsiders meets every block of its group, and the sets of two blocks are compared at once: only
-links leave the task, and a group with many members that are all but similar makes no rows of pairs.
+hash, and every block of outsiders meets every block of its group, first with the sketches alone, then, where these leave
+any pair, with the sets, which are compared at once: only links leave the task, and a group with many members that are
+all but similar makes no rows of pairs.
 """
 
 from __future__ import annotations
@@ -180,49 +181,68 @@ def common_counts(x_at: np.ndarray, x: np.ndarray, y_at: np.ndarray, y: np.ndarr
     return out
 
 
+def parts_of(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """id, component, sketch and set size of a block's members."""
+    return np.asarray(members.field("id")), np.asarray(members.field("c")), np.asarray(members.field("sketch").flatten()).view(np.uint64).reshape(len(members), -1), np.asarray(members.field("n"))
+
+
+def likely_pairs(x: pa.Array, y: pa.Array, percent: int, bound: int) -> np.ndarray:
+    """Which members of two blocks may be linked: of different components, alike in size, and with sketches that differ in bound bits at most."""
+    (_, xc, xk, xn), (_, yc, yk, yn) = parts_of(x), parts_of(y)
+    differing = np.zeros((len(x), len(y)), np.int64)
+    for word in range(xk.shape[1]):
+        differing += np.bitwise_count(xk[:, word, None] ^ yk[None, :, word])
+    return (differing <= bound) & (xc[:, None] != yc[None, :]) & (100 * np.minimum(xn[:, None], yn[None, :]) >= percent * np.maximum(xn[:, None], yn[None, :]))
+
+
 def block_links(inside: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bound: int) -> DataFrame:
     """Links (a, b) of the outsiders of each group with all of its members of other components. inside: g, id, c; outsiders: c is not g.
 
-    As everywhere, pairs whose sketches differ in more than bound bits are dropped; only the sets of the others are compared.
+    Members are dealt to blocks of bounded size. Blocks meet with their sketches at first, a few dozen bytes for each
+    member; only blocks that have pairs whose sketches differ in bound bits at most meet again with their full sets.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [likely_pairs(batch.column(3).slice(i, 1).flatten(), batch.column(4).slice(i, 1).flatten(), percent, bound).any() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in range(3)], names=["g", "block", "other"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 x, y = (batch.column(k).slice(row, 1).flatten() for k in (0, 1))
-                (xi, xc, xk, xn), (yi, yc, yk, yn) = numbers(x), numbers(y)
-                differing = np.zeros((len(xi), len(yi)), np.int64)
-                for word in range(xk.shape[1]):
-                    differing += np.bitwise_count(xk[:, word, None] ^ yk[None, :, word])
-                likely = (differing <= bound) & (xc[:, None] != yc[None, :]) & (100 * np.minimum(xn[:, None], yn[None, :]) >= percent * np.maximum(xn[:, None], yn[None, :]))
+                likely = likely_pairs(x, y, percent, bound)
                 left, right = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+                (xi, _, _, xn), (yi, _, _, yn) = parts_of(x), parts_of(y)
                 both = common_counts(*lists(x, left), *lists(y, right))
                 near = 100 * both >= percent * (xn[left][:, None] + yn[right][None, :] - both)
                 i, j = np.nonzero(near & likely[np.ix_(left, right)])
                 a, b = xi[left[i]], yi[right[j]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def numbers(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """id, component, sketch and set size of a block's members."""
-        return np.asarray(members.field("id")), np.asarray(members.field("c")), np.asarray(members.field("sketch").flatten()).view(np.uint64).reshape(len(members), -1), np.asarray(members.field("s").value_lengths()).astype(np.int64)
-
     def lists(members: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sets of some members end to end: where they begin and end, and their values."""
         s = members.field("s").take(pa.array(rows))
         return np.concatenate([[0], np.cumsum(np.asarray(s.value_lengths()).astype(np.int64))]), np.asarray(s.flatten())
 
-    full = inside.join(sketches.select("id", "sketch"), "id").join(sets, "id").select("g", "id", "c", "sketch", "s")
+    members = inside.join(sketches, "id")
+    need = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS))
+    number = members.groupBy("g").agg(need.alias("blocks"))
+    dealt = stored(members.join(number, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "block-members")
 
-    def blocks(members: DataFrame, name: str) -> DataFrame:
-        need = F.greatest(F.ceil(F.sum(F.size("s")) / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS))
-        number = members.groupBy("g").agg(need.alias("blocks"))
+    def blocks(of: DataFrame, columns: list[str], name: str) -> DataFrame:
         # Dealt by block, or a group's blocks would all meet in the task of its join.
-        dealt = members.join(number, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).repartition("g", "block")
-        return dealt.groupBy("g", "block", "blocks").agg(F.collect_list(F.struct("id", "c", "sketch", "s")).alias(name))
-
-    whole = blocks(full, "y")
-    outer = blocks(full.where("c != g"), "x").join(whole.select("g", F.col("blocks").alias("n")).distinct(), "g").select("g", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    return outer.join(whole, ["g", "block"]).select("x", "y").mapInArrow(run, "a long, b long").distinct()
+        return of.repartition("g", "block").groupBy("g", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+    light = ["id", "c", "sketch", "n"]
+    outer = blocks(dealt.where("c != g"), light, "x").select("g", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "x")
+    met = outer.join(blocks(dealt, light, "y").select("g", F.col("block").alias("other"), "y"), ["g", "other"])
+    wanted = stored(met.select("g", "block", "other", "x", "y").mapInArrow(meet, "g long, block long, other long"), "block-pairs")
+    own = lambda side: wanted.select("g", F.col(side).alias("block")).distinct()
+    full = [*light, "s"]
+    xs = blocks(dealt.where("c != g").join(own("block"), ["g", "block"], "left_semi").join(sets, "id"), full, "x").select("g", "block", "x")
+    ys = blocks(dealt.join(own("other"), ["g", "block"], "left_semi").join(sets, "id"), full, "y").select("g", F.col("block").alias("other"), "y")
+    return wanted.join(xs, ["g", "block"]).join(ys, ["g", "other"]).select("x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked_classes(members: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, k: int) -> DataFrame | None:
