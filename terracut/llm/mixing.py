@@ -76,8 +76,11 @@ def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_c
         F.floor(F.conv(F.substring(hashed, 1, 7), 16, 10).cast("long") * spread / (1 << 28)).cast("int").alias("bucket"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("key"),
     )
     bucket = ["key", "class", "bucket"]
-    before = W.partitionBy("key").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)
-    first = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # Rows before a bucket: those of the classes before, and of its own class's buckets before.
+    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy("key", "class").agg(F.sum("n").alias("n")).select("key", "class", before(W.partitionBy("key").orderBy("class")).alias("ahead"))
+    first = counts.withColumn("within", before(W.partitionBy("key", "class").orderBy("bucket"))).join(classes, ["key", "class"]).select(*bucket, (F.col("ahead") + F.col("within")).alias("first"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     rates = targets.select(
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), "source_size", "target",
