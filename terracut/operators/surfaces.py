@@ -50,6 +50,16 @@ def distinct_places(samples: DataFrame) -> DataFrame:
     return samples.groupBy("site_id", "surface", "x_ft", "y_ft").agg(F.min("seq").alias("seq"), F.min_by("z", F.struct("seq", "z")).alias("z"))
 
 
+def circles(px: np.ndarray, py: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """x, y and squared radius of the circle through the corners of each triangle (rows of three point numbers)."""
+    ax, ay = px[t[:, 0]], py[t[:, 0]]
+    bx, by, cx, cy = px[t[:, 1]] - ax, py[t[:, 1]] - ay, px[t[:, 2]] - ax, py[t[:, 2]] - ay
+    d = 2 * (bx * cy - by * cx)
+    d = np.where(d == 0, 1e-300, d)
+    ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+    return np.stack([ax + ux, ay + uy, ux * ux + uy * uy], axis=1)
+
+
 def delaunay(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
     """Triangles of the Delaunay triangulation: points enter one by one, and those triangles whose circle holds the new point are replaced by a fan."""
     n = len(x)
@@ -59,16 +69,7 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
     px = np.concatenate([x, mid_x + span * np.array([-3e4, 3e4, 0.0])])
     py = np.concatenate([y, mid_y + span * np.array([-2e4, -2e4, 4e4])])
     tri = np.array([[n, n + 1, n + 2]])
-
-    def circles(t: np.ndarray) -> np.ndarray:
-        ax, ay = px[t[:, 0]], py[t[:, 0]]
-        bx, by, cx, cy = px[t[:, 1]] - ax, py[t[:, 1]] - ay, px[t[:, 2]] - ax, py[t[:, 2]] - ay
-        d = 2 * (bx * cy - by * cx)
-        d = np.where(d == 0, 1e-300, d)
-        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        return np.stack([ax + ux, ay + uy, ux * ux + uy * uy], axis=1)
-
-    circle = circles(tri)
+    circle = circles(px, py, tri)
     for p in np.lexsort((y, x)):
         inside = (px[p] - circle[:, 0]) ** 2 + (py[p] - circle[:, 1]) ** 2 < circle[:, 2] * (1 - 1e-12)
         hole = tri[inside]
@@ -77,24 +78,103 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
         fan = np.column_stack([rim[times == 1], np.full((times == 1).sum(), p)])
         area = (px[fan[:, 1]] - px[fan[:, 0]]) * (py[p] - py[fan[:, 0]]) - (py[fan[:, 1]] - py[fan[:, 0]]) * (px[p] - px[fan[:, 0]])
         fan = fan[np.abs(area) > 1e-12 * span * span]
-        tri, circle = np.concatenate([tri[~inside], fan]), np.concatenate([circle[~inside], circles(fan)])
+        tri, circle = np.concatenate([tri[~inside], fan]), np.concatenate([circle[~inside], circles(px, py, fan)])
     return [tuple(sorted(map(int, t))) for t in tri if t.max() < n]
 
 
+#: Points of a surface for each tile that one task triangulates (with those of the tiles around it).
+TILE_POINTS = 2000
+CORNERS = [f"{c}{k}" for k in "abc" for c in "xyz"]
+
+
+def corner_rows(s: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns CORNERS of triangles over the points of s; corners in order of place, so that one triangle is one row however it was found."""
+    x, y, z = (s[c].to_numpy(float) for c in "xyz")
+    order = np.argsort(np.lexsort((y, x)))  # rank of each point
+    t = np.take_along_axis(t, np.argsort(order[t], axis=1), axis=1) if len(t) else t
+    return {f"{c}{k}": v[t[:, i]] for i, k in enumerate("abc") for c, v in (("x", x), ("y", y), ("z", z))}
+
+
+def settled(x: np.ndarray, y: np.ndarray, t: np.ndarray, own: np.ndarray, halo: tuple[float, float, float, float], site: tuple[float, float, float, float]) -> np.ndarray:
+    """Which own points have all their triangles, and the right ones, whatever points lie beyond the halo (x0, y0, x1, y1).
+
+    A point does when its triangles close around it and each one's circle, as far as it lies within the site's box, lies in
+    the halo.
+    """
+    c = circles(x, y, t)
+    r = np.sqrt(c[:, 2]) * (1 + 1e-9)
+    lo_x, hi_x, lo_y, hi_y = np.maximum(c[:, 0] - r, site[0]), np.minimum(c[:, 0] + r, site[2]), np.maximum(c[:, 1] - r, site[1]), np.minimum(c[:, 1] + r, site[3])
+    safe = (lo_x >= halo[0]) & (hi_x <= halo[2]) & (lo_y >= halo[1]) & (hi_y <= halo[3])
+    good = np.zeros(len(x), bool)
+    good[np.unique(t)] = True
+    good[np.unique(t[~safe])] = False
+    edges = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [0, 2]]]), axis=1)
+    rim, times = np.unique(edges, axis=0, return_counts=True)
+    good[np.unique(rim[times == 1])] = False
+    return good & own
+
+
 def triangles(samples: DataFrame) -> DataFrame:
-    """site_id, surface, tri, and x, y, z of the corners a, b, c: the triangulation of each site's surface. A surface is one task's work."""
-    fields = ", ".join(f"{c}{k} double" for k in "abc" for c in "xyz")
+    """site_id, surface, tri, and x, y, z of the corners a, b, c: the triangulation of each site's surface.
 
-    def build(s: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("seq")
-        x, y, z = (s[c].to_numpy(float) for c in ("x_ft", "y_ft", "z"))
+    Surfaces of many points are cut into tiles, and each tile is triangulated with the tiles around it. Points whose
+    triangles no point farther off can change have theirs at once. The others, mostly near the surface's rim, are
+    triangulated by themselves: those of their triangles without any point in the circle, found by a join with the tiles
+    that the circle touches, are the rest of the triangulation. Where points lie on one circle, either diagonal may be
+    taken. tri orders triangles of a surface and has no other meaning.
+    """
+    keys, kind = ["site_id", "surface"], samples.schema["site_id"].dataType.simpleString()
+    p = kept(distinct_places(samples).select(*keys, F.col("x_ft").cast("double").alias("x"), F.col("y_ft").cast("double").alias("y"), F.col("z").cast("double").alias("z")), "places")
+    box = p.groupBy(*keys).agg(F.min("x").alias("lo_x"), F.min("y").alias("lo_y"), F.max("x").alias("hi_x"), F.max("y").alias("hi_y"), F.greatest(F.lit(1), F.floor(F.sqrt(F.count(F.lit(1)) / TILE_POINTS))).cast("int").alias("k"))
+    side = lambda v: F.when(F.col(f"hi_{v}") > F.col(f"lo_{v}"), F.least(F.col("k") - 1, F.floor((F.col(v) - F.col(f"lo_{v}")) / (F.col(f"hi_{v}") - F.col(f"lo_{v}")) * F.col("k")).cast("int"))).otherwise(0)
+    tiled = p.join(box, keys).withColumn("ti", side("x")).withColumn("tj", side("y"))
+    fields = ", ".join(f"{c} double" for c in CORNERS)
+
+    def whole(s: pd.DataFrame) -> pd.DataFrame:
+        t = np.array(sorted(delaunay(s.x.to_numpy(float), s.y.to_numpy(float))), int).reshape(-1, 3)
+        return pd.DataFrame({"site_id": np.repeat(s.site_id.iloc[0], len(t)), "surface": np.repeat(s.surface.iloc[0], len(t)), **corner_rows(s, t)})
+
+    def tile(s: pd.DataFrame) -> pd.DataFrame:
+        x, y, own = s.x.to_numpy(float), s.y.to_numpy(float), s.own.to_numpy(bool)
+        f = s.iloc[0]
+        w, h = (f.hi_x - f.lo_x) / f.k, (f.hi_y - f.lo_y) / f.k
+        halo = (f.lo_x + (f.to_i - 1) * w, f.lo_y + (f.to_j - 1) * h, f.lo_x + (f.to_i + 2) * w, f.lo_y + (f.to_j + 2) * h)
         t = np.array(sorted(delaunay(x, y)), int).reshape(-1, 3)
-        out = {"site_id": np.repeat(s.site_id.iloc[0], len(t)), "surface": np.repeat(s.surface.iloc[0], len(t)), "tri": np.arange(len(t))}
-        for k, c in enumerate("abc"):
-            out |= {f"x{c}": x[t[:, k]], f"y{c}": y[t[:, k]], f"z{c}": z[t[:, k]]}
-        return pd.DataFrame(out)
-
-    return distinct_places(samples).groupBy("site_id", "surface").applyInPandas(build, f"site_id {samples.schema['site_id'].dataType.simpleString()}, surface string, tri long, {fields}")
+        good = settled(x, y, t, own, halo, (f.lo_x, f.lo_y, f.hi_x, f.hi_y)) if len(t) else np.zeros(len(s), bool)
+        t = t[good[t].any(axis=1)] if len(t) else t
+        rest = np.flatnonzero(own & ~good)
+        rows = corner_rows(s, t)
+        alone = {c: (s[c[0]].to_numpy(float)[rest] if c[1] == "a" else np.full(len(rest), np.nan)) for c in CORNERS}
+        both = {c: np.concatenate([rows[c], alone[c]]) for c in CORNERS}
+        return pd.DataFrame({"site_id": np.repeat(f.site_id, len(t) + len(rest)), "surface": np.repeat(f.surface, len(t) + len(rest)), **both, "open": np.repeat([False, True], [len(t), len(rest)])})
+
+    schema = f"site_id {kind}, surface string, {fields}"
+    small = tiled.where("k < 2").select(*p.columns).groupBy(*keys).applyInPandas(whole, schema)
+    step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    around = tiled.where("k >= 2").withColumn("di", step).withColumn("dj", step).withColumn("to_i", F.col("ti") + F.col("di")).withColumn("to_j", F.col("tj") + F.col("dj"))
+    around = around.where(F.col("to_i").between(0, F.col("k") - 1) & F.col("to_j").between(0, F.col("k") - 1)).withColumn("own", (F.col("di") == 0) & (F.col("dj") == 0))
+    found = kept(around.groupBy(*keys, "to_i", "to_j").applyInPandas(tile, f"{schema}, open boolean"), "tiles")
+    inner = found.where("NOT open").dropDuplicates([*keys, *[c for c in CORNERS if c[0] != "z"]]).drop("open")
+    rest = found.where("open").select(*keys, F.col("xa").alias("x"), F.col("ya").alias("y"), F.col("za").alias("z")).groupBy(*keys).applyInPandas(whole, schema)
+    return small.unionByName(inner).unionByName(empty_circles(kept(rest, "rim-triangles"), tiled.where("k >= 2"))).withColumn("tri", F.xxhash64(*[c for c in CORNERS if c[0] != "z"]))
+
+
+def empty_circles(tris: DataFrame, tiled: DataFrame) -> DataFrame:
+    """The triangles whose circle holds no point of their surface. tiled: points with their tile (ti, tj), the surface's box and k."""
+    c, keys = F.col, ["site_id", "surface"]
+    bx, by, cx, cy = c("xb") - c("xa"), c("yb") - c("ya"), c("xc") - c("xa"), c("yc") - c("ya")
+    d = 2 * (bx * cy - by * cx)
+    ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+    t = tris.join(tiled.select(*keys, "lo_x", "lo_y", "hi_x", "hi_y", "k").distinct(), keys).withColumn("mx", c("xa") + ux).withColumn("my", c("ya") + uy).withColumn("r2", ux * ux + uy * uy)
+    for v, n in (("x", "ti"), ("y", "tj")):
+        at = lambda w, v=v: F.greatest(F.lit(0), F.least(c("k") - 1, F.floor((w - c(f"lo_{v}")) / (c(f"hi_{v}") - c(f"lo_{v}")) * c("k")).cast("int")))
+        lo, hi = F.greatest(c(f"lo_{v}"), c(f"m{v}") - F.sqrt("r2")), F.least(c(f"hi_{v}"), c(f"m{v}") + F.sqrt("r2"))
+        t = t.withColumn(n, F.explode(F.when(c(f"hi_{v}") > c(f"lo_{v}"), F.sequence(at(lo), at(hi))).otherwise(F.array(F.lit(0)))))
+    corners = [k for k in CORNERS if k[0] != "z"]
+    inside = (c("x") - c("mx")) ** 2 + (c("y") - c("my")) ** 2 < c("r2") * (1 - 1e-9)
+    corner = ((c("x") == c("xa")) & (c("y") == c("ya"))) | ((c("x") == c("xb")) & (c("y") == c("yb"))) | ((c("x") == c("xc")) & (c("y") == c("yc")))
+    held = t.join(tiled.select(*keys, "ti", "tj", "x", "y"), [*keys, "ti", "tj"]).where(inside & ~corner).select(*keys, *corners).distinct()
+    return tris.join(held, [*keys, *corners], "left_anti")
 
 
 def on_triangles(tris: DataFrame, extent: DataFrame, grid_n: int) -> DataFrame:

@@ -193,6 +193,21 @@ def test_triangles_cover_the_hull_without_points_in_circles(points):
     assert abs(area - whole) < 1e-6 * max(1, whole) + 0.02 * whole
 
 
+def test_tiles_make_the_same_triangles(spark, monkeypatch):
+    monkeypatch.setattr(surfaces, "TILE_POINTS", 12)
+    rng = np.random.default_rng(9)
+    sites = {"even": rng.uniform(0, 1000, (400, 2)), "long": rng.uniform(0, 1, (300, 2)) * [5000, 40], "clusters": np.concatenate([rng.normal(m, 8, (90, 2)) for m in ((0, 0), (500, 30), (90, 800))]), "ring": np.stack([np.cos(a := rng.uniform(0, 6.3, 200)) * 100, np.sin(a) * 70], axis=1) + rng.normal(0, 1, (200, 2)), "few": rng.uniform(0, 9, (9, 2))}
+    rows = [(k, "proposed", i, float(x), float(y), float(i)) for k, v in sites.items() for i, (x, y) in enumerate(v)]
+    rows += [("line", "proposed", i, float(i), 5.0, 1.0) for i in range(60)]
+    got: dict = {}
+    for r in surfaces.triangles(spark.createDataFrame(rows, "site_id string, surface string, seq long, x_ft double, y_ft double, z double")).collect():
+        got.setdefault(r.site_id, []).append(frozenset((int(r.za), int(r.zb), int(r.zc))))
+    assert "line" not in got
+    for k, v in sites.items():
+        want = {frozenset(t) for t in surfaces.delaunay(v[:, 0], v[:, 1])}
+        assert len(got[k]) == len(set(got[k])) and set(got[k]) == want, k
+
+
 def test_surface_of_a_plane(spark):
     rng = np.random.default_rng(0)
     points = [("proposed", *p, 900 + 2 * p[0] - p[1]) for p in rng.uniform(0, 100, (40, 2))] + [("existing", *p, 890.0) for p in rng.uniform(0, 100, (10, 2))]
