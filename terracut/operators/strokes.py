@@ -61,14 +61,39 @@ def chains(s: DataFrame, angle: float, sideways: float, gap: float) -> DataFrame
     """SEGMENT rows with chain: segments that continue one another, collected greedily in order of seq.
 
     A segment joins by the chain's median direction and mean point as they are then, so the order decides and a sheet's
-    segments are one task's work. Chains below LEAST_CHAIN are left out; their segments stay used.
+    segments are one task's work. Only segments of about the chain's direction and near its line are looked at. Chains below
+    LEAST_CHAIN are left out; their segments stay used.
     """
 
     def build(sheet: pd.DataFrame) -> pd.DataFrame:
         sheet = sheet.sort_values("seq", kind="stable").reset_index(drop=True)
         ends = sheet[["x1", "y1", "x2", "y2"]].to_numpy(float).reshape(-1, 2, 2)
         ang, length, free = sheet["ang"].to_numpy(float), sheet["len"].to_numpy(float), np.ones(len(sheet), bool)
-        chain = np.full(len(sheet), -1)
+        chain, middle = np.full(len(sheet), -1), ends.mean(axis=1)
+        # Segments by direction, in steps of the tolerance; those of a step by where they cross the step's normal.
+        step = max(angle, 1e-6)
+        steps = max(1, int(180 // step))
+        own = np.minimum((ang / 180 * steps).astype(int), steps - 1)
+        by_step = []
+        for k in range(steps):
+            members, turn = np.flatnonzero(own == k), np.radians((k + 0.5) * 180 / steps)
+            offset = middle[members] @ np.array([-np.sin(turn), np.cos(turn)])
+            order = np.argsort(offset, kind="stable")
+            by_step.append((members[order], offset[order], turn))
+
+        def candidates(turn: float, origin: np.ndarray, reach: float) -> np.ndarray:
+            """Free segments that may lie along the line: middles no farther from it than sideways, so within a strip of each step."""
+            parts, at = [], int(turn / 180 * steps)
+            for k in {(at + d) % steps for d in (-2, -1, 0, 1, 2)}:
+                members, offset, direction = by_step[k]
+                tilt = abs(np.radians(turn) - direction) % np.pi
+                wide = (sideways + 1e-6) / max(np.cos(min(tilt, np.pi - tilt)), 1e-6) + reach * np.sin(min(tilt, np.pi - tilt))
+                at_origin = origin @ np.array([-np.sin(direction), np.cos(direction)])
+                parts.append(members[np.searchsorted(offset, at_origin - wide) : np.searchsorted(offset, at_origin + wide, "right")])
+            found = np.concatenate(parts)
+            return np.sort(found[free[found]])
+
+        longest = length.max(initial=0.0)
         for seed in range(len(sheet)):
             if not free[seed]:
                 continue
@@ -77,10 +102,10 @@ def chains(s: DataFrame, angle: float, sideways: float, gap: float) -> DataFrame
                 turn = np.median(ang[members])
                 along = np.array([np.cos(np.radians(turn)), np.sin(np.radians(turn))])
                 across = np.array([-along[1], along[0]])
-                own = ends[members].reshape(-1, 2)
-                origin = own.mean(axis=0)
-                reach = (own - origin) @ along
-                rest = np.flatnonzero(free)
+                points = ends[members].reshape(-1, 2)
+                origin = points.mean(axis=0)
+                reach = (points - origin) @ along
+                rest = candidates(turn, origin, np.abs(reach).max() + gap + longest)
                 off = np.abs(ang[rest] - turn) % 180
                 t = (ends[rest] - origin) @ along
                 fits = (np.minimum(off, 180 - off) <= angle) & (np.abs((ends[rest] - origin) @ across).max(axis=1) <= sideways) & (t.max(axis=1) >= reach.min() - gap) & (t.min(axis=1) <= reach.max() + gap)
