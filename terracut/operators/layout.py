@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terracut.functions.geometry import clamp_bbox
 from terracut.functions.text import holds_any, stripped
+from terracut.sources.scratch import kept
 
 # Words of panel headers, of legend entries, and of what ends a legend.
 HEADERS = {
@@ -79,7 +80,7 @@ def layouts(spans: DataFrame, sheets: DataFrame) -> DataFrame:
 
     spans: sheet_id, seq, text, bbox_px (BOX). sheets: sheet_id, width_px, height_px.
     """
-    heads = headers(spans, sheets)
+    heads = kept(headers(spans, sheets), "headers")
     t = sheets.select("sheet_id", F.col("width_px").cast("double").alias("w"), F.col("height_px").cast("double").alias("h")).join(heads, "sheet_id", "left").join(legend_panels(spans, sheets, heads), "sheet_id", "left").join(fallback_split(spans, sheets), "sheet_id")
     w, h, legend = F.col("w"), F.col("h"), F.col("legend")
     lhead = F.coalesce("map_legend", "any_legend")
@@ -88,7 +89,8 @@ def layouts(spans: DataFrame, sheets: DataFrame) -> DataFrame:
     split = F.when(left.isNull(), F.col("fallback")).otherwise(F.floor(F.greatest(w * 0.62, F.least(left, w * 0.82))))
     t = t.withColumn("split", split.cast("int"))
     ys = F.array_sort(F.array_compact(F.array(F.struct(F.col("notes.y0").alias("y"), F.lit(0).alias("k")), F.struct(lhead["y0"].alias("y"), F.lit(1).alias("k")), F.struct(F.col("title.y0").alias("y"), F.lit(2).alias("k")))))
-    t = t.withColumn("ys", F.filter(ys, lambda p: p["y"].isNotNull()))
+    # One row for each sheet: written, so that what follows reads values and not the rules that made them.
+    t = kept(t.withColumn("ys", F.filter(ys, lambda p: p["y"].isNotNull())), "splits")
 
     def panel(head: Column, k: int) -> Column:
         after = F.filter("ys", lambda p: (p["y"] > head["y0"]) | ((p["y"] == head["y0"]) & (p["k"] > k)))

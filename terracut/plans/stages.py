@@ -134,6 +134,13 @@ def sheet_headers(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("sheet_id", *[F.col(f"{name}.{c}").alias(f"{name}_{c}") for name in layout.HEADERS for c in ("x0", "y0")])
 
 
+def sheet_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawing, panels and split of every sheet, from its texts."""
+    t = layout.layouts(titles(spark, sf), view(spark, sf, "sheets").withColumns({"width_px": F.lit(1000), "height_px": F.lit(1000)}))
+    boxes = [F.col(f"{name}_bbox.{c}").alias(f"{name}_{c}") for name in ("drawing", "legend", "notes", "title", "scale") for c in ("x0", "y0", "x1", "y1")]
+    return t.select("sheet_id", "split", *boxes, F.size("chrome_bboxes").alias("panels"), "notes")
+
+
 def gray_rows(spark: SparkSession, sf: str) -> DataFrame:
     row = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0"))
     return view(spark, sf, "pixels").groupBy("sheet_id", "y").agg(F.unhex(F.concat_ws("", row)).alias("gray"))
@@ -321,7 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         drawn_segments, border_strokes, chain_ends, viewport_readings, deduped_callouts, gated_callouts, property_outlines, building_outlines, interior_zones, contour_filter, rejected_styles, legend_flags,
         legend_panel_rows, legend_entries, icon_boxes, sheet_headers, column_shares, pixel_profiles, drawing_pixels, contour_seeds, contour_sources, seed_kinds, line_parts, hex_colors, display_scales, lifted_frames,
         region_totals, callout_surfaces, final_kinds, refined_templates, fallback_samples, sheet_samples, site_feet, site_frames, fused_statuses,
-        truth_reports, swatch_patterns, site_regions, site_outlines,
+        truth_reports, swatch_patterns, site_regions, site_outlines, sheet_layouts,
     )
 }
 
@@ -401,7 +408,51 @@ FRAMES = """
 fr AS (SELECT sheet_id, 'site ' || sheet_id AS site_id, (10.0 + length(sheet_id)) / 100 AS ft, CASE WHEN sheet_id LIKE '%1' THEN 400 WHEN sheet_id NOT LIKE '%3' THEN 400 ELSE 500 END AS ox,
   CASE WHEN sheet_id LIKE '%1' THEN 470 WHEN sheet_id NOT LIKE '%3' THEN 330 ELSE 450 END AS oy, CASE WHEN sheet_id LIKE '%1' THEN 600 ELSE 500 END AS w, CASE WHEN sheet_id LIKE '%1' THEN 700 ELSE 450 END AS h FROM fx_sheets)"""
 
+
+
+def any_of(words: list[str], text: str = "t") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def clamped(x0: str, y0: str, x1: str, y1: str) -> str:
+    """A box in whole pixels of a page of 1000 x 1000."""
+    cut = lambda v: f"CAST(greatest(0, least(1000, trunc({v}))) AS INT)"
+    side = lambda a, b, lo, hi: f"{lo} := least({a}, {b}), {hi} := CASE WHEN {a} = {b} THEN least({a} + 1, 1000) ELSE greatest({a}, {b}) END"
+    return f"struct_pack({side(cut(x0), cut(x1), 'x0', 'x1')}, {side(cut(y0), cut(y1), 'y0', 'y1')})"
+
+
+def below(head: str, k: int) -> str:
+    """The panel from a header down to the next one."""
+    y0, after = f"floor(greatest(0, {head}.y0 - 10))", f"list_filter(ys, lambda p: p.y > {head}.y0 OR (p.y = {head}.y0 AND p.k > {k}))"
+    y1 = f"coalesce(floor({after}[1].y - 6), 1000)"
+    if k == 0:
+        y1 = f"CASE WHEN legend.y0 > {y0} THEN least({y1}, legend.y0 - 4) ELSE {y1} END"
+    return f"CASE WHEN {head} IS NOT NULL THEN {clamped('split', y0, '1000', f'greatest({y1}, {y0} + 48)')} END"
+
+
+LAYOUT = f"""
+hd AS (SELECT sheet_id, {", ".join(f"arg_min(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1), struct_pack(a := x0 <= 500, y := y0, s := seq)) FILTER (WHERE {any_of(words, 'upper(trim(text))')}) AS {name}" for name, words in layout.HEADERS.items())} FROM fx_titles GROUP BY ALL),
+lh AS (SELECT *, coalesce(map_legend, any_legend) AS head FROM hd),
+sp AS (SELECT s.*, head, title, regexp_replace(upper(trim(text)), '\\s+', ' ', 'g') AS t, y0 >= head.y1 - 2 AND x0 >= greatest(580, head.x0 - 120) AS rail FROM fx_titles s JOIN lh USING (sheet_id) WHERE head IS NOT NULL),
+fl AS (SELECT *, rail AND {any_of(layout.ENTRY_LABELS)} AS entry, rail AND x0 <= head.x1 + 280 AND y0 <= head.y1 + 450 AS col, y0 > head.y1 + 80 AND x0 >= 500 AND {any_of(layout.STOPPERS)} AS stops FROM sp),
+ag AS (SELECT sheet_id, any_value(head) AS head, any_value(title) AS title, min(x0) FILTER (WHERE entry) AS ex0, max(x1) FILTER (WHERE entry) AS ex1, min(y0) FILTER (WHERE entry) AS ey0, max(y1) FILTER (WHERE entry) AS ey1,
+  min(x0) FILTER (WHERE col) AS cx0, max(x1) FILTER (WHERE col) AS cx1, max(y1) FILTER (WHERE col) AS cy1, min(floor(y0 - 10)) FILTER (WHERE stops) AS stop FROM fl GROUP BY sheet_id),
+ed AS (SELECT *, CASE WHEN ex0 IS NOT NULL THEN least(ex0, coalesce(cx0, ex0)) ELSE coalesce(cx0, head.x0) END AS lft, CASE WHEN ex0 IS NOT NULL THEN ex1 ELSE coalesce(cx1, greatest(head.x1, head.x0 + 200)) END AS rgt,
+  CASE WHEN ex0 IS NOT NULL THEN least(head.y0 - 8, ey0 - 8) ELSE head.y0 - 8 END AS top, CASE WHEN ex0 IS NOT NULL THEN greatest(ey1 + 40, coalesce(cy1 + 28, ey1 + 40)) ELSE coalesce(cy1 + 28, head.y1 + 280) END AS bot,
+  least(stop, CASE WHEN title.y0 > head.y1 + 80 THEN floor(title.y0 - 10) END) AS end_ FROM ag),
+sw AS (SELECT *, least(bot, coalesce(end_, bot)) AS bottom, greatest(lft - greatest(120, least(least(280, greatest(120, head.x0 - 680)), 70)), head.x0 - 220, 620) AS swatch FROM ed),
+lg AS (SELECT sheet_id, {clamped('greatest(floor(least(greatest(swatch, 600, head.x0 - 260), swatch) - 10), 580)', 'greatest(0, least(top, head.y0 - 24))', 'least(1000, greatest(rgt, head.x1) + 40)', 'least(1000, greatest(bottom, head.y1 + 80))')} AS legend FROM sw),
+rl AS (SELECT sheet_id, list_sort(list(x0)) AS xs FROM fx_titles WHERE x0 + 40 > 550 GROUP BY ALL),
+j AS (SELECT s.sheet_id, lh.* EXCLUDE (sheet_id), legend, CASE WHEN xs IS NULL THEN 700 ELSE greatest(550, least(800, floor(xs[len(xs) // 10 + 1] - 12))) END AS fallback FROM fx_sheets s LEFT JOIN lh USING (sheet_id) LEFT JOIN lg USING (sheet_id) LEFT JOIN rl USING (sheet_id)),
+sl AS (SELECT *, least(legend.x0, CASE WHEN notes.x0 > 550 THEN floor(notes.x0 - 200) END, CASE WHEN title.x0 > 550 THEN floor(title.x0 - 200) END, CASE WHEN head.x0 > 550 THEN floor(head.x0 - 200) END) AS edge FROM j),
+st AS (SELECT *, CAST(CASE WHEN edge IS NULL THEN fallback ELSE floor(greatest(620, least(edge, 820))) END AS INT) AS split,
+  list_sort(list_filter([struct_pack(y := notes.y0, k := 0), struct_pack(y := head.y0, k := 1), struct_pack(y := title.y0, k := 2)], lambda p: p.y IS NOT NULL)) AS ys FROM sl),
+pn AS (SELECT *, {below('notes', 0)} AS notes_box, coalesce({below('title', 2)}, {clamped('split', '620', '1000', '1000')}) AS title_box FROM st),
+al AS (SELECT *, CASE WHEN legend IS NOT NULL THEN {clamped('least(legend.x0, split)', 'legend.y0', '1000', 'greatest(least(legend.y1, title_box.y0 - 4), legend.y0 + 48)')} END AS legend_box,
+  CASE WHEN scale IS NOT NULL THEN {clamped('floor(greatest(split, scale.x0 - 40))', 'floor(scale.y0 - 20)', 'floor(least(1000, scale.x1 + 220))', 'floor(scale.y1 + 40)')} END AS scale_box, {clamped('0', '0', 'split', '1000')} AS drawing_box FROM pn)"""
+
 SQL = {
+    "sheet_layouts": f"{with_views('titles', 'sheets')},{LAYOUT} SELECT sheet_id, split, " + ", ".join(f"{name}_box.{c} AS {name}_{c}" for name in ("drawing", "legend", "notes", "title", "scale") for c in ("x0", "y0", "x1", "y1")) + ", CAST((legend_box IS NOT NULL)::INT + (notes_box IS NOT NULL)::INT + 1 + (scale_box IS NOT NULL)::INT AS INT) AS panels, 'right rail @ x=' || split || '; legend=' || CASE WHEN legend IS NOT NULL THEN 'full' ELSE 'miss' END AS notes FROM al",
     "drawn_segments": f"""{with_views('segments')}, p AS (SELECT *, (500 - y1 / 2) * 2 AS a, x1 AS b, (500 - y2 / 2) * 2 AS c, x2 AS d FROM fx_segments WHERE seq % 7 <> 0 AND least(color0, color0 + 0.1, 0.5) <= 0.55 AND sqrt(pow(x1 / 2 - x2 / 2, 2) + pow(y1 / 2 - y2 / 2, 2)) >= 0.8),
 q AS (SELECT sheet_id, seq, a AS x1, b AS y1, c AS x2, d AS y2, w, color0, sqrt(pow(c - a, 2) + pow(d - b, 2)) AS len, degrees(atan2(d - b, c - a)) AS a0 FROM p)
 SELECT sheet_id, seq, x1, y1, x2, y2, round(len, 6) AS len, round(a0 - 180 * floor(a0 / 180), 6) AS ang, w, color0 FROM q WHERE len >= 1.2 AND (x1 + x2) / 2 BETWEEN 142 AND 808 AND (y1 + y2) / 2 BETWEEN 92 AND 708""",
