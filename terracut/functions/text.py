@@ -15,6 +15,12 @@ MATCH_EXISTING = r"(?i)\bME\b"
 NAMED_SCALE = r"""(?i)scale\s*[:\-]?\s*1\s*["”]?\s*=\s*(\d+(?:\.\d+)?)\s*(?:'|’|ft|feet)"""
 BARE_SCALE = r"""(?i)1\s*["”]\s*=\s*(\d+(?:\.\d+)?)\s*(?:'|’|ft|feet)"""
 SCALE_HINT = r"""(?i)scale|1\s*["”]\s*="""
+LEGEND_HEADER = r"(?i)map\s*legend|^legend$|general notes|keynotes"
+BARE_NUMBER = r"^[\d.\-]+$"
+DATE = r"^\d{1,2}/\d{1,2}/\d{2,4}$"
+CAPITALS = r"^[A-Z0-9][A-Z0-9\s\-/&().%]{2,60}$"
+ROOM_NUMBER = r"^\d{3}$"
+STATION = r"\d\+\d{2}"
 
 
 def stripped(text: Column) -> Column:
@@ -110,8 +116,8 @@ def is_legend_row(name: Column) -> Column:
     upper = F.upper(name)
     known = holds_any(upper, KNOWN_LABELS)
     title = upper.rlike("^(" + "|".join(TITLE_BLOCK_WORDS) + ")( |$)")
-    header = name.rlike(r"(?i)map\s*legend|^legend$|general notes|keynotes")
-    return (F.length(name) >= 3) & (F.length(name) <= 80) & ~header & ~name.rlike(r"^[\d.\-]+$") & ~title & ~name.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}$") & (known | name.rlike(r"^[A-Z0-9][A-Z0-9\s\-/&().%]{2,60}$"))
+    other = name.rlike(LEGEND_HEADER) | name.rlike(BARE_NUMBER) | title | name.rlike(DATE)
+    return (F.length(name) >= 3) & (F.length(name) <= 80) & ~other & (known | name.rlike(CAPITALS))
 
 
 # Texts that anchor a building or the site's edge, first match first.
@@ -123,4 +129,4 @@ def anchor_tag(text: Column) -> Column:
     """room, bl, edge, sta or room_label; null for all other texts."""
     t = stripped(text)
     u = F.upper(t)
-    return F.when(t.rlike(r"^\d{3}$"), "room").when(F.contains(u, F.lit("BUILDING LINE")), "bl").when(holds_any(u, EDGE_WORDS), "edge").when(t.rlike(r"\d\+\d{2}"), "sta").when(holds_any(u, ROOM_WORDS), "room_label")
+    return F.when(t.rlike(ROOM_NUMBER), "room").when(F.contains(u, F.lit("BUILDING LINE")), "bl").when(holds_any(u, EDGE_WORDS), "edge").when(t.rlike(STATION), "sta").when(holds_any(u, ROOM_WORDS), "room_label")
