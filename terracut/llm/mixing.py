@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
 
     sizes: source, size. Sources in code point order, null last, get the weights in turn. What a full source cannot
     take is dealt again by weight among the others; with sources in order of size for weight, those filled are the
-    first ones, so running sums give the level at which dealing stops.
+    first ones, so running sums give the level at which dealing stops. Sources are few against documents: their table, one
+    row each, is sorted in one task.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     one = W.partitionBy(F.lit(0))  # one row for each source
