@@ -76,7 +76,7 @@ def test_limited_movement(spark):
     rows = spark.range(20000).withColumnRenamed("id", "doc_id")
     a, b = (sharding.assign_shards(rows, F.col("doc_id"), [], n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (16, 17))
     moved = a.join(b, "doc_id").where("s16 != s17").count() / 20000
-    assert moved < 0.4  # dealing anew would move 16 of 17 parts
+    assert moved < 0.12  # a new shard takes 1 of 17 parts; dealing anew would move 16
 
 
 def test_shards_refuse_small_rings(spark):
