@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracut.functions.geometry import linspace
+from terracut.functions.geometry import axis_distance, linspace
 from terracut.operators.spatial import around, bucket
 from terracut.operators.styles import ink_runs, run_signatures
 
@@ -112,3 +112,77 @@ def component_area_limits(areas: DataFrame, scale: Column, width: Column, height
     least = F.greatest(F.lit(6), F.floor(10 * scale * scale)) if seeded else F.greatest(F.lit(10), F.floor(18 * scale * scale))
     fits = F.col("area") >= least
     return areas.where(fits if seeded else fits & (F.col("area") <= width * height * 0.04))
+
+
+#: Darkest of 3 x 3 pixels below which a place of a segment is ink.
+SEGMENT_INK = 165
+
+
+def cropped(gray_rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """sheet_id, y, gray: the pixels of each sheet's box (sheet_id, box; half open), from its upper left corner."""
+    b = F.col("box")
+    rows = gray_rows.join(boxes, "sheet_id").where((F.col("y") >= b["y0"]) & (F.col("y") < b["y1"]))
+    return rows.select("sheet_id", (F.col("y") - b["y0"]).alias("y"), F.substring("gray", b["x0"] + 1, b["x1"] - b["x0"]).alias("gray"))
+
+
+def along_segments(segments: DataFrame, sheets: DataFrame, gray_rows: DataFrame, count: Column) -> DataFrame:
+    """sheet_id, seq, pos, gray, darkest: the pixel at each of count evenly spaced places of SEGMENT rows, and the darkest of the 3 x 3 around it."""
+    place = F.arrays_zip(linspace(F.col("x1"), F.col("x2"), count).alias("x"), linspace(F.col("y1"), F.col("y2"), count).alias("y"))
+    at = segments.join(sheets.select("sheet_id", "width_px", "height_px"), "sheet_id").select("sheet_id", "seq", "width_px", "height_px", F.posexplode(place).alias("pos", "p"))
+    clip = lambda v, size: F.greatest(F.lit(0.0), F.least(v, F.col(size) - 1.0)).cast("int")
+    at = at.select("sheet_id", "seq", "pos", "width_px", "height_px", clip(F.col("p.x"), "width_px").alias("px"), clip(F.col("p.y"), "height_px").alias("py"))
+    at = at.withColumn("y", F.explode(F.sequence(F.greatest(F.lit(0), F.col("py") - 1), F.least(F.col("height_px") - 1, F.col("py") + 1))))
+    row = at.join(gray_rows.withColumnRenamed("gray", "bytes"), ["sheet_id", "y"])
+    darkest = F.array_min(F.transform(F.sequence(F.greatest(F.lit(0), F.col("px") - 1), F.least(F.col("width_px") - 1, F.col("px") + 1)), lambda x: byte_at(F.col("bytes"), x)))
+    return row.groupBy("sheet_id", "seq", "pos").agg(F.max(F.when(F.col("y") == F.col("py"), byte_at(F.col("bytes"), F.col("px")))).alias("gray"), F.min(darkest).alias("darkest"))
+
+
+def segment_runs(segments: DataFrame, sheets: DataFrame, gray_rows: DataFrame, step: float = 1.2) -> DataFrame:
+    """sheet_id, seq, run, ink, size: runs of ink and gap along SEGMENT rows, a place each step pixels and 50 at least."""
+    n = F.greatest(F.lit(50), F.floor(F.col("len") / step)).cast("int")
+    return ink_runs(along_segments(segments, sheets, gray_rows, n).select("sheet_id", "seq", "pos", (F.col("darkest") < SEGMENT_INK).alias("ink")), ["sheet_id", "seq"])
+
+
+def inner_runs(runs: DataFrame) -> DataFrame:
+    """runs without gaps at a segment's ends."""
+    w = W.partitionBy("sheet_id", "seq")
+    outer = (F.col("run") == F.min("run").over(w)) | (F.col("run") == F.max("run").over(w))
+    return runs.withColumn("__drop", outer & ~F.col("ink")).where("NOT __drop").drop("__drop")
+
+
+def dash_measures(runs: DataFrame) -> DataFrame:
+    """sheet_id, seq, places, ink_ratio, inks, gaps, longs, shorts, ratio, spread and gap_mean of each segment's runs.
+
+    Long and short are against the lower quartile of the ink runs between the ends' gaps (2.8 times and more, 1.7 and less);
+    ratio is that of their medians, spread the ink runs' deviation against their mean (or 1, if that is less).
+    """
+    key = ["sheet_id", "seq"]
+    all_runs = runs.groupBy(*key).agg(F.sum("size").alias("places"), (F.sum(F.when(F.col("ink"), F.col("size")).otherwise(0)) / F.sum("size")).alias("ink_ratio"))
+    ink = F.when(F.col("ink"), F.col("size").cast("double"))
+    inner = inner_runs(runs).groupBy(*key).agg(
+        F.count(ink).alias("inks"), F.count_if(~F.col("ink")).alias("gaps"), F.percentile(ink, 0.25).alias("low"), (F.stddev_pop(ink) / F.greatest(F.avg(ink), F.lit(1.0))).alias("spread"),
+        F.avg(F.when(~F.col("ink"), F.col("size"))).alias("gap_mean"),
+    )
+    t = inner_runs(runs).where("ink").join(inner, key)
+    is_long, is_short = F.col("size") / F.col("low") >= 2.8, F.col("size") / F.col("low") <= 1.7
+    sides = t.groupBy(*key).agg(F.count_if(is_long).alias("longs"), F.count_if(is_short).alias("shorts"), (F.median(F.when(is_long, F.col("size"))) / F.greatest(F.median(F.when(is_short, F.col("size"))), F.lit(1.0))).alias("ratio"))
+    return all_runs.join(inner, key).join(sides, key, "left").fillna(0, ["longs", "shorts"]).drop("low")
+
+
+def is_long_short(places: int = 40) -> Column:
+    """Whether dash_measures() look like a property line: long dashes between short ones, not dashes of one length, nor solid."""
+    return (F.col("places") >= places) & (F.col("inks") >= 3) & (F.col("gaps") >= 2) & (F.col("longs") >= 1) & (F.col("shorts") >= 2) & (F.col("spread") >= 0.35) & F.col("ratio").between(2.6, 6.5) & F.col("ink_ratio").between(0.25, 0.82)
+
+
+def wall_measures(segments: DataFrame, sheets: DataFrame, gray_rows: DataFrame) -> DataFrame:
+    """sheet_id, seq, ink_ratio, longest (ink run against all places), mean_gray (of 40 places), axis of SEGMENT rows."""
+    runs = segment_runs(segments, sheets, gray_rows, 1.5).groupBy("sheet_id", "seq").agg(
+        (F.sum(F.when(F.col("ink"), F.col("size")).otherwise(0)) / F.sum("size")).alias("ink_ratio"), (F.coalesce(F.max(F.when(F.col("ink"), F.col("size"))), F.lit(0)) / F.sum("size")).alias("longest")
+    )
+    gray = along_segments(segments, sheets, gray_rows, F.lit(40)).groupBy("sheet_id", "seq").agg(F.avg("gray").alias("mean_gray"))
+    return segments.select("sheet_id", "seq", "len", axis_distance(F.col("ang")).alias("axis")).join(runs, ["sheet_id", "seq"]).join(gray, ["sheet_id", "seq"])
+
+
+def is_solid_wall() -> Column:
+    """Whether wall_measures() look like a wall: long, along an axis, dark and without gaps."""
+    return (F.col("len") >= 140) & (F.col("axis") <= 10) & (F.col("ink_ratio") >= 0.88) & (F.col("mean_gray") <= 90) & (F.col("longest") >= 0.75)

@@ -162,6 +162,27 @@ def pixel_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("sheet_id", "poly_seq", "pos", r6("gray"))
 
 
+def gray_segments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Segments on the pages of the pixels view (40 x 30), and the pages."""
+    s = view(spark, sf, "segments").where("seq % 23 = 0").select(F.concat(F.lit("G"), F.col("seq") % 5).alias("sheet_id"), "seq", (F.col("x1") % 41).alias("x1"), (F.col("y1") % 29).alias("y1"), (F.col("x2") % 37).alias("x2"), (F.col("y2") % 31).alias("y2"), "w", "color0")
+    return strokes.measured(s), s.select("sheet_id").distinct().withColumns({"width_px": F.lit(40), "height_px": F.lit(30)})
+
+
+def dash_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    m = raster.dash_measures(raster.segment_runs(*gray_segments(spark, sf), gray_rows(spark, sf)))
+    return m.select("sheet_id", "seq", "places", r6("ink_ratio"), "inks", "gaps", "longs", "shorts", r6("ratio"), r6("spread"), r6("gap_mean"), F.coalesce(raster.is_long_short(), F.lit(False)).alias("long_short"))
+
+
+def wall_strokes(spark: SparkSession, sf: str) -> DataFrame:
+    m = raster.wall_measures(*gray_segments(spark, sf), gray_rows(spark, sf))
+    return m.select("sheet_id", "seq", r6("ink_ratio"), r6("longest"), r6("mean_gray"), r6("axis"), raster.is_solid_wall().alias("wall"))
+
+
+def page_crops(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = gray_rows(spark, sf).select("sheet_id").distinct().select("sheet_id", F.struct(F.lit(3).alias("x0"), F.lit(1).alias("y0"), F.lit(11).alias("x1"), F.lit(7).alias("y1")).alias("box"))
+    return raster.cropped(gray_rows(spark, sf), boxes).select("sheet_id", "y", F.lower(F.hex("gray")).alias("gray"))
+
+
 def drawing_pixels(spark: SparkSession, sf: str) -> DataFrame:
     inside = raster.in_drawing(F.col("x"), F.col("y"), box_of(VIEWPORT), F.array(*[box_of(b) for b in CHROME]))
     return view(spark, sf, "points").select("sheet_id", "poly_seq", "pos", inside.alias("inside"))
@@ -328,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         drawn_segments, border_strokes, chain_ends, viewport_readings, deduped_callouts, gated_callouts, property_outlines, building_outlines, interior_zones, contour_filter, rejected_styles, legend_flags,
         legend_panel_rows, legend_entries, icon_boxes, sheet_headers, column_shares, pixel_profiles, drawing_pixels, contour_seeds, contour_sources, seed_kinds, line_parts, hex_colors, display_scales, lifted_frames,
         region_totals, callout_surfaces, final_kinds, refined_templates, fallback_samples, sheet_samples, site_feet, site_frames, fused_statuses,
-        truth_reports, swatch_patterns, site_regions, site_outlines, sheet_layouts,
+        truth_reports, swatch_patterns, site_regions, site_outlines, sheet_layouts, dash_patterns, wall_strokes, page_crops,
     )
 }
 
@@ -409,6 +430,17 @@ fr AS (SELECT sheet_id, 'site ' || sheet_id AS site_id, (10.0 + length(sheet_id)
   CASE WHEN sheet_id LIKE '%1' THEN 470 WHEN sheet_id NOT LIKE '%3' THEN 330 ELSE 450 END AS oy, CASE WHEN sheet_id LIKE '%1' THEN 600 ELSE 500 END AS w, CASE WHEN sheet_id LIKE '%1' THEN 700 ELSE 450 END AS h FROM fx_sheets)"""
 
 
+# Places along the segments on the pixels view's pages, {n} of each, and runs of ink.
+ALONG = """
+s AS (SELECT 'G' || (seq % 5) AS sheet_id, seq, x1 % 41 AS x1, y1 % 29 AS y1, x2 % 37 AS x2, y2 % 31 AS y2 FROM fx_segments WHERE seq % 23 = 0),
+m AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len, degrees(atan2(y2 - y1, x2 - x1)) AS a0 FROM s),
+pl AS (SELECT sheet_id, seq, i AS pos, CAST(trunc(greatest(0.0, least(39.0, x1 + i * (x2 - x1) / greatest(n - 1, 1)))) AS INT) AS px, CAST(trunc(greatest(0.0, least(29.0, y1 + i * (y2 - y1) / greatest(n - 1, 1)))) AS INT) AS py
+  FROM (SELECT *, CAST({n} AS INT) AS n FROM m), unnest(range(n)) t(i)),
+al AS (SELECT pl.sheet_id, seq, pos, max(v) FILTER (WHERE x = px AND y = py) AS gray, min(v) AS darkest FROM pl JOIN fx_pixels q ON q.sheet_id = pl.sheet_id AND x BETWEEN px - 1 AND px + 1 AND y BETWEEN py - 1 AND py + 1 GROUP BY ALL)"""
+RUNS = """
+ch AS (SELECT *, darkest < 165 AS ink, CASE WHEN (darkest < 165) = (lag(darkest) OVER w < 165) THEN 0 ELSE 1 END AS c FROM al WINDOW w AS (PARTITION BY sheet_id, seq ORDER BY pos)),
+ri AS (SELECT *, sum(c) OVER (PARTITION BY sheet_id, seq ORDER BY pos) AS run FROM ch), ru AS (SELECT sheet_id, seq, run, ink, count(*) AS size FROM ri GROUP BY ALL)"""
+
 
 def any_of(words: list[str], text: str = "t") -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
@@ -542,6 +574,17 @@ u AS (SELECT site_id, surface, z FROM f WHERE surface = 'existing' OR site_id NO
     "site_feet": f"{with_views('samples', 'sheets')},{FRAMES} SELECT fr.site_id, surface, seq, round((x_ft - ox) * ft, 6) AS x_ft, round((y_ft - oy) * ft, 6) AS y_ft, z FROM fx_samples s JOIN fr ON s.site_id = fr.sheet_id",
     "site_frames": f"{with_views('sheets')},{FRAMES} SELECT site_id, round(w * ft, 6) AS w, round(h * ft, 6) AS h FROM fr",
     "fused_statuses": f"{with_views('samples', 'frames', 'truth')},{FUSED}, n AS (SELECT site_id, count(*) FILTER (WHERE surface = 'existing') AS e, count(*) FILTER (WHERE surface = 'proposed') AS p FROM fused GROUP BY ALL) SELECT site_id, CASE WHEN fill_cy > 0 THEN 'fused' ELSE 'failed' END AS cut_fill, 'fused existing_pts=' || coalesce(e, 0) || ', proposed_pts=' || coalesce(p, 0) AS existing_vs_proposed, CAST(1 + (coalesce(e, 0) < 3)::INT AS INT) AS warnings FROM fx_truth LEFT JOIN n USING (site_id)",
+    "dash_patterns": f"""{with_views('segments', 'pixels')},{ALONG.format(n='greatest(50, floor(len / 1.2))')},{RUNS}, al2 AS (SELECT sheet_id, seq, CAST(sum(size) AS BIGINT) AS places, sum(size) FILTER (WHERE ink) / sum(size) AS ink_ratio FROM ru GROUP BY ALL),
+inn AS (SELECT * FROM ru QUALIFY ink OR (run > min(run) OVER (PARTITION BY sheet_id, seq) AND run < max(run) OVER (PARTITION BY sheet_id, seq))),
+st AS (SELECT sheet_id, seq, count(*) FILTER (WHERE ink) AS inks, count(*) FILTER (WHERE NOT ink) AS gaps, quantile_cont(size, 0.25) FILTER (WHERE ink) AS low, stddev_pop(size) FILTER (WHERE ink) / greatest(avg(size) FILTER (WHERE ink), 1.0) AS spread, avg(size) FILTER (WHERE NOT ink) AS gap_mean FROM inn GROUP BY ALL),
+sd AS (SELECT sheet_id, seq, count(*) FILTER (WHERE size / low >= 2.8) AS longs, count(*) FILTER (WHERE size / low <= 1.7) AS shorts, median(size) FILTER (WHERE size / low >= 2.8) / greatest(median(size) FILTER (WHERE size / low <= 1.7), 1.0) AS ratio FROM inn JOIN st USING (sheet_id, seq) WHERE ink GROUP BY ALL)
+SELECT sheet_id, seq, places, round(coalesce(ink_ratio, 0), 6) AS ink_ratio, inks, gaps, coalesce(longs, 0) AS longs, coalesce(shorts, 0) AS shorts, round(CASE WHEN longs > 0 THEN ratio END, 6) AS ratio, round(spread, 6) AS spread, round(gap_mean, 6) AS gap_mean,
+  coalesce(places >= 40 AND inks >= 3 AND gaps >= 2 AND longs >= 1 AND shorts >= 2 AND spread >= 0.35 AND ratio BETWEEN 2.6 AND 6.5 AND ink_ratio BETWEEN 0.25 AND 0.82, false) AS long_short FROM al2 JOIN st USING (sheet_id, seq) LEFT JOIN sd USING (sheet_id, seq)""",
+    "wall_strokes": f"""{with_views('segments', 'pixels')},{ALONG.format(n='greatest(50, floor(len / 1.5))')},{RUNS}, rr AS (SELECT sheet_id, seq, coalesce(sum(size) FILTER (WHERE ink), 0) / sum(size) AS ink_ratio, coalesce(max(size) FILTER (WHERE ink), 0) / sum(size) AS longest FROM ru GROUP BY ALL),
+p4 AS (SELECT m.sheet_id, seq, len, a0 - 180 * floor(a0 / 180) AS ang, CAST(trunc(greatest(0.0, least(39.0, x1 + i * (x2 - x1) / 39))) AS INT) AS px, CAST(trunc(greatest(0.0, least(29.0, y1 + i * (y2 - y1) / 39))) AS INT) AS py FROM m, range(40) t(i)),
+gr AS (SELECT p4.sheet_id, seq, any_value(len) AS len, any_value(least(ang, 180 - ang, abs(ang - 90))) AS axis, avg(v) AS mean_gray FROM p4 LEFT JOIN fx_pixels q ON q.sheet_id = p4.sheet_id AND x = px AND y = py GROUP BY p4.sheet_id, seq)
+SELECT sheet_id, seq, round(ink_ratio, 6) AS ink_ratio, round(longest, 6) AS longest, round(mean_gray, 6) AS mean_gray, round(axis, 6) AS axis, len >= 140 AND axis <= 10 AND ink_ratio >= 0.88 AND mean_gray <= 90 AND longest >= 0.75 AS wall FROM rr JOIN gr USING (sheet_id, seq)""",
+    "page_crops": f"{with_views('pixels')} SELECT sheet_id, y - 1 AS y, string_agg(printf('%02x', v), '' ORDER BY x) AS gray FROM fx_pixels WHERE x >= 3 AND x < 11 AND y >= 1 AND y < 7 GROUP BY ALL",
     "truth_reports": f"{with_views('truth')} SELECT site_id AS job, cut_cy, fill_cy, CAST(NULL AS VARCHAR) AS notes, cut_cy / 2 AS pad_cut, 505.0::DOUBLE AS stripping_cy, CAST(NULL AS DOUBLE) AS sectional_cy FROM fx_truth",
     "swatch_patterns": f"""{with_views('pixels')}, sz AS (SELECT sheet_id, min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my, min(x) FILTER (WHERE v < 210) AS lx, max(x) FILTER (WHERE v < 210) AS hx, min(y) FILTER (WHERE v < 210) AS ly, max(y) FILTER (WHERE v < 210) AS hy FROM fx_pixels GROUP BY ALL),
 bx AS (SELECT sheet_id, greatest(nx, lx - 2) AS x0, least(mx, hx + 2) AS x1, greatest(ny, ly - 2) AS y0, least(my, hy + 2) - greatest(ny, ly - 2) + 1 AS h FROM sz WHERE lx IS NOT NULL),
