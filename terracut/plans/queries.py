@@ -23,6 +23,11 @@ def r6(c: str | Column, name: str | None = None) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
 
+def r3(c: str) -> Column:
+    """Volumes are sums of some thousand cells, whose order shows in the ninth digit."""
+    return F.round(c, 3).alias(c)
+
+
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
     spans = view(spark, sf, "spans").join(view(spark, sf, "sheets"), "sheet_id")
     return elevations.read_elevations(spans, F.col("role"))
@@ -32,13 +37,13 @@ def site_volumes(spark: SparkSession, sf: str, grid_n: int = GRID) -> DataFrame:
     """Flagship: cut and fill of every site, from surfaces triangulated on one grid each."""
     s = view(spark, sf, "samples")
     v = cutfill.single_sheet_volumes(s, s, replace(DEFAULTS, grid_n=grid_n))
-    return v.select("site_id", r6("cut_cy"), r6("fill_cy"), r6("net_cy"), "ok", "message", "cell_count")
+    return v.select("site_id", r3("cut_cy"), r3("fill_cy"), r3("net_cy"), "ok", "message", "cell_count")
 
 
 def nearest_volumes(spark: SparkSession, sf: str, grid_n: int = GRID) -> DataFrame:
     grid = surfaces.build_surfaces(view(spark, sf, "samples"), grid_n, method="nearest")
     v = volumes.cut_fill(grid, ["site_id"])
-    return v.select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
+    return v.select("site_id", r3("cut_cy"), r3("fill_cy"), "ok", "cell_count")
 
 
 def volume_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +73,7 @@ def fused_volumes(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "samples").withColumn("x_ft", F.col("x_ft") - 500).withColumn("y_ft", F.col("y_ft") - 500)
     f = view(spark, sf, "frames")
     v, _ = cutfill.fused_volumes((s, f.select("site_id", F.col("pw").alias("w"), F.col("ph").alias("h"))), (s, f.select("site_id", F.col("ew").alias("w"), F.col("eh").alias("h"))))
-    return v.select("site_id", r6("cut_cy"), r6("fill_cy"), "ok", "cell_count")
+    return v.select("site_id", r3("cut_cy"), r3("fill_cy"), "ok", "cell_count")
 
 
 def elevation_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,6 +383,10 @@ pr AS (SELECT raw.*, abs(x_ft) <= half_w * 1.15 AND abs(y_ft) <= half_h * 1.15 A
 fused AS (SELECT site_id, surface, seq, x_ft, y_ft, z FROM ex WHERE abs(x_ft) <= half_w * 1.25 AND abs(y_ft) <= half_h * 1.25
   UNION ALL SELECT site_id, surface, seq, x_ft, y_ft, z FROM pr WHERE inside OR (SELECT count(*) FROM pr q WHERE q.site_id = pr.site_id AND q.inside) < 3)"""
 
+# Sites of fewer than three proposed samples take all their samples as proposed.
+FALLBACK = """
+few AS (SELECT site_id FROM fx_samples GROUP BY ALL HAVING count(*) FILTER (WHERE surface = 'proposed') < 3),
+fb AS (SELECT site_id, surface, seq, x_ft, y_ft, z FROM fx_samples WHERE surface = 'existing' OR site_id NOT IN (SELECT site_id FROM few) UNION ALL SELECT site_id, 'proposed', seq, x_ft, y_ft, z FROM fx_samples WHERE site_id IN (SELECT site_id FROM few))"""
 ELLIPSE = "pow(c.x / half_w, 2) + pow(c.y / half_h, 2) <= 1.05"
 # Lines of twelve pieces as the dashes view draws them: what chaining has to find again.
 DRAWN = """
@@ -386,12 +395,12 @@ l AS (SELECT sheet_id, min(nr) AS chain, count(*) AS members, CAST(max(x2) - min
 k AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, wall ORDER BY length DESC, chain) AS rank FROM l)"""
 
 SQL = {
-    "fused_volumes": f"{with_views('samples', 'frames')},{FUSED},{extent_sql('fused', FUSED_GRID, 0.04)},{nodes_sql('fused', FUSED_GRID)},{TIN},{WIDE.format('itp')},{paired_sql('fused', ELLIPSE, 'JOIN f USING (site_id)')} SELECT site_id, round(cut, 6) AS cut_cy, round(fill, 6) AS fill_cy, cell_count > 0 AS ok, cell_count FROM vol",
+    "fused_volumes": f"{with_views('samples', 'frames')},{FUSED},{extent_sql('fused', FUSED_GRID, 0.04)},{nodes_sql('fused', FUSED_GRID)},{TIN},{WIDE.format('itp')},{paired_sql('fused', ELLIPSE, 'JOIN f USING (site_id)')} SELECT site_id, round(cut, 3) AS cut_cy, round(fill, 3) AS fill_cy, cell_count > 0 AS ok, cell_count FROM vol",
     # All property lines lie within their hull, so the 28 longest stay.
     "property_lines": f"{with_views('dashes')},{DRAWN} SELECT sheet_id, chain, members, length, ang FROM k WHERE NOT wall AND rank <= 28",
     "wall_lines": f"{with_views('dashes')},{DRAWN} SELECT sheet_id, chain, members, length, ang FROM k WHERE wall AND rank <= 50",
-    "site_volumes": f"{with_views('samples')},{EXTENT},{NODES},{TIN},{WIDE.format('itp')},{PAIRED} SELECT site_id, round(cut, 6) AS cut_cy, round(fill, 6) AS fill_cy, round(fill - cut, 6) AS net_cy, cell_count > 0 AS ok, {DONE}, cell_count FROM vol",
-    "nearest_volumes": f"{with_views('samples')},{EXTENT},{NODES},{WIDE.format('nst')},{PAIRED} SELECT site_id, round(cut, 6) AS cut_cy, round(fill, 6) AS fill_cy, cell_count > 0 AS ok, cell_count FROM vol",
+    "site_volumes": f"{with_views('samples')},{FALLBACK},{extent_sql('fb', GRID, 0.05)},{nodes_sql('fb', GRID)},{TIN},{WIDE.format('itp')},{paired_sql('fb')} SELECT site_id, round(cut, 3) AS cut_cy, round(fill, 3) AS fill_cy, round(fill - cut, 3) AS net_cy, cell_count > 0 AS ok, {DONE}, cell_count FROM vol",
+    "nearest_volumes": f"{with_views('samples')},{EXTENT},{NODES},{WIDE.format('nst')},{PAIRED} SELECT site_id, round(cut, 3) AS cut_cy, round(fill, 3) AS fill_cy, cell_count > 0 AS ok, cell_count FROM vol",
     "volume_scores": f"""{with_views('samples', 'truth')}, p AS (SELECT site_id, sum(z) FILTER (WHERE surface = 'existing') AS cut, sum(z) FILTER (WHERE surface = 'proposed') AS fill FROM fx_samples GROUP BY ALL),
 e AS (SELECT site_id, abs(cut - cut_cy) AS c, abs(fill - fill_cy) AS g, cut_cy, fill_cy, abs((fill - cut) - (fill_cy - cut_cy)) AS n FROM p LEFT JOIN fx_truth USING (site_id)),
 q AS (SELECT *, CASE WHEN cut_cy <> 0 THEN c / cut_cy * 100 END AS cp, CASE WHEN fill_cy <> 0 THEN g / fill_cy * 100 END AS gp FROM e)
