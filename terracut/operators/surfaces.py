@@ -223,7 +223,7 @@ def paired(extent: DataFrame, grid_n: int, surfaces: DataFrame, samples: DataFra
 
 def build_surfaces(samples: DataFrame, grid_n: int, params: Params = DEFAULTS, method: str = "linear", pad_share: float | None = None) -> DataFrame:
     """Both surfaces of each site on one grid, from samples (SAMPLES, in feet)."""
-    extent = extents(samples, grid_n, params.pad_share if pad_share is None else pad_share)
+    extent = kept(extents(samples, grid_n, params.pad_share if pad_share is None else pad_share), "extents")
     return paired(extent, grid_n, interpolate(samples, extent, grid_n, method), samples, params)
 
 
@@ -256,7 +256,7 @@ def fuse_samples(proposed_sheet: DataFrame, existing_sheet: DataFrame, frames: D
 
 def fuse_surfaces(proposed_sheet: DataFrame, existing_sheet: DataFrame, frames: DataFrame, grid_n: int, params: Params = DEFAULTS, method: str = "linear") -> DataFrame:
     """Both surfaces on one grid from two sheets, without the nodes outside the property's ellipse."""
-    samples = fuse_samples(proposed_sheet, existing_sheet, frames, params)
+    samples = kept(fuse_samples(proposed_sheet, existing_sheet, frames, params), "fused-samples")
     grid = build_surfaces(samples, grid_n, params, method, params.fused_pad_share).join(frames.select("site_id", F.greatest(F.col("pw") * 0.55, F.lit(40.0)).alias("half_w"), F.greatest(F.col("ph") * 0.55, F.lit(40.0)).alias("half_h")), "site_id")
     within = (F.col("x") / F.col("half_w")) ** 2 + (F.col("y") / F.col("half_h")) ** 2 <= 1.05
     return grid.select("site_id", "i", "j", "x", "y", *[F.when(within, F.col(c)).alias(c) for c in ("existing", "proposed")], "cell_ft")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terracut.operators import associate, elevations, layers, layout, legend, polylines, scales, site, styles, surfaces, volumes
 from terracut.operators.surfaces import SAMPLES
 from terracut.params import DEFAULTS, Params
+from terracut.sources.scratch import kept
 from terracut.sources.tables import saved
 
 
@@ -100,7 +101,7 @@ def to_feet(samples: DataFrame, sheets: DataFrame, t: SheetTables, site: DataFra
 
 def single_sheet_volumes(samples: DataFrame, elevation_samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Volumes of each site from one sheet's samples (SAMPLES)."""
-    grid = surfaces.build_surfaces(surfaces.with_fallback(samples, elevation_samples, params), params.grid_n, params)
+    grid = surfaces.build_surfaces(kept(surfaces.with_fallback(samples, elevation_samples, params), "samples"), params.grid_n, params)
     return volumes.cut_fill(grid, ["site_id"])
 
 
