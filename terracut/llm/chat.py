@@ -113,7 +113,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Turns stand in order of turn_col (nulls first); equal turn numbers in order of role, then text; repeated rows are
     repeated turns. Null texts and roles are empty. A null conv_id is one conversation. A conversation is one value of
-    the result, so its turns meet in one row. Other columns are not read. An empty table gives an empty table.
+    the result, so its turns meet in one row; very long texts are copied whole. Other columns are not read. An empty table gives an empty table.
     """
     grouped = turns.groupBy(F.col(conv_col)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")))).alias("turns"))
 
