@@ -1,4 +1,4 @@
-"""The queries op1 .. op10 over the driver's tables, with production parameters, and SQL for those that SQL can express."""
+"""The queries op1 .. op13 over the driver's tables, with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracut.llm import brown, chat, decontaminate, exact_dedup, minhash, mixing, quality, secrets, sharding, substrings
+from terracut.llm import brown, chat, codes, decontaminate, exact_dedup, minhash, mixing, oracles, quality, repair, secrets, sharding, substrings, suffixes
 from terracut.llm.scratch import stored
 
 WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -87,6 +87,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_linked")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired by the cheapest edits."""
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -98,9 +112,15 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_substrings": op9_substrings,
     "op10_secrets": op10_secrets,
+    "op11_suffixes": op11_suffixes,
+    "op12_codes": op12_codes,
+    "op13_repair": op13_repair,
 }
 
 SQL = {
+    "op11_suffixes": oracles.SUFFIXES,
+    "op12_codes": oracles.codes(),
+    "op13_repair": oracles.repair(),
     "op6_chat_formatting": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
