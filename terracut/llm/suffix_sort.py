@@ -1,10 +1,10 @@
 """Deep-shallow sorting of suffixes, for all groups of an array at once in numpy.
 
-Shallow: multikey quicksort. A "character" is a word of 8 bytes. In each round every open group is parted by the word of
-its middle suffix into less, equal and greater; the equal part goes on to the next word, down to SHALLOW words. Groups of
-up to SMALL suffixes are put in order directly, as quicksorts do.
+Shallow: multikey quicksort. A character has CHAR bytes. In each round every open group is parted by the character of its
+middle suffix into less, equal and greater; the equal part goes on to the next character, down to SHALLOW of them. Groups
+of up to SMALL suffixes are put in order directly, as quicksorts do; all groups' keys of a round are sorted in one call.
 
-Deep: suffixes that agree in the shallow words are ordered by blind tries, one for each group. A trie's inner nodes have
+Deep: suffixes that agree in the shallow characters are ordered by blind tries, one for each group. A trie's inner nodes have
 only the number of the bit at which their leaves part. A suffix goes down by its own bits without comparing any bytes, is
 then compared once with the leaf that it reaches, and enters where their first different bit says. All tries of the array
 take a suffix each at a time. A suffix that agrees with its leaf in all `width` bytes is equal to it.
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 2
-SMALL = 64
+#: Bytes of a character: with the number of its group it makes one 64-bit key.
+CHAR = 5
+SHALLOW = 3
+SMALL = 1024
 
 
 def big_words(data: np.ndarray, width: int) -> np.ndarray:
@@ -27,43 +29,43 @@ def big_words(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def multikey(words: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of group and SHALLOW words, and the number of the group of agreeing ones that each is in."""
-    order, group = np.argsort(group, kind="stable"), np.sort(group, kind="stable")
-    depth = np.zeros(len(order), np.int64)
-    parts = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    """Suffixes in order of group and SHALLOW characters, and the number of the group of agreeing ones that each is in."""
+    order = np.argsort(group, kind="stable")
+    split = np.zeros(len(order), bool)
+    split[1:] = group[order][1:] != group[order][:-1]
+    depth = np.zeros(len(order), np.int8)
+    rest = np.uint64(64 - 8 * CHAR)
+    parts = np.cumsum(split)
     while True:
         size = np.bincount(parts) if len(parts) else np.zeros(0, np.int64)
-        opened = (size[parts] > 1) & (depth < SHALLOW)
-        if not opened.any():
+        at = np.flatnonzero((size[parts] > 1) & (depth < SHALLOW))
+        if not len(at):
             return order, parts
-        at = np.flatnonzero(opened)
-        mine, own = order[at], parts[at]
-        word = words[start[mine] + 8 * depth[at]]
-        small = size[own] <= SMALL
-        # The pivot of a large group is the word in its middle; members of a small one are told by their words themselves.
-        first = np.cumsum(size) - size
-        middle = (first + size // 2)[own]
-        pivot = words[start[order[middle]] + 8 * depth[at]]
-        side = np.where(word < pivot, 0, np.where(word > pivot, 2, 1)).astype(np.uint64)
-        key = np.where(small, word, side)
-        by = np.lexsort((key, own))
-        order[at] = mine[by]
-        key, own, small, depth_at = key[by], own[by], small[by], depth[at][by]
-        split = np.zeros(len(order), bool)
+        mine, own, deep = order[at], parts[at], depth[at]
+        key = words[start[mine] + CHAR * deep] >> rest
+        large = size[own] > SMALL
+        if large.any():
+            # The pivot of a large group is the character in its middle.
+            middle = (np.cumsum(size) - size + size // 2)[own[large]]
+            pivot = words[start[order[middle]] + CHAR * deep[large]] >> rest
+            key[large] = np.where(key[large] < pivot, 0, np.where(key[large] > pivot, 2, 1))
         lead = np.ones(len(at), bool)
-        lead[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+        lead[1:] = own[1:] != own[:-1]
+        both = (np.cumsum(lead).astype(np.uint64) << np.uint64(8 * CHAR)) | key
+        by = np.argsort(both)
+        order[at], both = mine[by], both[by]
+        depth[at] += ~large | (key[by] == 1)
+        lead[1:] = both[1:] != both[:-1]
         split[at[lead]] = True
-        depth[at] = depth_at + (small | (key == 1))
-        edge = np.zeros(len(order), bool)
-        edge[1:] = parts[1:] != parts[:-1]
-        parts = np.cumsum(edge | (split & (np.arange(len(order)) > 0)))
+        split[:1] = False
+        parts = np.cumsum(split)
 
 
 def first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """Number of the first different bit among the first `width` bytes from a and b; 8 * width where there is none."""
     out = np.full(len(a), 8 * width, np.int64)
     left = np.arange(len(a))
-    for k in range(8 * SHALLOW, width, 8):
+    for k in range(CHAR * SHALLOW, width, 8):
         diff = words[a[left] + k] ^ words[b[left] + k]
         if k + 8 > width:
             diff &= ~np.uint64((1 << (8 * (k + 8 - width))) - 1)

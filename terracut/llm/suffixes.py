@@ -188,6 +188,17 @@ def cut_spans(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, SPANS)
 
 
+def repeats_gram(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether any GRAM bytes stand twice in each of the strings between bounds, as far as their hashes tell (never missed)."""
+    w = words_at(np.concatenate([data, np.zeros(GRAM, np.uint8)]))
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    grams = (mix(w[:-8] * np.uint64(0xD1342543DE82EF95) + w[8:])[: len(data)] & np.uint64(0xFFFFFFFFFF)) | (owner.astype(np.uint64) << np.uint64(40))
+    grams = np.sort(grams[np.arange(len(data)) + GRAM <= bounds[owner + 1]])
+    out = np.zeros(len(bounds) - 1, bool)
+    out[(grams[1:][grams[1:] == grams[:-1]] >> np.uint64(40)).astype(np.int64)] = True
+    return out
+
+
 def covered_by(chunk: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """id and at of the windows of a chunk of spans that stand earlier, too (runs of neighbours as one)."""
     spans = chunk["span"].combine_chunks().dictionary_encode()
@@ -201,11 +212,13 @@ def covered_by(chunk: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     texts = spans.dictionary
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    begin, bucket = (offsets - offsets[0])[:-1], np.asarray(chunk["bucket"])[firsts]
-    count = n[firsts]
-    of = np.repeat(np.arange(len(firsts)), count)
+    begin, bucket = (offsets - offsets[0])[:-1], np.unique(np.asarray(chunk["bucket"])[firsts], return_inverse=True)[1]
+    # An anchor's only span repeats no window unless the anchor stands in it twice.
+    open_spans = np.flatnonzero((np.bincount(bucket)[bucket] > 1) | repeats_gram(data, offsets - offsets[0]))
+    count = n[firsts][open_spans]
+    of = np.repeat(open_spans, count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    group = classes(data, np.repeat(begin, count) + step, np.unique(bucket, return_inverse=True)[1][of], width)
+    group = classes(data, begin[of] + step, bucket[of], width)
     hit = later([group], ids[firsts][of], start[firsts][of] + step)
     # What is covered in the first place of a span is so wherever the span stands.
     of, step = of[hit], step[hit]
