@@ -4,7 +4,8 @@ Shallow: multikey quicksort. A character has CHAR bytes. In each round every ope
 middle suffix into less, equal and greater; the equal part goes on to the next character, down to SHALLOW of them. Groups
 of up to SMALL suffixes are put in order directly, as quicksorts do; all groups' keys of a round are sorted in one call.
 
-Deep: suffixes that agree in the shallow characters are ordered by blind tries, one for each group. A trie's inner nodes have
+Deep: suffixes that agree in the shallow characters are ordered by blind tries, one for each group of up to BLIND of
+them; the quicksort goes on with larger ones, until they are so small or agree in all bytes. A trie's inner nodes have
 only the number of the bit at which their leaves part. A suffix goes down by its own bits without comparing any bytes, is
 then compared once with the leaf that it reaches, and enters where their first different bit says. All tries of the array
 take a suffix each at a time. A suffix that agrees with its leaf in all `width` bytes is equal to it.
@@ -18,6 +19,7 @@ import numpy as np
 CHAR = 5
 SHALLOW = 3
 SMALL = 1024
+BLIND = 32
 
 
 def big_words(data: np.ndarray, width: int) -> np.ndarray:
@@ -28,37 +30,44 @@ def big_words(data: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def multikey(words: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of group and SHALLOW characters, and the number of the group of agreeing ones that each is in."""
+def character(words: np.ndarray, start: np.ndarray, depth: np.ndarray, width: int) -> np.ndarray:
+    """The CHAR bytes that follow depth characters; bytes from `width` on do not count."""
+    beyond = np.maximum(CHAR * (depth + 1) - width, 0)
+    return words[start + CHAR * depth] >> (64 - 8 * CHAR + 8 * beyond).astype(np.uint64)
+
+
+def multikey(words: np.ndarray, start: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order of group and SHALLOW characters, the number of the group of agreeing ones that each is in, and in
+    how many characters they agree: more where a group is large."""
     order = np.argsort(group, kind="stable")
-    split = np.zeros(len(order), bool)
+    split = np.ones(len(order), bool)
     split[1:] = group[order][1:] != group[order][:-1]
-    depth = np.zeros(len(order), np.int8)
-    rest = np.uint64(64 - 8 * CHAR)
-    parts = np.cumsum(split)
-    while True:
-        size = np.bincount(parts) if len(parts) else np.zeros(0, np.int64)
-        at = np.flatnonzero((size[parts] > 1) & (depth < SHALLOW))
-        if not len(at):
-            return order, parts
-        mine, own, deep = order[at], parts[at], depth[at]
-        key = words[start[mine] + CHAR * deep] >> rest
+    depth, most = np.zeros(len(order), np.int64), -(-width // CHAR)
+    at, own, deep = np.arange(len(order)), np.cumsum(split) - 1, depth.copy()
+    while len(at):
+        size = np.bincount(own)
+        goes_on = (size[own] > 1) & ((deep < SHALLOW) | ((size[own] > BLIND) & (deep < most)))
+        at, own, deep = at[goes_on], own[goes_on], deep[goes_on]
+        lead = np.ones(len(at), bool)
+        lead[1:] = own[1:] != own[:-1]
+        own = np.cumsum(lead) - 1
+        mine, size = order[at], np.bincount(own)
+        key = character(words, start[mine], deep, width)
         large = size[own] > SMALL
         if large.any():
             # The pivot of a large group is the character in its middle.
             middle = (np.cumsum(size) - size + size // 2)[own[large]]
-            pivot = words[start[order[middle]] + CHAR * deep[large]] >> rest
+            pivot = key[middle]
             key[large] = np.where(key[large] < pivot, 0, np.where(key[large] > pivot, 2, 1))
-        lead = np.ones(len(at), bool)
-        lead[1:] = own[1:] != own[:-1]
-        both = (np.cumsum(lead).astype(np.uint64) << np.uint64(8 * CHAR)) | key
+        both = (own.astype(np.uint64) << np.uint64(8 * CHAR)) | key
         by = np.argsort(both)
         order[at], both = mine[by], both[by]
-        depth[at] += ~large | (key[by] == 1)
+        deep = deep[by] + (~large | (key[by] == 1))
+        depth[at] = deep
         lead[1:] = both[1:] != both[:-1]
         split[at[lead]] = True
-        split[:1] = False
-        parts = np.cumsum(split)
+        own = np.cumsum(lead) - 1
+    return order, np.cumsum(split) - 1, depth
 
 
 def first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
@@ -140,8 +149,14 @@ def blind_tries(words: np.ndarray, start: np.ndarray, order: np.ndarray, parts:
 def classes(data: np.ndarray, start: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
     """For each suffix, a number that it shares with just those of its group that agree with it in the first `width` bytes."""
     words = big_words(data, width)
-    order, parts = multikey(words, start, group)
-    stands = blind_tries(words, start, order, parts, width)
-    out = np.empty(len(order), np.int64)
-    out[order] = order[stands]
+    order, parts, depth = multikey(words, start, group, width)
+    out = np.arange(len(order))
+    size = np.bincount(parts, minlength=1)
+    first = np.cumsum(size) - size
+    # Groups that agree in all bytes are classes; suffixes that stand alone need no trie either.
+    agree = CHAR * depth >= width
+    out[order[agree]] = order[first[parts[agree]]]
+    left = ~agree & (size[parts] > 1)
+    order, parts = order[left], parts[left]
+    out[order] = order[blind_tries(words, start, order, np.unique(parts, return_inverse=True)[1], width)]
     return out

@@ -39,7 +39,7 @@ HOT_RUNS = 1000
 #: Bytes of text whose hashes are held at once.
 BLOCK = 1 << 18
 #: Bytes of spans that are sorted at once; spans of one anchor stay together.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Values of the text's hash that tell texts of one id apart.
 TEXT_PARTS = 1 << 16
 #: A place: (start * RUN + windows - 1) * TEXT_PARTS + part of the text's hash; ordered by start.
@@ -188,13 +188,14 @@ def cut_spans(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, SPANS)
 
 
-def repeats_gram(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Whether any GRAM bytes stand twice in each of the strings between bounds, as far as their hashes tell (never missed)."""
+def repeats_gram(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether any GRAM bytes stand twice in each string from begin to end, as far as their hashes tell (never missed)."""
+    n = np.maximum(end - begin - GRAM + 1, 0)
+    owner = np.repeat(np.arange(len(begin)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)
     w = words_at(np.concatenate([data, np.zeros(GRAM, np.uint8)]))
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    grams = (mix(w[:-8] * np.uint64(0xD1342543DE82EF95) + w[8:])[: len(data)] & np.uint64(0xFFFFFFFFFF)) | (owner.astype(np.uint64) << np.uint64(40))
-    grams = np.sort(grams[np.arange(len(data)) + GRAM <= bounds[owner + 1]])
-    out = np.zeros(len(bounds) - 1, bool)
+    grams = np.sort((mix(w[at] * np.uint64(0xD1342543DE82EF95) + w[at + 8]) >> np.uint64(24)) | (owner.astype(np.uint64) << np.uint64(40)))
+    out = np.zeros(len(begin), bool)
     out[(grams[1:][grams[1:] == grams[:-1]] >> np.uint64(40)).astype(np.int64)] = True
     return out
 
@@ -214,12 +215,16 @@ def covered_by(chunk: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     begin, bucket = (offsets - offsets[0])[:-1], np.unique(np.asarray(chunk["bucket"])[firsts], return_inverse=True)[1]
     # An anchor's only span repeats no window unless the anchor stands in it twice.
-    open_spans = np.flatnonzero((np.bincount(bucket)[bucket] > 1) | repeats_gram(data, offsets - offsets[0]))
+    alone = np.flatnonzero(np.bincount(bucket)[bucket] == 1)
+    open_spans = np.bincount(bucket)[bucket] > 1
+    open_spans[alone] = repeats_gram(data, begin[alone], (offsets - offsets[0])[1:][alone])
+    open_spans = np.flatnonzero(open_spans)
     count = n[firsts][open_spans]
     of = np.repeat(open_spans, count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     group = classes(data, begin[of] + step, bucket[of], width)
-    hit = later([group], ids[firsts][of], start[firsts][of] + step)
+    hit = np.bincount(group, minlength=1)[group] > 1
+    hit[hit] = later([group[hit]], ids[firsts][of[hit]], start[firsts][of[hit]] + step[hit])
     # What is covered in the first place of a span is so wherever the span stands.
     of, step = of[hit], step[hit]
     lead = np.ones(len(of), bool)
