@@ -3,10 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and reread before the next stage. All
 but the last return the columns of documents. Rows that a stage keeps are unchanged.
 
-For every stage: null ids, texts and sources are values like others (a null text has no words, is near to nothing, holds
-no benchmark item, and is never mixed in more than once a copy); very long texts count whole; repeated rows are judged
-alike; further columns are carried, whatever their names (the last stage replaces shard, slot and home_shard); an empty
-table gives an empty table.
+For every stage: null ids, texts and sources are values like others (a null text has no words, is near to nothing and holds
+no benchmark item); very long texts count whole; repeated rows are judged alike (in mixing, each is a row of its own);
+further columns are carried, whatever their names (the last stage replaces shard, slot and home_shard); an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,14 +41,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or several times."""
-    sized = stored(docs.select("doc_id", F.xxhash64("text").alias("proof"), "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
-    mixed = mixing.mix_sources(sized, WEIGHTS, SHARE, MOST, "doc_id", "source", "size")
-    # Repeated rows share what all of them are taken, rounded up.
-    taken = mixed.groupBy(F.col("doc_id").alias("id"), "proof", F.col("source").alias("origin")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies"))
-    # The documents' columns travel as one struct, so their names cannot clash.
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_proof"), F.col("source").alias("own_source"))
-    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_proof") == F.col("proof")) & F.col("own_source").eqNullSafe(F.col("origin"))
-    return rows.join(taken.where("copies > 0"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    # Each row has a number of its own, so that of repeated rows each has its own copies. Columns travel as one struct.
+    numbered = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"))
+    numbered = stored(numbered, "numbered")
+    sized = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), mixing.word_count(F.col("row.text")).alias("size"), F.xxhash64("row").alias("tie"))
+    mixed = mixing.mix_sources(stored(sized, "sizes"), WEIGHTS, SHARE, MOST, "doc_id", "source", "size", tie_col="tie")
+    taken = mixed.where("copies > 0").select("number", F.col("copies").cast("int").alias("copies"))
+    return numbered.join(taken, "number").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

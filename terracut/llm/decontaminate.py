@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracut.llm.words import PUNCTUATION, lower_latin, split_words, windows
+from terracut.llm.words import PUNCTUATION, Words, lower_latin, split_words, windows
 
 #: Most words and bytes of benchmark text in one block, and so in a task's memory besides its batch.
 BLOCK_ITEMS, BLOCK_TEXT_BYTES = 20_000, 8 << 20
@@ -92,9 +92,10 @@ class Block:
         for i, codes in zip(ids, sequences(pa.array(texts, pa.string())), strict=True):
             if len(codes):
                 if len(codes) < least:
-                    self.short.setdefault(tuple(codes.tolist()), []).append(len(self.ids))
+                    self.short.setdefault(len(codes), []).append((windows(codes, len(codes))[0], len(self.ids)))
                 self.ids.append(i)
                 self.items.append(codes.copy())
+        self.short = {n: tuple(map(np.array, zip(*sorted(found), strict=True))) for n, found in self.short.items()}
         seeds = [windows(codes, least) for codes in self.items]
         self.seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         self.owner = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]).astype(np.int64)
@@ -134,9 +135,22 @@ class Block:
             for row in np.unique(rows):
                 for k, tiles in self.held(block.codes[offs[row] : offs[row + 1]], seeds[maybe[rows == row]], share):
                     yield block.first + int(row), k, tiles
-            for row in np.flatnonzero((block.counts > 0) & (block.counts < self.least)) if self.short else ():
-                for k in self.short.get(tuple(block.codes[offs[row] : offs[row + 1]].tolist()), ()):
-                    yield block.first + int(row), k, [(int(block.counts[row]), 0, 0)]
+            for n, (whole, items) in self.short.items():
+                yield from self.short_hits(block, n, whole, items)
+
+    def short_hits(self, block: Words, n: int, whole: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """Items of n words, too few for a seed: texts that have these words in a row, at the first such place."""
+        seen, offs = windows(block.codes, n), block.offsets
+        lo, hi = np.searchsorted(whole, seen, "left"), np.searchsorted(whole, seen, "right")
+        at = np.flatnonzero(hi > lo)
+        rows = np.searchsorted(offs, at, "right") - 1
+        at, rows = at[at + n <= offs[rows + 1]], rows[at + n <= offs[rows + 1]]
+        found = set()
+        for p, row in zip(at.tolist(), rows.tolist(), strict=True):
+            for k in items[lo[p] : hi[p]].tolist():
+                if (row, k) not in found and (block.codes[p : p + n] == self.items[k]).all():
+                    found.add((row, k))
+                    yield block.first + row, k, [(n, p - int(offs[row]), 0)]
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> Iterator[Block]:
@@ -156,11 +170,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """One row per document and benchmark item that it holds: id, item_id, coverage, matched_words, item_words, n_tiles, tiles.
 
     An item is held when tiles of at least `least` words cover `share` of its words. tiles: item word:document
-    word:length, in item order. Null and empty texts hold nothing, and items without words are held by nothing; items of
-    fewer than `least` words, no evidence within other words, are held only by texts of the same words. Ties among equally long matches go to the earlier place in the document, then in the item. A null id
+    word:length, in item order. Null and empty texts hold nothing, and items without words are held by nothing; an item
+    of fewer than `least` words is held where all its words stand in a row. Ties among equally long matches go to the earlier place in the document, then in the item. A null id
     is carried as it is; repeated rows give repeated results. Very long texts are searched whole. Only id_col and text_col
-    are read, so other columns cannot clash. An empty documents or benchmark table gives an empty table.
+    are read, so other columns cannot clash. Item ids are whole numbers (others: TypeError). An empty documents or benchmark
+    table gives an empty table.
     """
+    if benchmark.schema[item_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{item_col} is no whole number")
     spark, narrow, parts = docs.sparkSession, docs.select(F.col(id_col), F.col(text_col)), []
     kind = pa.schema([("id", pa.int64()), *RESULT])
     ddl = f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, item_id bigint, coverage double, matched_words bigint, item_words bigint, n_tiles bigint, tiles string"

@@ -60,11 +60,11 @@ def order_hash(id_: Column) -> Column:
     return F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
 
 
-def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 7, spread: int = SPREAD) -> DataFrame:
+def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 7, spread: int = SPREAD, tie_col: str | None = None) -> DataFrame:
     """rows with source_size, target and copies (how often the mix takes the row).
 
     Null sources are a source of their own; null ids stand together. Rows of one size class stand in order of a hash of
-    their id, then id and size, so equal rows are interchangeable. Rows of one source, class and bucket are sorted in one
+    their id, then id, size and tie_col (where given), so rows equal in these are interchangeable. Rows of one source, class and bucket are sorted in one
     task, spilling if need be; spread is the number of buckets. A source with target or size 0 gets no copies. An empty
     table gives an empty table. Columns named source_size, target or copies are replaced; all others stay, whatever
     their names.
@@ -73,7 +73,7 @@ def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_c
     hashed = order_hash(F.col(id_col))
     # The caller's columns travel as one struct, so their names cannot clash.
     rows = rows.select(
-        F.struct("*").alias("row"), size_class(F.col(size_col)).alias("class"), hashed.alias("hashed"), F.col(id_col).alias("id"), F.col(size_col).alias("size"),
+        F.struct("*").alias("row"), size_class(F.col(size_col)).alias("class"), hashed.alias("hashed"), F.col(id_col).alias("id"), F.col(size_col).alias("size"), (F.col(tie_col) if tie_col else F.lit(0)).alias("tie"),
         F.floor(F.conv(F.substring(hashed, 1, 7), 16, 10).cast("long") * spread / (1 << 28)).cast("int").alias("bucket"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("key"),
     )
     bucket = ["key", "class", "bucket"]
@@ -87,12 +87,12 @@ def systematic_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_c
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), offset.alias("offset"),
     )
-    rank = F.row_number().over(W.partitionBy(*bucket).orderBy("hashed", "id", "size")) + F.col("first")
+    rank = F.row_number().over(W.partitionBy(*bucket).orderBy("hashed", "id", "size", "tie")) + F.col("first")
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     return rows.join(first.join(rates, "key"), bucket).withColumn("rank", rank).select("row.*", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
-def mix_sources(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str, source_col: str, size_col: str, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str, source_col: str, size_col: str, seed: int = 7, tie_col: str | None = None) -> DataFrame:
     """systematic_copies() with the targets of source_targets()."""
     sizes = docs.select(F.col(source_col).alias("source"), F.col(size_col).alias("size"))
-    return systematic_copies(docs, source_targets(sizes, weights, share, most), id_col, source_col, size_col, seed)
+    return systematic_copies(docs, source_targets(sizes, weights, share, most), id_col, source_col, size_col, seed, tie_col=tie_col)

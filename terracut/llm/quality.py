@@ -177,8 +177,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
     """Fit on the rated documents; at most max_labelled ratings, by a hash of their id.
 
     Ratings without an id or a grade are left out; of several grades of one id the lowest counts. Null and empty texts are
-    texts without words. Repeated rows of a rated document count as often as they stand there. Very long texts are read
-    whole. Without rated documents (empty tables too) the model has no weights, and thresholds of equal shares. Only the
+    texts without words. Repeated rows of a rated document count once, and of its different texts the one of the least
+    hash, so the driver gets max_labelled rows at most. Very long texts are read whole. Without rated documents (empty tables too) the model has no weights, and thresholds of equal shares. Only the
     named columns are read, so others cannot clash.
     """
     chosen = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
@@ -191,7 +191,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
             yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.array(list(x.shapes), pa.list_(pa.float64()))], names=["grade", "words", "shapes"])
 
     # chosen has at most max_labelled rows of two numbers.
-    rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id").select("grade", "t")
+    rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    rated = rated.groupBy("id").agg(F.min("grade").alias("grade"), F.min_by("t", F.xxhash64("t")).alias("t")).select("grade", "t")
     got = rated.mapInArrow(extract, "grade int, words array<int>, shapes array<double>").toArrow()
     got = got.combine_chunks()
     if not got.num_rows:

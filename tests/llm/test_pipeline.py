@@ -159,3 +159,17 @@ def test_run_of_nothing(spark, corpus, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         queries.table(spark, corpus, name).where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_of_repeated_rows(spark, tmp_path):
+    """A third of all rows are equal: every source's taken words are near its target, as op5's are, and only whole rows repeat."""
+    rows = [(i, "alpha beta gamma delta " * (1 + i % 5), f"s{i % 3}") for i in range(600)] + [(1000, "one two three four five six seven eight nine ten", "s0")] * 300
+    spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = queries.table(spark, str(tmp_path), "documents")
+    mixed = corpus_pipeline.source_mixing(spark, docs, str(tmp_path))
+    words = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    op5 = queries.op5_mixing(spark, str(tmp_path)).join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()
+    taken = words(mixed)
+    for r in op5:
+        assert abs(taken[r.source] - r.n) <= 20 and abs(taken[r.source] - r.target) <= 40
+    assert mixed.subtract(docs).count() == 0

@@ -233,7 +233,7 @@ def test_decontamination(spark, contaminated, share, monkeypatch):
                 if n >= share * len(b):
                     want[(i, k, n)] += 1
                     found = 1
-            if 0 < len(b) < 4 and a == b:
+            if 0 < len(b) < 4 and any(a[k : k + len(b)] == b for k in range(len(a))):  # an item without a seed: all its words in a row
                 want[(i, k, len(b))] += 1
                 found = 1
         dirty += found
@@ -247,3 +247,13 @@ def test_decontamination_empty(spark, no_docs, docs):
     assert decontaminate.find_contamination(no_docs, bench).count() == 0
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.where(F.lit(False))).count() == docs.count()
+
+
+def test_short_items_are_found_anywhere(spark):
+    docs = spark.createDataFrame([(1, "before it the Secret phrase, here it ends"), (2, "secret here phrase"), (3, "yes"), (4, "Oh, yes"), (5, "yesterday"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "secret phrase here"), (11, "Yes"), (12, ""), (13, "phrase here")], "item_id int, text string")
+    found = decontaminate.find_contamination(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.tiles) for r in found) == [(1, 10, 1.0, "0:3:3"), (1, 13, 1.0, "0:4:2"), (3, 11, 1.0, "0:0:1"), (4, 11, 1.0, "0:1:1")]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {2, 5, None}
+    with pytest.raises(TypeError):
+        decontaminate.find_contamination(docs, items.withColumn("item_id", F.lit("x")))
