@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terracut.functions import text as T
 from terracut.functions.geometry import in_any_bbox, in_bbox
 from terracut.operators.spatial import range_join
 from terracut.params import DEFAULTS, Params
+from terracut.sources.scratch import kept
 
 CALLOUT = "sheet_id string, seq long, text string, value_ft double, x double, y double, source string, confidence double, kind string"
 
@@ -46,30 +48,94 @@ def ocr_elevations(spans: DataFrame, role: Column, params: Params = DEFAULTS) ->
     return read.select("sheet_id", F.col("seq").cast("long").alias("seq"), "text", "e.value_ft", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit("ocr").alias("source"), F.least(F.col("score").cast("double"), F.col("e.confidence")).alias("confidence"), "e.kind")
 
 
-def dedupe(callouts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Of callouts at nearly one place with nearly one value, the surest (then first) stays; decided greedily in that order.
+#: Callouts of one piece that a task decides one after the other; larger pieces are decided in rounds over cells.
+PIECE = 1000
+
+
+def pieces_of(callouts: DataFrame, params: Params) -> DataFrame:
+    """callouts with piece (a number within the sheet) and size: those of different pieces cannot conflict.
 
-    A callout is dropped only by one that stays, so the order of decisions matters and is kept: conflicts only reach
-    `same_place` in x and y and `same_value_ft` in value, hence a sheet's callouts are cut where neighbours in value, then in
-    x, then in y, then in x again stand farther apart, and each piece is decided by itself.
+    Conflicts only reach `same_place` in x and y and `same_value_ft` in value, so a sheet's callouts are cut where
+    neighbours in value, then in x, then in y, then in x again stand farther apart.
     """
-    columns, pieces, keys = callouts.columns, callouts, ["sheet_id"]
+    pieces, keys = callouts, ["sheet_id"]
     for k, (name, reach) in enumerate((("value_ft", params.same_value_ft), ("x", params.same_place), ("y", params.same_place), ("x", params.same_place))):
         order = W.partitionBy(*keys).orderBy(name, "seq")
         gap = F.when(F.col(name) - F.lag(name).over(order) < reach, 0).otherwise(1)
         pieces = pieces.withColumn(f"__cut{k}", F.sum(gap).over(order.rowsBetween(W.unboundedPreceding, 0)))
         keys.append(f"__cut{k}")
+    sized = pieces.withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return sized.select(*callouts.columns, F.struct(*keys).alias("__piece"), "__size")
+
+
+def decided_locally(pieces: DataFrame, columns: list[str], schema: StructType, params: Params) -> DataFrame:
+    """The kept callouts of small pieces; many pieces share a task."""
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["confidence", "seq"], ascending=[False, True], kind="stable")
+        x, y, v = (rows[c].to_numpy() for c in ("x", "y", "value_ft"))
+        kept_rows: list[int] = []
+        for at in rows.groupby("__piece_no", sort=False).indices.values():
+            mine: list[int] = []
+            for i in at:
+                k = np.array(mine, int)
+                if not ((np.abs(x[k] - x[i]) < params.same_place) & (np.abs(y[k] - y[i]) < params.same_place) & (np.abs(v[k] - v[i]) < params.same_value_ft)).any():
+                    mine.append(i)
+            kept_rows += mine
+        return rows.iloc[kept_rows][columns]
+
+    number = F.xxhash64("__piece")  # pieces that share one are only compared in vain
+    return pieces.select(*columns, number.alias("__piece_no"), F.pmod(number, F.lit(1024)).alias("__task")).groupBy("__task").applyInPandas(decide, schema)
 
-    def decide(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(["confidence", "seq"], ascending=[False, True], kind="stable")
-        x, y, v = (piece[c].to_numpy() for c in ("x", "y", "value_ft"))
-        kept = np.zeros(len(piece), bool)
-        for i in range(len(piece)):
-            k = np.flatnonzero(kept[:i])
-            kept[i] = not ((np.abs(x[k] - x[i]) < params.same_place) & (np.abs(y[k] - y[i]) < params.same_place) & (np.abs(v[k] - v[i]) < params.same_value_ft)).any()
-        return piece.loc[kept, columns]
 
-    return pieces.groupBy(*keys).applyInPandas(decide, callouts.schema)
+def cell_round(left: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """What one round keeps of undecided callouts, and what it leaves open.
+
+    Callouts of one cell, as wide as conflicts reach, conflict with each other. So only the surest of a cell can be kept
+    now; it is if no surer one of the cells around conflicts with it. All that conflict with a kept one are dropped. Every
+    callout meets the one candidate of each cell around it, so the work is linear however many share a place.
+    """
+    reach = {"x": params.same_place, "y": params.same_place, "value_ft": params.same_value_ft}
+    cells = left.select("*", *[F.floor(F.col(c) / r).alias(f"__{c}") for c, r in reach.items()], F.struct(-F.col("confidence"), "seq").alias("__order"))
+    key = ["sheet_id", *(f"__{c}" for c in reach)]
+    best = cells.groupBy(*key).agg(F.min(F.struct(F.col("__order").alias("order"), *reach)).alias("best"))
+    offers = best
+    for c in reach:
+        offers = offers.withColumn(f"__{c}", F.explode(F.sequence(F.col(f"__{c}") - 1, F.col(f"__{c}") + 1)))
+
+    def conflicts(rows: DataFrame, offered: DataFrame) -> DataFrame:
+        near = [F.abs(F.col(c) - F.col(f"best.{c}")) < r for c, r in reach.items()]
+        return rows.join(offered, key).where(near[0] & near[1] & near[2])
+
+    beaten = conflicts(cells, offers).where(F.col("__order") < F.col("best.order")).select("sheet_id", F.col("best.order").alias("__order")).distinct()
+    first = kept(best.select("sheet_id", F.col("best.order").alias("__order")).join(beaten, ["sheet_id", "__order"], "left_anti"), "kept-callouts")
+    out = cells.join(first, ["sheet_id", "__order"], "left_semi")
+    taken = offers.withColumn("__kept", F.col("best.order")).join(first.withColumnRenamed("__order", "__kept"), ["sheet_id", "__kept"], "left_semi")
+    gone = conflicts(cells, taken.drop("__kept")).select("sheet_id", "__order").distinct()
+    return out.select(*left.columns), cells.join(gone, ["sheet_id", "__order"], "left_anti").select(*left.columns)
+
+
+def dedupe(callouts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Of callouts at nearly one place with nearly one value, the surest (then first) stays; decided greedily in that order.
+
+    A callout is dropped only by one that stays, so the order of decisions matters and is kept. Callouts that can conflict
+    with no other pass. Small pieces are decided by themselves, many to a task. A piece of more than PIECE callouts is
+    decided by rounds over cells, all its tasks at once, and cut anew after each; rounds end when all pieces are small.
+    """
+    columns = callouts.columns
+    pieces, out = kept(pieces_of(callouts, params), "pieces"), None
+    while True:
+        parts = [pieces.where("__size = 1").select(*columns), decided_locally(pieces.where(F.col("__size").between(2, PIECE)), columns, callouts.schema, params)]
+        dense = pieces.where(F.col("__size") > PIECE).select(*columns)
+        more = not dense.isEmpty()
+        if more:
+            found, left = cell_round(dense, params)
+            parts.append(found)
+            pieces = kept(pieces_of(left, params), "pieces")
+        for part in parts:
+            out = part if out is None else out.unionAll(part)
+        if not more:
+            return out
 
 
 def collapse_pad_levels(callouts: DataFrame, params: Params = DEFAULTS) -> DataFrame:

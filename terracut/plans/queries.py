@@ -90,7 +90,7 @@ def ocr_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elevations_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Deduped callouts: the greedy choice has no SQL form."""
+    """Deduped callouts, floor levels as one, without outliers."""
     d = elevations.dedupe(parsed(spark, sf))
     return elevations.drop_outliers(elevations.collapse_pad_levels(d)).select("sheet_id", "seq", "value_ft", "confidence", "kind")
 

@@ -88,6 +88,23 @@ def test_dedupe_is_the_greedy_one(spark):
     assert {r.seq for r in elevations.dedupe(callouts(spark, rows)).collect()} == greedy(rows)
 
 
+@pytest.mark.parametrize("piece", [1, 5, 40])
+def test_dense_pieces_go_by_rounds(spark, monkeypatch, piece):
+    monkeypatch.setattr(elevations, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    rows = [(float(rng.choice([900.0, 900.03, 900.06])), float(x), float(y), float(c)) for x, y, c in zip(rng.integers(-40, 60, 250), rng.integers(0, 30, 250), rng.choice([0.6, 0.8, 0.95], 250), strict=True)]
+    rows += [(900.0, 500.0, 500.0, 0.7)] * 60 + [(900.0, 600.0 + 11 * i, 0.0, 0.9 - i / 100) for i in range(20)]
+    assert {r.seq for r in elevations.dedupe(callouts(spark, rows)).collect()} == greedy(rows)
+
+
+def test_many_callouts_at_one_place(spark):
+    """A piece of 20,000 callouts takes rounds over cells, not a task."""
+    rows = spark.range(20_000).select(F.lit("s").alias("sheet_id"), F.col("id").alias("seq"), F.lit("t").alias("text"), F.lit(900.0).alias("value_ft"), (F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"), F.lit("pdf_text").alias("source"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("confidence"), F.lit("spot").alias("kind"))
+    got = {r.seq for r in elevations.dedupe(rows).collect()}
+    every = {r.seq: (r.value_ft, r.x, r.y, r.confidence) for r in rows.collect()}
+    assert got == greedy([every[i] for i in range(20_000)])
+
+
 def test_association_preference(spark):
     points = spark.createDataFrame([("s", 1, 0, -50.0, 10.0), ("s", 1, 1, 50.0, 10.0), ("s", 2, 0, 0.0, 100.0), ("s", 3, 0, 0.0, -30.0), ("t", 1, 0, 3.0, 4.0)], "sheet_id string, poly_seq int, pos int, x double, y double")
     kinds = spark.createDataFrame([("s", 1, "existing"), ("s", 2, "proposed"), ("s", 3, "structure"), ("t", 1, "structure")], "sheet_id string, poly_seq int, kind string")
