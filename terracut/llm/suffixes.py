@@ -149,6 +149,11 @@ def rows_of(bucket: np.ndarray, proof: np.ndarray | None, ids: np.ndarray, at: n
     return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), none(pa.int64()) if proof is None else pa.array(proof), pa.array(ids), pa.array(at), none(pa.binary()) if span is None else pa.array(span, pa.binary())], names=["bucket", "proof", "id", "at", "span"])
 
 
+def covered_rows(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Places that are settled: they meet nothing more, so any task may pass them on."""
+    return rows_of(mix(at.astype(np.uint64) ^ mix(ids.astype(np.uint64))).view(np.int64), None, ids, at, None)
+
+
 def cut_spans(texts: DataFrame, width: int) -> DataFrame:
     """The marked spans of every text (id, hash, n_bytes, packed, marks), equal ones of a batch once."""
 
@@ -166,7 +171,7 @@ def cut_spans(texts: DataFrame, width: int) -> DataFrame:
             same = np.array([known.setdefault(s, len(known)) for s in spans], np.int64)
             old = later([same], ids, start)
             if old.any():
-                yield rows_of(anchor[old], None, ids[old], at[old], None)
+                yield covered_rows(ids[old], at[old])
             cold = np.flatnonzero(~old & ~hot)
             if len(cold):
                 yield rows_of(anchor[cold], None, ids[cold], at[cold], [spans[i] for i in cold.tolist()])
@@ -182,7 +187,7 @@ def cut_spans(texts: DataFrame, width: int) -> DataFrame:
                 first = np.repeat(start[mine], n[mine]) + step
                 place = first * PLACE + np.repeat(part[mine], n[mine])
                 old = later([q, p], own, first)
-                yield rows_of(p[old], None, own[old], place[old], None)
+                yield covered_rows(own[old], place[old])
                 yield rows_of(p[~old], q[~old], own[~old], place[~old], None)
 
     return texts.mapInArrow(run, SPANS)
