@@ -30,6 +30,8 @@ PREFIXES, COUNTS = (4, 5, 6, 7), (2, 4, 8)
 #: What is kept: grade 2 (good and clean) with this probability.
 LEAST_GRADE, LEAST_TAIL = 2, 0.85
 SHAPES = 10
+#: Entries of the sample that are summed up at once.
+SEGMENTS = 1 << 20
 
 
 @dataclass
@@ -126,8 +128,23 @@ def neighbours(x: Features, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarr
     cols = cols[used]
     length = np.bincount(owner, minlength=len(x.offsets) - 1)
     full = np.flatnonzero(length)
+    # In place, as these are the largest arrays on the driver.
     by_word = np.argsort(cols, kind="stable")
-    return cols, full, (np.cumsum(length) - length)[full], owner[by_word], np.searchsorted(cols[by_word], np.arange(len(vocabulary)))
+    owner = owner[by_word]
+    del by_word
+    often = np.bincount(cols, minlength=len(vocabulary))
+    return cols, full, (np.cumsum(length) - length)[full], owner, np.cumsum(often) - often
+
+
+def segment_sums(values: np.ndarray, index: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """np.add.reduceat(values[index], begin), some SEGMENTS entries at a time."""
+    out, end = np.empty(len(begin)), np.append(begin[1:], len(index))
+    low = 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(end, begin[low] + SEGMENTS, "right")))
+        out[low:high] = np.add.reduceat(values[index[begin[low] : end[high - 1]]], begin[low:high] - begin[low])
+        low = high
+    return out
 
 
 def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = 250, rate: float = 0.05, sparse: float = 5e-5, least_share: float = LEAST_SHARE) -> Model:
@@ -152,7 +169,7 @@ def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps:
         theta = np.concatenate([p[m + SHAPES : m + SHAPES + 1], p[m + SHAPES] + np.cumsum(gaps)])
         z = shapes @ p[m : m + SHAPES]
         if m:
-            z[full] += np.add.reduceat(p[cols], begin)
+            z[full] += segment_sums(p, cols, begin)
         cdf = 1 / (1 + np.exp(np.clip(z[:, None] - theta[None, :], -30, 30)))
         padded = np.concatenate([np.zeros((n, 1)), cdf, np.ones((n, 1))], axis=1)
         slope = padded * (1 - padded)
@@ -160,7 +177,7 @@ def fit(x: Features, grades: np.ndarray, n_grades: int, bits: int = BITS, steps:
         up, down = slope[at, grades + 1] / like, slope[at, grades] / like
         dz = (up - down) / n
         dtheta = np.bincount(grades, weights=-up, minlength=n_grades)[:-1] / n + np.bincount(grades, weights=down, minlength=n_grades)[1:] / n
-        g = np.concatenate([np.add.reduceat(dz[word_owner], word_begin) if m else np.zeros(0), shapes.T @ dz, [dtheta.sum()], [dtheta[k + 1 :].sum() * gaps[k] for k in range(len(gaps))]])
+        g = np.concatenate([segment_sums(dz, word_owner, word_begin), shapes.T @ dz, [dtheta.sum()], [dtheta[k + 1 :].sum() * gaps[k] for k in range(len(gaps))]])
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         pace = rate / (np.sqrt(second / (1 - 0.99**step)) + 1e-4)
