@@ -128,7 +128,7 @@ def neighbours(x: Features, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarr
     cols = cols[used]
     length = np.bincount(owner, minlength=len(x.offsets) - 1)
     full = np.flatnonzero(length)
-    # In place, as these are the largest arrays on the driver.
+    # In place, as these are the largest arrays of the fit.
     by_word = np.argsort(cols, kind="stable")
     owner = owner[by_word]
     del by_word
@@ -195,7 +195,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
 
     Ratings without an id or a grade are left out; of several grades of one id the lowest counts. Null and empty texts are
     texts without words. Repeated rows of a rated document count once, and of its different texts the one of the least
-    hash, so the driver gets max_labelled rows at most. Very long texts are read whole. Without rated documents (empty tables too) the model has no weights, and thresholds of equal shares. Only the
+    hash, so one task fits max_labelled rows at most, and the driver gets the weights. Very long texts are read whole. Without rated documents (empty tables too) the model has no weights, and thresholds of equal shares. Only the
     named columns are read, so others cannot clash.
     """
     chosen = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
@@ -203,20 +203,29 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(1), bits)
+            x = features(batch.column(2), bits)
             words = pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), pa.array(x.words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.array(list(x.shapes), pa.list_(pa.float64()))], names=["grade", "words", "shapes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, pa.array(list(x.shapes), pa.list_(pa.float64()))], names=["place", "grade", "words", "shapes"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(b.column("grade")), np.asarray(b.column("words").value_lengths()), np.asarray(b.column("words").flatten()), np.asarray(b.column("shapes").flatten())) for b in batches if b.num_rows]
+        if parts:
+            grades, sizes, words, shapes = (np.concatenate(p) for p in zip(*parts))
+            del parts
+            x = Features(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), words, shapes.reshape(-1, SHAPES))
+            model = fit(x, grades.astype(np.int64), n_grades, bits)
+            small = [pa.array([v.astype(float).tolist()], pa.list_(pa.float64())) for v in (model.shapes, model.centre, model.spread, model.thresholds)]
+            yield pa.RecordBatch.from_arrays([pa.array([model.words.tobytes()], pa.binary()), *small], names=["words", "shapes", "centre", "spread", "thresholds"])
 
     # chosen has at most max_labelled rows of two numbers.
     rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    rated = rated.groupBy("id").agg(F.min("grade").alias("grade"), F.min_by("t", F.xxhash64("t")).alias("t")).select("grade", "t")
-    got = rated.mapInArrow(extract, "grade int, words array<int>, shapes array<double>").toArrow()
-    got = got.combine_chunks()
-    if not got.num_rows:
+    rated = rated.groupBy("id").agg(F.min("grade").alias("grade"), F.min_by("t", F.xxhash64("t")).alias("t")).select(F.xxhash64("id").alias("place"), "grade", "t")
+    # The sample is fitted by one task, in a fixed order; the driver gets the weights alone.
+    sample = rated.mapInArrow(extract, "place long, grade int, words array<int>, shapes array<double>").repartition(1).sortWithinPartitions("place")
+    got = sample.mapInArrow(fitted, "words binary, shapes array<double>, centre array<double>, spread array<double>, thresholds array<double>").collect()
+    if not got:
         return fit(Features(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros((0, SHAPES))), np.zeros(0, np.int64), n_grades, bits)
-    lists = got.column("words").combine_chunks()
-    x = Features(np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64), np.asarray(lists.flatten()), np.asarray(got.column("shapes").combine_chunks().flatten()).reshape(-1, SHAPES))
-    return fit(x, np.asarray(got.column("grade")).astype(np.int64), n_grades, bits)
+    return Model(np.frombuffer(bytes(got[0]["words"]), np.float32), *(np.asarray(got[0][k], float) for k in ("shapes", "centre", "spread", "thresholds")))
 
 
 def score(docs: DataFrame, model: Model, id_col: str, text_col: str, least_grade: int, least_tail: float, bits: int = BITS) -> DataFrame:
