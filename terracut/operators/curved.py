@@ -13,41 +13,47 @@ from terracut.sources.scratch import kept
 WORK, LEAST_LENGTH, TOLERANCE, KERNEL, TIMES = 1800, 55.0, 1.1, 3, 2
 
 
-def page_lines(gray_rows: DataFrame, allowed: DataFrame | None, longest: int, kernel: int, times: int, seeded: bool, size: int) -> tuple[DataFrame, DataFrame]:
-    """Lines through the ink of pages (sheet_id, path, pos, x, y, in pixels of the page worked on), and those pages with their scale.
+def page_ink(gray_rows: DataFrame, allowed: DataFrame | None, longest: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of ink of the pages worked on, brought to `longest`, by ridges and contrast; and sheet_id, width_px, height_px, scale of these pages.
 
-    Pages are brought to `longest`, ink is found by ridges and contrast, gaps of dashes are closed, specks (and without seeds
-    filled areas) dropped, the rest thinned and traced. allowed: runs (sheet_id, y, x0, x1) of the page worked on where ink
-    may be; none: everywhere.
+    allowed: runs (sheet_id, y, x0, x1) of the page worked on where ink may be; none: everywhere.
     """
     full = kept(runs.page_sizes(gray_rows), "page-sizes")
     small = kept(runs.downscaled(gray_rows, full, longest), "work-pages")
-    pages = kept(runs.page_sizes(small), "work-sizes")
-    ink = tiles.ridge_mask(small, pages, size)
-    if allowed is not None:
-        ink = both(ink, allowed)
-    ink = runs.closed(runs.merged(ink), pages, kernel, times)
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest("full_w", "full_h"))
-    scales = pages.join(full.select("sheet_id", F.col("width_px").alias("full_w"), F.col("height_px").alias("full_h")), "sheet_id").withColumn("scale", scale).drop("full_w", "full_h")
-    parts = kept(runs.labelled(kept(ink, "closed-ink")), "parts")
-    measured = runs.part_measures(parts).join(scales, "sheet_id")
+    whole = full.select("sheet_id", F.col("width_px").alias("full_w"), F.col("height_px").alias("full_h"))
+    pages = kept(runs.page_sizes(small).join(whole, "sheet_id").withColumn("scale", scale).drop("full_w", "full_h"), "work-sizes")
+    ink = tiles.ridge_mask(small, pages.drop("scale"), size)
+    return kept(runs.merged(ink if allowed is None else both(ink, allowed)), "page-ink"), pages
+
+
+def page_lines(ink: DataFrame, pages: DataFrame, kernel: int, times: int, seeded: bool, size: int) -> DataFrame:
+    """Lines (sheet_id, path, pos, x, y) through page_ink(): gaps of dashes are closed, specks (and without seeds filled areas)
+    dropped, the rest thinned and traced."""
+    parts = kept(runs.labelled(kept(runs.closed(ink, pages.drop("scale"), kernel, times), "closed-ink")), "parts")
+    measured = runs.part_measures(parts).join(pages, "sheet_id")
     lines = raster.component_area_limits(measured, F.col("scale"), F.col("width_px"), F.col("height_px"), seeded)
     clean = parts.join(lines.select("sheet_id", "label"), ["sheet_id", "label"], "left_semi")
     skeleton = tiles.tile_runs(tiles.thinned(tiles.bit_tiles(clean, size), size, min(tiles.PASSES, size // 2)), size)
-    return kept(trace.traced(trace.pixels_of(skeleton)), "traced"), scales
+    return kept(trace.traced(trace.pixels_of(skeleton)), "traced")
+
+
+def contours_of(ink: DataFrame, pages: DataFrame, least_length: float, size: int) -> DataFrame:
+    """curved_contours() of the ink that page_ink() found."""
+    points, scales = page_lines(ink, pages, KERNEL, TIMES, False, size), pages.select("sheet_id", "scale")
+    long_ones = trace.line_lengths(points).join(scales, "sheet_id").where(F.col("length") >= least_length * F.col("scale"))
+    points = points.join(long_ones.select("sheet_id", "path"), ["sheet_id", "path"])
+    key = points.select("sheet_id", F.col("path").alias("poly_seq"), "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    corners = approximate.simplified(key, ["sheet_id", "poly_seq"], TOLERANCE)
+    return corners.join(scales, "sheet_id").select("sheet_id", "poly_seq", "pos", (F.col("x") / F.col("scale")).alias("x"), (F.col("y") / F.col("scale")).alias("y"))
 
 
 def curved_contours(gray_rows: DataFrame, allowed: DataFrame | None = None, longest: int = WORK, least_length: float = LEAST_LENGTH, size: int = tiles.TILE) -> DataFrame:
     """sheet_id, poly_seq, pos, x, y: contours found on pages (sheet_id, y, gray), in pixels of the page.
 
-    Of page_lines(), those of least_length stay, simplified. poly_seq is the number of a line's first edge.
+    Lines through the ink of least_length stay, simplified. poly_seq is the number of a line's first edge.
     """
-    points, scales = page_lines(gray_rows, allowed, longest, KERNEL, TIMES, False, size)
-    long_ones = trace.line_lengths(points).join(scales.select("sheet_id", "scale"), "sheet_id").where(F.col("length") >= least_length * F.col("scale"))
-    points = points.join(long_ones.select("sheet_id", "path"), ["sheet_id", "path"])
-    key = points.select("sheet_id", F.col("path").alias("poly_seq"), "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    corners = approximate.simplified(key, ["sheet_id", "poly_seq"], TOLERANCE)
-    return corners.join(scales.select("sheet_id", "scale"), "sheet_id").select("sheet_id", "poly_seq", "pos", (F.col("x") / F.col("scale")).alias("x"), (F.col("y") / F.col("scale")).alias("y"))
+    return contours_of(*page_ink(gray_rows, allowed, longest, size), least_length, size)
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -80,9 +80,9 @@ def renumbered(points: DataFrame) -> DataFrame:
     return points.select(*KEY, (F.row_number().over(W.partitionBy(*KEY).orderBy("pos")) - 1).alias("pos"), "x", "y")
 
 
-def seed_lines(gray_rows: DataFrame, elevations: DataFrame, roles: DataFrame, allowed: DataFrame | None, longest: int, least_length: float, size: int, params: Params) -> tuple[DataFrame, DataFrame]:
+def seed_lines(ink: DataFrame, scales: DataFrame, elevations: DataFrame, roles: DataFrame, least_length: float, size: int, params: Params) -> tuple[DataFrame, DataFrame]:
     """The points of the seeds' lines (poly_seq: the seed's rank), in pixels of the page, and their facts."""
-    points, scales = curved.page_lines(gray_rows, allowed, longest, KERNEL, TIMES, True, size)
+    points = curved.page_lines(ink, scales, KERNEL, TIMES, True, size)
     scale = F.col("scale")
     on_page = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") * scale < F.col("width_px")) & (F.col("y") * scale < F.col("height_px"))
     e = elevations.join(scales, "sheet_id").where(on_page).select(*elevations.columns)
@@ -111,11 +111,12 @@ def seeded_contours(gray_rows: DataFrame, elevations: DataFrame, roles: DataFram
     unless they run along another. poly_seq numbers a page's contours by length and turn, best first. Pages without callouts have
     fallback lines alone; without ink, nothing.
     """
-    points, facts = seed_lines(gray_rows, elevations, roles, allowed, longest, least_length, size, params)
+    ink, pages = curved.page_ink(gray_rows, allowed, longest, size)
+    points, facts = seed_lines(ink, pages, elevations, roles, least_length, size, params)
     facts = facts.withColumn("source", F.lit("seeded"))
     if fallback:
         # Negative numbers keep them apart from seeds' ranks.
-        more = kept(renumbered(curved.curved_contours(gray_rows, allowed, longest, FALLBACK_FOUND * least_length, size).withColumn("poly_seq", -1 - F.col("poly_seq"))), "fallback")
+        more = kept(renumbered(curved.contours_of(ink, pages, FALLBACK_FOUND * least_length, size).withColumn("poly_seq", -1 - F.col("poly_seq"))), "fallback")
         best = polylines.top(polylines.metrics(more), polylines.curve_score(), FALLBACK).where(F.col("length_px") >= FALLBACK_KEPT * least_length)
         best = kept(best.select(*KEY, "length_px", "rank"), "best")
         every = kept(points.unionByName(more.join(best.select(*KEY), KEY, "left_semi")), "all-points")

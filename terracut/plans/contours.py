@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracut.operators import approximate, curved, runs, tiles, trace
+from terracut.operators import approximate, curved, runs, seeded, tiles, trace
 from terracut.plans.fixtures import view, with_views
 from terracut.plans.queries import r6
 from terracut.plans.stages import gray_rows
@@ -18,6 +18,8 @@ INK = 12
 #: Longer side of the smaller pages.
 LONGEST = 27
 LEAST_AREA, MOST_SHARE = 10, 0.04
+#: Reach of a seed on these pages, in pixels.
+REACH = 6.5
 
 
 def page_ink(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +98,25 @@ def curved_contours(spark: SparkSession, sf: str) -> DataFrame:
     return curved.curved_contours(line_pages(spark, sf), longest=1 << 20, size=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ink_runs, closed_ink, ink_parts, line_ink, smaller_pages, simplified_lines, ring_measures, thinned_ink, traced_lines, curved_contours)}
+def seed_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that each run of ink gets when runs claim the lines through their first pixels, longest runs first."""
+    ink, _ = page_ink(spark, sf)
+    order = W.partitionBy("sheet_id").orderBy(F.col("x0") - F.col("x1"), "y", "x0")
+    seeds = ink.select("sheet_id", F.row_number().over(order).alias("rank"), F.col("x0").alias("sx"), F.col("y").alias("sy"), F.lit(REACH).alias("reach"))
+    return seeded.claims(seeded.seed_options(seeds, trace.traced(trace.pixels_of(ink)), 8.0))
+
+
+def seeded_contours(spark: SparkSession, sf: str) -> DataFrame:
+    """Contours of pages with lines, claimed by a callout on each line or found without one."""
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("P"), F.col("s_suppkey") % 2).alias("sheet_id"), F.col("s_suppkey").cast("int").alias("seq"), F.when(F.col("s_acctbal") > 5000, "existing_match").otherwise("spot").alias("kind"), F.col("s_nationkey").cast("double").alias("value_ft"))
+    line = F.row_number().over(W.partitionBy("sheet_id").orderBy("seq")) - 1
+    calls = suppliers.withColumns({"x": F.lit(60.0), "y": line * 12.0 + 5})
+    roles = suppliers.select("sheet_id", F.when(F.col("sheet_id") == "P0", "existing").otherwise("auto").alias("role")).distinct()
+    points, facts = seeded.seeded_contours(line_pages(spark, sf), calls, roles, longest=1 << 20, size=64)
+    return points.join(facts.drop("length_px"), ["sheet_id", "poly_seq"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ink_runs, closed_ink, ink_parts, line_ink, smaller_pages, simplified_lines, ring_measures, thinned_ink, traced_lines, curved_contours, seed_claims, seeded_contours)}
 
 
 def dilation(name: str, source: str, steps: list[tuple[int, int]]) -> str:
@@ -138,20 +158,8 @@ reach AS (SELECT sheet_id, id AS a, id AS b FROM num UNION SELECT r.sheet_id, r.
 lab AS (SELECT n.*, label FROM num n JOIN (SELECT sheet_id, a, min(b) AS label FROM reach GROUP BY ALL) l ON l.sheet_id = n.sheet_id AND l.a = n.id),
 msr AS (SELECT sheet_id, CAST(label AS BIGINT) AS label, count(*) AS area, CAST(min(x) AS INT) AS x0, CAST(min(y) AS INT) AS y0, CAST(max(x) AS INT) AS x1, CAST(max(y) AS INT) AS y1 FROM lab GROUP BY ALL)"""
 
-SQL = {
-    "ink_runs": f"{PIXELS} {as_runs('ink')}",
-    "closed_ink": f"{PIXELS}, {closing('c3', CROSS, 2)}, {closing('c5', DISC, 1)}, both_ AS (SELECT *, 3 AS kernel FROM c3 UNION ALL SELECT *, 5 FROM c5) {as_runs('both_', 'kernel,')}",
-    "ink_parts": f"{PARTS} SELECT * FROM msr",
-    "line_ink": f"""{PARTS}, fit AS (SELECT lab.* FROM lab JOIN msr ON msr.sheet_id = lab.sheet_id AND msr.label = lab.label JOIN pg ON pg.sheet_id = lab.sheet_id WHERE area >= {LEAST_AREA} AND area <= w * h * {MOST_SHARE}::DOUBLE)
-{as_runs('fit', 'label,')}""",
-    "smaller_pages": f"""{PIXELS}, sz AS (SELECT *, greatest(w, h) AS side, CAST(round_even(w * {LONGEST}::DOUBLE / greatest(w, h), 0) AS INT) AS tw, CAST(round_even(h * {LONGEST}::DOUBLE / greatest(w, h), 0) AS INT) AS th FROM pg),
-tg AS (SELECT sheet_id, side, X, Y FROM sz, range(tw) a(X), range(th) b(Y) WHERE side > {LONGEST}),
-av AS (SELECT g.sheet_id, g.X, g.Y, sum(v * o) AS s, sum(o) AS n FROM (SELECT tg.sheet_id, tg.X, tg.Y, v, (least((q.x + 1) * {LONGEST}, (tg.X + 1) * side) - greatest(q.x * {LONGEST}, tg.X * side)) * (least((q.y + 1) * {LONGEST}, (tg.Y + 1) * side) - greatest(q.y * {LONGEST}, tg.Y * side)) AS o
-  FROM tg JOIN fx_pixels q ON q.sheet_id = tg.sheet_id AND q.x * {LONGEST} < (tg.X + 1) * side AND (q.x + 1) * {LONGEST} > tg.X * side AND q.y * {LONGEST} < (tg.Y + 1) * side AND (q.y + 1) * {LONGEST} > tg.Y * side) g GROUP BY ALL)
-SELECT sheet_id, CAST(Y AS INT) AS y, string_agg(printf('%02x', CAST(s // n + CASE WHEN 2 * (s % n) > n OR (2 * (s % n) = n AND (s // n) % 2 = 1) THEN 1 ELSE 0 END AS INT)), '' ORDER BY X) AS gray FROM av GROUP BY sheet_id, Y
-UNION ALL SELECT sheet_id, y, string_agg(printf('%02x', v), '' ORDER BY x) FROM fx_pixels JOIN sz USING (sheet_id) WHERE side <= {LONGEST} GROUP BY sheet_id, y""",
-    # Each edge in both directions, paired where pixels meet; then lists are walked arc by arc. Rings start at their least arc.
-    "traced_lines": f"""{PIXELS.replace('WITH ', 'WITH RECURSIVE ', 1)}, dir AS (SELECT * FROM (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)) d(d, dx, dy)),
+# Each edge in both directions, paired where pixels meet; then lists are walked arc by arc. Rings start at their least arc.
+TRACED = f"""{PIXELS.replace('WITH ', 'WITH RECURSIVE ', 1)}, dir AS (SELECT * FROM (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)) d(d, dx, dy)),
 seen AS (SELECT p.sheet_id, p.x, p.y, d FROM ink p, dir WHERE (p.sheet_id, p.x + dx, p.y + dy) IN (SELECT (sheet_id, x, y) FROM ink)),
 outs AS (SELECT s.*, s.y * 16777216::BIGINT + s.x AS pixel FROM seen s WHERE s.d % 2 = 0 OR NOT EXISTS (SELECT 1 FROM seen t WHERE t.sheet_id = s.sheet_id AND t.x = s.x AND t.y = s.y AND t.d IN ((s.d + 7) % 8, (s.d + 1) % 8))),
 prs AS (SELECT a.sheet_id, a.pixel, a.d AS a, b.d AS b, (-least((b.d - a.d) % 8, (a.d - b.d + 8) % 8), a.d, b.d) AS o FROM outs a JOIN outs b ON a.sheet_id = b.sheet_id AND a.pixel = b.pixel AND a.d < b.d),
@@ -167,8 +175,31 @@ lst AS (SELECT DISTINCT sheet_id, min(b) AS head FROM go GROUP BY sheet_id, a),
 around AS (SELECT sheet_id, head, head AS arc, 0 AS pos FROM lst UNION ALL SELECT o.sheet_id, head, arc.arc, pos + 1 FROM around o JOIN arc ON arc.sheet_id = o.sheet_id AND arc.before = o.arc WHERE arc.arc <> head),
 al AS (SELECT * FROM open UNION ALL SELECT * FROM around),
 one AS (SELECT a.* FROM al a JOIN arc h ON h.sheet_id = a.sheet_id AND h.arc = a.head JOIN al r ON r.sheet_id = a.sheet_id AND r.arc = h.rev WHERE a.head < r.head),
-pt AS (SELECT o.sheet_id, head, pos + 1 AS pos, ahead AS place FROM one o JOIN arc ON arc.sheet_id = o.sheet_id AND arc.arc = o.arc UNION ALL SELECT sheet_id, head, 0, head // 8 FROM one WHERE pos = 0)
-SELECT sheet_id, CAST(head AS BIGINT) AS path, CAST(pos AS BIGINT) AS pos, CAST(place % 16777216 AS INT) AS x, CAST(place // 16777216 AS INT) AS y FROM pt""",
+pt AS (SELECT o.sheet_id, head, pos + 1 AS pos, ahead AS place FROM one o JOIN arc ON arc.sheet_id = o.sheet_id AND arc.arc = o.arc UNION ALL SELECT sheet_id, head, 0, head // 8 FROM one WHERE pos = 0)"""
+LINES = "SELECT sheet_id, CAST(head AS BIGINT) AS path, CAST(pos AS BIGINT) AS pos, CAST(place % 16777216 AS INT) AS x, CAST(place // 16777216 AS INT) AS y FROM pt"
+
+SQL = {
+    "ink_runs": f"{PIXELS} {as_runs('ink')}",
+    "closed_ink": f"{PIXELS}, {closing('c3', CROSS, 2)}, {closing('c5', DISC, 1)}, both_ AS (SELECT *, 3 AS kernel FROM c3 UNION ALL SELECT *, 5 FROM c5) {as_runs('both_', 'kernel,')}",
+    "ink_parts": f"{PARTS} SELECT * FROM msr",
+    "line_ink": f"""{PARTS}, fit AS (SELECT lab.* FROM lab JOIN msr ON msr.sheet_id = lab.sheet_id AND msr.label = lab.label JOIN pg ON pg.sheet_id = lab.sheet_id WHERE area >= {LEAST_AREA} AND area <= w * h * {MOST_SHARE}::DOUBLE)
+{as_runs('fit', 'label,')}""",
+    "smaller_pages": f"""{PIXELS}, sz AS (SELECT *, greatest(w, h) AS side, CAST(round_even(w * {LONGEST}::DOUBLE / greatest(w, h), 0) AS INT) AS tw, CAST(round_even(h * {LONGEST}::DOUBLE / greatest(w, h), 0) AS INT) AS th FROM pg),
+tg AS (SELECT sheet_id, side, X, Y FROM sz, range(tw) a(X), range(th) b(Y) WHERE side > {LONGEST}),
+av AS (SELECT g.sheet_id, g.X, g.Y, sum(v * o) AS s, sum(o) AS n FROM (SELECT tg.sheet_id, tg.X, tg.Y, v, (least((q.x + 1) * {LONGEST}, (tg.X + 1) * side) - greatest(q.x * {LONGEST}, tg.X * side)) * (least((q.y + 1) * {LONGEST}, (tg.Y + 1) * side) - greatest(q.y * {LONGEST}, tg.Y * side)) AS o
+  FROM tg JOIN fx_pixels q ON q.sheet_id = tg.sheet_id AND q.x * {LONGEST} < (tg.X + 1) * side AND (q.x + 1) * {LONGEST} > tg.X * side AND q.y * {LONGEST} < (tg.Y + 1) * side AND (q.y + 1) * {LONGEST} > tg.Y * side) g GROUP BY ALL)
+SELECT sheet_id, CAST(Y AS INT) AS y, string_agg(printf('%02x', CAST(s // n + CASE WHEN 2 * (s % n) > n OR (2 * (s % n) = n AND (s // n) % 2 = 1) THEN 1 ELSE 0 END AS INT)), '' ORDER BY X) AS gray FROM av GROUP BY sheet_id, Y
+UNION ALL SELECT sheet_id, y, string_agg(printf('%02x', v), '' ORDER BY x) FROM fx_pixels JOIN sz USING (sheet_id) WHERE side <= {LONGEST} GROUP BY sheet_id, y""",
+    "traced_lines": f"{TRACED} {LINES}",
+    # Seeds choose one after another: the list of taken lines goes along from rank to rank.
+    "seed_claims": f"""{TRACED}, ln AS ({LINES}), px AS (SELECT sheet_id, x, y, list_sort(list_distinct(list(path))) AS paths FROM ln GROUP BY ALL), rn AS ({as_runs('ink')}),
+sd AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY x0 - x1, y, x0) AS rank, x0 AS sx, y AS sy FROM rn),
+cd AS (SELECT sheet_id, rank, paths, {{'d2': (x - sx) * (x - sx) + (y - sy) * (y - sy), 'y': y, 'x': x, 'path': paths[1]}} AS c FROM sd JOIN px USING (sheet_id) WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) < {REACH * REACH}),
+cnt AS (SELECT sheet_id, max(rank) AS n FROM sd GROUP BY ALL),
+st AS (SELECT sheet_id, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::STRUCT(d2 INT, y INT, x INT, path BIGINT) AS c FROM cnt
+  UNION ALL SELECT sheet_id, k + 1, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c.path) END, c FROM (
+    SELECT s.sheet_id, s.k, any_value(s.taken) AS taken, min(cd.c) FILTER (WHERE NOT list_has_any(cd.paths, s.taken)) AS c FROM st s JOIN cnt ON cnt.sheet_id = s.sheet_id AND s.k < n LEFT JOIN cd ON cd.sheet_id = s.sheet_id AND cd.rank = s.k + 1 GROUP BY s.sheet_id, s.k))
+SELECT sheet_id, CAST(k AS INT) AS rank, c.path AS path, c.x AS x, c.y AS y FROM st WHERE c IS NOT NULL""",
     "simplified_lines": f"""{with_views('ink').replace('WITH ', 'WITH RECURSIVE ', 1)}, p AS (SELECT stroke_id, pos, pos * 3 AS x, CAST(floor(gray / 8) AS BIGINT) AS y FROM fx_ink),
 seg AS (SELECT stroke_id, min(pos) AS a, max(pos) AS b FROM p GROUP BY ALL
   UNION ALL SELECT stroke_id, unnest([a, s]) AS a, unnest([s, b]) AS b FROM (
