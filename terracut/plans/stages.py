@@ -13,6 +13,7 @@ from terracut.operators import elevations, layers, layout, legend, polylines, ra
 from terracut.params import DEFAULTS, Params
 from terracut.plans import cutfill
 from terracut.plans.fixtures import view, with_views
+from terracut.sources.scratch import kept
 from terracut.plans.queries import EDGES, FUSED, METRICS, PROFILE, READ, READINGS, RING, parsed, r6
 from terracut.plans.queries import DRAWN
 from terracut.plans.queries import SQL as BASE
@@ -264,24 +265,28 @@ def fallback_samples(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("site_id", "surface").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("z"), "z"))
 
 
-def sheet_tables(spark: SparkSession, sf: str) -> cutfill.SheetTables:
-    """What samples need of sheets, from the fixtures: callouts, contours of known kinds and their associations."""
+def sheet_tables(spark: SparkSession, sf: str, points: DataFrame, several: bool = False) -> cutfill.SheetTables:
+    """What samples need of sheets, from the fixtures: callouts, contours of known kinds and their associations; stored if they are read several times."""
     from terracut.operators import associate
 
-    e = parsed(spark, sf)
+    once = kept if several else lambda df, name: df
+    e = once(parsed(spark, sf), "callouts")
     lines = view(spark, sf, "kinds").join(view(spark, sf, "sheets"), "sheet_id").select("sheet_id", "poly_seq", styles.contour_kind(F.col("kind"), F.col("role")).alias("kind")).where("kind IS NOT NULL")
+    lines = once(lines, "contours")
     scales = view(spark, sf, "sheets").select("sheet_id", (10.0 + F.length("sheet_id")).alias("ft_per_inch"))
-    return cutfill.SheetTables(None, scales, e, lines, associate.associate(e, view(spark, sf, "points").join(lines, polylines.KEY, "left_semi"), lines, 20.0))
+    found = associate.associate(e, points.join(lines, polylines.KEY, "left_semi"), lines, 20.0)
+    return cutfill.SheetTables(None, scales, e, lines, once(found, "associations"))
 
 
 def sheet_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Samples of all sheets: callouts, points of their contours and the feet on them, and a looser search on existing sheets."""
-    s = cutfill.sample_rows(sheet_tables(spark, sf), view(spark, sf, "points"), view(spark, sf, "sheets"), True)
+    points = kept(view(spark, sf, "points"), "points")
+    s = cutfill.sample_rows(sheet_tables(spark, sf, points, True), points, view(spark, sf, "sheets"), True)
     return s.groupBy("sheet_id", "surface").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("x"), "x"), r6(F.sum("y"), "y"), r6(F.sum("z"), "z"))
 
 
 def framed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    t = sheet_tables(spark, sf)
+    t = sheet_tables(spark, sf, view(spark, sf, "points"))
     sheets = view(spark, sf, "sheets").select("sheet_id", F.concat(F.lit("site "), "sheet_id").alias("site_id"), F.lit(100).alias("dpi"), F.lit(1000).alias("width_px"), F.lit(900).alias("height_px"))
     box = lambda *v: F.struct(*[F.lit(x).alias(c) for x, c in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
     known = view(spark, sf, "sheets").select("sheet_id", F.when(F.col("sheet_id").endswith("1"), box(100, 120, 700, 820)).alias("property_bbox"), F.when(~F.col("sheet_id").endswith("3"), box(300, 200, 500, 460)).alias("building_bbox"))
