@@ -54,11 +54,26 @@ FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts,
    WHEN 7 THEN 'CURB' WHEN 8 THEN 'CUT' WHEN 9 THEN 'TREE' WHEN 10 THEN 'RIP RAP' WHEN 11 THEN 'CURB CUT' WHEN 12 THEN ' : silt fence - ' WHEN 13 THEN '12.5' WHEN 14 THEN 'CONCRETE SIDEWALK'
    WHEN 15 THEN 'HEAVY  DUTY CONCRETE' WHEN 16 THEN 'LEGEND' ELSE upper(p_name) END AS text
 FROM {part}""",
+    "notes": """SELECT concat('N', CAST(sheet AS STRING)) AS sheet_id, seq,
+ CASE WHEN sheet % 7 = 0 AND k = 5 THEN concat('SCALE: 1" = ', CAST(n AS STRING), '.5 ft')
+   WHEN sheet % 7 = 1 AND k = 3 THEN concat('1"=', CAST(n AS STRING), chr(39))
+   WHEN sheet % 7 = 2 AND k = 4 THEN 'SCALE:' WHEN sheet % 7 = 2 AND k = 9 THEN '1" =' WHEN sheet % 7 = 2 AND k = 12 THEN concat(CAST(n AS STRING), ' feet')
+   WHEN sheet % 7 = 3 AND k = 6 THEN 'scale' WHEN sheet % 7 = 3 AND k = 7 THEN ': 1"' WHEN sheet % 7 = 3 AND k = 8 THEN concat('= ', CAST(n AS STRING)) WHEN sheet % 7 = 3 AND k = 9 THEN 'FT'
+   WHEN sheet % 7 = 4 AND k = 2 THEN 'SCALE: 1" = 500 ft' WHEN sheet % 7 = 4 AND k = 7 THEN 'SCALE 1"=0.5 ft'
+   WHEN sheet % 7 = 5 AND k = 2 THEN 'Scale - 1=900ft' WHEN sheet % 7 = 5 AND k = 6 THEN concat('1” = ', CAST(n AS STRING), ' ’ SCALE: 1" = 500 feet')
+   ELSE upper(p_name) END AS text,
+ CAST(CASE WHEN sheet % 7 = 2 AND k IN (4, 9, 12) THEN 100 + k WHEN sheet % 7 = 3 AND k BETWEEN 6 AND 9 THEN (k - 6) * 250 ELSE 400 + (seq*389+17)%500 END AS DOUBLE) AS x,
+ CAST(CASE WHEN sheet % 7 = 2 AND k IN (4, 9, 12) THEN 100 + k WHEN sheet % 7 = 3 AND k BETWEEN 6 AND 9 THEN 50 ELSE 300 + (seq*seq*71+seq*211)%600 END AS DOUBLE) AS y
+FROM (SELECT CAST(floor(p_partkey / 16) AS INT) AS sheet, p_partkey AS seq, p_partkey % 16 AS k, p_size AS n, p_name FROM {part}) t""",
+    "crossed": """SELECT sheet_id, seq, CASE WHEN down THEN c + s ELSE a END AS x1, CASE WHEN down THEN a ELSE c + s END AS y1, CASE WHEN down THEN c - s ELSE b END AS x2, CASE WHEN down THEN b ELSE c - s END AS y2,
+ CAST(1.3 AS DOUBLE) AS w, CAST(0.0 AS DOUBLE) AS color0
+FROM (SELECT CAST(floor(p_partkey / 60) AS INT) AS sheet_id, p_partkey AS seq, p_partkey % 2 = 1 AS down, CAST(100 + 30 * floor((p_partkey % 6) / 4) + 3 * floor((p_partkey % 6) / 2) + (p_partkey * 7) % 3 AS DOUBLE) AS c,
+  CAST((p_partkey * 5) % 4 * 0.25 - 0.375 AS DOUBLE) AS s, CAST(40 + floor((p_partkey % 60) / 6) * (22 + p_size % 4) AS DOUBLE) AS a, CAST(40 + floor((p_partkey % 60) / 6) * (22 + p_size % 4) + 10 + p_size % 17 AS DOUBLE) AS b FROM {part}) t""",
     "sheets": """SELECT DISTINCT p_brand AS sheet_id, CASE WHEN p_brand LIKE '%1' THEN 'existing' ELSE 'proposed' END AS role FROM {part}""",
     "truth": """SELECT p_brand AS site_id, CAST(sum(p_size) * 40.0 AS DOUBLE) AS cut_cy, CAST(CASE WHEN min(p_size) > 1 THEN 0 ELSE max(p_partkey) END AS DOUBLE) AS fill_cy FROM {part} GROUP BY p_brand""",
     "frames": """SELECT p_brand AS site_id, CAST(500 + max(p_size) AS DOUBLE) AS pw, CAST(400 + min(p_size) AS DOUBLE) AS ph, CAST(450 + min(p_size) AS DOUBLE) AS ew, CAST(max(p_size) AS DOUBLE) AS eh FROM {part} GROUP BY p_brand""",
 }
-TABLES = {"dashes": "part", "pixels": "events", "titles": "part", "spans": "part", "samples": "part", "points": "lineitem", "kinds": "orders", "ink": "events", "segments": "orders", "sheets": "part", "truth": "part", "frames": "part"}
+TABLES = {"notes": "part", "crossed": "part", "dashes": "part", "pixels": "events", "titles": "part", "spans": "part", "samples": "part", "points": "lineitem", "kinds": "orders", "ink": "events", "segments": "orders", "sheets": "part", "truth": "part", "frames": "part"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terracut.plans import contours, queries, stages
+from terracut.plans import contours, drawn, queries, stages
 
-QUERIES = queries.QUERIES | stages.QUERIES | contours.QUERIES
-SQL = queries.SQL | stages.SQL | contours.SQL
+QUERIES = queries.QUERIES | stages.QUERIES | contours.QUERIES | drawn.QUERIES
+SQL = queries.SQL | stages.SQL | contours.SQL | drawn.SQL
