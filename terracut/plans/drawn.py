@@ -9,6 +9,9 @@ from terracut.functions import text as T
 from terracut.operators import layers, scales, strokes
 from terracut.plans.fixtures import view, with_views
 from terracut.plans.queries import r6
+from terracut.plans.stages import gray_rows
+from terracut.sources.pages import read_pages, write_pages
+from terracut.sources.scratch import shared_folder
 
 
 def note_scales(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +52,14 @@ def warning_texts(spark: SparkSession, sf: str) -> DataFrame:
     return layers.stage_status(s).select("sheet_id", F.concat_ws("; ", "warnings").alias("warnings"), *[F.col("status")[k].alias(k) for k in ("scale", "property", "building", "cut_fill")])
 
 
-QUERIES = {f.__name__: f for f in (note_scales, note_texts, outer_lines, crossed_chains, crossed_walls, warning_texts)}
+def page_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as images and two of them read back, of whose files alone anything is opened; rows that a page lacks are white."""
+    folder = shared_folder(spark, "pages")
+    write_pages(gray_rows(spark, sf), folder)
+    return read_pages(spark, folder).where("sheet_id IN ('G1', 'G3')").select("sheet_id", "y", F.hex("gray").alias("gray"))
+
+
+QUERIES = {f.__name__: f for f in (note_scales, note_texts, outer_lines, crossed_chains, crossed_walls, warning_texts, page_rows)}
 
 
 def read_sql(text: str) -> str:
@@ -101,6 +111,8 @@ QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY sqrt(pow(x2 - x1, 2) +
     "crossed_chains": f"{chains_sql('crossed', PROPERTY_PART, *strokes.PROPERTY_CHAIN)} SELECT sheet_id, seq, chain FROM c",
     "crossed_walls": f"{chains_sql('crossed', BUILDING_PART, *strokes.BUILDING_CHAIN)}, {WALLS}",
     "building_lines": f"{chains_sql('segments', BUILDING_PART, *strokes.BUILDING_CHAIN)}, {WALLS}",
+    "page_rows": f"""{with_views('pixels')}, r AS (SELECT sheet_id, y, string_agg(printf('%02X', v), '' ORDER BY x) AS gray FROM fx_pixels WHERE sheet_id IN ('G1', 'G3') GROUP BY ALL),
+a AS (SELECT sheet_id, unnest(range(0, max(y) + 1)) AS y FROM r GROUP BY sheet_id) SELECT sheet_id, CAST(y AS INT) AS y, coalesce(gray, repeat('FF', 40)) AS gray FROM a LEFT JOIN r USING (sheet_id, y)""",
     "warning_texts": f"""{with_views('notes')}, n AS (SELECT sheet_id, min(seq) AS k FROM fx_notes GROUP BY ALL), s AS (SELECT sheet_id, k % 3 = 0 AS old, k % 5 = 0 AS guessed, CAST(floor((k / 16) % 4 * 5) AS INT) AS e, k % 7 AS p, k % 11 % 2 AS b, k % 13 % 4 AS a, k % 9 AS x FROM n)
 SELECT sheet_id, concat_ws('; ', CASE WHEN guessed THEN 'scale not found on the sheet' END, CASE WHEN e = 0 THEN 'no elevation callouts in the drawing' END, CASE WHEN p = 0 THEN 'property boundary not traced' END, CASE WHEN b = 0 AND NOT old THEN 'building not detected' END,
   CASE WHEN e > 0 AND a > 0 AND a / e < 0.35 THEN 'few elevations associated with contours' END, CASE WHEN NOT old AND x < 3 THEN 'few existing-surface samples on this sheet' END) AS warnings,

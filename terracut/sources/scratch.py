@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of local applications without a shared one.
 _own: dict[str, str] = {}
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the session's spark.checkpoint.dir and read back: computed once, and a reread if executors are lost.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the session's spark.checkpoint.dir.
 
     Where the setting is unset, a temporary folder serves in local mode; on a cluster that is an error.
     """
-    spark = df.sparkSession
     folder, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="terracut-"))
-    path = f"{folder.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a shared folder and read back: computed once, and a reread if executors are lost."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
