@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terracut.functions.geometry import clamp_bbox
 from terracut.functions.text import holds_any, stripped
+from terracut.operators.raster import column_ink
 from terracut.sources.scratch import kept
 
 # Words of panel headers, of legend entries, and of what ends a legend.
@@ -34,8 +35,40 @@ def headers(spans: DataFrame, sheets: DataFrame) -> DataFrame:
     return s.groupBy("sheet_id").agg(*[F.min_by("bbox_px", F.when(holds_any(F.col("t"), words), place)).alias(name) for name, words in HEADERS.items()])
 
 
-def legend_panels(spans: DataFrame, sheets: DataFrame, heads: DataFrame) -> DataFrame:
-    """sheet_id, legend: the box around legend header, swatch column and labels, by text alone; null without a header."""
+# Gray below which swatches and panel rules are ink, shares of a column's pixels that make it one of either, and pixels searched for a rule.
+SWATCH_INK, SWATCH_SHARE, RULE_INK, RULE_SHARE, RULE_REACH = 185, 0.012, 140, 0.35, 50
+
+
+def swatch_edges(bands: DataFrame, gray_rows: DataFrame) -> DataFrame:
+    """sheet_id, symbol_left, frame_left: how far swatches and the panel's rule reach to the left of a legend's labels.
+
+    bands: sheet_id, w, head_x0, label_left, y0, y1, reach. gray_rows: sheet_id, y, gray. Swatches count if ink stands near the labels; then the
+    leftmost column with ink is their edge, as dashes leave columns empty. Sheets without rows are as those without ink.
+    """
+
+    def columns(b: DataFrame, right: Column, reach: Column, below: int, share: float) -> DataFrame:
+        """b with x0, x1 (half open columns searched, at most reach) and hits: leftmost and rightmost column with enough ink."""
+        b = b.withColumn("x1", F.floor(F.greatest(F.lit(1), F.least(F.col("w") - 1, right))).cast("int"))
+        b = b.withColumn("x0", F.greatest(F.lit(0), F.col("x1") - reach).cast("int"))
+        boxes = b.select("sheet_id", box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("box"))
+        ink = column_ink(gray_rows, boxes, below).where(F.col("share") > share).groupBy("sheet_id").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+        return b.join(ink, "sheet_id", "left")
+
+    b = columns(bands, F.col("label_left") - 2, F.col("reach"), SWATCH_INK, SWATCH_SHARE)
+    wide = F.col("x1") - F.col("x0")
+    attached = (F.col("y1") > F.col("y0") + 2) & (wide > 2) & (F.col("last") >= F.col("x1") - F.greatest(F.lit(12), F.floor(wide / 8)))
+    symbol = F.when(attached, F.col("first") - 8).otherwise(F.floor(F.col("label_left") - F.col("reach") * 0.85))
+    b = b.withColumn("symbol_left", F.floor(F.greatest(symbol, F.col("head_x0") - 220, F.col("w") * 0.62)).cast("int"))
+    # One row for each sheet: written, so that the second search reads values.
+    b = kept(b.select("sheet_id", "w", "head_x0", "y0", "y1", "symbol_left"), "swatch-edges")
+    b = columns(b, F.col("symbol_left"), F.lit(RULE_REACH), RULE_INK, RULE_SHARE)
+    ruled = (F.col("y1") > F.col("y0") + 4) & (F.col("x1") - F.col("x0") > 2) & F.col("first").isNotNull()
+    frame = F.when(ruled, F.col("first")).otherwise(F.col("symbol_left") - 20)
+    return b.select("sheet_id", "symbol_left", F.floor(F.greatest(frame, F.col("w") * 0.60, F.col("head_x0") - 260)).cast("int").alias("frame_left"))
+
+
+def legend_panels(spans: DataFrame, sheets: DataFrame, heads: DataFrame, gray_rows: DataFrame | None = None) -> DataFrame:
+    """sheet_id, legend: the box around legend header, swatch column and labels; null without a header. By text alone, or with the ink of gray_rows."""
     h, w = F.col("height_px"), F.col("width_px")
     head = F.col("head")
     b = heads.select("sheet_id", F.coalesce("map_legend", "any_legend").alias("head"), F.col("title").alias("title_head")).where("head IS NOT NULL").join(sheets.select("sheet_id", "width_px", "height_px"), "sheet_id")
@@ -61,6 +94,11 @@ def legend_panels(spans: DataFrame, sheets: DataFrame, heads: DataFrame) -> Data
     reach = F.greatest(F.lit(120.0), F.least(F.least(F.lit(280.0), F.greatest(F.lit(120.0), head["x0"] - w * 0.68)), w * 0.07))
     swatch = F.greatest(left - reach, head["x0"] - 220, w * 0.62)
     x0 = F.greatest(F.floor(F.least(F.greatest(swatch, w * 0.60, head["x0"] - 260), swatch) - 10), w * 0.58)
+    if gray_rows is not None:
+        whole = lambda c: F.floor(c).cast("int")
+        bands = a.select("sheet_id", w.alias("w"), head["x0"].alias("head_x0"), left.alias("label_left"), whole(F.greatest(F.lit(0.0), top)).alias("y0"), whole(F.least(h, bottom)).alias("y1"), whole(reach).alias("reach"))
+        a = a.join(swatch_edges(kept(bands, "legend-bands"), gray_rows), "sheet_id")
+        x0 = F.greatest(F.least("frame_left", "symbol_left") - 10, F.floor(w * 0.58))
     panel = box(x0, F.greatest(F.lit(0.0), F.least(top, head["y0"] - 24)), F.least(w, F.greatest(right, head["x1"]) + 40), F.least(h, F.greatest(bottom, head["y1"] + 80)))
     return a.select("sheet_id", clamp_bbox(panel, w, h).alias("legend"))
 
@@ -75,13 +113,13 @@ def fallback_split(spans: DataFrame, sheets: DataFrame) -> DataFrame:
     return sheets.select("sheet_id", "width_px").join(lefts, "sheet_id", "left").select("sheet_id", F.when(F.col("lefts").isNull(), F.floor(w * 0.70)).otherwise(edge).alias("fallback"))
 
 
-def layouts(spans: DataFrame, sheets: DataFrame) -> DataFrame:
+def layouts(spans: DataFrame, sheets: DataFrame, gray_rows: DataFrame | None = None) -> DataFrame:
     """sheet_id, split, drawing_bbox, legend_bbox, notes_bbox, title_bbox, scale_bbox, chrome_bboxes, notes of every sheet.
 
-    spans: sheet_id, seq, text, bbox_px (BOX). sheets: sheet_id, width_px, height_px.
+    spans: sheet_id, seq, text, bbox_px (BOX). sheets: sheet_id, width_px, height_px. gray_rows: the pages' pixels, if there are any.
     """
     heads = kept(headers(spans, sheets), "headers")
-    t = sheets.select("sheet_id", F.col("width_px").cast("double").alias("w"), F.col("height_px").cast("double").alias("h")).join(heads, "sheet_id", "left").join(legend_panels(spans, sheets, heads), "sheet_id", "left").join(fallback_split(spans, sheets), "sheet_id")
+    t = sheets.select("sheet_id", F.col("width_px").cast("double").alias("w"), F.col("height_px").cast("double").alias("h")).join(heads, "sheet_id", "left").join(legend_panels(spans, sheets, heads, gray_rows), "sheet_id", "left").join(fallback_split(spans, sheets), "sheet_id")
     w, h, legend = F.col("w"), F.col("h"), F.col("legend")
     lhead = F.coalesce("map_legend", "any_legend")
     edge = lambda head: F.when(head["x0"] > w * 0.55, F.floor(head["x0"] - 200))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracut.functions import text as T
-from terracut.operators import layers, scales, strokes
+from terracut.operators import layers, layout, scales, strokes
 from terracut.plans.fixtures import view, with_views
 from terracut.plans.queries import r6
-from terracut.plans.stages import gray_rows
+from terracut.plans.stages import LAYOUT, gray_rows, titles
 from terracut.sources.pages import read_pages, write_pages
-from terracut.sources.scratch import shared_folder
+from terracut.sources.scratch import kept, shared_folder
 
 
 def note_scales(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,21 @@ def page_rows(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, folder).where("sheet_id IN ('G1', 'G3')").select("sheet_id", "y", F.hex("gray").alias("gray"))
 
 
-QUERIES = {f.__name__: f for f in (note_scales, note_texts, outer_lines, crossed_chains, crossed_walls, warning_texts, page_rows)}
+#: Ink of a page as conditions on x, y and the sheet's number k: rules of a panel, and pale swatches.
+RULES, PALE = "(x + k) % 40 < 2 AND x >= 620 + k % 5 * 30 AND y % 5 < 3", "(x * 3 + k) % 17 = 0 AND x >= 600 + k % 7 * 40 AND y % 11 = 0"
+
+
+def inked_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """Legend panels by texts and by the ink of swatches and rules beside them."""
+    sheets = view(spark, sf, "sheets").withColumns({"width_px": F.lit(1000), "height_px": F.lit(1000)})
+    rows = sheets.select("sheet_id", F.expr("CAST(substr(sheet_id, 7) AS INT)").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("y"))
+    pixels = rows.select("sheet_id", "y", F.expr(f"unhex(concat_ws('', transform(sequence(0, 999), x -> CASE WHEN {RULES} THEN '3C' WHEN {PALE} THEN '96' ELSE 'FF' END)))").alias("gray"))
+    spans = titles(spark, sf)
+    p = layout.legend_panels(spans, sheets, layout.headers(spans, sheets), kept(pixels, "pages")).where("legend IS NOT NULL")
+    return p.select("sheet_id", *[F.col(f"legend.{c}").cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+QUERIES = {f.__name__: f for f in (note_scales, note_texts, outer_lines, crossed_chains, crossed_walls, warning_texts, page_rows, inked_panels)}
 
 
 def read_sql(text: str) -> str:
@@ -113,6 +127,16 @@ QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY sqrt(pow(x2 - x1, 2) +
     "building_lines": f"{chains_sql('segments', BUILDING_PART, *strokes.BUILDING_CHAIN)}, {WALLS}",
     "page_rows": f"""{with_views('pixels')}, r AS (SELECT sheet_id, y, string_agg(printf('%02X', v), '' ORDER BY x) AS gray FROM fx_pixels WHERE sheet_id IN ('G1', 'G3') GROUP BY ALL),
 a AS (SELECT sheet_id, unnest(range(0, max(y) + 1)) AS y FROM r GROUP BY sheet_id) SELECT sheet_id, CAST(y AS INT) AS y, coalesce(gray, repeat('FF', 40)) AS gray FROM a LEFT JOIN r USING (sheet_id, y)""",
+    "inked_panels": f"""{with_views('titles', 'sheets')},{LAYOUT},
+bd AS (SELECT sheet_id, CAST(substr(sheet_id, 7) AS INT) AS k, head.x0 AS hx, lft, CAST(floor(greatest(0, top)) AS INT) AS y0, CAST(floor(least(1000, bottom)) AS INT) AS y1, CAST(floor(greatest(1, least(999, lft - 2))) AS INT) AS xr, greatest(0, xr - 120) AS xl FROM sw),
+px AS (SELECT *, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(xl, xr)) AS x FROM bd)),
+ac AS (SELECT sheet_id, x FROM px GROUP BY sheet_id, x HAVING avg((({RULES}) OR ({PALE}))::INT) > 0.012),
+sy AS (SELECT b.*, CAST(floor(greatest(CASE WHEN y1 > y0 + 2 AND xr > xl + 2 AND b.sheet_id IN (SELECT a.sheet_id FROM ac a JOIN bd c USING (sheet_id) WHERE a.x >= c.xr - greatest(12, (c.xr - c.xl) // 8)) THEN (SELECT min(x) FROM ac WHERE ac.sheet_id = b.sheet_id) - 8 ELSE floor(lft - 120 * 0.85) END, hx - 220, 620)) AS INT) AS symbol FROM bd b),
+fb AS (SELECT *, greatest(1, least(999, symbol)) AS fr, greatest(0, fr - 50) AS fl FROM sy), fp AS (SELECT *, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(fl, fr)) AS x FROM fb)),
+fa AS (SELECT sheet_id, min(x) AS x FROM (SELECT sheet_id, x FROM fp GROUP BY sheet_id, x HAVING avg(({RULES})::INT) > 0.35) GROUP BY sheet_id),
+fe AS (SELECT fb.sheet_id, symbol, CAST(floor(greatest(CASE WHEN y1 > y0 + 4 AND fr > fl + 2 AND fa.x IS NOT NULL THEN fa.x ELSE symbol - 20 END, 600, hx - 260)) AS INT) AS frame FROM fb LEFT JOIN fa USING (sheet_id)),
+bx AS (SELECT sheet_id, greatest(least(frame, symbol) - 10, 580) AS left_, legend FROM fe JOIN lg USING (sheet_id))
+SELECT sheet_id, CAST(greatest(0, least(left_, 999)) AS INT) AS x0, CAST(legend.y0 AS INT) AS y0, CAST(legend.x1 AS INT) AS x1, CAST(legend.y1 AS INT) AS y1 FROM bx""",
     "warning_texts": f"""{with_views('notes')}, n AS (SELECT sheet_id, min(seq) AS k FROM fx_notes GROUP BY ALL), s AS (SELECT sheet_id, k % 3 = 0 AS old, k % 5 = 0 AS guessed, CAST(floor((k / 16) % 4 * 5) AS INT) AS e, k % 7 AS p, k % 11 % 2 AS b, k % 13 % 4 AS a, k % 9 AS x FROM n)
 SELECT sheet_id, concat_ws('; ', CASE WHEN guessed THEN 'scale not found on the sheet' END, CASE WHEN e = 0 THEN 'no elevation callouts in the drawing' END, CASE WHEN p = 0 THEN 'property boundary not traced' END, CASE WHEN b = 0 AND NOT old THEN 'building not detected' END,
   CASE WHEN e > 0 AND a > 0 AND a / e < 0.35 THEN 'few elevations associated with contours' END, CASE WHEN NOT old AND x < 3 THEN 'few existing-surface samples on this sheet' END) AS warnings,
