@@ -9,7 +9,7 @@ from terracut.functions import text as T
 from terracut.operators import layers, layout, scales, strokes
 from terracut.plans.fixtures import view, with_views
 from terracut.plans.queries import r6
-from terracut.plans.stages import LAYOUT, gray_rows, titles
+from terracut.plans.stages import LAYOUT, clamped, gray_rows, titles
 from terracut.sources.pages import read_pages, write_pages
 from terracut.sources.scratch import kept, shared_folder
 
@@ -135,8 +135,8 @@ sy AS (SELECT b.*, CAST(floor(greatest(CASE WHEN y1 > y0 + 2 AND xr > xl + 2 AND
 fb AS (SELECT *, greatest(1, least(999, symbol)) AS fr, greatest(0, fr - 50) AS fl FROM sy), fp AS (SELECT *, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(fl, fr)) AS x FROM fb)),
 fa AS (SELECT sheet_id, min(x) AS x FROM (SELECT sheet_id, x FROM fp GROUP BY sheet_id, x HAVING avg(({RULES})::INT) > 0.35) GROUP BY sheet_id),
 fe AS (SELECT fb.sheet_id, symbol, CAST(floor(greatest(CASE WHEN y1 > y0 + 4 AND fr > fl + 2 AND fa.x IS NOT NULL THEN fa.x ELSE symbol - 20 END, 600, hx - 260)) AS INT) AS frame FROM fb LEFT JOIN fa USING (sheet_id)),
-bx AS (SELECT sheet_id, greatest(least(frame, symbol) - 10, 580) AS left_, legend FROM fe JOIN lg USING (sheet_id))
-SELECT sheet_id, CAST(greatest(0, least(left_, 999)) AS INT) AS x0, CAST(legend.y0 AS INT) AS y0, CAST(legend.x1 AS INT) AS x1, CAST(legend.y1 AS INT) AS y1 FROM bx""",
+bx AS (SELECT sheet_id, {clamped('greatest(least(frame, symbol) - 10, 580)', 'greatest(0, least(top, head.y0 - 24))', 'least(1000, greatest(rgt, head.x1) + 40)', 'least(1000, greatest(bottom, head.y1 + 80))')} AS legend FROM fe JOIN sw USING (sheet_id))
+SELECT sheet_id, CAST(legend.x0 AS INT) AS x0, CAST(legend.y0 AS INT) AS y0, CAST(legend.x1 AS INT) AS x1, CAST(legend.y1 AS INT) AS y1 FROM bx""",
     "warning_texts": f"""{with_views('notes')}, n AS (SELECT sheet_id, min(seq) AS k FROM fx_notes GROUP BY ALL), s AS (SELECT sheet_id, k % 3 = 0 AS old, k % 5 = 0 AS guessed, CAST(floor((k / 16) % 4 * 5) AS INT) AS e, k % 7 AS p, k % 11 % 2 AS b, k % 13 % 4 AS a, k % 9 AS x FROM n)
 SELECT sheet_id, concat_ws('; ', CASE WHEN guessed THEN 'scale not found on the sheet' END, CASE WHEN e = 0 THEN 'no elevation callouts in the drawing' END, CASE WHEN p = 0 THEN 'property boundary not traced' END, CASE WHEN b = 0 AND NOT old THEN 'building not detected' END,
   CASE WHEN e > 0 AND a > 0 AND a / e < 0.35 THEN 'few elevations associated with contours' END, CASE WHEN NOT old AND x < 3 THEN 'few existing-surface samples on this sheet' END) AS warnings,
