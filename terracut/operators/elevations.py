@@ -11,24 +11,45 @@ from pyspark.sql.types import StructType
 
 from terracut.functions import text as T
 from terracut.functions.geometry import in_any_bbox, in_bbox
-from terracut.operators.spatial import range_join
+from terracut.operators.spatial import found_within, range_join
 from terracut.params import DEFAULTS, Params
 from terracut.sources.scratch import kept
 
 CALLOUT = "sheet_id string, seq long, text string, value_ft double, x double, y double, source string, confidence double, kind string"
 
 
+def contexts(rows: DataFrame, spans: DataFrame, radius: float) -> DataFrame:
+    """rows (sheet_id, x, y and others) with context: the texts of the spans around each, in order."""
+    near = range_join(rows, spans.select("sheet_id", F.col("seq").alias("near_seq"), F.col("text").alias("near_text"), "x", "y"), ["sheet_id"], radius)
+    parts = F.array_sort(F.collect_list(F.struct("near_seq", "near_text")))
+    return near.groupBy(*rows.columns).agg(F.concat_ws(" ", F.transform(parts, lambda p: p["near_text"])).alias("context"))
+
+
 def with_context(spans: DataFrame, wanted: Column, radius: float) -> DataFrame:
     """The wanted spans (sheet_id, seq, text, x, y and others) with context: the texts around each, its own included, in order."""
-    near = range_join(spans.where(wanted), spans.select("sheet_id", F.col("seq").alias("near_seq"), F.col("text").alias("near_text"), "x", "y"), ["sheet_id"], radius)
-    parts = F.array_sort(F.collect_list(F.struct("near_seq", "near_text")))
-    return near.groupBy(*spans.columns).agg(F.concat_ws(" ", F.transform(parts, lambda p: p["near_text"])).alias("context"))
+    return contexts(spans.where(wanted), spans, radius)
+
+
+def with_words(spans: DataFrame, wanted: Column, radius: float) -> DataFrame:
+    """The wanted spans, each once, with __speaks and __match: whether its context speaks of elevations, and of matching existing ones.
+
+    Words are looked for text by text, so no context is put together. Only "top of curb" may run over several texts: where
+    no other word is near, but texts are that may begin and end it, these spans' contexts are read in order.
+    """
+    words = {"__speaks": T.ELEVATION_CONTEXT, "__match": T.MATCH_EXISTING, "__begins": T.CURB_BEGINS, "__ends": T.CURB_ENDS}
+    said = spans.select("sheet_id", "x", "y", *[F.coalesce(F.col("text").rlike(p), F.lit(False)).alias(n) for n, p in words.items()]).where(" OR ".join(words))
+    rows = spans.where(wanted).distinct()
+    place = ["sheet_id", "x", "y"]
+    found = rows.join(found_within(rows.select(*place).distinct(), said, ["sheet_id"], radius, list(words)), place)
+    split = ~F.col("__speaks") & F.col("__begins") & F.col("__ends")
+    read = contexts(found.where(split), spans, radius).withColumn("__speaks", F.col("context").rlike(T.ELEVATION_CONTEXT)).drop("context")
+    return found.where(~split).unionByName(read).drop("__begins", "__ends")
 
 
 def read_elevations(spans: DataFrame, role: Column, params: Params = DEFAULTS, viewport: Column | None = None, excluded: Column | None = None, source: str = "pdf_text") -> DataFrame:
     """CALLOUT rows of the spans (sheet_id, seq, text, x, y) that read as elevations inside viewport and outside excluded boxes.
 
-    Spans that no pattern can match are dropped first, so only candidates look for their context. Weak readings stay on
+    Spans that no pattern can match are dropped first, so only candidates look for words around them. Weak readings stay on
     existing sheets alone.
     """
     clean = F.regexp_replace(T.stripped(F.col("text")), ",", "")
@@ -37,7 +58,7 @@ def read_elevations(spans: DataFrame, role: Column, params: Params = DEFAULTS, v
         wanted &= in_bbox(F.col("x"), F.col("y"), viewport)
     if excluded is not None:
         wanted &= ~in_any_bbox(F.col("x"), F.col("y"), excluded)
-    read = with_context(spans, wanted, params.context_radius).withColumn("e", T.elevation(F.col("text"), F.col("context"), role, params))
+    read = with_words(spans, wanted, params.context_radius).withColumn("e", T.elevation_beside(F.col("text"), F.col("__speaks"), F.col("__match"), role, params))
     read = read.where(F.col("e").isNotNull() & ((role == "existing") | (F.col("e.kind") != "weak")))
     return read.select("sheet_id", F.col("seq").cast("long").alias("seq"), "text", "e.value_ft", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(source).alias("source"), "e.confidence", "e.kind")
 

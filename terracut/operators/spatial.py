@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracut.sources.scratch import kept
@@ -34,6 +37,47 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     return left.join(r, on, how).drop("__bx", "__by", *[f"__{k}" for k in keys])
 
 
+def least_within(v: np.ndarray, radius: float) -> np.ndarray:
+    """The least number u for which v - u, as computed, is radius at most."""
+    room = 1e-9 * np.maximum(np.abs(v), max(radius, 1.0))
+    out, no = v - radius + room, v - radius - room
+    for _ in range(64):
+        mid = (out + no) / 2
+        fits = v - mid <= radius
+        out, no = np.where(fits, mid, out), np.where(fits, no, mid)
+    return out
+
+
+def found_within(places: DataFrame, points: DataFrame, keys: list[str], radius: float, flags: list[str]) -> DataFrame:
+    """places (keys, x, y, each once) with flags: whether a point of keys (keys, x, y, flags) that has the flag stands within radius in x and in y.
+
+    radius is positive. Cells are a little narrower than a place's square, so the square ends in another cell than it begins
+    in; what it has of a cell is bounded on one side of each axis at most. In order of x, a running maximum of y tells whether
+    a point of the cell lies in it. So the work grows with places and points, not with their pairs.
+    """
+    cell = 2 * radius * (1 - 1e-6)
+
+    @F.pandas_udf("lo double, hi double")
+    def square(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"lo": least_within(v.to_numpy(float), radius), "hi": -least_within(-v.to_numpy(float), radius)})
+
+    def sides(s: Column) -> Column:
+        """The cells that a square's side touches, and from where on it counts: upwards (sign 1), or downwards in its last cell."""
+        lo, hi = bucket(s["lo"], cell), bucket(s["hi"], cell)
+        return F.explode(F.transform(F.sequence(lo, hi), lambda c: F.struct(c.alias("cell"), F.when((c == hi) & (c != lo), -1).otherwise(1).alias("sign"), F.when(c == lo, s["lo"]).when(c == hi, -s["hi"]).otherwise(F.lit(-np.inf)).alias("start"))))
+
+    finite = (F.abs("x") < np.inf) & (F.abs("y") < np.inf)
+    sign = F.explode(F.array(F.lit(1), F.lit(-1)))
+    there = points.where(finite).select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *flags).withColumn("sx", sign).withColumn("sy", sign)
+    there = there.groupBy(*keys, bucket(F.col("x"), cell).alias("cx"), bucket(F.col("y"), cell).alias("cy"), "sx", "sy", (F.col("sx") * F.col("x")).alias("from")).agg(*[F.max(F.when(F.col(f), F.col("sy") * F.col("y"))).alias(f) for f in flags])
+    asked = places.where(finite).select(*keys, "x", "y", square(F.col("x").cast("double")).alias("u"), square(F.col("y").cast("double")).alias("v"))
+    asked = asked.select(*keys, F.struct("x", "y").alias("place"), sides(F.col("u")).alias("u"), "v").select(*keys, "place", "u", sides(F.col("v")).alias("v"))
+    asked = asked.select(*keys, "place", F.col("u.cell").alias("cx"), F.col("v.cell").alias("cy"), F.col("u.sign").alias("sx"), F.col("v.sign").alias("sy"), F.col("u.start").alias("from"), F.col("v.start").alias("least"))
+    order = W.partitionBy(*keys, "cx", "cy", "sx", "sy").orderBy(F.desc("from"), F.col("place").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = asked.unionByName(there, allowMissingColumns=True).select(*keys, "place", "least", *[F.max(f).over(order).alias(f) for f in flags]).where("place IS NOT NULL")
+    return met.groupBy(*keys, "place.x", "place.y").agg(*[F.coalesce(F.bool_or(F.col(f) >= F.col("least")), F.lit(False)).alias(f) for f in flags])
+
+
 def nearest(cells: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """cells (keys, x, y and others) with the z of the nearest point (keys, px, py, seq, z); ties go to the smallest seq.
 

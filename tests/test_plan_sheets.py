@@ -480,3 +480,21 @@ def test_styles_from_legend_icons(spark):
     kinds = spark.createDataFrame([("s", k, "topo") for k in (1, 2, 3)], "sheet_id string, poly_seq int, kind string")
     got = cutfill.styled_kinds(points, samples, kinds, spark.createDataFrame([("s", "proposed")], "sheet_id string, role string"), t)
     assert {r.poly_seq: r.kind for r in got.collect()} == {1: "existing", 2: "proposed", 3: "topo"}
+
+
+def test_words_around_callouts(spark, monkeypatch):
+    """Words near callouts are those of their contexts, at the rim, over several texts, on sheets of many texts; no context is put together where a word is near."""
+    rng = np.random.default_rng(4)
+    words = ["TC", "me", "OAK", "TOP", "TOP OF", "OF", "of  curb", " Curb", "", None, "ELM", "900", "950.5", "EL 900", "1,010.25"]
+    rows = [(f"s{k % 6}", k, words[int(w)], round(float(x) / 10, 1), round(float(y) / 10, 1)) for k, (w, x, y) in enumerate(zip(rng.integers(2, len(words), 900), rng.integers(-9000, 9000, 900), rng.integers(-4000, 4000, 900), strict=True))]
+    rows += [(f"s{k % 6}", 2000 + k, words[k % 2], 100.0 * k - 800, 10.0 * k) for k in range(12)] + [("t", k, "TOP" if k % 2 else "900", 70.0 * k, 0.1 * k) for k in range(4)] + [("t", 9, "ME", -70.0, 0.0), ("t", 10, "900.5", 0.1, 70.1), ("t", 11, "900", None, 1.0), (None, 12, "900", 1.0, 1.0)]
+    rows += rows[:20]
+    spans = spark.createDataFrame(rows, "sheet_id string, seq int, text string, x double, y double").withColumn("role", F.when(F.col("sheet_id") == "s1", "existing").otherwise("proposed"))
+    wanted = F.regexp_replace(T.stripped(F.col("text")), ",", "").rlike(T.DECIMAL_ELEVATION) | F.regexp_replace(T.stripped(F.col("text")), ",", "").rlike(T.WHOLE_ELEVATION)
+    want = elevations.with_context(spans, wanted, 70.0).select("*", F.col("context").rlike(T.ELEVATION_CONTEXT).alias("s"), F.col("context").rlike(T.MATCH_EXISTING).alias("m")).drop("context")
+    got = elevations.with_words(spans, wanted, 70.0).select(*spans.columns, F.col("__speaks").alias("s"), F.col("__match").alias("m"))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    seen = []
+    monkeypatch.setattr(elevations, "contexts", lambda rows, *_: seen.append(rows.count()) or rows.withColumn("context", F.lit("")))
+    dense = spark.range(4000).select(F.lit("d").alias("sheet_id"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "TC").otherwise("900").alias("text"), (F.col("id") % 60).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit("existing").alias("role"))
+    assert elevations.read_elevations(dense, F.col("role")).where("confidence = 0.7").count() == 2000 and seen == [0]
