@@ -78,13 +78,14 @@ def found_within(places: DataFrame, points: DataFrame, keys: list[str], radius:
     return met.groupBy(*keys, "place.x", "place.y").agg(*[F.coalesce(F.bool_or(F.col(f) >= F.col("least")), F.lit(False)).alias(f) for f in flags])
 
 
-def nearest(cells: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+def nearest(cells: DataFrame, points: DataFrame, keys: list[str], farthest: float | None = None) -> DataFrame:
     """cells (keys, x, y and others) with the z of the nearest point (keys, px, py, seq, z); ties go to the smallest seq.
 
     Each key's first round looks as far as its points are apart on average, in buckets of that size: all points within
     reach of a cell stand in the 3 x 3 buckets around it, so a match within reach is final. What is left looks four times as
-    far, and only cells far from every point go on. Rounds end when the widest key's reach spans its cells and points.
-    Keys without points get null.
+    far, and only cells far from every point go on. Rounds end when the widest key's reach spans its cells and points, or at
+    farthest: cells without a point so near get null, or one that is not much farther. Keys without points get null.
+    Without farthest, cells are taken for many, and points go to the buckets; with it, points are, and cells do.
     """
     names = list(cells.columns)
     box = lambda t, x, y, n: t.groupBy(*keys).agg(*[f(v).alias(f"{n}{k}{i}") for i, v in enumerate((x, y)) for k, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias(f"{n}n"))
@@ -93,17 +94,28 @@ def nearest(cells: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     own = both.withColumn("wide", wide).withColumn("high", high)
     # Points of a line are apart by its length over their number.
     apart = F.greatest(F.sqrt(F.col("wide") * F.col("high") / F.col("pn")), F.greatest("wide", "high") / F.col("pn"), F.lit(1e-9))
-    own = kept(own.select(*keys, apart.alias("__reach"), F.hypot("wide", "high").alias("__far")), "reaches")
+    far = F.hypot("wide", "high")
+    if farthest is not None:
+        apart, far = F.least(apart, F.lit(float(farthest))), F.least(far, F.lit(float(farthest)))
+    own = kept(own.select(*keys, apart.alias("__reach"), far.alias("__far")), "reaches")
     rounds = own.agg(F.coalesce(F.max(F.ceil(F.log(4.0, F.greatest(F.lit(1.0), F.col("__far") / F.col("__reach"))))), F.lit(0))).first()[0]
     left, places, done = cells.join(own.drop("__far"), keys, "left"), points.join(own.drop("__far"), keys), None
+    around_it = lambda t, b, at: t.withColumn(b, F.explode_outer(F.sequence(at - 1, at + 1)))
     for turn in range(int(rounds) + 1):
         reach = F.col("__reach") * 4.0**turn
         at = lambda v, reach=reach: F.floor(v / reach).cast("long")
-        p = places.select(*keys, "px", "py", "seq", "z", at(F.col("px")).alias("__px"), at(F.col("py")).alias("__py"))
-        p = p.withColumn("__bx", F.explode(F.sequence(F.col("__px") - 1, F.col("__px") + 1))).withColumn("__by", F.explode(F.sequence(F.col("__py") - 1, F.col("__py") + 1)))
+        p, c = places, left
+        if farthest is None:
+            p = around_it(around_it(p, "__bx", at(F.col("px"))), "__by", at(F.col("py")))
+            c = c.withColumn("__bx", at(F.col("x"))).withColumn("__by", at(F.col("y")))
+        else:
+            c = around_it(around_it(c, "__bx", at(F.col("x"))), "__by", at(F.col("y")))
+            p = p.withColumn("__bx", at(F.col("px"))).withColumn("__by", at(F.col("py")))
+        p = p.select(*keys, "px", "py", "seq", "z", "__bx", "__by")
         d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-        met = left.withColumn("__bx", at(F.col("x"))).withColumn("__by", at(F.col("y"))).join(p, [*keys, "__bx", "__by"], "left")
-        best = met.groupBy(*names, "__reach").agg(F.min(F.struct(d2.alias("d2"), F.col("seq"), F.col("z"))).alias("__best"))
+        met = c.join(p, [*keys, "__bx", "__by"], "left")
+        # Buckets without points have no distance.
+        best = met.groupBy(*names, "__reach").agg(F.min(F.when(d2.isNotNull(), F.struct(d2.alias("d2"), F.col("seq"), F.col("z")))).alias("__best"))
         last = turn == rounds
         if not last:
             best = kept(best, "nearest")
