@@ -60,26 +60,38 @@ def circles(px: np.ndarray, py: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.stack([ax + ux, ay + uy, ux * ux + uy * uy], axis=1)
 
 
+#: Points after which triangles that are final are set aside.
+SWEEP = 64
+
+
 def delaunay(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of the Delaunay triangulation: points enter one by one, and those triangles whose circle holds the new point are replaced by a fan."""
+    """Triangles of the Delaunay triangulation: points enter one by one, and those triangles whose circle holds the new point are replaced by a fan.
+
+    Points come from left to right, so triangles whose circle ends left of the last one are final and looked at no more.
+    """
     n = len(x)
     if n < 3:
         return []
     mid_x, mid_y, span = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2, max(np.ptp(x), np.ptp(y), 1.0)
     px = np.concatenate([x, mid_x + span * np.array([-3e4, 3e4, 0.0])])
     py = np.concatenate([y, mid_y + span * np.array([-2e4, -2e4, 4e4])])
-    tri = np.array([[n, n + 1, n + 2]])
+    tri, final = np.array([[n, n + 1, n + 2]]), []
     circle = circles(px, py, tri)
-    for p in np.lexsort((y, x)):
+    for k, p in enumerate(np.lexsort((y, x))):
+        if k % SWEEP == 0:
+            passed = circle[:, 0] + np.sqrt(circle[:, 2]) * (1 + 1e-9) < px[p]
+            final.append(tri[passed])
+            tri, circle = tri[~passed], circle[~passed]
         inside = (px[p] - circle[:, 0]) ** 2 + (py[p] - circle[:, 1]) ** 2 < circle[:, 2] * (1 - 1e-12)
         hole = tri[inside]
         edges = np.sort(np.concatenate([hole[:, [0, 1]], hole[:, [1, 2]], hole[:, [0, 2]]]), axis=1)
-        rim, times = np.unique(edges, axis=0, return_counts=True)
-        fan = np.column_stack([rim[times == 1], np.full((times == 1).sum(), p)])
+        rim, times = np.unique(edges[:, 0] * (n + 3) + edges[:, 1], return_counts=True)
+        rim = rim[times == 1]
+        fan = np.column_stack([rim // (n + 3), rim % (n + 3), np.full(len(rim), p)])
         area = (px[fan[:, 1]] - px[fan[:, 0]]) * (py[p] - py[fan[:, 0]]) - (py[fan[:, 1]] - py[fan[:, 0]]) * (px[p] - px[fan[:, 0]])
         fan = fan[np.abs(area) > 1e-12 * span * span]
         tri, circle = np.concatenate([tri[~inside], fan]), np.concatenate([circle[~inside], circles(px, py, fan)])
-    return [tuple(sorted(map(int, t))) for t in tri if t.max() < n]
+    return [tuple(sorted(map(int, t))) for t in np.concatenate([*final, tri]) if t.max() < n]
 
 
 #: Points of a surface for each tile that one task triangulates (with those of the tiles around it).

@@ -498,3 +498,28 @@ def test_words_around_callouts(spark, monkeypatch):
     monkeypatch.setattr(elevations, "contexts", lambda rows, *_: seen.append(rows.count()) or rows.withColumn("context", F.lit("")))
     dense = spark.range(4000).select(F.lit("d").alias("sheet_id"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "TC").otherwise("900").alias("text"), (F.col("id") % 60).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit("existing").alias("role"))
     assert elevations.read_elevations(dense, F.col("role")).where("confidence = 0.7").count() == 2000 and seen == [0]
+
+
+def test_triangulation_grows_with_its_points():
+    """Final triangles are set aside: the circles looked at for each point stay few, and the triangles are the same."""
+    rng = np.random.default_rng(6)
+    x, y = rng.random(4000) * 5000, rng.random(4000) * 300
+    seen = []
+
+    class Counted(np.ndarray):
+        def __invert__(self):
+            seen.append(len(self))
+            return np.asarray(self).__invert__()
+
+    plain = surfaces.circles
+    try:
+        surfaces.circles = lambda *a: plain(*a).view(Counted)
+        got = sorted(surfaces.delaunay(x, y))
+    finally:
+        surfaces.circles = plain
+    assert len(set(got)) == len(got) > 7900 and np.median(seen) < 1000
+    t = np.array(got)[rng.integers(0, len(got), 200)]
+    c = plain(x, y, t)
+    held = (x[None] - c[:, :1]) ** 2 + (y[None] - c[:, 1:2]) ** 2 < c[:, 2:] * (1 - 1e-9)
+    held[np.arange(len(t))[:, None], t] = False
+    assert not held.any()
