@@ -16,17 +16,22 @@ SCALE_PARTS = 7
 
 
 def detect_scales(spans: DataFrame, sheets: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """sheet_id, ft_per_inch, source, confidence of every sheet. spans: sheet_id, seq, text, x, y."""
+    """sheet_id, ft_per_inch, source, confidence of every sheet. spans: sheet_id, seq, text, x, y.
+
+    Only sheets where no span holds a scale by itself look at neighbours, and only those without such either at all spans in a row.
+    """
     spans = spans.select("sheet_id", "seq", "text", "x", "y")
-    alone = spans.select("sheet_id", F.lit(0).alias("rank"), "seq", F.lit("pdf_span").alias("source"), T.scale(F.col("text"), params).alias("s"))
+    first = lambda t: t.where("s IS NOT NULL").groupBy("sheet_id").agg(F.min_by(F.struct("source", "s"), "seq").alias("b"))
+    alone = kept(first(spans.select("sheet_id", "seq", F.lit("pdf_span").alias("source"), T.scale(F.col("text"), params).alias("s"))), "single-spans")
+    open_ = spans.join(alone, "sheet_id", "left_anti")
     # The L1 neighbours of a hint stand within a square, so the square join finds them all.
-    near = range_join(spans.where(T.may_hold_scale(F.col("text"))), spans.select("sheet_id", F.col("seq").alias("near_seq"), F.col("text").alias("near_text"), "x", "y"), ["sheet_id"], params.scale_reach)
+    near = range_join(open_.where(T.may_hold_scale(F.col("text"))), open_.select("sheet_id", F.col("seq").alias("near_seq"), F.col("text").alias("near_text"), "x", "y"), ["sheet_id"], params.scale_reach)
     away = F.when(F.col("seq") == F.col("near_seq"), F.lit(0.0)).otherwise((F.abs(F.col("x") - F.col("rx")) + F.abs(F.col("y") - F.col("ry"))).cast("double"))
     near = near.withColumn("away", away).withColumn("other", (F.col("seq") != F.col("near_seq")).cast("int")).where(f"other = 0 OR away < {params.scale_reach}")
     near = near.withColumn("k", F.row_number().over(W.partitionBy("sheet_id", "seq").orderBy("away", "other", "near_seq"))).where(F.col("k") <= params.scale_merge)
     merged = near.groupBy("sheet_id", "seq").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("k", "near_text"))), lambda p: p["near_text"])).alias("text"))
-    merged = merged.select("sheet_id", F.lit(1).alias("rank"), "seq", F.lit("pdf_nearby").alias("source"), T.scale(F.col("text"), params).alias("s"))
-    found = kept(alone.unionByName(merged).where("s IS NOT NULL").groupBy("sheet_id").agg(F.min_by(F.struct("source", "s"), F.struct("rank", "seq")).alias("b")), "scales")
+    merged = merged.select("sheet_id", "seq", F.lit("pdf_nearby").alias("source"), T.scale(F.col("text"), params).alias("s"))
+    found = kept(alone.unionByName(first(merged)), "scales")
     best = found.unionByName(over_spans(spans.join(found, "sheet_id", "left_anti"), params))
     return sheets.select("sheet_id").distinct().join(best, "sheet_id", "left").select(
         "sheet_id",

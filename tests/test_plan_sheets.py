@@ -523,3 +523,11 @@ def test_triangulation_grows_with_its_points():
     held = (x[None] - c[:, :1]) ** 2 + (y[None] - c[:, 1:2]) ** 2 < c[:, 2:] * (1 - 1e-9)
     held[np.arange(len(t))[:, None], t] = False
     assert not held.any()
+
+
+def test_scales_of_single_spans_meet_no_neighbours(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(scales, "range_join", lambda left, *rest: met.append(sorted(r.sheet_id for r in left.select("sheet_id").collect())) or spatial.range_join(left, *rest))
+    spans = spark.createDataFrame([("a", 1, "SCALE:", 0.0, 0.0), ("a", 2, 'SCALE: 1" = 20 ft', 10.0, 0.0), ("b", 1, 'SCALE: 1" =', 0.0, 0.0), ("b", 2, "30'", 50.0, 10.0)], "sheet_id string, seq int, text string, x double, y double")
+    got = {r.sheet_id: (r.ft_per_inch, r.source) for r in scales.detect_scales(spans, spans.select("sheet_id")).collect()}
+    assert got == {"a": (20.0, "pdf_span"), "b": (30.0, "pdf_nearby")} and met == [["b"]]
