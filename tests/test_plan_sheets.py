@@ -114,6 +114,35 @@ def test_association_preference(spark):
     assert got == {2: (1, 0.0, 10.0, 10.0), 3: (1, 0.0, 10.0, 10.0), 4: (1, 3.0, 4.0, 5.0)}
 
 
+def test_associations_of_dense_sheets(spark, monkeypatch):
+    """Tiles, chunks and batches find what comparing all callouts with all steps finds; equal to nine digits is a tie."""
+    monkeypatch.setattr(associate, "TILE_CALLOUTS", 40)
+    monkeypatch.setattr(associate, "CHUNK_STEPS", 100)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 200, (2, 150)).astype(float)
+    p = np.concatenate([rng.integers(0, 200, (700, 2)), rng.random((300, 2)) * 200]).astype(float)
+    kind = ["existing", "proposed", "structure", "topo"]
+    points = [("s", i // 2, i % 2, *map(float, v)) for i, v in enumerate(p)] + [("s", 900 + i // 2, i % 2, *map(float, v)) for i, v in enumerate(p[:100])] + [("s", 1000, 0, float("nan"), 1.0), ("s", 1000, 1, 5.0, 1.0)]
+    calls = [("s", i, a, b, ("spot", "existing_match", "weak")[i % 3]) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))] + [("s", 500, None, 1.0, "weak"), ("s", 501, float("inf"), 1.0, "weak")]
+    points += [("t", 5, 0, 0.0, 4e-12), ("t", 5, 1, 9.0, 4e-12), ("t", 7, 0, 0.0, 3e-12), ("t", 7, 1, 9.0, 3e-12)]
+    calls += [("t", 1, 4.0, 0.0, "weak")]
+    lines = {(r[0], r[1]): kind[r[1] % 4] for r in points}
+    e = spark.createDataFrame(calls, "sheet_id string, seq long, x double, y double, kind string")
+    pts = spark.createDataFrame(points, "sheet_id string, poly_seq int, pos int, x double, y double")
+    kinds = spark.createDataFrame([(*k, v) for k, v in lines.items()], "sheet_id string, poly_seq int, kind string")
+    got = {(r.sheet_id, r.seq): (r.poly_seq, round(r.distance, 9)) for r in associate.associate(e, pts, kinds, 6.0).collect()}
+    want = {}
+    for sheet, seq, a, b, k in calls[:150]:
+        for (own, n, _, *u), (_, m, _, *v) in zip(points, points[1:], strict=False):
+            style = {"spot": ["proposed"], "existing_match": ["existing"], "weak": ["existing", "proposed", "topo"]}[k]
+            if own == sheet and n == m and n < 1000 and lines[(sheet, n)] in style:
+                far = float(associate.feet(np.array([a]), np.array([b]), np.array([[u[0]], [u[1]], [v[0]], [v[1]]]))[2][0])
+                if far <= 6 and ((sheet, seq) not in want or (round(far, 9), n) < want[(sheet, seq)][::-1]):
+                    want[(sheet, seq)] = (n, round(far, 9))
+    assert got.pop(("t", 1)) == (5, 0.0)
+    assert got == want
+
+
 def test_foot_on_segment(spark):
     rows = spark.createDataFrame([(0.0, 5.0, -10.0, 0.0, 10.0, 0.0), (0.0, 5.0, 20.0, 0.0, 30.0, 0.0), (0.0, 5.0, 3.0, 1.0, 3.0, 1.0)], "x double, y double, x1 double, y1 double, x2 double, y2 double")
     fx, fy = G.foot_on_segment(*[F.col(c) for c in rows.columns])
