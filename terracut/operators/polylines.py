@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracut.functions.geometry import stride, turn_angle
+from terracut.operators import alongside
 from terracut.operators.spatial import around, bucket
 from terracut.params import DEFAULTS, Params
+from terracut.sources.scratch import kept
 
 KEY = ["sheet_id", "poly_seq"]
 
@@ -65,11 +67,12 @@ def strided(points: DataFrame, k: int) -> DataFrame:
     return points.withColumn("__n", n).where(F.col("pos") % stride(F.col("__n"), k) == 0).drop("__n")
 
 
-def near_shares(points: DataFrame, params: Params = DEFAULTS, groups: DataFrame | None = None) -> DataFrame:
+def near_shares(points: DataFrame, params: Params = DEFAULTS, groups: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
     """KEY, other_seq, share: the part of a polyline's samples that lie within redundant_reach of another's vertices.
 
     Samples meet the vertices in the buckets within reach; each sample counts once for each other polyline. groups: KEY,
-    group, primary: then polylines that are not their group's primary meet that one alone.
+    group, primary: then polylines that are not their group's primary meet that one alone. others: KEY of the polylines whose
+    vertices count; none: all.
     """
     reach, cell = params.redundant_reach, 3 * params.redundant_reach
     n = F.count(F.lit(1)).over(W.partitionBy(*KEY))
@@ -80,6 +83,8 @@ def near_shares(points: DataFrame, params: Params = DEFAULTS, groups: DataFrame
     samples, vertices = sized, sized
     if groups is not None:
         samples, vertices = sized.where("poly_seq != primary"), sized.where("poly_seq = primary")
+    if others is not None:
+        vertices = vertices.join(others, KEY, "left_semi")
     samples = samples.where(F.col("pos") % stride(F.col("__n"), params.redundant_samples) == 0)
     step = stride(F.col("__n"), params.redundant_samples)
     samples = samples.select(*by, "poly_seq", "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.ceil(F.col("__n") / step).alias("samples"))
@@ -91,8 +96,14 @@ def near_shares(points: DataFrame, params: Params = DEFAULTS, groups: DataFrame
 
 
 def redundant(points: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """KEY of the polylines that run along another one."""
-    return near_shares(points, params).where(F.col("share") >= params.redundant_share).select(*KEY).distinct()
+    """KEY of the polylines that run along another one, found in tasks; only very long ones meet all samples in a join."""
+    lines = kept(alongside.lines_of(points, params), "lines")
+    found = alongside.beside_short_ones(lines, params)
+    others = lines.where(F.col("n") > alongside.LONG).select(*KEY)
+    if not others.isEmpty():
+        every = lines.select(*KEY, F.inline("points"))
+        found = found.unionByName(near_shares(every, params, others=others).where(F.col("share") >= params.redundant_share).select(*KEY))
+    return found.distinct()
 
 
 def merge_same_level(points: DataFrame, levels: DataFrame, params: Params = DEFAULTS) -> DataFrame:

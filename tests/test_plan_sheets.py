@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terracut.functions import geometry as G
 from terracut.functions import text as T
-from terracut.operators import associate, elevations, layers, layout, legend, polylines, raster, scales, site, spatial, strokes, styles, surfaces, volumes
+from terracut.operators import alongside, associate, elevations, layers, layout, legend, polylines, raster, scales, site, spatial, strokes, styles, surfaces, volumes
 from terracut.params import DEFAULTS
 from terracut.plans import cutfill
 from terracut.plans.registry import QUERIES
@@ -143,6 +143,32 @@ def test_associations_of_dense_sheets(spark, monkeypatch):
     assert got == want
 
 
+def test_redundant_polylines_without_pairs_as_rows(spark, monkeypatch):
+    """Regions, batches and groups of samples find what counting all pairs finds, and short lines take no join."""
+    monkeypatch.setattr(alongside, "BUCKET_LINES", 200)
+    monkeypatch.setattr(alongside, "FIRST_BATCH", 16)
+    rng = np.random.default_rng(8)
+    rows = []
+    for line in range(260):
+        n = [1, 2, 3, 4, 5, 6, 7, 25][line % 8]
+        a = rng.integers(0, 300, (n, 2))
+        if line % 3 == 0 and line > 5:  # beside another one, in part
+            other = [r[3:] for r in rows if r[1] == line - 6]
+            a[: n // 2 + 1] = [np.array(other[i % len(other)]) + rng.integers(-6, 7, 2) for i in range(n // 2 + 1)]
+        rows += [("st"[line % 2], line, i, *map(float, v)) for i, v in enumerate(a)]
+    rows += [("s", 900, i, float("nan") if i == 1 else 500.0, 500.0) for i in range(3)] + [("s", 901, i, 505.0, 500.0) for i in range(2)]
+    rows += [("c", i, j, 7.0 * j, 0.0) for i in range(2000) for j in range(5)]
+    schema = "sheet_id string, poly_seq int, pos int, x double, y double"
+    points = spark.createDataFrame(rows, schema)
+    share = F.col("share") >= DEFAULTS.redundant_share
+    want = {(r.sheet_id, r.poly_seq) for r in polylines.near_shares(points.where("sheet_id <> 'c'"), DEFAULTS).where(share).select(*polylines.KEY).collect()}
+    long_one = spark.createDataFrame([("u", 1, i, 3.0 * i, 0.0) for i in range(200)] + [("u", 2, i, 3.0 * i, 4.0) for i in range(60)] + [("u", 3, i, 90.0 * i, 300.0 * i) for i in range(5)], schema)
+    assert {r.poly_seq for r in polylines.redundant(long_one).collect()} == {2}
+    monkeypatch.setattr(polylines, "near_shares", None)
+    got = [(r.sheet_id, r.poly_seq) for r in polylines.redundant(points).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {("c", i) for i in range(2000)} and 60 < len(want) < 200
+
+
 def test_foot_on_segment(spark):
     rows = spark.createDataFrame([(0.0, 5.0, -10.0, 0.0, 10.0, 0.0), (0.0, 5.0, 20.0, 0.0, 30.0, 0.0), (0.0, 5.0, 3.0, 1.0, 3.0, 1.0)], "x double, y double, x1 double, y1 double, x2 double, y2 double")
     fx, fy = G.foot_on_segment(*[F.col(c) for c in rows.columns])
