@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terracut.llm import exact_dedup, minhash, recompress, substrings
+from terracut.llm import components, exact_dedup, minhash, recompress, substrings
 from terracut.llm.components import smallest_reachable
 from terracut.llm.words import lower_ascii, split_words, windows
 
@@ -163,6 +163,20 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize(("few", "tables"), [(1 << 18, 1), (0, 3)])
+def test_few_links_take_no_rounds(spark, monkeypatch, few, tables):
+    """Few links are one stored table and no more; by rounds the result is the same."""
+    written = []
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or df.localCheckpoint())
+    rng = np.random.default_rng(4)
+    path = rng.permutation(40).tolist()
+    links = spark.createDataFrame([*zip(path, path[1:], strict=False), (100, 101), (101, 100), (101, 102), (103, 103), (-5, 102)], "a long, b long")
+    got = {r.node: r.component for r in smallest_reachable(links).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), **dict.fromkeys([100, 101, 102, -5], -5)}
+    assert len(written) == 1 if tables == 1 else len(written) >= tables
+
+
 def without_repeats(texts, width):
     first: dict[tuple, int] = {}
     split = [(i, (t or "").encode().split()) for i, t in texts]
