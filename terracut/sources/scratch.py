@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def many(df: DataFrame) -> DataFrame:
+    """df, which joins must not send through the driver to all executors: its rows grow with the input.
+
+    Spark goes by the size of files. Packed or sorted pixels take less than a byte each there, and a hundred in memory.
+    """
+    return df.hint("merge")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a shared folder and read back: computed once, and a reread if executors are lost."""
     path = shared_folder(df.sparkSession, name)

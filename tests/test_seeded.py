@@ -75,3 +75,24 @@ def test_contours_of_callouts_and_fallback(spark):
     assert by[1, "seeded"].z in (102.0, 103.0)
     assert by[2, "skeleton_fallback"].z is None
     assert max(x for x, _ in lines[next(k for k in lines if wave[k] == 0)]) > 350
+
+
+OPTION = "sheet_id string, rank int, paths array<long>, at struct<d2:int,y:int,x:int>"
+
+
+def test_lines_of_later_seeds_cover_nothing(spark):
+    """Seed 3 is sure of line 9 while seed 2 waits for seed 1; then seed 2 still gets line 4 at the pixel that lies on both."""
+    options = spark.createDataFrame([("a", 1, [2], (0, 0, 0)), ("a", 2, [2], (1, 0, 0)), ("a", 2, [4, 9], (2, 1, 0)), ("a", 3, [9], (0, 5, 0))], OPTION)
+    got = {r.rank: r.path for r in seeded.claims(options).collect()}
+    assert got == {1: 2, 2: 4, 3: 9}
+
+
+@pytest.mark.parametrize("cell", [512, 40])
+def test_seeds_that_wait_for_each_other_take_few_rounds(spark, monkeypatch, cell):
+    """Each seed's nearest line is what the seed before it might take: settled within a cell at once, whatever their number."""
+    n, rounds = 60, []
+    monkeypatch.setattr(seeded, "kept", lambda df, name, kept=seeded.kept: (rounds.append(name), kept(df, name))[1])
+    rows = [("a", k, [k - 1], (1, k, 0)) for k in range(1, n + 1)] + [("a", k, [k], (4, k, 3)) for k in range(1, n + 1)]
+    got = {r.rank: r.path for r in seeded.claims(spark.createDataFrame(rows, OPTION), cell).collect()}
+    assert got == {k: k - 1 for k in range(1, n + 1)}
+    assert rounds.count("claims") <= 4
