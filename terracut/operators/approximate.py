@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 
 def simplified(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -21,7 +21,7 @@ def simplified(points: DataFrame, keys: list[str], tolerance: float) -> DataFram
     ends = points.groupBy(*keys).agg(F.min(place).alias("a"), F.max(place).alias("b"))
     corners = [ends.select(*keys, F.col(e)["pos"].alias("pos"), F.col(e)["x"].alias("x"), F.col(e)["y"].alias("y")) for e in ("a", "b")]
     out = corners[0].unionAll(corners[1]).distinct()
-    left = kept(points.select(*keys, "pos", "x", "y").join(ends, keys).where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos"))), "stretches")
+    left = kept(points.select(*keys, "pos", "x", "y").join(many(ends), keys).where((F.col("pos") > F.col("a.pos")) & (F.col("pos") < F.col("b.pos"))), "stretches")
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     cross = dx * (F.col("y") - F.col("a.y")) - dy * (F.col("x") - F.col("a.x"))
     size = dx * dx + dy * dy
@@ -32,7 +32,7 @@ def simplified(points: DataFrame, keys: list[str], tolerance: float) -> DataFram
         best = left.groupBy(*keys, F.col("a.pos").alias("__a")).agg(F.max(F.struct(far.alias("far"), (-F.col("pos")).alias("first"), place.alias("at"), limit.alias("limit"))).alias("best"))
         splits = kept(best.where("best.far > best.limit").select(*keys, "__a", F.col("best.at").alias("__s")), "splits")
         out = out.unionAll(splits.select(*keys, F.col("__s.pos").alias("pos"), F.col("__s.x").alias("x"), F.col("__s.y").alias("y")))
-        inner = left.withColumn("__a", F.col("a.pos")).join(splits, [*keys, "__a"]).where(F.col("pos") != F.col("__s.pos"))
+        inner = left.withColumn("__a", F.col("a.pos")).join(many(splits), [*keys, "__a"]).where(F.col("pos") != F.col("__s.pos"))
         before = F.col("pos") < F.col("__s.pos")
         left = kept(inner.select(*keys, "pos", "x", "y", F.when(before, F.col("a")).otherwise(F.col("__s")).alias("a"), F.when(before, F.col("__s")).otherwise(F.col("b")).alias("b")), "stretches")
     return out

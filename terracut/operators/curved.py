@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracut.operators import approximate, raster, runs, tiles, trace
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 # The longer side of a page that is worked on, the least length of a contour and the tolerance of its points
 # (in pixels of the page worked on), the kernel that bridges dashes and how often.
@@ -33,7 +33,7 @@ def page_lines(ink: DataFrame, pages: DataFrame, kernel: int, times: int, seeded
     parts = kept(runs.labelled(kept(runs.closed(ink, pages.drop("scale"), kernel, times), "closed-ink")), "parts")
     measured = runs.part_measures(parts).join(pages, "sheet_id")
     lines = raster.component_area_limits(measured, F.col("scale"), F.col("width_px"), F.col("height_px"), seeded)
-    clean = parts.join(lines.select("sheet_id", "label"), ["sheet_id", "label"], "left_semi")
+    clean = parts.join(many(lines.select("sheet_id", "label")), ["sheet_id", "label"], "left_semi")
     skeleton = tiles.tile_runs(tiles.thinned(tiles.bit_tiles(clean, size), size, min(tiles.PASSES, size // 2)), size)
     return kept(trace.traced(trace.pixels_of(skeleton)), "traced")
 
@@ -42,7 +42,7 @@ def contours_of(ink: DataFrame, pages: DataFrame, least_length: float, size: int
     """curved_contours() of the ink that page_ink() found."""
     points, scales = page_lines(ink, pages, KERNEL, TIMES, False, size), pages.select("sheet_id", "scale")
     long_ones = trace.line_lengths(points).join(scales, "sheet_id").where(F.col("length") >= least_length * F.col("scale"))
-    points = points.join(long_ones.select("sheet_id", "path"), ["sheet_id", "path"])
+    points = points.join(many(long_ones.select("sheet_id", "path")), ["sheet_id", "path"])
     key = points.select("sheet_id", F.col("path").alias("poly_seq"), "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     corners = approximate.simplified(key, ["sheet_id", "poly_seq"], TOLERANCE)
     return corners.join(scales, "sheet_id").select("sheet_id", "poly_seq", "pos", (F.col("x") / F.col("scale")).alias("x"), (F.col("y") / F.col("scale")).alias("y"))
@@ -59,5 +59,5 @@ def curved_contours(gray_rows: DataFrame, allowed: DataFrame | None = None, long
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
     """The runs that two tables of runs have in common."""
     other = b.select("sheet_id", "y", F.col("x0").alias("__0"), F.col("x1").alias("__1"))
-    met = a.join(other, ["sheet_id", "y"]).where("x0 <= __1 AND x1 >= __0")
+    met = a.join(many(other), ["sheet_id", "y"]).where("x0 <= __1 AND x1 >= __0")
     return met.select("sheet_id", "y", F.greatest("x0", "__0").alias("x0"), F.least("x1", "__1").alias("x1"))

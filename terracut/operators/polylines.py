@@ -10,7 +10,7 @@ from terracut.functions.geometry import stride, turn_angle
 from terracut.operators import alongside
 from terracut.operators.spatial import around, bucket
 from terracut.params import DEFAULTS, Params
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 KEY = ["sheet_id", "poly_seq"]
 
@@ -78,19 +78,19 @@ def near_shares(points: DataFrame, params: Params = DEFAULTS, groups: DataFrame
     n = F.count(F.lit(1)).over(W.partitionBy(*KEY))
     by = ["sheet_id"]
     if groups is not None:
-        points, by = points.join(groups, KEY), ["sheet_id", "group"]
+        points, by = points.join(many(groups), KEY), ["sheet_id", "group"]
     sized = points.withColumn("__n", n).where("__n >= 2").select(*points.columns, "__n")
     samples, vertices = sized, sized
     if groups is not None:
         samples, vertices = sized.where("poly_seq != primary"), sized.where("poly_seq = primary")
     if others is not None:
-        vertices = vertices.join(others, KEY, "left_semi")
+        vertices = vertices.join(many(others), KEY, "left_semi")
     samples = samples.where(F.col("pos") % stride(F.col("__n"), params.redundant_samples) == 0)
     step = stride(F.col("__n"), params.redundant_samples)
     samples = samples.select(*by, "poly_seq", "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.ceil(F.col("__n") / step).alias("samples"))
     vertices = vertices.select(*by, F.col("poly_seq").alias("other_seq"), F.col("x").cast("double").alias("vx"), F.col("y").cast("double").alias("vy"))
     vertices = vertices.withColumn("__bx", around(F.col("vx") - reach, F.col("vx") + reach, cell)).withColumn("__by", around(F.col("vy") - reach, F.col("vy") + reach, cell))
-    met = samples.withColumn("__bx", bucket(F.col("x"), cell)).withColumn("__by", bucket(F.col("y"), cell)).join(vertices, [*by, "__bx", "__by"])
+    met = samples.withColumn("__bx", bucket(F.col("x"), cell)).withColumn("__by", bucket(F.col("y"), cell)).join(many(vertices), [*by, "__bx", "__by"])
     met = met.where((F.col("poly_seq") != F.col("other_seq")) & (F.hypot(F.col("x") - F.col("vx"), F.col("y") - F.col("vy")) < reach))
     return met.groupBy(*KEY, "other_seq", "samples").agg((F.count_distinct("pos") / F.col("samples")).alias("share")).drop("samples")
 
@@ -117,7 +117,7 @@ def merge_same_level(points: DataFrame, levels: DataFrame, params: Params = DEFA
     alone = F.count(F.lit(1)).over(W.partitionBy("sheet_id", "level")) > 1
     groups = ranked.where("level IS NOT NULL").withColumn("__more", alone).where("__more").select(*KEY, F.col("level").alias("group"), "primary")
     dropped = near_shares(points, params, groups).where(F.col("share") >= params.redundant_share).select(*KEY)
-    return ranked.select(*KEY).join(dropped, KEY, "left_anti")
+    return ranked.select(*KEY).join(many(dropped), KEY, "left_anti")
 
 
 def top(rows: DataFrame, score: Column, k: int) -> DataFrame:

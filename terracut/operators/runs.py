@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 # Half widths of the rows of round kernels, from the top row down.
 ROUND = {3: (0, 1, 0), 5: (0, 2, 2, 2, 0)}
@@ -91,7 +91,7 @@ def neighbour_runs(runs: DataFrame) -> DataFrame:
     upper = runs.select("sheet_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), lo.alias("first_a"), F.explode(F.sequence(lo, hi)).alias("bucket"))
     first_b = F.floor(F.col("x0") / BUCKET)
     lower = runs.select("sheet_id", "y", "x0", "x1", first_b.alias("first_b"), F.explode(F.sequence(first_b, F.floor(F.col("x1") / BUCKET))).alias("bucket"))
-    pairs = upper.join(lower, ["sheet_id", "y", "bucket"]).where("x0 <= a1 + 1 AND x1 >= a0 - 1 AND bucket = greatest(first_a, first_b)")
+    pairs = upper.join(many(lower), ["sheet_id", "y", "bucket"]).where("x0 <= a1 + 1 AND x1 >= a0 - 1 AND bucket = greatest(first_a, first_b)")
     return pairs.select("sheet_id", run_id(F.col("y") - 1, F.col("a0")).alias("u"), run_id(F.col("y"), F.col("x0")).alias("v"))
 
 
@@ -105,18 +105,18 @@ def labelled(runs: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.unionByName(links.select("sheet_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("sheet_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, ["sheet_id", "u"]).select("sheet_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(many(least), ["sheet_id", "u"]).select("sheet_id", F.col("v").alias("u"), F.col("m").alias("v"))
         large = kept(large.where("u <> v").distinct(), "large-star")
         least = large.groupBy("sheet_id", "u").agg(F.min("v").alias("m"))
-        small = large.join(least, ["sheet_id", "u"]).select("sheet_id", F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(many(least), ["sheet_id", "u"]).select("sheet_id", F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = kept(small.where("u <> v").distinct(), "small-star")
         several = not links.groupBy("sheet_id", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-        chained = not links.join(links.select("sheet_id", F.col("u").alias("v")), ["sheet_id", "v"], "left_semi").isEmpty()
+        chained = not links.join(many(links.select("sheet_id", F.col("u").alias("v"))), ["sheet_id", "v"], "left_semi").isEmpty()
         if not (several or chained):
             break
     own = runs.withColumn("__id", run_id(F.col("y"), F.col("x0")))
     stars = links.select("sheet_id", F.col("u").alias("__id"), F.col("v").alias("__v"))
-    return own.join(stars, ["sheet_id", "__id"], "left").withColumn("label", F.coalesce("__v", "__id")).drop("__id", "__v")
+    return own.join(many(stars), ["sheet_id", "__id"], "left").withColumn("label", F.coalesce("__v", "__id")).drop("__id", "__v")
 
 
 def part_measures(runs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def parts_of_area(runs: DataFrame, least: Column, most: Column | None = None) ->
     fits = part_measures(runs).where(F.col("area") >= least)
     if most is not None:
         fits = fits.where(F.col("area") <= most)
-    return runs.join(fits.select("sheet_id", "label"), ["sheet_id", "label"], "left_semi")
+    return runs.join(many(fits.select("sheet_id", "label")), ["sheet_id", "label"], "left_semi")
 
 
 def downscaled(gray_rows: DataFrame, pages: DataFrame, longest: int) -> DataFrame:

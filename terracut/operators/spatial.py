@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 
 def bucket(v: Column, cell: float) -> Column:
@@ -113,7 +113,7 @@ def nearest(cells: DataFrame, points: DataFrame, keys: list[str], farthest: floa
             p = p.withColumn("__bx", at(F.col("px"))).withColumn("__by", at(F.col("py")))
         p = p.select(*keys, "px", "py", "seq", "z", "__bx", "__by")
         d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-        met = c.join(p, [*keys, "__bx", "__by"], "left")
+        met = c.join(many(p), [*keys, "__bx", "__by"], "left")
         # Buckets without points have no distance.
         best = met.groupBy(*names, "__reach").agg(F.min(F.when(d2.isNotNull(), F.struct(d2.alias("d2"), F.col("seq"), F.col("z")))).alias("__best"))
         last = turn == rounds

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 TILE = 256
 # Widths of ridges that are looked for, the share of pixels below the ridge threshold, the side of the
@@ -138,7 +138,7 @@ def ridge_mask(gray_rows: DataFrame, pages: DataFrame, size: int = TILE) -> Data
                 y, x0, x1 = runs_of((levels >= max(r["least"], 1)) | dark)
                 yield pa.RecordBatch.from_arrays([pa.array([r["sheet_id"]] * len(y), pa.string()), *(pa.array((v + o * size).astype(np.int32)) for v, o in ((y, r["ty"]), (x0, r["tx"]), (x1, r["tx"])))], names=["sheet_id", "y", "x0", "x1"])
 
-    return measures.join(level_limits(measures), "sheet_id").mapInArrow(run, "sheet_id string, y int, x0 int, x1 int")
+    return measures.join(F.broadcast(level_limits(measures)), "sheet_id").mapInArrow(run, "sheet_id string, y int, x0 int, x1 int")
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,11 +222,11 @@ def thinned(tiles: DataFrame, size: int = TILE, passes: int = PASSES) -> DataFra
     state = kept(tiles.select(*key, "bits", F.lit(True).alias("changed")), "tiles")
     while not state.where("changed").isEmpty():
         live = state.where("changed").select("sheet_id", "ty", "tx", F.explode(around).alias("d")).select("sheet_id", (F.col("ty") + F.col("d.dy")).alias("ty"), (F.col("tx") + F.col("d.dx")).alias("tx")).distinct()
-        live = kept(live.join(state.select(*key), key, "left_semi"), "live-tiles")
+        live = kept(live.join(many(state.select(*key)), key, "left_semi"), "live-tiles")
         wanted = live.select(*[F.col(k).alias(f"to_{k}") for k in key], F.explode(around).alias("d"))
         wanted = wanted.select("*", F.col("to_sheet_id").alias("sheet_id"), (F.col("to_ty") + F.col("d.dy")).alias("ty"), (F.col("to_tx") + F.col("d.dx")).alias("tx"))
-        near = wanted.join(state, key).groupBy(*[F.col(f"to_{k}").alias(k) for k in key]).agg(F.collect_list(F.struct(F.col("d.dy").alias("dy"), F.col("d.dx").alias("dx"), "bits")).alias("near"))
+        near = wanted.join(many(state), key).groupBy(*[F.col(f"to_{k}").alias(k) for k in key]).agg(F.collect_list(F.struct(F.col("d.dy").alias("dy"), F.col("d.dx").alias("dx"), "bits")).alias("near"))
         done = near.mapInArrow(work, "sheet_id string, ty long, tx long, bits binary, changed boolean")
-        still = state.join(live, key, "left_anti").select(*key, "bits", F.lit(False).alias("changed"))
+        still = state.join(many(live), key, "left_anti").select(*key, "bits", F.lit(False).alias("changed"))
         state = kept(done.unionByName(still), "tiles")
     return state.select(*key, "bits")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracut.sources.scratch import kept
+from terracut.sources.scratch import kept, many
 
 # The eight directions, clockwise from the right (y grows downwards).
 DX, DY = (1, 1, 0, -1, -1, -1, 0, 1), (0, 1, 1, 1, 0, -1, -1, -1)
@@ -39,7 +39,7 @@ def arcs_of(pixels: DataFrame) -> DataFrame:
     offers = pixels.select("sheet_id", (F.col("x") + 0).alias("ox"), (F.col("y") + 0).alias("oy"), steps.alias("s"))
     # A pixel offers itself to the eight around it, each of which sees it in the opposite direction.
     offers = offers.select("sheet_id", (F.col("ox") + F.col("s.dx")).alias("x"), (F.col("oy") + F.col("s.dy")).alias("y"), ((F.col("s.d") + 4) % 8).alias("d"))
-    near = pixels.join(offers, ["sheet_id", "x", "y"]).groupBy("sheet_id", "x", "y").agg(F.sort_array(F.collect_list("d")).alias("seen"))
+    near = pixels.join(many(offers), ["sheet_id", "x", "y"]).groupBy("sheet_id", "x", "y").agg(F.sort_array(F.collect_list("d")).alias("seen"))
     beside = lambda d: (d % 2 == 1) & (F.array_contains("seen", (d + 7) % 8) | F.array_contains("seen", (d + 1) % 8))
     near = near.select("sheet_id", pixel_number(F.col("x"), F.col("y")).alias("pixel"), F.filter("seen", lambda d: ~beside(d)).alias("out"))
     # Two edges make the straighter a line the farther their directions are apart.
@@ -70,13 +70,13 @@ def ranked(arcs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         waiting = n
         other = at.select("sheet_id", F.col("arc").alias("head"), F.col("head").alias("next"), F.col("pos").alias("more"), F.col("done").alias("there"), F.col("least").alias("lower"))
-        moved = rest.join(other, ["sheet_id", "head"]).select("sheet_id", "arc", F.col("next").alias("head"), (F.col("pos") + F.col("more")).alias("pos"), F.col("there").alias("done"), F.least("least", "lower").alias("least"))
+        moved = rest.join(many(other), ["sheet_id", "head"]).select("sheet_id", "arc", F.col("next").alias("head"), (F.col("pos") + F.col("more")).alias("pos"), F.col("there").alias("done"), F.least("least", "lower").alias("least"))
         at = kept(moved.unionByName(at.where("done")), "ranks")
     lists = at.where("done").select("sheet_id", "arc", "head", "pos")
     rings = kept(at.where("NOT done").select("sheet_id", "arc", "head", "least"), "rings")
     while True:  # the least of a ring goes around it
         other = rings.select("sheet_id", F.col("arc").alias("head"), F.col("head").alias("next"), F.col("least").alias("lower"))
-        spread = kept(rings.join(other, ["sheet_id", "head"]).select("sheet_id", "arc", F.col("next").alias("head"), F.least("least", "lower").alias("least"), (F.col("lower") < F.col("least")).alias("fell")), "rings")
+        spread = kept(rings.join(many(other), ["sheet_id", "head"]).select("sheet_id", "arc", F.col("next").alias("head"), F.least("least", "lower").alias("least"), (F.col("lower") < F.col("least")).alias("fell")), "rings")
         rings = spread.drop("fell")
         if spread.where("fell").isEmpty():
             break
@@ -92,15 +92,15 @@ def traced(pixels: DataFrame) -> DataFrame:
     arcs = kept(arcs_of(pixels), "arcs")
     lists, rings = ranked(arcs)
     if rings is not None:
-        cut = arcs.join(rings, ["sheet_id", "arc"]).select("sheet_id", "arc", F.when(F.col("arc") != F.col("least"), F.col("before")).alias("before"))
+        cut = arcs.join(many(rings), ["sheet_id", "arc"]).select("sheet_id", "arc", F.when(F.col("arc") != F.col("least"), F.col("before")).alias("before"))
         lists = lists.unionByName(ranked(cut)[0])
     lists = kept(lists, "lists")
     pixel, d = F.shiftright("arc", 3), F.col("arc") % 8
     ahead = pixel + F.shiftleft(pick(DY, d).cast("long"), COLUMN_BITS) + pick(DX, d)
     # Of a line's two directions, the one whose first arc is lower: the list that has the first arc's reverse is the other.
     back = lists.where("pos = 0").select("sheet_id", "head", (ahead * 8 + (d + 4) % 8).alias("arc"))
-    other = back.join(lists.select("sheet_id", "arc", F.col("head").alias("opposite")), ["sheet_id", "arc"]).where("head < opposite").select("sheet_id", "head")
-    one = lists.join(other, ["sheet_id", "head"], "left_semi")
+    other = back.join(many(lists.select("sheet_id", "arc", F.col("head").alias("opposite"))), ["sheet_id", "arc"]).where("head < opposite").select("sheet_id", "head")
+    one = lists.join(many(other), ["sheet_id", "head"], "left_semi")
     points = one.select("sheet_id", F.col("head").alias("path"), F.explode(F.when(F.col("pos") == 0, F.array(F.struct(F.lit(0).cast("long").alias("pos"), pixel.alias("at")), F.struct(F.lit(1).cast("long").alias("pos"), ahead.alias("at")))).otherwise(F.array(F.struct((F.col("pos") + 1).alias("pos"), ahead.alias("at"))))).alias("p"))
     return points.select("sheet_id", "path", "p.pos", (F.col("p.at") % (1 << COLUMN_BITS)).cast("int").alias("x"), F.shiftright("p.at", COLUMN_BITS).cast("int").alias("y"))
 
@@ -110,7 +110,7 @@ def line_lengths(points: DataFrame) -> DataFrame:
     both = points.select("sheet_id", "path", "pos", "x", "y")
     after = both.select("sheet_id", "path", (F.col("pos") - 1).alias("pos"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     diagonal = (F.col("x") != F.col("nx")) & (F.col("y") != F.col("ny"))
-    steps = both.join(after, ["sheet_id", "path", "pos"])
+    steps = both.join(many(after), ["sheet_id", "path", "pos"])
     return steps.groupBy("sheet_id", "path").agg((F.count_if(~diagonal) + F.count_if(diagonal) * F.sqrt(F.lit(2.0))).alias("length"))
 
 

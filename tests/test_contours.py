@@ -219,3 +219,13 @@ def test_curved_contours_follow_the_lines(spark):
     assert all(min(off(p)) < 7 for points in lines.values() for p in points)
     assert {int(np.argmin(off(points[0]))) for points in lines.values()} == {0, 1, 2, 3}
     assert max(max(p.x for p in points) - min(p.x for p in points) for points in lines.values()) > 300
+
+
+def test_joins_of_pixels_do_not_go_through_the_driver(spark):
+    """Packed pixels are small as files and large in memory, so their joins exchange them between tasks, whatever the files' size."""
+    pixels = spark.range(9).selectExpr("'a' AS sheet_id", "CAST(id AS INT) AS x", "1 AS y")
+    ink = spark.range(9).selectExpr("'a' AS sheet_id", "CAST(id AS INT) AS y", "0 AS x0", "3 AS x1")
+    lines = pixels.selectExpr("sheet_id", "1L AS path", "CAST(x AS LONG) AS pos", "x", "y")
+    for df in (trace.arcs_of(pixels), runs.neighbour_runs(ink), trace.line_lengths(lines)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
