@@ -96,3 +96,12 @@ def test_seeds_that_wait_for_each_other_take_few_rounds(spark, monkeypatch, cell
     got = {r.rank: r.path for r in seeded.claims(spark.createDataFrame(rows, OPTION), cell).collect()}
     assert got == {k: k - 1 for k in range(1, n + 1)}
     assert rounds.count("claims") <= 4
+
+
+def test_options_do_not_go_through_the_driver(spark):
+    points = spark.createDataFrame([("a", 1, 0, 3, 3)], "sheet_id string, path long, pos long, x int, y int")
+    seeds = spark.createDataFrame([("a", 1, 3, 4, 6.5)], "sheet_id string, rank int, sx int, sy int, reach double")
+    found = seeded.seed_options(seeds, points, 7.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [(r.paths, tuple(r["at"])) for r in found.collect()] == [([1], (1, 3, 3))]
