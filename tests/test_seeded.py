@@ -99,8 +99,8 @@ def test_seeds_that_wait_for_each_other_take_few_rounds(spark, monkeypatch, cell
 
 
 def test_options_do_not_go_through_the_driver(spark):
-    points = spark.createDataFrame([("a", 1, 0, 3, 3)], "sheet_id string, path long, pos long, x int, y int")
-    seeds = spark.createDataFrame([("a", 1, 3, 4, 6.5)], "sheet_id string, rank int, sx int, sy int, reach double")
+    points = spark.range(1).selectExpr("CAST(id AS STRING) AS sheet_id", "1L AS path", "id AS pos", "CAST(id AS INT) + 3 AS x", "CAST(id AS INT) + 3 AS y")
+    seeds = spark.range(1).selectExpr("CAST(id AS STRING) AS sheet_id", "CAST(id AS INT) + 1 AS rank", "CAST(id AS INT) + 3 AS sx", "CAST(id AS INT) + 4 AS sy", "6.5D AS reach")
     found = seeded.seed_options(seeds, points, 7.0)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
