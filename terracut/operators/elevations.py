@@ -2,27 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from terracut.functions import text as T
 from terracut.functions.geometry import in_any_bbox, in_bbox
-from terracut.operators.spatial import found_within, range_join
+from terracut.operators.spatial import around, bucket, found_within
 from terracut.params import DEFAULTS, Params
 from terracut.sources.scratch import kept
 
 CALLOUT = "sheet_id string, seq long, text string, value_ft double, x double, y double, source string, confidence double, kind string"
 
 
+#: Callouts of a cell that one task reads at most; pairs of callouts and spans, and bytes of texts, that it looks at in one piece.
+CALLOUTS, PAIRS, TEXTS = 4096, 1 << 22, 1 << 27
+
+
 def contexts(rows: DataFrame, spans: DataFrame, radius: float) -> DataFrame:
-    """rows (sheet_id, x, y and others) with context: the texts of the spans around each, in order."""
-    near = range_join(rows, spans.select("sheet_id", F.col("seq").alias("near_seq"), F.col("text").alias("near_text"), "x", "y"), ["sheet_id"], radius)
-    parts = F.array_sort(F.collect_list(F.struct("near_seq", "near_text")))
-    return near.groupBy(*rows.columns).agg(F.concat_ws(" ", F.transform(parts, lambda p: p["near_text"])).alias("context"))
+    """rows (sheet_id, x, y and others) with context: the texts of the spans around each, in order.
+
+    Spans go to the cells within radius, as in range_join(), and meet the rows there inside tasks, so pairs are no rows and only
+    contexts leave. Equal rows are one, which has each text around as often as they are.
+    """
+    names, cell, place = rows.columns, max(3 * float(radius), 1e-9), ["sheet_id", "__bx", "__by"]
+    at = {c: F.col(c).cast("double").alias(f"__{c}") for c in ("x", "y")}
+    known = (F.abs("__x") < np.inf) & (F.abs("__y") < np.inf) & F.col("sheet_id").isNotNull()
+    r = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__times")).select("sheet_id", *at.values(), F.struct(*names).alias("__row"), "__times").where(known)
+    s = spans.select("sheet_id", *at.values(), F.col("seq").alias("__seq"), F.col("text").alias("__text")).where(known)
+    r = r.withColumns({f"__b{c}": bucket(F.col(f"__{c}"), cell) for c in ("x", "y")})
+    for c in ("x", "y"):
+        s = s.withColumn(f"__b{c}", around(F.col(f"__{c}") - radius, F.col(f"__{c}") + radius, cell))
+    # The rows of a crowded cell are dealt to several tasks, each of which gets the cell's spans.
+    is_row, w = F.col("__row").isNotNull(), W.partitionBy(*place)
+    part = lambda n: F.floor((n - 1) / CALLOUTS)
+    both = r.unionByName(s, allowMissingColumns=True).withColumn("__n", F.count("__row").over(w)).where("__n > 0")
+    both = both.withColumn("__part", F.row_number().over(w.orderBy(F.when(is_row, 0).otherwise(1), "__y", "__x")))
+    both = both.withColumn("__part", F.explode(F.when(is_row, F.array(part(F.col("__part")))).otherwise(F.sequence(F.lit(0).cast("long"), part(F.col("__n"))))))
+    dealt = both.select(F.struct(*place, "__part").alias("__deal"), "__row", "__times", "__x", "__y", "__seq", "__text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        calls = table.filter(pc.is_valid(table["__row"]))
+        near = table.filter(pc.is_null(table["__row"]))
+        if not len(calls) or not len(near):
+            return
+        near = near.take(pc.sort_indices(near, [("__seq", "ascending"), ("__text", "ascending")], null_placement="at_start"))
+        texts = near["__text"].cast(pa.large_string()).combine_chunks()
+        said = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+        row, times = calls["__row"].combine_chunks(), calls["__times"].to_numpy()
+        x, y, nx, ny = (t[c].to_numpy() for t in (calls, near) for c in ("__x", "__y"))
+        size = (pc.sum(pc.binary_length(texts)).as_py() or 0) + len(near)
+        step = max(1, min(PAIRS // len(near), TEXTS // (size * int(times.max()))))
+        for i in range(0, len(x), step):
+            here = slice(i, i + step)
+            hit = (np.abs(x[here, None] - nx) <= radius) & (np.abs(y[here, None] - ny) <= radius)
+            met = hit.any(axis=1)
+            which, found = np.nonzero(hit & said)
+            n = np.bincount(which, minlength=len(met)) * times[here]
+            found = np.repeat(found, times[here][which])
+            lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]), texts.take(pa.array(found)))
+            out = pa.RecordBatch.from_arrays([row[here], pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())], names=["__row", "context"])
+            yield out.filter(pa.array(met))
+
+    schema = StructType([r.schema["__row"], StructField("context", StringType(), False)])
+    return dealt.groupBy("__deal").applyInArrow(read, schema).select("__row.*", "context")
 
 
 def with_context(spans: DataFrame, wanted: Column, radius: float) -> DataFrame:

@@ -586,3 +586,27 @@ def test_scales_of_single_spans_meet_no_neighbours(spark, monkeypatch):
     spans = spark.createDataFrame([("a", 1, "SCALE:", 0.0, 0.0), ("a", 2, 'SCALE: 1" = 20 ft', 10.0, 0.0), ("b", 1, 'SCALE: 1" =', 0.0, 0.0), ("b", 2, "30'", 50.0, 10.0)], "sheet_id string, seq int, text string, x double, y double")
     got = {r.sheet_id: (r.ft_per_inch, r.source) for r in scales.detect_scales(spans, spans.select("sheet_id")).collect()}
     assert got == {"a": (20.0, "pdf_span"), "b": (30.0, "pdf_nearby")} and met == [["b"]]
+
+
+def test_contexts_meet_in_tasks(spark, monkeypatch):
+    """Crowded cells are dealt in parts and pieces; equal callouts, null texts and places, and callouts near nothing; no pairs are rows."""
+    monkeypatch.setattr(elevations, "CALLOUTS", 3)
+    monkeypatch.setattr(elevations, "PAIRS", 64)
+    rng = np.random.default_rng(5)
+    spans = [("ab"[k % 2], k, None if k % 7 == 3 else f"t{k}", float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-40, 40, (60, 2)))]
+    spans += [("a", 90, "nowhere", None, 1.0), ("a", 91, "far", float("inf"), 1.0), ("a", 92, "not", float("nan"), 1.0), (None, 93, "none", 1.0, 1.0), ("c", 94, None, 5.0, 5.0)]
+    calls = [s for s in spans if s[1] % 3 == 0] + [spans[6]] * 2 + [s for s in spans if s[1] > 90] + [("a", 99, "apart", 900.0, 900.0)]
+    shape = "sheet_id string, seq int, text string, x double, y double"
+    got = elevations.contexts(spark.createDataFrame(calls, shape), spark.createDataFrame(spans, shape), 10.0)
+    want = {}
+    for sheet, seq, _, x, y in set(calls):
+        if sheet is None or x is None or not np.isfinite(x):
+            continue
+        near = sorted(s[1:3] for s in spans if s[0] == sheet and s[3] is not None and abs(s[3] - x) <= 10 and abs(s[4] - y) <= 10)
+        if near:
+            want[seq] = " ".join(t for _, t in near for _ in range(3 if seq == 6 else 1) if t is not None)
+    rows = got.collect()
+    assert got.columns == ["sheet_id", "seq", "text", "x", "y", "context"]
+    assert len(rows) == len(want) and {r.seq: r.context for r in rows} == want
+    assert want[94] == "" and 99 not in want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
