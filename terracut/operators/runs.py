@@ -5,6 +5,8 @@ A row of a page is the largest group that a task sorts. pages: sheet_id, width_p
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from terracut.sources.scratch import kept, many
 ROUND = {3: (0, 1, 0), 5: (0, 2, 2, 2, 0)}
 #: Width of the buckets in which runs of neighbouring rows meet.
 BUCKET = 64
+#: Rows of a strip whose parts a task labels, and borders of strips that a task joins parts across.
+STRIP, FAN = 1024, 64
 
 
 def page_sizes(gray_rows: DataFrame) -> DataFrame:
@@ -95,28 +99,72 @@ def neighbour_runs(runs: DataFrame) -> DataFrame:
     return pairs.select("sheet_id", run_id(F.col("y") - 1, F.col("a0")).alias("u"), run_id(F.col("y"), F.col("x0")).alias("v"))
 
 
+def least_linked(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in u and v, each once, and the least that each is linked with, over any number of links."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, least = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (least[a] != least[b]).any():
+        np.minimum.at(least, np.maximum(least[a], least[b]), np.minimum(least[a], least[b]))
+        while (least[least] != least).any():
+            least = least[least]
+    return nodes, nodes[least]
+
+
+def strip_parts(strip: pa.Table) -> pa.Table:
+    """The runs of a strip with __part: the number of the first run of their connected part within it."""
+    y, x0, x1, ids = (strip[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "__id"))
+    order = np.lexsort((x1, x0, y))
+    row = lambda y, x: (y << 32) + x + 2
+    # In the row above, runs that may touch: those that begin before a run's end, from where one has reached its beginning.
+    begins, reached = row(y[order], x0[order]), np.maximum.accumulate(row(y[order], x1[order]))
+    first, last = np.searchsorted(reached, row(y - 1, x0 - 1), "left"), np.searchsorted(begins, row(y - 1, x1 + 1), "right")
+    n = np.maximum(last - first, 0)
+    below = np.repeat(np.arange(len(y)), n)
+    above = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    touch = (y[above] == y[below] - 1) & (x1[above] >= x0[below] - 1) & (x0[above] <= x1[below] + 1)
+    nodes, least = least_linked(np.concatenate([ids[below[touch]], ids]), np.concatenate([ids[above[touch]], ids]))
+    return strip.drop_columns(["__strip"]).append_column("__part", pa.array(least[np.searchsorted(nodes, ids)]))
+
+
+def merged_parts(links: pa.Table) -> pa.Table:
+    """part, label: the least part that each is linked with, where that is another."""
+    part, label = least_linked(links["u"].to_numpy(), links["v"].to_numpy())
+    other = part != label
+    sheet = pa.nulls(0, links.schema.field("sheet_id").type) if not other.any() else links["sheet_id"].combine_chunks()[:1].take(pa.array(np.zeros(other.sum(), np.int64)))
+    return pa.table({"sheet_id": sheet, "part": part[other], "label": label[other]})
+
+
 def labelled(runs: DataFrame) -> DataFrame:
     """runs with label: the number of the first run of its connected part (8 neighbours).
 
-    Star contraction: links move to the smallest neighbour, of larger ones, then of smaller ones, until all are stars
-    around the first run; rounds grow with the logarithm of a part's size, and no part meets in one task.
+    Tasks label strips of STRIP rows; links across the borders of strips then join parts in strips FAN times as high, and so on.
+    A task reads the runs of one strip, or the links across FAN borders, so rounds are few however far a part reaches.
     """
-    links = kept(neighbour_runs(runs).select("sheet_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    kind = runs.schema["sheet_id"].dataType.simpleString()
+    own = runs.withColumn("__id", run_id(F.col("y"), F.col("x0"))).withColumn("__strip", F.floor(F.col("y") / STRIP))
+    own = kept(own.groupBy("sheet_id", "__strip").applyInArrow(strip_parts, own.drop("__strip").schema.add("__part", "long")), "strips")
+    part = lambda n: border.select("sheet_id", F.col("__id").alias(f"__{n}"), F.col("__part").alias(n)).distinct()
+    border = own.where((F.col("y") % STRIP == 0) | (F.col("y") % STRIP == STRIP - 1))
+    met = neighbour_runs(border).withColumnsRenamed({"u": "__u", "v": "__v"})
+    links = met.join(many(part("u")), ["sheet_id", "__u"]).join(many(part("v")), ["sheet_id", "__v"])
+    # Rows of one strip meet only where strips are two rows high; their parts are one already.
+    links = kept(links.where("u <> v").select("sheet_id", F.shiftright("__v", 32).alias("y"), "u", "v").distinct(), "links")
+    stars, height = None, STRIP
     while not links.isEmpty():
-        both = links.unionByName(links.select("sheet_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("sheet_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(many(least), ["sheet_id", "u"]).select("sheet_id", F.col("v").alias("u"), F.col("m").alias("v"))
-        large = kept(large.where("u <> v").distinct(), "large-star")
-        least = large.groupBy("sheet_id", "u").agg(F.min("v").alias("m"))
-        small = large.join(many(least), ["sheet_id", "u"]).select("sheet_id", F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = kept(small.where("u <> v").distinct(), "small-star")
-        several = not links.groupBy("sheet_id", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-        chained = not links.join(many(links.select("sheet_id", F.col("u").alias("v"))), ["sheet_id", "v"], "left_semi").isEmpty()
-        if not (several or chained):
-            break
-    own = runs.withColumn("__id", run_id(F.col("y"), F.col("x0")))
-    stars = links.select("sheet_id", F.col("u").alias("__id"), F.col("v").alias("__v"))
-    return own.join(many(stars), ["sheet_id", "__id"], "left").withColumn("label", F.coalesce("__v", "__id")).drop("__id", "__v")
+        height *= FAN
+        inside = links.where(F.col("y") % height != 0).groupBy("sheet_id", F.floor(F.col("y") / height))
+        found = kept(inside.applyInArrow(merged_parts, f"sheet_id {kind}, part long, label long"), "parts-linked")
+        new = lambda n, found=found: many(found.select("sheet_id", F.col("part").alias(n), F.col("label").alias(f"__{n}")))
+        links = links.where(F.col("y") % height == 0).join(new("u"), ["sheet_id", "u"], "left").join(new("v"), ["sheet_id", "v"], "left")
+        links = kept(links.select("sheet_id", "y", F.coalesce("__u", "u").alias("u"), F.coalesce("__v", "v").alias("v")).distinct(), "links")
+        if stars is not None:
+            moved = stars.withColumnRenamed("label", "u").join(new("u"), ["sheet_id", "u"], "left")
+            found = moved.select("sheet_id", "part", F.coalesce("__u", "u").alias("label")).unionByName(found)
+        stars = found
+    if stars is None:
+        return own.withColumnRenamed("__part", "label").drop("__id")
+    stars = stars.withColumnRenamed("part", "__part")
+    return own.join(many(stars), ["sheet_id", "__part"], "left").withColumn("label", F.coalesce("label", "__part")).select(*runs.columns, "label")
 
 
 def part_measures(runs: DataFrame) -> DataFrame:

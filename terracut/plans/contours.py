@@ -12,6 +12,7 @@ from terracut.operators import approximate, curved, runs, seeded, tiles, trace
 from terracut.plans.fixtures import view, with_views
 from terracut.plans.queries import r6
 from terracut.plans.stages import gray_rows
+from terracut.sources.scratch import kept, many
 
 #: Pixels darker than this are ink in these queries.
 INK = 12
@@ -83,14 +84,17 @@ def traced_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """gray_rows of pages with a wavy line for each supplier, twelve rows high; every other line is dashed."""
+    """gray_rows of pages with a wavy line for each supplier, twelve rows high; every other line is dashed.
+
+    Numbering leaves a page's lines in one task; they are dealt to all before their pixels are made, once.
+    """
     lines = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("P"), F.col("s_suppkey") % 2).alias("sheet_id"), F.col("s_suppkey").alias("key"))
-    lines = lines.withColumn("line", F.row_number().over(W.partitionBy("sheet_id").orderBy("key")) - 1)
+    lines = lines.withColumn("line", F.row_number().over(W.partitionBy("sheet_id").orderBy("key")) - 1).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     rows = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("dy"))
     wave = lambda x: F.lit(3) + F.floor(F.abs((x + F.col("key") * 7) % 40 - 20) / 4)
     dark = lambda x: x.between(10, 110) & (F.abs(F.col("dy") - wave(x)) <= 0) & ((F.col("key") % 2 == 0) | (x % 29 >= 1))
     pixel = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda x: F.when(dark(x), "3C").otherwise(F.lpad(F.hex(F.lit(235) + (x * F.col("key") + F.col("dy")) % 8), 2, "0")))
-    return rows.select("sheet_id", (F.col("line") * 12 + F.col("dy")).cast("int").alias("y"), F.unhex(F.concat_ws("", pixel)).alias("gray"))
+    return kept(rows.select("sheet_id", (F.col("line") * 12 + F.col("dy")).cast("int").alias("y"), F.unhex(F.concat_ws("", pixel)).alias("gray")), "line-pages")
 
 
 def curved_contours(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +117,7 @@ def seeded_contours(spark: SparkSession, sf: str) -> DataFrame:
     calls = suppliers.withColumns({"x": F.lit(60.0), "y": line * 12.0 + 5})
     roles = suppliers.select("sheet_id", F.when(F.col("sheet_id") == "P0", "existing").otherwise("auto").alias("role")).distinct()
     points, facts = seeded.seeded_contours(line_pages(spark, sf), calls, roles, longest=1 << 20, size=64)
-    return points.join(facts.drop("length_px"), ["sheet_id", "poly_seq"])
+    return points.join(many(facts.drop("length_px")), ["sheet_id", "poly_seq"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ink_runs, closed_ink, ink_parts, line_ink, smaller_pages, simplified_lines, ring_measures, thinned_ink, traced_lines, curved_contours, seed_claims, seeded_contours)}

@@ -229,3 +229,29 @@ def test_joins_of_pixels_do_not_go_through_the_driver(spark):
     for df in (trace.arcs_of(pixels), runs.neighbour_runs(ink), trace.line_lengths(lines)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("strip, fan", [(2, 2), (4, 3), (1024, 64)])
+def test_parts_across_strips_take_few_rounds(spark, monkeypatch, strip, fan):
+    """Random ink, runs that overlap or come twice, and one line down the whole page, against flooding; tasks label strips, so rounds are few."""
+    monkeypatch.setattr(runs, "STRIP", strip)
+    monkeypatch.setattr(runs, "FAN", fan)
+    names = []
+    monkeypatch.setattr(runs, "kept", lambda df, name, kept=runs.kept: (names.append(name), kept(df, name))[1])
+    rng = np.random.default_rng(strip)
+    rows = [("ab"[k % 2], int(y), int(x), int(x + n)) for k, (y, x, n) in enumerate(zip(rng.integers(0, 60, 160), rng.integers(0, 40, 160), rng.integers(0, 4, 160), strict=True))]
+    rows = list({r[:3]: r for r in rows}.values())
+    rows += [("a", y, 60 + y % 2, 60 + y % 2) for y in range(60)] + [("b", 3, 50, 59), ("b", 3, 52, 53), ("b", 4, 58, 58), ("b", 4, 58, 58)]
+    label = {r[:3]: (r[1] << 32) + r[2] for r in rows}
+    moved = True
+    while moved:
+        moved = False
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] and b[1] == a[1] + 1 and a[2] <= b[3] + 1 and b[2] <= a[3] + 1 and label[a[:3]] != label[b[:3]]:
+                    label[a[:3]] = label[b[:3]] = min(label[a[:3]], label[b[:3]])
+                    moved = True
+    got = runs.labelled(spark.createDataFrame(rows, "sheet_id string, y int, x0 int, x1 int")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((*r, label[r[:3]]) for r in rows)
+    assert len({r.label for r in got if r.sheet_id == "a" and r.x0 >= 60}) == 1
+    assert len(names) <= {2: 12, 4: 8, 1024: 2}[strip]
