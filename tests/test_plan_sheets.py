@@ -170,6 +170,20 @@ def test_redundant_polylines_without_pairs_as_rows(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want | {("c", i) for i in range(2000)} and 60 < len(want) < 200
 
 
+def test_redundant_polylines_go_once_to_a_region(spark, monkeypatch):
+    """A line goes to the regions that it has points in or near, not to all pairs of them, and many lines travel in one row."""
+    monkeypatch.setattr(alongside, "BUCKET_LINES", 400)
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([("s", line, i, *map(float, v)) for line in range(1500) for i, v in enumerate(rng.integers(0, 1000, (7, 2)))], "sheet_id string, poly_seq int, pos int, x double, y double")
+    share = F.col("share") >= DEFAULTS.redundant_share
+    want = {r.poly_seq for r in polylines.near_shares(points, DEFAULTS).where(share).collect()}
+    assert {r.poly_seq for r in polylines.redundant(points).collect()} == want
+    found = alongside.beside_short_ones(alongside.lines_of(points, DEFAULTS), DEFAULTS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate explode") == 1  # the box alone takes points one by one
+    assert alongside.packed(np.array([1.0, 2.5])) == np.array([1.0, 2.5], np.float32).tobytes() and len(alongside.packed(np.array([0.1]))) == 8
+
+
 def test_foot_on_segment(spark):
     rows = spark.createDataFrame([(0.0, 5.0, -10.0, 0.0, 10.0, 0.0), (0.0, 5.0, 20.0, 0.0, 30.0, 0.0), (0.0, 5.0, 3.0, 1.0, 3.0, 1.0)], "x double, y double, x1 double, y1 double, x2 double, y2 double")
     fx, fy = G.foot_on_segment(*[F.col(c) for c in rows.columns])
