@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ ROUND = {3: (0, 1, 0), 5: (0, 2, 2, 2, 0)}
 BUCKET = 64
 #: Rows of a strip whose parts a task labels, and borders of strips that a task joins parts across.
 STRIP, FAN = 1024, 64
+#: Pixels of the strips in which a task brings a page down, about.
+STRIP_PIXELS = 1 << 20
 
 
 def page_sizes(gray_rows: DataFrame) -> DataFrame:
@@ -180,33 +183,61 @@ def parts_of_area(runs: DataFrame, least: Column, most: Column | None = None) ->
     return runs.join(many(fits.select("sheet_id", "label")), ["sheet_id", "label"], "left_semi")
 
 
+def overlaps(at: np.ndarray, n: int, unit: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, target, overlap) of the source places at with the n target places, in order of targets: sources are unit wide and targets side."""
+    low, high = at * unit // side, ((at + 1) * unit - 1) // side
+    source = np.concatenate([np.arange(len(at)), np.flatnonzero(high > low)])
+    target = np.concatenate([low, high[high > low]])
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    weight = np.minimum((at[source] + 1) * unit, (target + 1) * side) - np.maximum(at[source] * unit, target * side)
+    return source[target < n], target[target < n], weight[target < n]
+
+
+def strip_means(strip: pa.Table, unit: int) -> pa.Table:
+    """sheet_id, y, gray of the target rows of a strip, from all source rows that reach into it."""
+    side, w, h, high, number = (strip[c][0].as_py() for c in ("side", "w", "h", "__high", "__strip"))
+    gray = strip["gray"].combine_chunks()
+    length = pc.binary_length(gray).to_numpy()
+    pixels = np.zeros((len(gray), int(length.max())), np.int64)
+    there = np.arange(pixels.shape[1]) < length[:, None]
+    pixels[there] = np.frombuffer(b"".join(gray.to_pylist()), np.uint8)
+    x, tx, wx = overlaps(np.arange(pixels.shape[1]), w, unit, side)
+    y, ty, wy = overlaps(strip["y"].to_numpy().astype(np.int64), h, unit, side)
+    own = ty // high == number
+    y, ty, wy = y[own], ty[own], wy[own]
+    first = lambda t: np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    sums = []
+    for v in (pixels, there.astype(np.int64)):
+        across = np.add.reduceat(v[:, x] * wx, first(tx), axis=1) if len(x) else np.zeros((len(v), 0), np.int64)
+        sums.append(np.add.reduceat(across[y] * wy[:, None], first(ty), axis=0) if len(y) else np.zeros((0, across.shape[1]), np.int64))
+    s, n = sums
+    whole = s // np.maximum(n, 1)
+    twice = 2 * (s - whole * n)
+    mean = (whole + ((twice > n) | ((twice == n) & (whole % 2 == 1)))).astype(np.uint8)
+    # Rows may be shorter than the page is wide.
+    rows = [m[k > 0].tobytes() for m, k in zip(mean, n, strict=True)]
+    some = np.array([len(r) > 0 for r in rows], bool)
+    at = ty[first(ty)].astype(np.int32)[some] if len(y) else np.zeros(0, np.int32)
+    sheet = strip["sheet_id"].combine_chunks()[:1].take(pa.array(np.zeros(len(at), np.int64)))
+    return pa.table({"sheet_id": sheet, "y": pa.array(at, pa.int32()), "gray": pa.array([r for r in rows if r], pa.binary())})
+
+
 def downscaled(gray_rows: DataFrame, pages: DataFrame, longest: int) -> DataFrame:
     """gray_rows of pages whose longer side is brought down to `longest` pixels by area means; others as they are.
 
     A target pixel covers side / longest source pixels; overlaps are whole numbers in units of 1 / longest, so means are
-    exact, rounded half to even.
+    exact, rounded half to even. Tasks take strips of target rows, of some STRIP_PIXELS source pixels.
     """
-    side = F.greatest("width_px", "height_px")
-    p = pages.withColumn("side", side).withColumns({k: F.bround(F.col(f"{v}_px") * longest / F.col("side")).cast("int") for k, v in (("w", "width"), ("h", "height"))})
-    large = gray_rows.join(p.where(F.col("side") > longest), "sheet_id")
-    unit = F.lit(longest)
-
-    def targets(at: Column, n: Column) -> Column:
-        """The target places that a source place reaches, with its overlap."""
-        low, high = F.floor(at * unit / F.col("side")), F.floor(((at + 1) * unit - 1) / F.col("side"))
-        one = lambda t: F.struct(t.alias("at"), (F.least((at + 1) * unit, (t + 1) * F.col("side")) - F.greatest(at * unit, t * F.col("side"))).alias("w"))
-        return F.filter(F.transform(F.sequence(low, high), one), lambda t: t["at"] < n)
-
-    rows = large.select("sheet_id", "gray", "side", "w", F.explode(targets(F.col("y"), F.col("h"))).alias("v"))
-    cells = rows.select("sheet_id", "v", "side", "w", "gray", F.explode(F.sequence(F.lit(0), F.length("gray") - 1)).alias("x"))
-    value = F.conv(F.hex(F.substring(F.col("gray"), F.col("x") + 1, F.lit(1))), 16, 10).cast("long")
-    cells = cells.select("sheet_id", "v", value.alias("value"), F.explode(targets(F.col("x"), F.col("w"))).alias("u"))
-    weight = F.col("u.w") * F.col("v.w")
-    means = cells.groupBy("sheet_id", F.col("v.at").alias("y"), F.col("u.at").alias("x")).agg(F.sum(weight * F.col("value")).alias("s"), F.sum(weight).alias("n"))
-    whole = F.expr("s div n")
-    twice = 2 * (F.col("s") - whole * F.col("n"))
-    mean = whole + F.when((twice > F.col("n")) | ((twice == F.col("n")) & (whole % 2 == 1)), 1).otherwise(0)
-    line = F.transform(F.array_sort(F.collect_list(F.struct("x", mean.alias("g")))), lambda c: F.lpad(F.hex(c["g"]), 2, "0"))
-    small = means.groupBy("sheet_id", F.col("y").cast("int").alias("y")).agg(F.unhex(F.concat_ws("", line)).alias("gray"))
+    long = lambda c: F.col(c).cast("long")
+    p = pages.withColumn("side", F.greatest(long("width_px"), long("height_px")))
+    p = p.withColumns({k: F.bround(long(f"{v}_px") * longest / F.col("side")).cast("long") for k, v in (("w", "width"), ("h", "height"))})
+    p = p.withColumn("__high", F.greatest(F.lit(1), F.floor(F.lit(float(STRIP_PIXELS)) * longest / (F.col("side") * F.greatest(long("width_px"), F.lit(1))))).cast("long"))
+    large = gray_rows.where(F.length("gray") > 0).join(p.where(F.col("side") > longest).select("sheet_id", "side", "w", "h", "__high"), "sheet_id")
+    low, high = F.expr(f"CAST(y AS BIGINT) * {longest} div side"), F.expr(f"((CAST(y AS BIGINT) + 1) * {longest} - 1) div side")
+    strip = F.explode(F.sequence(F.floor(low / F.col("__high")), F.floor(high / F.col("__high"))))
+    kind = gray_rows.schema["sheet_id"].dataType.simpleString()
+    dealt = large.select("sheet_id", "y", "gray", "side", "w", "h", "__high", strip.alias("__strip"))
+    small = dealt.groupBy("sheet_id", "__strip").applyInArrow(lambda t: strip_means(t, longest), f"sheet_id {kind}, y int, gray binary")
     same = gray_rows.join(p.where(F.col("side") <= longest), "sheet_id", "left_semi")
     return same.select("sheet_id", "y", "gray").unionByName(small)

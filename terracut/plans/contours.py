@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,10 +93,15 @@ def line_pages(spark: SparkSession, sf: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("P"), F.col("s_suppkey") % 2).alias("sheet_id"), F.col("s_suppkey").alias("key"))
     lines = lines.withColumn("line", F.row_number().over(W.partitionBy("sheet_id").orderBy("key")) - 1).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     rows = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("dy"))
-    wave = lambda x: F.lit(3) + F.floor(F.abs((x + F.col("key") * 7) % 40 - 20) / 4)
-    dark = lambda x: x.between(10, 110) & (F.abs(F.col("dy") - wave(x)) <= 0) & ((F.col("key") % 2 == 0) | (x % 29 >= 1))
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda x: F.when(dark(x), "3C").otherwise(F.lpad(F.hex(F.lit(235) + (x * F.col("key") + F.col("dy")) % 8), 2, "0")))
-    return kept(rows.select("sheet_id", (F.col("line") * 12 + F.col("dy")).cast("int").alias("y"), F.unhex(F.concat_ws("", pixel)).alias("gray")), "line-pages")
+
+    @F.pandas_udf("binary")
+    def pixels(key: pd.Series, dy: pd.Series) -> pd.Series:
+        k, d, x = key.to_numpy(np.int64)[:, None], dy.to_numpy(np.int64)[:, None], np.arange(128)
+        wave = 3 + np.abs(np.fmod(x + k * 7, 40) - 20) // 4
+        dark = (x >= 10) & (x <= 110) & (d == wave) & ((np.fmod(k, 2) == 0) | (x % 29 >= 1))
+        return pd.Series([row.tobytes() for row in np.where(dark, 0x3C, 235 + np.fmod(x * k + d, 8)).astype(np.uint8)])
+
+    return kept(rows.select("sheet_id", (F.col("line") * 12 + F.col("dy")).cast("int").alias("y"), pixels("key", "dy").alias("gray")), "line-pages")
 
 
 def curved_contours(spark: SparkSession, sf: str) -> DataFrame:

@@ -255,3 +255,32 @@ def test_parts_across_strips_take_few_rounds(spark, monkeypatch, strip, fan):
     assert sorted(tuple(r) for r in got) == sorted((*r, label[r[:3]]) for r in rows)
     assert len({r.label for r in got if r.sheet_id == "a" and r.x0 >= 60}) == 1
     assert len(names) <= {2: 12, 4: 8, 1024: 2}[strip]
+
+
+@pytest.mark.parametrize("pixels", [40, 1 << 20])
+def test_pages_are_brought_down_exactly(spark, monkeypatch, pixels):
+    """Area means of ragged pages in strips of any size, and of a page of over two million rows, whose overlaps fill more than 32 bits."""
+    monkeypatch.setattr(runs, "STRIP_PIXELS", pixels)
+    rng = np.random.default_rng(5)
+    images = {k: [rng.integers(0, 256, w - (k == "ragged") * int(rng.integers(0, 9))).astype(np.uint8) for _ in range(h)] for k, (w, h) in {"wide": (37, 11), "high": (9, 41), "ragged": (30, 23), "small": (5, 4)}.items()}
+    gray = spark.createDataFrame([(k, y, bytearray(r.tobytes())) for k, im in images.items() for y, r in enumerate(im)], "sheet_id string, y int, gray binary")
+    got = {(r.sheet_id, r.y): list(r.gray) for r in runs.downscaled(gray, runs.page_sizes(gray), 13).collect()}
+    for k, im in images.items():
+        width, side = max(map(len, im)), max(len(im), *map(len, im))
+        w, h = (round(n * 13 / side) if side > 13 else n for n in (width, len(im)))
+        for ty in range(h):
+            want = []
+            for tx in range(w):
+                if side <= 13:
+                    want.append(int(im[ty][tx]))
+                    continue
+                o = lambda a, t: max(0, min((a + 1) * 13, (t + 1) * side) - max(a * 13, t * side))
+                cells = [(o(x, tx) * o(y, ty), int(v)) for y, r in enumerate(im) for x, v in enumerate(r) if o(x, tx) * o(y, ty)]
+                if cells:
+                    s, n = sum(a * v for a, v in cells), sum(a for a, _ in cells)
+                    want.append(s // n + (2 * (s % n) > n or (2 * (s % n) == n and s // n % 2 == 1)))
+            assert got.pop((k, ty)) == want, (k, ty)
+    assert not got
+    tall = spark.range(2_159_000, 2_160_000).select(F.lit("t").alias("sheet_id"), F.col("id").cast("int").alias("y"), F.unhex(F.lit("3C3C3C3CEEEEEEEE")).alias("gray"))
+    last = runs.downscaled(tall, runs.page_sizes(tall), 1 << 20).agg(F.min("y"), F.max("y"), F.count("y"), F.min("gray"), F.max("gray")).first()
+    assert last[:3] == (2_159_000 * (1 << 20) // 2_160_000, (1 << 20) - 1, (1 << 20) - 2_159_000 * (1 << 20) // 2_160_000) and last[3] == last[4] and len(last[3]) == 4
