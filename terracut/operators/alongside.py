@@ -201,20 +201,22 @@ def beside_short_ones(lines: DataFrame, params: Params) -> DataFrame:
         sheet = t["sheet_id"].combine_chunks().dictionary_encode()
         code = sheet.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         region = (xa[point] + k % wide[point]) * sides[point] + ya[point] + k // wide[point]
-        both = np.unique(np.stack([code[owner[point]], region, owner[point]]), axis=1) if len(point) else np.zeros((3, 0), np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], np.any(both[:2, 1:] != both[:2, :-1], axis=0)])) if both.shape[1] else []
+        many = int(region.max(initial=0)) + 1
+        both = np.unique((code[owner[point]] * many + region) * t.num_rows + owner[point])
+        at_region, of_line = np.divmod(both, t.num_rows)
+        starts = np.flatnonzero(np.concatenate([[True], at_region[1:] != at_region[:-1]])) if len(both) else []
         keys = t["poly_seq"].combine_chunks()
         out: dict[str, list] = {c: [] for c in ("sheet", "region", "of", "n", "samples", "kind", "xy")}
-        for a, b in zip(starts, [*starts[1:], both.shape[1]], strict=True):
-            of = both[2, a:b]
+        for a, b in zip(starts, [*starts[1:], len(both)], strict=True):
+            of = of_line[a:b]
             at = np.repeat(begin[of] - (np.cumsum(n[of]) - n[of]), n[of]) + np.arange(n[of].sum())
-            out["sheet"].append(both[0, a])
-            out["region"].append(both[1, a])
+            out["sheet"].append(at_region[a] // many)
+            out["region"].append(at_region[a] % many)
             out["of"].append(of)
             out["n"].append(n[of].astype(np.int32).tobytes())
             out["samples"].append(column("samples")[of].astype(np.int32).tobytes())
             # Of each point whether it is a sample, a vertex, and stands here.
-            out["kind"].append((kind[at] + 4 * (home[at] == both[1, a])).astype(np.uint8).tobytes())
+            out["kind"].append((kind[at] + 4 * (home[at] == at_region[a] % many)).astype(np.uint8).tobytes())
             out["xy"].append(packed(np.stack([x[at], y[at]], axis=1)))
         for i in range(0, len(out["of"]), 256):
             part = {c: v[i : i + 256] for c, v in out.items()}
